@@ -112,7 +112,7 @@ def resolve_overlaps(spans: Column, mixed_confidence: bool = False) -> Column:
 
     def general(acc, s):
         over = F.filter(acc, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"]))
-        first = over[0]
+        first = F.try_element_at(over, F.lit(1))
         replaced = F.array_append(
             F.filter(acc, lambda k: (k["start"] != first["start"]) | (k["prio"] != first["prio"])), s
         )

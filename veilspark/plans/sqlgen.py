@@ -107,3 +107,12 @@ def mask_message_sql(col: str) -> str:
         spec = pattern_for(ptype)
         expr = f"regexp_replace({expr}, {q(spec.re2())}, {q(tok)}, 'g')"
     return expr
+
+
+def log_keys_sql(col: str) -> str:
+    from ..functions.patterns import LOG_KEY_PATTERNS
+
+    expr = col
+    for regex, tok in LOG_KEY_PATTERNS:
+        expr = f"regexp_replace({expr}, {q(regex)}, {q(tok)}, 'g')"
+    return expr

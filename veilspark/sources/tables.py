@@ -43,9 +43,16 @@ PEOPLE_EXPRS = [
               "CASE WHEN c_custkey % 3 = 0 THEN ' reach ' || lower(replace(c_name, '#', '_')) || "
               "'@corp.example.org or 555 ' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || ' ' || "
               "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') ELSE '' END"),
+    ("address", "CAST(1 + c_custkey % 9999 AS STRING) || ' ' || "
+                "CASE c_custkey % 4 WHEN 0 THEN 'Oak' WHEN 1 THEN 'Elm' WHEN 2 THEN 'Pine' ELSE 'Cedar' END || "
+                "' Street'"),
     ("segment", "c_mktsegment"),
 ]
 
+# Street addresses have no built-in detector; the table jobs register this
+# user pattern (the documented way to add a type).
+ADDRESS_PATTERN = ("physical_address", r"\b\d{1,5} [A-Z][a-z]+ (?:Street|Avenue|Road)\b", "")
+
 # The same projection as SQL text, for engines that only take SQL.
 PEOPLE_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in PEOPLE_EXPRS) + " FROM customer"
 

@@ -11,7 +11,6 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPAN_ARRAY_TYPE
 from .patterns import (
     BASE_RISK_CRITICAL,
     BASE_RISK_HIGH,
@@ -91,7 +90,10 @@ def anchor_groups(spans: Column, window: Column | int) -> Column:
     hold spans starting inside one window, so its size is bounded.
     """
     w = window if isinstance(window, Column) else F.lit(window)
-    empty_groups = F.expr(f"cast(array() as array<struct<anchor:int,members:{SPAN_ARRAY_TYPE}>>)")
+    # an empty group list typed after the input spans (whatever fields they carry)
+    empty_groups = F.filter(
+        F.array(F.struct(F.lit(0).alias("anchor"), F.slice(spans, 1, 0).alias("members"))), lambda g: F.lit(False)
+    )
 
     def step(acc, s):
         last = F.try_element_at(acc, F.lit(-1))

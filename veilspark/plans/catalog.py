@@ -319,3 +319,209 @@ def queries() -> dict[str, Builder]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# ---------------------------------------------------------------- analysed entities
+
+
+def _analyzed(ds: Dataset, spark, sf) -> DataFrame:
+    return A.analyze_cells(ds.cells(spark, sf), ds.config())
+
+
+def _aent_sql(ds: Dataset) -> str:
+    return Q.analyzed_sql_ctes(ds.sql_source(), ds.sql_key(), list(ds.columns), ds.patterns())
+
+
+def _with_aent(ds: Dataset, select: str) -> str:
+    """``select`` may start with ``, name AS (...)`` to add more CTEs."""
+    sep = "" if select.startswith(",") else " "
+    return f"WITH RECURSIVE {_aent_sql(ds)}{sep}{select}"
+
+
+AENT_COLS = ["row_index", "column_name", "span_ord", "pii_type", "start_pos", "group_ord", "group_size",
+             "risk_score", "risk_level", "detection_method", "base_method"]
+
+
+@register("proximity_risk", _with_aent(PEOPLE, f"SELECT {', '.join(AENT_COLS)} FROM aent"))
+def proximity_risk(spark, sf):
+    return _analyzed(PEOPLE, spark, sf).select(*AENT_COLS)
+
+
+@register("proximity_groups", _with_aent(
+    PEOPLE, "SELECT row_index, column_name, group_ord, count(*) AS group_size, "
+            "string_agg(pii_type, ',' ORDER BY span_ord) AS member_types FROM aent "
+            "GROUP BY row_index, column_ordinal, column_name, group_ord HAVING count(*) > 1"))
+def proximity_groups(spark, sf):
+    """Groups of two or more spans (singleton groups are not groups)."""
+    cfg = PEOPLE.config()
+    framed = A.span_frame(PEOPLE.cells(spark, sf), cfg)
+    from ..functions.risk import anchor_groups
+
+    g = framed.select("row_index", "column_name",
+                      F.posexplode(anchor_groups(F.col("spans"), cfg.proximity_window)).alias("group_ord", "g"))
+    return g.where(F.size("g.members") > 1).select(
+        "row_index", "column_name", "group_ord", F.size("g.members").alias("group_size"),
+        F.array_join(F.transform("g.members", lambda m: m["pii_type"]), ",").alias("member_types"),
+    )
+
+
+@register("related_entities", _with_aent(
+    PEOPLE, "SELECT row_index, column_name, span_ord, array_to_string(related_entities, '; ') AS related "
+            "FROM aent WHERE group_size > 1"))
+def related_entities(spark, sf):
+    a = _analyzed(PEOPLE, spark, sf).where(F.col("group_size") > 1)
+    return a.select("row_index", "column_name", "span_ord", F.array_join("related_entities", "; ").alias("related"))
+
+
+@register("pair_risk", f"""WITH RECURSIVE {Q.entities_sql_ctes(PEOPLE.sql_source(), PEOPLE.sql_key(),
+                                                          list(PEOPLE.columns), PEOPLE.patterns())},
+pr(ta, tb, score) AS ({Q._values(__import__('veilspark.functions.patterns', fromlist=['x']).pair_risk_entries())})
+SELECT a.row_index, a.column_name, a.span_ord AS src_ord, b.span_ord AS dst_ord, a.pii_type AS src_type,
+  b.pii_type AS dst_type, b.start_pos - a.start_pos AS distance, coalesce(pr.score, 0.3::DOUBLE) AS pair_risk
+FROM ent a JOIN ent b ON a.row_index = b.row_index AND a.column_ordinal = b.column_ordinal
+  AND b.span_ord > a.span_ord AND b.start_pos - a.start_pos <= 100
+LEFT JOIN pr ON pr.ta = a.pii_type AND pr.tb = b.pii_type""")
+def pair_risk_q(spark, sf):
+    """Proximity pairs (starts <= 100 apart in one cell) with their pair risk."""
+    from ..functions.risk import pair_risk
+
+    cfg = PEOPLE.config()
+    p = A.proximity_pairs(A.span_frame(PEOPLE.cells(spark, sf), cfg), cfg, 100)
+    return p.select("row_index", "column_name", "src_ord", "dst_ord", "src_type", "dst_type", "distance",
+                    pair_risk(F.col("src_type"), F.col("dst_type")).alias("pair_risk"))
+
+
+from ..operators import report as RP  # noqa: E402
+
+
+@register("summary", _with_aent(
+    PEOPLE, "SELECT count(*) AS total_entities, count(DISTINCT pii_type) AS n_types, "
+            "coalesce(string_agg(DISTINCT pii_type, ',' ORDER BY pii_type), '') AS pii_types_detected, "
+            "coalesce(string_agg(DISTINCT detection_method, ',' ORDER BY detection_method), '') AS detection_methods "
+            "FROM aent"))
+def summary_q(spark, sf):
+    return RP.summary(_analyzed(PEOPLE, spark, sf))
+
+
+for _col, _name in (("risk_level", "risk_distribution"), ("pii_type", "type_distribution"),
+                    ("column_name", "column_distribution"), ("detection_method", "method_distribution")):
+    def _mk(col):
+        return lambda spark, sf: RP.distribution(_analyzed(PEOPLE, spark, sf), col)
+
+    register(_name, _with_aent(PEOPLE, f"SELECT {_col}, count(*) AS count FROM aent GROUP BY 1"))(_mk(_col))
+
+
+@register("risk_ratio", _with_aent(
+    PEOPLE, "SELECT count(*) AS total, coalesce(sum(CASE WHEN risk_level IN ('high','critical') THEN 1 ELSE 0 END), 0) "
+            "AS high_risk_count, coalesce(sum(CASE WHEN risk_level IN ('high','critical') THEN 1 ELSE 0 END), 0) "
+            "/ greatest(count(*), 1) AS high_risk_ratio FROM aent"))
+def risk_ratio_q(spark, sf):
+    return RP.risk_ratio(_analyzed(PEOPLE, spark, sf))
+
+
+def _regs_values() -> str:
+    from ..functions.patterns import REGULATIONS
+
+    rows = [(f"{i}", name, t, req) for i, (name, types, req) in enumerate(REGULATIONS) for t in types]
+    return "VALUES " + ", ".join(f"({r[0]}, {Q.q(r[1])}, {Q.q(r[2])}, {Q.q(r[3])})" for r in rows)
+
+
+@register("regulation_impact", _with_aent(
+    PEOPLE, f""", regs(reg_order, regulation, pii_type, requirements) AS ({_regs_values()}),
+pt AS (SELECT pii_type, count(*) AS n FROM aent GROUP BY 1)
+SELECT regulation, coalesce(string_agg(CASE WHEN n > 0 THEN regs.pii_type END, ',' ORDER BY regs.pii_type), '')
+  AS affected_pii_types, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_entities, coalesce(sum(n), 0) > 0 AS affected,
+  requirements
+FROM regs LEFT JOIN pt ON pt.pii_type = regs.pii_type GROUP BY reg_order, regulation, requirements""".lstrip()))
+def regulation_impact_q(spark, sf):
+    return RP.regulation_impact(_analyzed(PEOPLE, spark, sf))
+
+
+def _compliance_sql() -> str:
+    from ..functions.patterns import COMPLIANCE_TIERS
+
+    tiers = [" | ".join(r) for _, r in COMPLIANCE_TIERS]
+    score = ("CASE WHEN total > 0 THEN (n_critical * 1.0::DOUBLE + n_high * 0.7::DOUBLE + n_medium * 0.4::DOUBLE "
+             "+ n_low * 0.1::DOUBLE) / total * 100.0::DOUBLE ELSE 0.0::DOUBLE END")
+    rec = (f"CASE WHEN s > 70 THEN {Q.q(tiers[0])} WHEN s > 40 THEN {Q.q(tiers[1])} ELSE {Q.q(tiers[2])} END")
+    return _with_aent(PEOPLE, f"""SELECT total AS total_pii_entities, round(s, 6) AS risk_score,
+  split_part({rec}, ' | ', 1) AS tier, {rec} AS recommendations FROM (
+  SELECT *, {score} AS s FROM (SELECT count(*) AS total,
+    count(*) FILTER (WHERE risk_level = 'critical') AS n_critical, count(*) FILTER (WHERE risk_level = 'high') AS n_high,
+    count(*) FILTER (WHERE risk_level = 'medium') AS n_medium, count(*) FILTER (WHERE risk_level = 'low') AS n_low
+    FROM aent))""")
+
+
+@register("compliance_report", _compliance_sql())
+def compliance_report_q(spark, sf):
+    return RP.compliance(_analyzed(PEOPLE, spark, sf))
+
+
+def _tagged(spark, sf) -> DataFrame:
+    parts = [_analyzed(ds, spark, sf).withColumn("dataset", F.lit(ds.name)) for ds in (DOCS, PAGES, PEOPLE)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _tagged_sql(select_from_aent: str) -> str:
+    parts = [f"SELECT * FROM ({_with_aent(ds, f'SELECT {Q.q(ds.name)} AS dataset, * FROM aent')})"
+             for ds in (DOCS, PAGES, PEOPLE)]
+    return f"WITH tagged AS ({' UNION ALL '.join(parts)}) {select_from_aent}"
+
+
+@register("batch_comparison", _tagged_sql(
+    "SELECT dataset, count(*) AS total_entities, count(DISTINCT pii_type) AS n_types, "
+    "coalesce(sum(CASE WHEN risk_level IN ('high','critical') THEN 1 ELSE 0 END), 0) AS high_risk_count "
+    "FROM tagged GROUP BY 1"))
+def batch_comparison_q(spark, sf):
+    return RP.batch_comparison(_tagged(spark, sf))
+
+
+@register("risk_heatmap", _tagged_sql(
+    "SELECT dataset, " + ", ".join(f"count(*) FILTER (WHERE risk_level = '{k}') AS {k}"
+                                   for k in ("low", "medium", "high", "critical")) + " FROM tagged GROUP BY 1"))
+def risk_heatmap_q(spark, sf):
+    return RP.risk_heatmap(_tagged(spark, sf))
+
+
+HR_COLS = ["row_index", "column_name", "span_ord", "pii_type", "text", "risk_level", "risk_score"]
+
+
+@register("high_risk_entities", _with_aent(
+    PEOPLE, f"SELECT {', '.join(HR_COLS)} FROM aent WHERE risk_level IN ('high', 'critical')"))
+def high_risk_entities(spark, sf):
+    return RP.high_risk(_analyzed(PEOPLE, spark, sf)).select(*HR_COLS)
+
+
+@register("high_risk_by_type", _with_aent(
+    PEOPLE, "SELECT pii_type, count(*) AS count FROM aent WHERE risk_level IN ('high', 'critical') GROUP BY 1"))
+def high_risk_by_type(spark, sf):
+    return RP.distribution(RP.high_risk(_analyzed(PEOPLE, spark, sf)), "pii_type")
+
+
+@register("top5_high_risk", _with_aent(
+    PEOPLE, f"SELECT {', '.join(HR_COLS)} FROM aent WHERE risk_level IN ('high', 'critical') "
+            "ORDER BY row_index, column_ordinal, span_ord LIMIT 5"))
+def top5_high_risk(spark, sf):
+    return RP.first_k(RP.high_risk(_analyzed(PEOPLE, spark, sf)), 5).select(*HR_COLS)
+
+
+@register("top3_per_type", _with_aent(
+    PEOPLE, "SELECT pii_type, row_index, column_name, span_ord, text, rank FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY pii_type ORDER BY row_index, column_ordinal, span_ord) AS rank FROM aent) WHERE rank <= 3"))
+def top3_per_type(spark, sf):
+    return RP.top_per_type(_analyzed(PEOPLE, spark, sf), 3).select(
+        "pii_type", "row_index", "column_name", "span_ord", "text", "rank")
+
+
+@register("column_profile", _with_aent(
+    PEOPLE, f""", c AS (SELECT column_ordinal, column_name, count(*) AS n_cells FROM cells GROUP BY 1, 2),
+e AS (SELECT column_ordinal, count(*) AS n_entities, count(DISTINCT row_index) AS n_cells_with_pii,
+  string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) AS pii_types FROM aent GROUP BY 1)
+SELECT column_name, n_cells, coalesce(n_cells_with_pii, 0) AS n_cells_with_pii, coalesce(n_entities, 0) AS n_entities,
+  coalesce(pii_types, '') AS pii_types FROM c LEFT JOIN e USING (column_ordinal)""".lstrip()))
+def column_profile_q(spark, sf):
+    cells = PEOPLE.cells(spark, sf)
+    return RP.column_profile(cells, A.analyze_cells(cells, PEOPLE.config()))

@@ -116,3 +116,69 @@ def log_keys_sql(col: str) -> str:
     for regex, tok in LOG_KEY_PATTERNS:
         expr = f"regexp_replace({expr}, {q(regex)}, {q(tok)}, 'g')"
     return expr
+
+
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else f"{float(x)!r}::DOUBLE"
+                                                 for x in r) + ")" for r in rows)
+
+
+def base_score_sql(t: str) -> str:
+    from ..functions.patterns import BASE_RISK_CRITICAL, BASE_RISK_HIGH, BASE_RISK_MEDIUM
+
+    lst = lambda xs: ", ".join(q(x) for x in xs)
+    return (f"(CASE WHEN {t} IN ({lst(BASE_RISK_CRITICAL)}) THEN 0.9::DOUBLE WHEN {t} IN ({lst(BASE_RISK_HIGH)}) "
+            f"THEN 0.7::DOUBLE WHEN {t} IN ({lst(BASE_RISK_MEDIUM)}) THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END)")
+
+
+def base_level_sql(t: str) -> str:
+    from ..functions.patterns import BASE_RISK_CRITICAL, BASE_RISK_HIGH, BASE_RISK_MEDIUM
+
+    lst = lambda xs: ", ".join(q(x) for x in xs)
+    return (f"(CASE WHEN {t} IN ({lst(BASE_RISK_CRITICAL)}) THEN 'critical' WHEN {t} IN ({lst(BASE_RISK_HIGH)}) "
+            f"THEN 'high' WHEN {t} IN ({lst(BASE_RISK_MEDIUM)}) THEN 'medium' ELSE 'low' END)")
+
+
+def level_sql(score: str) -> str:
+    return (f"(CASE WHEN {score} >= 0.85::DOUBLE THEN 'critical' WHEN {score} >= 0.65::DOUBLE THEN 'high' "
+            f"WHEN {score} >= 0.45::DOUBLE THEN 'medium' ELSE 'low' END)")
+
+
+def analyzed_sql_ctes(source: str, key: str, columns: list[str], patterns, window: int = 100) -> str:
+    """CTEs ending in ``aent``: kept spans with anchor groups and risk."""
+    from ..functions.patterns import pair_risk_entries
+
+    same = "b.row_index = a.row_index AND b.column_ordinal = a.column_ordinal"
+    return f"""{entities_sql_ctes(source, key, columns, patterns)},
+pr(ta, tb, score) AS ({_values(pair_risk_entries())}),
+nxa AS (SELECT a.*, (SELECT min(b.span_ord) FROM ent b WHERE {same} AND b.start_pos > a.start_pos + {window})
+  AS nxt_anchor FROM ent a),
+anc AS (SELECT row_index, column_ordinal, span_ord, nxt_anchor FROM nxa WHERE span_ord = 0
+  UNION ALL
+  SELECT n.row_index, n.column_ordinal, n.span_ord, n.nxt_anchor FROM nxa n JOIN anc a
+    ON n.row_index = a.row_index AND n.column_ordinal = a.column_ordinal AND n.span_ord = a.nxt_anchor),
+anc2 AS (SELECT row_index, column_ordinal, span_ord AS anchor,
+  CAST(row_number() OVER (PARTITION BY row_index, column_ordinal ORDER BY span_ord) - 1 AS INTEGER) AS group_ord
+  FROM anc),
+grp AS (SELECT e.*, (SELECT max(b.anchor) FROM anc2 b WHERE b.row_index = e.row_index
+  AND b.column_ordinal = e.column_ordinal AND b.anchor <= e.span_ord) AS anchor FROM ent e),
+grp2 AS (SELECT g.*, a.group_ord, count(*) OVER (PARTITION BY g.row_index, g.column_ordinal, g.anchor) AS group_size
+  FROM grp g JOIN anc2 a ON a.row_index = g.row_index AND a.column_ordinal = g.column_ordinal AND a.anchor = g.anchor),
+oth AS (SELECT a.row_index, a.column_ordinal, a.span_ord,
+  max(coalesce(pr.score, 0.3::DOUBLE)) AS max_pair,
+  list(b.pii_type || ':' || substring(b.text, 1, 20) || '...' ORDER BY b.span_ord) AS related
+  FROM grp2 a JOIN grp2 b ON {same} AND b.anchor = a.anchor AND b.span_ord <> a.span_ord
+  LEFT JOIN pr ON pr.ta = a.pii_type AND pr.tb = b.pii_type
+  GROUP BY a.row_index, a.column_ordinal, a.span_ord),
+aent0 AS (SELECT g.*, o.max_pair, o.related,
+  CASE WHEN g.group_size > 1 THEN least(1.0::DOUBLE, {base_score_sql('g.pii_type')} + o.max_pair * 0.5::DOUBLE)
+       ELSE {base_score_sql('g.pii_type')} END AS risk_score
+  FROM grp2 g LEFT JOIN oth o ON o.row_index = g.row_index AND o.column_ordinal = g.column_ordinal
+    AND o.span_ord = g.span_ord),
+aent AS (SELECT row_index, column_ordinal, column_name, span_ord, text, pii_type, start_pos, end_pos, confidence,
+  context, 'regex' AS base_method,
+  CASE WHEN group_size > 1 THEN 'proximity' ELSE 'regex' END AS detection_method,
+  group_ord, CAST(group_size AS INTEGER) AS group_size, risk_score,
+  CASE WHEN group_size > 1 THEN {level_sql('risk_score')} ELSE {base_level_sql('pii_type')} END AS risk_level,
+  coalesce(related, []::VARCHAR[]) AS related_entities
+  FROM aent0)"""

@@ -224,11 +224,12 @@ def degree_table(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
 
 
 def degree_centrality(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
-    n = ent.count()
+    """``degree / (n - 1)`` per node (n = number of nodes)."""
     d = degree_table(ent, cfg)
-    nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"])
-    denom = float(n - 1) if n > 1 else None
-    cent = (F.col("degree") / F.lit(denom)) if denom else F.lit(None).cast("double")
+    n = ent.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
+    nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"]).withColumn("k", F.lit(1))
+    nd = nd.join(F.broadcast(n), "k")  # one-row total beside every node
+    cent = F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1))
     return nd.select("node_id", "pii_type", "row_index", "column_name", "degree",
                      F.round(cent, STATS_DIGITS).alias("degree_centrality"))
 

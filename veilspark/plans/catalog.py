@@ -525,3 +525,180 @@ SELECT column_name, n_cells, coalesce(n_cells_with_pii, 0) AS n_cells_with_pii,
 def column_profile_q(spark, sf):
     cells = PEOPLE.cells(spark, sf)
     return RP.column_profile(cells, A.analyze_cells(cells, PEOPLE.config()))
+
+
+# ---------------------------------------------------------------- graph
+
+from ..operators import graph as G  # noqa: E402
+
+
+def _graph_inputs(spark, sf):
+    cfg = PEOPLE.config()
+    framed = A.span_frame(PEOPLE.cells(spark, sf), cfg)
+    ent = A.entities_from_spans(framed, cfg)
+    edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
+    return cfg, ent, edges
+
+
+def _graph_sql(select: str) -> str:
+    from ..functions.patterns import semantic_entries
+
+    return _with_aent(PEOPLE, f""", nodes AS (SELECT pii_type || '_' || row_index || '_' || column_ordinal || '_' ||
+  span_ord AS node_id, * FROM aent),
+sem(a, b, w) AS ({Q._values(semantic_entries())}),
+cand AS (
+  SELECT x.node_id AS src, y.node_id AS dst FROM nodes x JOIN nodes y ON x.row_index = y.row_index
+    AND (x.column_ordinal, x.span_ord) < (y.column_ordinal, y.span_ord)
+  UNION
+  SELECT x.node_id, y.node_id FROM nodes x JOIN nodes y ON x.column_ordinal = y.column_ordinal
+    AND (x.row_index, x.span_ord) < (y.row_index, y.span_ord)
+  UNION
+  SELECT x.node_id, y.node_id FROM nodes x JOIN sem ON sem.a = x.pii_type JOIN nodes y ON sem.b = y.pii_type
+    AND (x.row_index, x.column_ordinal, x.span_ord) < (y.row_index, y.column_ordinal, y.span_ord)
+  UNION
+  SELECT y.node_id, x.node_id FROM nodes x JOIN sem ON sem.a = x.pii_type JOIN nodes y ON sem.b = y.pii_type
+    AND (y.row_index, y.column_ordinal, y.span_ord) < (x.row_index, x.column_ordinal, x.span_ord)),
+ge AS (SELECT c.src, c.dst,
+  CASE WHEN sem.w IS NOT NULL THEN 'semantic'
+       WHEN x.row_index = y.row_index AND x.column_ordinal = y.column_ordinal
+            AND abs(x.start_pos - y.start_pos) <= 100 THEN 'proximity'
+       WHEN x.row_index = y.row_index THEN 'row_co_occurrence' ELSE 'column_co_occurrence' END AS edge_type,
+  CASE WHEN sem.w IS NOT NULL THEN sem.w
+       WHEN x.row_index = y.row_index AND x.column_ordinal = y.column_ordinal
+            AND abs(x.start_pos - y.start_pos) <= 100
+       THEN greatest(0.1::DOUBLE, 1.0::DOUBLE - abs(x.start_pos - y.start_pos) / 100.0::DOUBLE)
+       WHEN x.row_index = y.row_index THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS weight
+  FROM cand c JOIN nodes x ON x.node_id = c.src JOIN nodes y ON y.node_id = c.dst
+  LEFT JOIN sem ON sem.a = least(x.pii_type, y.pii_type) AND sem.b = greatest(x.pii_type, y.pii_type))
+{select}""")
+
+
+@register("graph_nodes", _with_aent(
+    PEOPLE, "SELECT pii_type || '_' || row_index || '_' || column_ordinal || '_' || span_ord AS node_id, pii_type, "
+            "substring(text, 1, 50) AS text, confidence, risk_level, row_index, column_name, detection_method "
+            "FROM aent"))
+def graph_nodes(spark, sf):
+    _, ent, _ = _graph_inputs(spark, sf)
+    return G.nodes(ent).select("node_id", "pii_type", "text", "confidence", "risk_level", "row_index",
+                               "column_name", "detection_method")
+
+
+@register("proximity_edges", _with_aent(PEOPLE, f""", sem(a, b, w) AS ({Q._values(
+    __import__('veilspark.functions.patterns', fromlist=['x']).semantic_entries())})
+SELECT x.pii_type || '_' || x.row_index || '_' || x.column_ordinal || '_' || x.span_ord AS src,
+  y.pii_type || '_' || y.row_index || '_' || y.column_ordinal || '_' || y.span_ord AS dst,
+  coalesce(sem.w, greatest(0.1::DOUBLE, 1.0::DOUBLE - (y.start_pos - x.start_pos) / 100.0::DOUBLE)) AS weight,
+  CASE WHEN sem.w IS NULL THEN 'proximity' ELSE 'semantic' END AS edge_type,
+  y.start_pos - x.start_pos AS distance
+FROM aent x JOIN aent y ON x.row_index = y.row_index AND x.column_ordinal = y.column_ordinal
+  AND y.span_ord > x.span_ord AND y.start_pos - x.start_pos <= 100
+LEFT JOIN sem ON sem.a = least(x.pii_type, y.pii_type) AND sem.b = greatest(x.pii_type, y.pii_type)"""))
+def proximity_edges(spark, sf):
+    _, _, edges = _graph_inputs(spark, sf)
+    return edges.select("src", "dst", "weight", "edge_type", "distance")
+
+
+@register("edge_types", _graph_sql("SELECT edge_type, count(*) AS count FROM ge GROUP BY 1"))
+def edge_types(spark, sf):
+    cfg, ent, edges = _graph_inputs(spark, sf)
+    return G.edge_type_counts(G.edge_class_totals(ent, edges, cfg))
+
+
+@register("edge_weight_stats", _graph_sql(
+    "SELECT count(*) AS total_edges, round(avg(weight), 9) AS mean_weight, round(stddev_pop(weight), 9) AS std_weight,"
+    " round(min(weight), 9) AS min_weight, round(max(weight), 9) AS max_weight FROM ge"))
+def edge_weight_stats(spark, sf):
+    cfg, ent, edges = _graph_inputs(spark, sf)
+    return G.edge_weight_stats(G.edge_class_totals(ent, edges, cfg))
+
+
+@register("degree_centrality", _graph_sql(
+    ", deg AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM ge UNION ALL "
+    "SELECT dst FROM ge) GROUP BY 1) "
+    "SELECT n.node_id, n.pii_type, n.row_index, n.column_name, coalesce(d.degree, 0) AS degree, "
+    "round(coalesce(d.degree, 0) / (count(*) OVER () - 1), 9) AS degree_centrality "
+    "FROM nodes n LEFT JOIN deg d USING (node_id)"))
+def degree_centrality(spark, sf):
+    cfg, ent, _ = _graph_inputs(spark, sf)
+    return G.degree_centrality(ent, cfg)
+
+
+def _hub_sql(select: str) -> str:
+    """Components through the column/type hub graph (see operators.graph)."""
+    from ..functions.patterns import semantic_entries
+
+    pairs = [(a, b) for a, b, _ in semantic_entries()] + [(b, a) for a, b, _ in semantic_entries()]
+    sp = "VALUES " + ", ".join(f"({Q.q(a)}, {Q.q(b)})" for a, b in pairs)
+    return _with_aent(PEOPLE, f""", nodes AS (SELECT pii_type || '_' || row_index || '_' || column_ordinal || '_' ||
+  span_ord AS node_id, 'c:' || lpad(CAST(column_ordinal AS VARCHAR), 6, '0') AS hub, * FROM aent),
+sp(t, partner) AS ({sp}),
+live AS (SELECT * FROM sp WHERE t IN (SELECT pii_type FROM nodes) AND partner IN (SELECT pii_type FROM nodes)),
+rc AS (SELECT DISTINCT row_index, hub FROM nodes),
+hub_edges(u, v) AS (
+  SELECT hub, nxt FROM (SELECT hub, lead(hub) OVER (PARTITION BY row_index ORDER BY hub) AS nxt FROM rc)
+    WHERE nxt IS NOT NULL
+  UNION SELECT DISTINCT hub, 't:' || pii_type FROM nodes WHERE pii_type IN (SELECT t FROM live)
+  UNION SELECT 't:' || t, 't:' || partner FROM live),
+und(u, v) AS (SELECT u, v FROM hub_edges UNION SELECT v, u FROM hub_edges),
+verts(u) AS (SELECT hub FROM nodes UNION SELECT u FROM und),
+reach(u, v) AS (SELECT u, u FROM verts UNION SELECT r.u, e.v FROM reach r JOIN und e ON r.v = e.u),
+lab AS (SELECT u AS hub, min(v) AS label FROM reach GROUP BY u),
+cm AS (SELECT n.*, l.label FROM nodes n JOIN lab l USING (hub)),
+comp AS (SELECT label, arg_min(node_id, (row_index, column_ordinal, span_ord)) AS component_id, count(*) AS size,
+  min((row_index, column_ordinal, span_ord)) AS first_key FROM cm GROUP BY label),
+comp2 AS (SELECT *, row_number() OVER (ORDER BY first_key) - 1 AS cluster_rank FROM comp),
+scored AS (SELECT cm.*, CASE risk_level WHEN 'low' THEN 0.25::DOUBLE WHEN 'medium' THEN 0.5::DOUBLE
+  WHEN 'high' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS score FROM cm),
+cl AS (SELECT c.cluster_rank AS cluster_id, c.component_id, count(*) AS size, avg(score) AS a, max(score) AS m,
+  count(DISTINCT pii_type) / count(*) AS d
+  FROM scored s JOIN comp2 c USING (label) GROUP BY 1, 2 HAVING count(*) >= 2),
+clusters AS (SELECT cluster_id, component_id, size, round(a, 9) AS average_risk_score, round(m, 9) AS max_risk_score,
+  round(d, 9) AS type_diversity,
+  round(least(1.0::DOUBLE, 0.4::DOUBLE * a + 0.3::DOUBLE * m + 0.2::DOUBLE * d
+    + 0.1::DOUBLE * least(1.0::DOUBLE, size / 5.0::DOUBLE)), 9) AS overall_risk FROM cl)
+{select}""")
+
+
+@register("components", _hub_sql("SELECT component_id, size, cluster_rank FROM comp2"))
+def components_q(spark, sf):
+    cfg, ent, _ = _graph_inputs(spark, sf)
+    return G.components(ent, cfg)[1]
+
+
+@register("risk_clusters", _hub_sql("SELECT * FROM clusters"))
+def risk_clusters_q(spark, sf):
+    cfg, ent, _ = _graph_inputs(spark, sf)
+    return G.risk_clusters(ent, cfg)
+
+
+@register("top_clusters", _hub_sql("SELECT * FROM clusters ORDER BY overall_risk DESC, cluster_id LIMIT 3"))
+def top_clusters_q(spark, sf):
+    cfg, ent, _ = _graph_inputs(spark, sf)
+    return G.risk_clusters(ent, cfg).orderBy(F.desc("overall_risk"), "cluster_id").limit(3)
+
+
+@register("cluster_members", _hub_sql(
+    "SELECT cm.node_id, c.component_id, c.cluster_rank FROM cm JOIN comp2 c USING (label)"))
+def cluster_members_q(spark, sf):
+    """Entity -> component membership (the entity lists of clusters, kept as
+    rows rather than one unbounded array per cluster)."""
+    cfg, ent, _ = _graph_inputs(spark, sf)
+    m, s = G.components(ent, cfg)
+    return m.join(F.broadcast(s.select("component_id", "cluster_rank")), "component_id").select(
+        "node_id", "component_id", "cluster_rank")
+
+
+
+def _metrics_sql() -> str:
+    edges = _graph_sql("SELECT count(*) AS m FROM ge")
+    comps = _hub_sql("SELECT count(*) AS k, max(size) AS largest FROM comp2")
+    n = _with_aent(PEOPLE, "SELECT count(*) AS n FROM aent")
+    return (f"SELECT n AS num_nodes, m AS num_edges, round(CASE WHEN n > 1 THEN 2.0 * m / (n * (n - 1)) ELSE 0.0 END, 9)"
+            f" AS density, k = 1 AS is_connected, k AS n_components, largest AS largest_component_size "
+            f"FROM ({n}) a, ({edges}) b, ({comps}) c")
+
+
+@register("graph_metrics", _metrics_sql())
+def graph_metrics_q(spark, sf):
+    cfg, ent, edges = _graph_inputs(spark, sf)
+    return G.graph_metrics(ent, G.edge_class_totals(ent, edges, cfg), cfg)

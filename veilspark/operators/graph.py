@@ -69,6 +69,12 @@ def explicit_edges(pairs: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     )
 
 
+def cell_type_counts(ent: DataFrame) -> DataFrame:
+    """``row_index, column_ordinal, pii_type, n``: the only input the count
+    formulas and the hub graph need (far smaller than the entity table)."""
+    return ent.groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _semantic_pairs(spark: SparkSession, min_w: float) -> DataFrame:
     rows = [(a, b, float(w)) for a, b, w in semantic_entries() if w >= min_w]
     return spark.createDataFrame(rows, "a string, b string, w double")
@@ -97,14 +103,13 @@ def _sum_pairs(counts: DataFrame, keys: list[str], sem: DataFrame) -> DataFrame:
     )
 
 
-def edge_class_totals(ent: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``edge_type, cnt, sw, sw2, wmin, wmax`` per edge class, exact, from
-    grouped counts (no pair listing).  Every piece is an aggregate; the
-    pieces are combined with a union and one small ``groupBy``."""
-    spark = ent.sparkSession
+    grouped counts ``rct`` (see :func:`cell_type_counts`; no pair listing).
+    Every piece is an aggregate; the pieces are combined with a union and
+    one small ``groupBy``."""
+    spark = rct.sparkSession
     sem = _semantic_pairs(spark, cfg.min_edge_weight)
-    rct = ent.groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n"))
-    rct = rct.persist()
     g = rct.groupBy("pii_type").agg(F.sum("n").alias("n"))
     r = rct.groupBy("row_index", "pii_type").agg(F.sum("n").alias("n"))
     c = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
@@ -187,12 +192,11 @@ def edge_weight_stats(totals: DataFrame) -> DataFrame:
     )
 
 
-def degree_table(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def degree_table(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Degree per (row, column, type) -- every entity with the same key has
     the same neighbourhood: ``|row U column U semantic partners| - 1``."""
-    spark = ent.sparkSession
+    spark = rct.sparkSession
     partners = _partners(spark, cfg.min_edge_weight)
-    rct = ent.groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n"))
 
     def partner_sum(counts, keys, name):
         j = counts.join(F.broadcast(partners.withColumnRenamed("partner", "pii_type").withColumnRenamed("t", "me")),
@@ -223,10 +227,10 @@ def degree_table(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     return d.select("row_index", "column_ordinal", "pii_type", deg.cast("long").alias("degree"))
 
 
-def degree_centrality(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def degree_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``degree / (n - 1)`` per node (n = number of nodes)."""
-    d = degree_table(ent, cfg)
-    n = ent.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
+    d = degree_table(rct, cfg)
+    n = rct.agg(F.sum("n").alias("n")).withColumn("k", F.lit(1))
     nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"]).withColumn("k", F.lit(1))
     nd = nd.join(F.broadcast(n), "k")  # one-row total beside every node
     cent = F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1))
@@ -234,7 +238,7 @@ def degree_centrality(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
                      F.round(cent, STATS_DIGITS).alias("degree_centrality"))
 
 
-def component_labels(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def component_labels(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``column_ordinal -> hub component`` on the small hub graph.
 
     Every entity joins its row, its column and (when its type has a present
@@ -243,33 +247,71 @@ def component_labels(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     component of its column in a graph whose vertices are columns and
     types -- bounded by the schema width plus the number of types.
     """
-    spark = ent.sparkSession
+    spark = rct.sparkSession
     partners = _partners(spark, cfg.min_edge_weight)
-    present = ent.select("pii_type").distinct()
+    present = rct.select("pii_type").distinct()
     live = (partners.join(present, partners.t == present.pii_type, "left_semi")
             .join(present.withColumnRenamed("pii_type", "partner"), "partner", "left_semi"))
-    cols_per_row = ent.groupBy("row_index").agg(F.array_sort(F.collect_set("column_ordinal")).alias("cs"))
+    hub = lambda c: F.concat(F.lit("c:"), F.lpad(F.col(c).cast("string"), 6, "0"))
+    cols_per_row = rct.groupBy("row_index").agg(F.array_sort(F.collect_set("column_ordinal")).alias("cs"))
     col_links = cols_per_row.where(F.size("cs") > 1).select(
         F.explode(F.arrays_zip(F.slice("cs", 1, F.size("cs") - 1).alias("x"),
                                F.slice("cs", 2, F.size("cs")).alias("y"))).alias("p")
-    ).select(F.concat(F.lit("c:"), F.lpad(F.col("p.x").cast("string"), 6, "0")).alias("src"),
-             F.concat(F.lit("c:"), F.lpad(F.col("p.y").cast("string"), 6, "0")).alias("dst")).distinct()
-    type_links = (ent.select("column_ordinal", "pii_type").distinct()
-                  .join(live.select(F.col("t").alias("pii_type")).distinct(), "pii_type")
-                  .select(F.concat(F.lit("c:"), F.lpad(F.col("column_ordinal").cast("string"), 6, "0")).alias("src"),
-                          F.concat(F.lit("t:"), "pii_type").alias("dst")))
+    ).select(hub("p.x").alias("src"), hub("p.y").alias("dst")).distinct()
+    type_links = (rct.select("column_ordinal", "pii_type").distinct()
+                  .join(F.broadcast(live.select(F.col("t").alias("pii_type")).distinct()), "pii_type")
+                  .select(hub("column_ordinal").alias("src"), F.concat(F.lit("t:"), "pii_type").alias("dst")))
     tt_links = live.select(F.concat(F.lit("t:"), "t").alias("src"), F.concat(F.lit("t:"), "partner").alias("dst"))
     hub_edges = col_links.unionByName(type_links).unionByName(tt_links)
-    col_vertices = ent.select(
-        F.concat(F.lit("c:"), F.lpad(F.col("column_ordinal").cast("string"), 6, "0")).alias("vertex")
-    ).distinct()
-    labels = connected_components(hub_edges, col_vertices)
+    col_vertices = rct.select(hub("column_ordinal").alias("vertex")).distinct()
+    labels = small_components(hub_edges, col_vertices)
+    if labels is None:
+        labels = connected_components(hub_edges, col_vertices)
     return labels.where(F.col("vertex").startswith("c:")).select(
         F.substring("vertex", 3, 6).cast("int").alias("column_ordinal"), F.col("component").alias("hub")
     )
 
 
-def components(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+HUB_COLLECT_LIMIT = 200_000
+
+
+def small_components(edges: DataFrame, vertices: DataFrame, limit: int = HUB_COLLECT_LIMIT) -> DataFrame | None:
+    """Union-find on the driver for a graph with a proven small bound.
+
+    The hub graph has at most (columns + types)^2 edges whatever the data
+    size.  The bound is still checked: when more than ``limit`` edges come
+    back, ``None`` is returned and the caller uses the distributed label
+    propagation instead.
+    """
+    spark = edges.sparkSession
+    rows = edges.limit(limit + 1).collect()
+    verts = vertices.limit(limit + 1).collect()
+    if len(rows) > limit or len(verts) > limit:
+        return None
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for (v,) in verts:
+        find(v)
+    for a, b in rows:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    members: dict[str, str] = {}
+    for v in parent:
+        r = find(v)
+        members[r] = min(members.get(r, r), v)
+    out = [(v, members[find(v)]) for v in parent]
+    return spark.createDataFrame(out, "vertex string, component string")
+
+
+def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Return (membership, summary).
 
     membership: ``node_id, row_index, column_ordinal, span_ord, component_id``
@@ -278,7 +320,7 @@ def components(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, Da
     entity order (row, column ordinal, span ordinal); ``cluster_rank`` is
     the position of the component in that order (0-based).
     """
-    hubs = F.broadcast(component_labels(ent, cfg))  # <= number of columns
+    hubs = F.broadcast(component_labels(rct, cfg))  # <= number of columns
     nd = nodes(ent).join(hubs, "column_ordinal")
     first = nd.groupBy("hub").agg(
         F.min(F.struct("row_index", "column_ordinal", "span_ord", "node_id")).alias("f"),
@@ -296,10 +338,10 @@ def components(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, Da
     return membership, summary.drop("hub")
 
 
-def risk_clusters(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Components with at least two entities, scored:
     ``min(1, 0.4*avg + 0.3*max + 0.2*diversity + 0.1*min(1, size/5))``."""
-    membership, summary = components(ent, cfg)
+    membership, summary = components(ent, rct, cfg)
     scored = membership.withColumn("score", R.level_score(F.col("risk_level")))
     agg = scored.groupBy("component_id").agg(
         F.count(F.lit(1)).alias("size"),
@@ -327,9 +369,9 @@ def risk_clusters(ent: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     )
 
 
-def graph_metrics(ent: DataFrame, totals: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
-    _, summary = components(ent, cfg)
-    n = ent.agg(F.count(F.lit(1)).alias("num_nodes"))
+def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    _, summary = components(ent, rct, cfg)
+    n = rct.agg(F.sum("n").alias("num_nodes"))
     m = totals.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("num_edges"))
     comp = summary.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest_component_size"))
     nn = F.col("num_nodes")

@@ -13,18 +13,25 @@ from .detect import kept_spans
 def mask_table(df: DataFrame, key: str, columns: list[str], cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Same shape as the input; only cells holding a span change.
 
-    Each column is masked in place with its own span array, so there is no
-    unpivot/pivot round trip and no shuffle: one projection over the table.
+    The row's values are put in one array and a single masking expression
+    is applied to every element with ``transform``; the values are then put
+    back in their columns.  No unpivot/pivot round trip and no shuffle, and
+    the detection expression exists once in the plan however wide the
+    table is.
     """
-    out = []
-    for c in df.columns:
-        if c in columns:
-            text = F.col(c).cast("string")
-            out.append(F.when(text.isNull() | (text == ""), text)
-                       .otherwise(S.mask_with_spans(text, kept_spans(text, cfg))).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    targets = [c for c in df.columns if c in columns]
+    if not targets:
+        return df
+
+    def mask_one(text):
+        return F.when(text.isNull() | (text == ""), text).otherwise(S.mask_with_spans(text, kept_spans(text, cfg)))
+
+    vals = F.array(*[F.col(c).cast("string") for c in targets])
+    masked = df.withColumn("__masked", F.transform(vals, mask_one))
+    pos = {c: i for i, c in enumerate(targets)}
+    return masked.select(*[
+        F.col("__masked")[pos[c]].alias(c) if c in pos else F.col(c) for c in df.columns
+    ])
 
 
 def sanitize_formula(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -533,11 +533,17 @@ from ..operators import graph as G  # noqa: E402
 
 
 def _graph_inputs(spark, sf):
+    """Entities, explicit edges and the per-(row, column, type) counts.
+
+    The span frame (one regex pass per cell) feeds both the entities and the
+    proximity pairs, so it is persisted; the counts are persisted because
+    every graph statistic is derived from them."""
     cfg = PEOPLE.config()
-    framed = A.span_frame(PEOPLE.cells(spark, sf), cfg)
+    framed = A.span_frame(PEOPLE.cells(spark, sf), cfg).persist()
     ent = A.entities_from_spans(framed, cfg)
     edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
-    return cfg, ent, edges
+    rct = G.cell_type_counts(ent).persist()
+    return cfg, ent, edges, rct
 
 
 def _graph_sql(select: str) -> str:
@@ -578,7 +584,7 @@ ge AS (SELECT c.src, c.dst,
             "substring(text, 1, 50) AS text, confidence, risk_level, row_index, column_name, detection_method "
             "FROM aent"))
 def graph_nodes(spark, sf):
-    _, ent, _ = _graph_inputs(spark, sf)
+    _, ent, _, _ = _graph_inputs(spark, sf)
     return G.nodes(ent).select("node_id", "pii_type", "text", "confidence", "risk_level", "row_index",
                                "column_name", "detection_method")
 
@@ -594,22 +600,22 @@ FROM aent x JOIN aent y ON x.row_index = y.row_index AND x.column_ordinal = y.co
   AND y.span_ord > x.span_ord AND y.start_pos - x.start_pos <= 100
 LEFT JOIN sem ON sem.a = least(x.pii_type, y.pii_type) AND sem.b = greatest(x.pii_type, y.pii_type)"""))
 def proximity_edges(spark, sf):
-    _, _, edges = _graph_inputs(spark, sf)
+    _, _, edges, _ = _graph_inputs(spark, sf)
     return edges.select("src", "dst", "weight", "edge_type", "distance")
 
 
 @register("edge_types", _graph_sql("SELECT edge_type, count(*) AS count FROM ge GROUP BY 1"))
 def edge_types(spark, sf):
-    cfg, ent, edges = _graph_inputs(spark, sf)
-    return G.edge_type_counts(G.edge_class_totals(ent, edges, cfg))
+    cfg, _, edges, rct = _graph_inputs(spark, sf)
+    return G.edge_type_counts(G.edge_class_totals(rct, edges, cfg))
 
 
 @register("edge_weight_stats", _graph_sql(
     "SELECT count(*) AS total_edges, round(avg(weight), 9) AS mean_weight, round(stddev_pop(weight), 9) AS std_weight,"
     " round(min(weight), 9) AS min_weight, round(max(weight), 9) AS max_weight FROM ge"))
 def edge_weight_stats(spark, sf):
-    cfg, ent, edges = _graph_inputs(spark, sf)
-    return G.edge_weight_stats(G.edge_class_totals(ent, edges, cfg))
+    cfg, _, edges, rct = _graph_inputs(spark, sf)
+    return G.edge_weight_stats(G.edge_class_totals(rct, edges, cfg))
 
 
 @register("degree_centrality", _graph_sql(
@@ -619,8 +625,8 @@ def edge_weight_stats(spark, sf):
     "round(coalesce(d.degree, 0) / (count(*) OVER () - 1), 9) AS degree_centrality "
     "FROM nodes n LEFT JOIN deg d USING (node_id)"))
 def degree_centrality(spark, sf):
-    cfg, ent, _ = _graph_inputs(spark, sf)
-    return G.degree_centrality(ent, cfg)
+    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    return G.degree_centrality(ent, rct, cfg)
 
 
 def _hub_sql(select: str) -> str:
@@ -661,20 +667,20 @@ clusters AS (SELECT cluster_id, component_id, size, round(a, 9) AS average_risk_
 
 @register("components", _hub_sql("SELECT component_id, size, cluster_rank FROM comp2"))
 def components_q(spark, sf):
-    cfg, ent, _ = _graph_inputs(spark, sf)
-    return G.components(ent, cfg)[1]
+    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    return G.components(ent, rct, cfg)[1]
 
 
 @register("risk_clusters", _hub_sql("SELECT * FROM clusters"))
 def risk_clusters_q(spark, sf):
-    cfg, ent, _ = _graph_inputs(spark, sf)
-    return G.risk_clusters(ent, cfg)
+    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    return G.risk_clusters(ent, rct, cfg)
 
 
 @register("top_clusters", _hub_sql("SELECT * FROM clusters ORDER BY overall_risk DESC, cluster_id LIMIT 3"))
 def top_clusters_q(spark, sf):
-    cfg, ent, _ = _graph_inputs(spark, sf)
-    return G.risk_clusters(ent, cfg).orderBy(F.desc("overall_risk"), "cluster_id").limit(3)
+    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    return G.risk_clusters(ent, rct, cfg).orderBy(F.desc("overall_risk"), "cluster_id").limit(3)
 
 
 @register("cluster_members", _hub_sql(
@@ -682,8 +688,8 @@ def top_clusters_q(spark, sf):
 def cluster_members_q(spark, sf):
     """Entity -> component membership (the entity lists of clusters, kept as
     rows rather than one unbounded array per cluster)."""
-    cfg, ent, _ = _graph_inputs(spark, sf)
-    m, s = G.components(ent, cfg)
+    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    m, s = G.components(ent, rct, cfg)
     return m.join(F.broadcast(s.select("component_id", "cluster_rank")), "component_id").select(
         "node_id", "component_id", "cluster_rank")
 
@@ -700,5 +706,5 @@ def _metrics_sql() -> str:
 
 @register("graph_metrics", _metrics_sql())
 def graph_metrics_q(spark, sf):
-    cfg, ent, edges = _graph_inputs(spark, sf)
-    return G.graph_metrics(ent, G.edge_class_totals(ent, edges, cfg), cfg)
+    cfg, ent, edges, rct = _graph_inputs(spark, sf)
+    return G.graph_metrics(ent, rct, G.edge_class_totals(rct, edges, cfg), cfg)

@@ -129,3 +129,27 @@ def test_empty_graph(spark):
     edges = G.explicit_edges(A.proximity_pairs(framed, cfg, 100), cfg)
     assert G.edge_class_totals(rct, edges, cfg).count() == 0
     assert G.risk_clusters(ent, rct, cfg).count() == 0
+
+
+def test_eigenvector_matches_power_iteration(graph):
+    cfg, ent, edges, rct, rows = graph
+    bf = brute.graph_edges(rows)
+    n = len(rows)
+    nbrs = [[] for _ in range(n)]
+    for i, j in bf:
+        nbrs[i].append(j)
+        nbrs[j].append(i)
+    x = [1.0 / n] * n
+    for _ in range(1000):
+        last = x
+        x = list(last)
+        for v in range(n):
+            for u in nbrs[v]:
+                x[u] += last[v]
+        norm = math.sqrt(sum(z * z for z in x)) or 1.0
+        x = [z / norm for z in x]
+        if sum(abs(a - b) for a, b in zip(x, last)) < n * 1e-6:
+            break
+    got = {r.node_id: r.eigenvector_centrality for r in G.eigenvector_centrality(ent, rct, cfg).collect()}
+    for i, r in enumerate(rows):
+        assert math.isclose(got[G_id(r)], x[i], abs_tol=1e-6)

@@ -388,3 +388,113 @@ def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilCo
             "n_components", "largest_component_size",
         )
     )
+
+
+def eigenvector_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT, max_iter: int = 1000,
+                           tol: float = 1e-6) -> DataFrame:
+    """Unweighted eigenvector centrality by power iteration on ``A + I``.
+
+    Nodes sharing (row, column, type) have identical neighbourhoods, so they
+    keep identical values at every step: the vector lives on the compact
+    ``rct`` table and every product ``A x`` is a handful of grouped sums
+    (row, column, cell and semantic-partner totals combined by
+    inclusion-exclusion).  Each round is checkpointed into the shared
+    checkpoint folder.  Stops when the L1 change is below ``n * tol``;
+    ``converged`` reports whether that happened within ``max_iter``.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    spark = rct.sparkSession
+    ensure_checkpoint_dir(spark)
+    partners = F.broadcast(_partners(spark, cfg.min_edge_weight))
+    keys = ["row_index", "column_ordinal", "pii_type"]
+    base = rct.select(*keys, "n").checkpoint()
+    n_nodes = base.agg(F.sum("n")).first()[0] or 0
+    x = base.withColumn("x", F.lit(1.0) / F.lit(float(max(n_nodes, 1)))).checkpoint()
+    converged = False
+    rounds = 0
+    for rounds in range(1, max_iter + 1):
+        w = x.withColumn("nx", F.col("n") * F.col("x"))
+
+        def tot(by, name):
+            return w.groupBy(*by).agg(F.sum("nx").alias(name))
+
+        def ptot(by, name):
+            t = w.groupBy(*by, "pii_type").agg(F.sum("nx").alias("s"))
+            j = t.join(partners.withColumnRenamed("partner", "pii_type").withColumnRenamed("t", "me"), "pii_type")
+            return j.groupBy(*by, F.col("me").alias("pii_type")).agg(F.sum("s").alias(name))
+
+        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        y = (x.join(tot(["row_index"], "sr"), "row_index")
+             .join(F.broadcast(tot(["column_ordinal"], "sc")), "column_ordinal")
+             .join(tot(["row_index", "column_ordinal"], "src"), ["row_index", "column_ordinal"])
+             .join(F.broadcast(ptot([], "sg")), "pii_type", "left")
+             .join(ptot(["row_index"], "srt"), ["row_index", "pii_type"], "left")
+             .join(F.broadcast(ptot(["column_ordinal"], "sct")), ["column_ordinal", "pii_type"], "left")
+             .join(ptot(["row_index", "column_ordinal"], "srct"), keys, "left"))
+        ax = (F.col("sr") + F.col("sc") - F.col("src") + z("sg") - z("srt") - z("sct") + z("srct") - F.col("x"))
+        nxt = y.select(*keys, "n", F.col("x").alias("xlast"), (F.col("x") + ax).alias("raw"))
+        norm = nxt.agg(F.sqrt(F.sum(F.col("n") * F.col("raw") * F.col("raw"))).alias("norm")).withColumn("k", F.lit(1))
+        new = (nxt.withColumn("k", F.lit(1)).join(F.broadcast(norm), "k")
+               .select(*keys, "n", "xlast",
+                       (F.col("raw") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("x"))
+               .checkpoint())
+        delta = new.agg(F.sum(F.col("n") * F.abs(F.col("x") - F.col("xlast")))).first()[0] or 0.0
+        x = new.drop("xlast")
+        if delta < n_nodes * tol:
+            converged = True
+            break
+    out = nodes(ent).join(x.select(*keys, "x"), keys)
+    return out.select("node_id", "pii_type", "row_index", "column_name",
+                      F.round("x", STATS_DIGITS).alias("eigenvector_centrality"),
+                      F.lit(converged).alias("converged"), F.lit(rounds).alias("iterations"))
+
+
+def _pair_sums_by(counts: DataFrame, keys: list[str], sem: DataFrame) -> DataFrame:
+    """Per group of ``keys``: sum over semantic type pairs of n_A * n_B."""
+    a = counts.select(*keys, F.col("pii_type").alias("a"), F.col("n").alias("na"))
+    b = counts.select(*keys, F.col("pii_type").alias("b"), F.col("n").alias("nb"))
+    j = a.join(F.broadcast(sem), "a").join(b, keys + ["b"])
+    return j.groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("sem"))
+
+
+def row_edge_counts(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Row co-occurrence edges per row: pairs in the row that hold no
+    semantic or proximity edge (the anti-join of the reference, by counts)."""
+    sem = _semantic_pairs(rct.sparkSession, cfg.min_edge_weight)
+    r = rct.groupBy("row_index", "pii_type").agg(F.sum("n").alias("n"))
+    n_r = r.groupBy("row_index").agg(F.sum("n").alias("n"))
+    s = _pair_sums_by(r, ["row_index"], sem)
+    p = edges.where(F.col("edge_type") == "proximity").groupBy("row_index").agg(F.count(F.lit(1)).alias("p"))
+    cnt = (F.col("n") * (F.col("n") - 1) / 2 - F.coalesce(F.col("sem"), F.lit(0))
+           - F.coalesce(F.col("p"), F.lit(0))).cast("long")
+    return (n_r.join(s, "row_index", "left").join(p, "row_index", "left")
+            .select("row_index", cnt.alias("row_edges")).where(F.col("row_edges") > 0))
+
+
+def column_edge_counts(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Column co-occurrence edges per column: same-column pairs that are not
+    semantic and not in the same row."""
+    sem = _semantic_pairs(rct.sparkSession, cfg.min_edge_weight)
+    c = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
+    n_c = c.groupBy("column_ordinal").agg(F.sum("n").alias("n"))
+    s_c = _pair_sums_by(c, ["column_ordinal"], sem)
+    cell = rct.groupBy("row_index", "column_ordinal").agg(F.sum("n").alias("n"))
+    same_cell = cell.groupBy("column_ordinal").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("cc"))
+    s_rc = _pair_sums_by(rct, ["row_index", "column_ordinal"], sem).groupBy("column_ordinal").agg(
+        F.sum("sem").alias("sem_rc"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cnt = (F.col("n") * (F.col("n") - 1) / 2 - z("sem") - z("cc") + z("sem_rc")).cast("long")
+    return (n_c.join(s_c, "column_ordinal", "left").join(same_cell, "column_ordinal", "left")
+            .join(s_rc, "column_ordinal", "left")
+            .select("column_ordinal", cnt.alias("column_edges")).where(F.col("column_edges") > 0))
+
+
+def semantic_edge_counts(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Semantic edges per type pair: every A entity with every B entity."""
+    sem = _semantic_pairs(rct.sparkSession, cfg.min_edge_weight)
+    g = rct.groupBy("pii_type").agg(F.sum("n").alias("n"))
+    j = (sem.join(g.select(F.col("pii_type").alias("a"), F.col("n").alias("na")), "a")
+         .join(g.select(F.col("pii_type").alias("b"), F.col("n").alias("nb")), "b"))
+    return j.select(F.col("a").alias("type_a"), F.col("b").alias("type_b"),
+                    (F.col("na") * F.col("nb")).alias("edges"), F.col("w").alias("weight"))

@@ -103,72 +103,103 @@ def _sum_pairs(counts: DataFrame, keys: list[str], sem: DataFrame) -> DataFrame:
     )
 
 
+def _type_count(items, t: str):
+    """Sum of ``n`` over the entries of ``items`` (array<struct<t, n>>) of type ``t``."""
+    return F.aggregate(F.filter(items, lambda x: x["t"] == t), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
+def _semantic_terms(items, min_w: float) -> dict:
+    """Semantic pair count and weight moments inside one group, from its
+    per-type counts: sum over the (constant) semantic pairs of n_A * n_B."""
+    cnt, sw, sw2, wmins, wmaxs = None, None, None, [], []
+    for a, b, w in semantic_entries():
+        if w < min_w:
+            continue
+        k = _type_count(items, a) * _type_count(items, b)
+        cnt = k if cnt is None else cnt + k
+        sw = k * F.lit(w) if sw is None else sw + k * F.lit(w)
+        sw2 = k * F.lit(w * w) if sw2 is None else sw2 + k * F.lit(w * w)
+        wmins.append(F.when(k > 0, F.lit(w)))
+    if cnt is None:
+        zero = F.lit(0).cast("long")
+        return {"cnt": zero, "sw": F.lit(0.0), "sw2": F.lit(0.0), "wmin": F.lit(None).cast("double"),
+                "wmax": F.lit(None).cast("double")}
+    least = F.least(*wmins) if len(wmins) > 1 else wmins[0]
+    greatest = F.greatest(*wmins) if len(wmins) > 1 else wmins[0]
+    return {"cnt": cnt, "sw": sw, "sw2": sw2, "wmin": least, "wmax": greatest}
+
+
+def _pairs(n):
+    return (n * (n - 1) / 2).cast("long")
+
+
 def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``edge_type, cnt, sw, sw2, wmin, wmax`` per edge class, exact, from
     grouped counts ``rct`` (see :func:`cell_type_counts`; no pair listing).
-    Every piece is an aggregate; the pieces are combined with a union and
-    one small ``groupBy``."""
-    spark = rct.sparkSession
-    sem = _semantic_pairs(spark, cfg.min_edge_weight)
-    g = rct.groupBy("pii_type").agg(F.sum("n").alias("n"))
-    r = rct.groupBy("row_index", "pii_type").agg(F.sum("n").alias("n"))
-    c = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
 
-    def c2(frame, keys):
-        tot = frame.groupBy(*keys).agg(F.sum("n").alias("n"))
-        return tot.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("cnt"))
-
-    sem_g = _sum_pairs(g.withColumn("k", F.lit(0)), ["k"], sem)
-    sem_r = _sum_pairs(r, ["row_index"], sem)
-    sem_c = _sum_pairs(c, ["column_ordinal"], sem)
-    sem_rc = _sum_pairs(rct, ["row_index", "column_ordinal"], sem)
+    Three grouping levels, one aggregation each: per row (row pairs, the
+    row's semantic pairs, same-cell pairs and their semantic part), per
+    column (column pairs and their semantic part) and global (semantic
+    pairs).  Each group carries only its per-type counts (bounded by the
+    number of types), and the semantic sums are constant-size expressions.
+    """
+    mw = cfg.min_edge_weight
+    item = F.struct(F.col("pii_type").alias("t"), F.col("n").alias("n"))
+    # per (row, column): cell pairs and semantic pairs inside the cell
+    cell = rct.groupBy("row_index", "column_ordinal").agg(F.collect_list(item).alias("items"),
+                                                          F.sum("n").alias("n"))
+    cs = _semantic_terms(F.col("items"), mw)
+    cell = cell.select("row_index", _pairs(F.col("n")).alias("cell_pairs"), cs["cnt"].alias("cell_sem"),
+                       F.col("items"), F.col("n"))
+    # per row: fold the cells of the row together (one more group-by on the row key)
+    row = cell.groupBy("row_index").agg(
+        F.sum("n").alias("n"), F.sum("cell_pairs").alias("cell_pairs"), F.sum("cell_sem").alias("cell_sem"),
+        F.flatten(F.collect_list("items")).alias("items"))
+    # merge duplicate types coming from several cells before the semantic sums
+    rs = _semantic_terms(F.col("items"), mw)
+    row_tot = row.select(_pairs(F.col("n")).alias("row_pairs"), rs["cnt"].alias("row_sem"),
+                         "cell_pairs", "cell_sem").agg(
+        F.coalesce(F.sum("row_pairs"), F.lit(0)).alias("row_pairs"),
+        F.coalesce(F.sum("row_sem"), F.lit(0)).alias("row_sem"),
+        F.coalesce(F.sum("cell_pairs"), F.lit(0)).alias("cell_pairs"),
+        F.coalesce(F.sum("cell_sem"), F.lit(0)).alias("cell_sem"))
+    # per column, then global (both tiny)
+    col_t = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
+    col = col_t.groupBy("column_ordinal").agg(F.collect_list(item).alias("items"), F.sum("n").alias("n"))
+    ks = _semantic_terms(F.col("items"), mw)
+    col_tot = col.select(_pairs(F.col("n")).alias("p"), ks["cnt"].alias("s")).agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("col_pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("col_sem"))
+    glob = col_t.groupBy("pii_type").agg(F.sum("n").alias("n")).agg(F.collect_list(item).alias("items"))
+    gs = _semantic_terms(F.col("items"), mw)
+    sem = glob.select(gs["cnt"].alias("cnt"), gs["sw"].alias("sw"), gs["sw2"].alias("sw2"),
+                      gs["wmin"].alias("wmin"), gs["wmax"].alias("wmax"))
     pr = edges.where(F.col("edge_type") == "proximity").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.coalesce(F.sum("weight"), F.lit(0.0)).alias("sw"),
         F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("sw2"),
         F.min("weight").alias("wmin"), F.max("weight").alias("wmax"),
     )
-    row_all = c2(rct, ["row_index"])
-    col_all = c2(rct, ["column_ordinal"])
-    cell_all = c2(rct, ["row_index", "column_ordinal"])
-
-    def part(frame, etype, sign, with_weights=False):
-        cols = [F.lit(etype).alias("edge_type"), (F.col("cnt") * sign).cast("long").alias("cnt")]
-        if with_weights:
-            cols += [F.col("sw"), F.col("sw2"), F.col("wmin"), F.col("wmax")]
-        else:
-            cols += [F.lit(0.0).alias("sw"), F.lit(0.0).alias("sw2"),
-                     F.lit(None).cast("double").alias("wmin"), F.lit(None).cast("double").alias("wmax")]
-        return frame.select(*cols)
-
-    pieces = [
-        part(sem_g, "semantic", 1, True),
-        part(pr, "proximity", 1, True),
-        part(row_all, "row_co_occurrence", 1),
-        part(sem_r, "row_co_occurrence", -1),
-        part(pr, "row_co_occurrence", -1),
-        part(col_all, "column_co_occurrence", 1),
-        part(sem_c, "column_co_occurrence", -1),
-        part(cell_all, "column_co_occurrence", -1),
-        part(sem_rc, "column_co_occurrence", 1),
-    ]
-    allp = pieces[0]
-    for p in pieces[1:]:
-        allp = allp.unionByName(p)
-    const_w = F.when(F.col("edge_type") == "row_co_occurrence", F.lit(ROW_EDGE_WEIGHT)).when(
-        F.col("edge_type") == "column_co_occurrence", F.lit(COLUMN_EDGE_WEIGHT)
-    )
-    tot = allp.groupBy("edge_type").agg(
-        F.sum("cnt").alias("cnt"), F.sum("sw").alias("sw"), F.sum("sw2").alias("sw2"),
-        F.min("wmin").alias("wmin"), F.max("wmax").alias("wmax"),
-    )
-    return tot.select(
-        "edge_type", "cnt",
-        F.coalesce(const_w * F.col("cnt"), F.col("sw")).alias("sw"),
-        F.coalesce(const_w * const_w * F.col("cnt"), F.col("sw2")).alias("sw2"),
-        F.when(F.col("cnt") > 0, F.coalesce(const_w, F.col("wmin"))).alias("wmin"),
-        F.when(F.col("cnt") > 0, F.coalesce(const_w, F.col("wmax"))).alias("wmax"),
-    ).where(F.col("cnt") > 0)
+    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731 - one-row frames side by side
+    allv = one(row_tot).join(one(col_tot), "k").join(one(pr.select(F.col("cnt").alias("prox"))), "k")
+    row_cnt = F.col("row_pairs") - F.col("row_sem") - F.col("prox")
+    col_cnt = F.col("col_pairs") - F.col("col_sem") - (F.col("cell_pairs") - F.col("cell_sem"))
+    const = allv.select(
+        F.explode(F.array(
+            F.struct(F.lit("row_co_occurrence").alias("edge_type"), row_cnt.cast("long").alias("cnt"),
+                     F.lit(ROW_EDGE_WEIGHT).alias("w")),
+            F.struct(F.lit("column_co_occurrence").alias("edge_type"), col_cnt.cast("long").alias("cnt"),
+                     F.lit(COLUMN_EDGE_WEIGHT).alias("w")),
+        )).alias("e"))
+    const = const.select(
+        "e.edge_type", "e.cnt", (F.col("e.w") * F.col("e.cnt")).alias("sw"),
+        (F.col("e.w") * F.col("e.w") * F.col("e.cnt")).alias("sw2"),
+        F.col("e.w").alias("wmin"), F.col("e.w").alias("wmax"))
+    out = (sem.select(F.lit("semantic").alias("edge_type"), F.col("cnt").cast("long").alias("cnt"), "sw", "sw2",
+                      "wmin", "wmax")
+           .unionByName(pr.select(F.lit("proximity").alias("edge_type"), F.col("cnt").cast("long").alias("cnt"),
+                                  "sw", "sw2", "wmin", "wmax"))
+           .unionByName(const))
+    return out.where(F.col("cnt") > 0)
 
 
 def edge_type_counts(totals: DataFrame) -> DataFrame:

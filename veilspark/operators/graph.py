@@ -88,21 +88,6 @@ def _partners(spark: SparkSession, min_w: float) -> DataFrame:
     return spark.createDataFrame(rows, "t string, partner string")
 
 
-def _sum_pairs(counts: DataFrame, keys: list[str], sem: DataFrame) -> DataFrame:
-    """Sum over semantic type pairs (A, B) of n_A * n_B (and weight sums)
-    within each group of ``keys``; ``counts`` holds ``keys, pii_type, n``."""
-    a = counts.select(*keys, F.col("pii_type").alias("a"), F.col("n").alias("na"))
-    b = counts.select(*keys, F.col("pii_type").alias("b"), F.col("n").alias("nb"))
-    joined = a.join(F.broadcast(sem), "a").join(b, keys + ["b"])
-    k = F.col("na") * F.col("nb")
-    return joined.agg(
-        F.coalesce(F.sum(k), F.lit(0)).alias("cnt"),
-        F.coalesce(F.sum(k * F.col("w")), F.lit(0.0)).alias("sw"),
-        F.coalesce(F.sum(k * F.col("w") * F.col("w")), F.lit(0.0)).alias("sw2"),
-        F.min("w").alias("wmin"), F.max("w").alias("wmax"),
-    )
-
-
 def _type_count(items, t: str):
     """Sum of ``n`` over the entries of ``items`` (array<struct<t, n>>) of type ``t``."""
     return F.aggregate(F.filter(items, lambda x: x["t"] == t), F.lit(0).cast("long"), lambda a, x: a + x["n"])
@@ -179,10 +164,11 @@ def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAUL
         F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("sw2"),
         F.min("weight").alias("wmin"), F.max("weight").alias("wmax"),
     )
-    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731 - one-row frames side by side
-    allv = one(row_tot).join(one(col_tot), "k").join(one(pr.select(F.col("cnt").alias("prox"))), "k")
-    row_cnt = F.col("row_pairs") - F.col("row_sem") - F.col("prox")
-    col_cnt = F.col("col_pairs") - F.col("col_sem") - (F.col("cell_pairs") - F.col("cell_sem"))
+    # one-row aggregates enter as scalar subqueries (no join)
+    sc = lambda df, c: df.select(c).scalar()
+    row_cnt = sc(row_tot, "row_pairs") - sc(row_tot, "row_sem") - sc(pr, "cnt")
+    col_cnt = sc(col_tot, "col_pairs") - sc(col_tot, "col_sem") - (sc(row_tot, "cell_pairs") - sc(row_tot, "cell_sem"))
+    allv = rct.sparkSession.range(1)
     const = allv.select(
         F.explode(F.array(
             F.struct(F.lit("row_co_occurrence").alias("edge_type"), row_cnt.cast("long").alias("cnt"),
@@ -261,10 +247,9 @@ def degree_table(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
 def degree_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``degree / (n - 1)`` per node (n = number of nodes)."""
     d = degree_table(rct, cfg)
-    n = rct.agg(F.sum("n").alias("n")).withColumn("k", F.lit(1))
-    nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"]).withColumn("k", F.lit(1))
-    nd = nd.join(F.broadcast(n), "k")  # one-row total beside every node
-    cent = F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1))
+    n = rct.agg(F.sum("n").alias("n")).scalar()  # scalar subquery: the node count
+    nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"])
+    cent = F.when(n > 1, F.col("degree") / (n - 1))
     return nd.select("node_id", "pii_type", "row_index", "column_name", "degree",
                      F.round(cent, STATS_DIGITS).alias("degree_centrality"))
 
@@ -405,19 +390,14 @@ def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilCo
     n = rct.agg(F.sum("n").alias("num_nodes"))
     m = totals.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("num_edges"))
     comp = summary.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest_component_size"))
-    nn = F.col("num_nodes")
-    # three one-row aggregates side by side (joined on a constant key)
-    return (
-        n.withColumn("k", F.lit(1))
-        .join(m.withColumn("k", F.lit(1)), "k")
-        .join(comp.withColumn("k", F.lit(1)), "k")
-        .select(
-            "num_nodes", "num_edges",
-            F.round(F.when(nn > 1, F.lit(2.0) * F.col("num_edges") / (nn * (nn - 1))).otherwise(F.lit(0.0)),
-                    STATS_DIGITS).alias("density"),
-            (F.col("n_components") == 1).alias("is_connected"),
-            "n_components", "largest_component_size",
-        )
+    nn = n.select("num_nodes").scalar()
+    ne = m.select("num_edges").scalar()
+    return rct.sparkSession.range(1).select(
+        nn.alias("num_nodes"), ne.alias("num_edges"),
+        F.round(F.when(nn > 1, F.lit(2.0) * ne / (nn * (nn - 1))).otherwise(F.lit(0.0)), STATS_DIGITS).alias("density"),
+        (comp.select("n_components").scalar() == 1).alias("is_connected"),
+        comp.select("n_components").scalar().alias("n_components"),
+        comp.select("largest_component_size").scalar().alias("largest_component_size"),
     )
 
 
@@ -465,10 +445,9 @@ def eigenvector_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEF
              .join(ptot(["row_index", "column_ordinal"], "srct"), keys, "left"))
         ax = (F.col("sr") + F.col("sc") - F.col("src") + z("sg") - z("srt") - z("sct") + z("srct") - F.col("x"))
         nxt = y.select(*keys, "n", F.col("x").alias("xlast"), (F.col("x") + ax).alias("raw"))
-        norm = nxt.agg(F.sqrt(F.sum(F.col("n") * F.col("raw") * F.col("raw"))).alias("norm")).withColumn("k", F.lit(1))
-        new = (nxt.withColumn("k", F.lit(1)).join(F.broadcast(norm), "k")
-               .select(*keys, "n", "xlast",
-                       (F.col("raw") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("x"))
+        norm = nxt.agg(F.sqrt(F.sum(F.col("n") * F.col("raw") * F.col("raw")))).scalar()
+        new = (nxt.select(*keys, "n", "xlast",
+                          (F.col("raw") / F.when(norm > 0, norm).otherwise(F.lit(1.0))).alias("x"))
                .checkpoint())
         delta = new.agg(F.sum(F.col("n") * F.abs(F.col("x") - F.col("xlast")))).first()[0] or 0.0
         x = new.drop("xlast")

@@ -146,13 +146,10 @@ def log_batch_status(spark, sf):
     f"FROM (SELECT {SEV} AS sev FROM documents) GROUP BY 1",
 )
 def corpus_stats(spark, sf):
-    from pyspark.sql import Window
-
     d = _docs(spark, sf).select(F.coalesce(M.severity(F.col("text")), F.lit("clean")).alias("severity"))
     g = d.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    # the window runs over at most four rows (one per class)
-    return g.select("severity", "n",
-                    F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))
+    total = g.agg(F.sum("n")).scalar()   # at most four rows, as a scalar subquery
+    return g.select("severity", "n", F.round(F.lit(100.0) * F.col("n") / total, 6).alias("pct"))
 
 
 @register(

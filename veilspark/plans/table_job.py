@@ -68,21 +68,22 @@ class TableResult:
         """One-row report: summary, risk distribution, graph metrics,
         compliance and regulations as nested structs (``to_json`` ready).
         ``timestamp`` is a parameter so that reruns are reproducible."""
-        def one(df: DataFrame, name: str) -> DataFrame:
-            return df.agg(F.collect_list(F.struct(*df.columns)).alias(name)).withColumn("k", F.lit(1))
-
-        parts = [
-            self.summary().select(F.struct("*").alias("summary")).withColumn("k", F.lit(1)),
-            one(self.risk_distribution(), "risk_distribution"),   # <= 4 rows
-            self.graph_metrics().select(F.struct("*").alias("graph")).withColumn("k", F.lit(1)),
-            self.compliance().select(F.struct("*").alias("compliance")).withColumn("k", F.lit(1)),
-            one(self.regulation_impact(), "regulations"),         # 4 rows
-            one(self.edge_totals().select("edge_type", F.col("cnt").alias("count")), "edge_types"),  # <= 4 rows
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.join(p, "k")
-        return out.drop("k").withColumn("timestamp", F.lit(timestamp))
+        def many(df: DataFrame):   # small frames only (<= 4 rows each here)
+            return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
+
+        def single(df: DataFrame):
+            return df.select(F.struct(*df.columns)).scalar()
+
+        spark = self.entities.sparkSession
+        return spark.range(1).select(
+            single(self.summary()).alias("summary"),
+            many(self.risk_distribution()).alias("risk_distribution"),
+            single(self.graph_metrics()).alias("graph"),
+            single(self.compliance()).alias("compliance"),
+            many(self.regulation_impact()).alias("regulations"),
+            many(self.edge_totals().select("edge_type", F.col("cnt").alias("count"))).alias("edge_types"),
+            F.lit(timestamp).alias("timestamp"),
+        )
 
 
 def process_table(df: DataFrame, key: str = "row_index", columns: list[str] | None = None,

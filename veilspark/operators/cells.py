@@ -33,16 +33,24 @@ def to_cells(df: DataFrame, key: str = "row_index", columns: list[str] | None =
     )
 
 
-def with_row_index(df: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
-    """0-based row position for inputs without a key column (CSV files).
-
-    ``zipWithIndex`` numbers rows in file order across partitions with one
-    extra pass that only counts rows per partition; it is exact, unlike
-    ``monotonically_increasing_id``.
+def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """0-based position of each row in the frame's partition order (what
+    ``zipWithIndex`` gives), without a global sort and without Python rows.
+
+    Rows are counted per partition (one small row per partition), a prefix
+    sum over those counts gives each partition's offset, and a row's index is
+    its partition offset plus its position inside the partition.  The input
+    is evaluated twice, so it must be deterministic (a file scan is; persist
+    or checkpoint anything else first).  For CSV files use
+    ``sources.csv.with_file_row_index``, which orders by file position.
     """
-    schema = df.schema
-    indexed = df.rdd.zipWithIndex().map(lambda p: (p[1],) + tuple(p[0]))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    out_schema = StructType([StructField("row_index", LongType(), False)] + list(schema.fields))
-    return df.sparkSession.createDataFrame(indexed, out_schema)
+    from pyspark.sql import Window
+
+    tagged = df.select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__mid"))
+    parts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"))
+    # one row per partition: a bounded table, so an unpartitioned window is fine
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__pid", "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    out = tagged.join(F.broadcast(offsets), "__pid")
+    return out.select((F.col("__off") + F.col("__mid") - F.col("__mid0")).alias(name),
+                      *[F.col(f"`{c}`") for c in df.columns])

@@ -134,3 +134,26 @@ def column_profile(cells: DataFrame, ent: DataFrame) -> DataFrame:
         F.coalesce("n_entities", F.lit(0)).alias("n_entities"),
         F.coalesce("pii_types", F.lit("")).alias("pii_types"),
     )
+
+
+def observe_run(ent: DataFrame, name: str = "veil_run"):
+    """Attach run metrics (entities, high-risk entities, distinct types) that
+    Spark collects while the frame is written; read them from the returned
+    ``Observation`` after the action.  No extra pass over the data."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    observed = ent.observe(
+        obs,
+        F.count(F.lit(1)).alias("entities"),
+        F.sum(F.col("risk_level").isin(*HIGH_LEVELS).cast("long")).alias("high_risk"),
+        # DISTINCT is not allowed in observed metrics; the type set is small
+        F.size(F.collect_set("pii_type")).alias("types"),
+    )
+    return observed, obs
+
+
+def sample_nodes(nodes: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """Opt-in reproducible sample of graph nodes, e.g. for drawing a large
+    graph (never used by the exact statistics)."""
+    return nodes.sample(withReplacement=False, fraction=fraction, seed=seed)

@@ -34,6 +34,21 @@ def class_regex(severity: str, unicode: bool = True) -> str:
     return head + "|".join(alts)
 
 
+def _class_guard(severity: str, text: Column, unicode: bool) -> Column | None:
+    """OR of the guards of a severity class (None if one member has none)."""
+    from .spans import guard_expr
+
+    out = None
+    for sev, ptype, _tok in MESSAGE_RULES:
+        if sev != severity:
+            continue
+        g = guard_expr(text, pattern_for(ptype), unicode)
+        if g is None:
+            return None
+        out = g if out is None else (out | g)
+    return out
+
+
 def severity(text: Column, max_len: int = MESSAGE_MAX_LEN, oversize: str = "clean",
              unicode: bool = True, unicode_email_fallback: bool = False) -> Column:
     """Highest severity of a message, or null when clean.
@@ -50,7 +65,9 @@ def severity(text: Column, max_len: int = MESSAGE_MAX_LEN, oversize: str = "clea
     elif oversize != "scan":
         raise ValueError(f"oversize must be clean, scan or block, not {oversize!r}")
     for sev in MESSAGE_SEVERITY_ORDER:
-        expr = expr.when(text.rlike(class_regex(sev, unicode)), F.lit(sev))
+        hit = text.rlike(class_regex(sev, unicode))
+        g = _class_guard(sev, text, unicode)
+        expr = expr.when(hit if g is None else (g & hit), F.lit(sev))
     if unicode_email_fallback:
         expr = expr.when(text.rlike("(?iU)" + UNICODE_EMAIL), F.lit("sensitive"))
     return expr.otherwise(F.lit(None).cast("string"))
@@ -63,9 +80,17 @@ def has_pii(text: Column, **kw) -> Column:
 def mask_message(text: Column, unicode: bool = True, unicode_email: bool = False) -> Column:
     """Pattern masking in severity order with short tokens; later patterns
     see the output of earlier ones (order is part of the contract)."""
+    from .spans import guard_expr
+
+    # Guards test the original text: no redaction token adds a digit, an
+    # '@' or the api/access/pass/pwd keywords, so a guard that fails on the
+    # input also fails on every intermediate result.
     out = text
     for _sev, ptype, tok in MESSAGE_RULES:
-        out = F.regexp_replace(out, pattern_for(ptype).java(unicode), tok)
+        spec = pattern_for(ptype)
+        replaced = F.regexp_replace(out, spec.java(unicode), tok)
+        g = guard_expr(text, spec, unicode)
+        out = replaced if g is None else F.when(g, replaced).otherwise(out)
     if unicode_email:
         out = F.regexp_replace(out, "(?iU)" + UNICODE_EMAIL, "[EMAIL_REDACTED]")
     return out

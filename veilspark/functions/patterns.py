@@ -225,6 +225,23 @@ def re2_regex(pattern: str, flags: str = "") -> str:
     return f"(?{flags}){pattern}" if flags else pattern
 
 
+# Necessary conditions of the built-in patterns (derived from the regexes,
+# not reference values): a text that fails its guard cannot match, so the
+# pattern is skipped without changing any result.  ("contains", s) is a byte
+# search; ("regex", r) is a cheap scan using the pattern's own flags.
+GUARDS = {
+    "email_address": ("contains", "@"),
+    "phone_number": ("regex", r"\d"),
+    "social_security_number": ("regex", r"\d"),
+    "credit_card": ("regex", r"\d"),
+    "zip_code": ("regex", r"\d"),
+    "ip_address": ("regex", r"\d"),
+    "date_of_birth": ("regex", r"\d"),
+    "api_key": ("regex", r"api|access"),
+    "password": ("regex", r"pass|pwd"),
+}
+
+
 @dataclass(frozen=True)
 class PatternSpec:
     pii_type: str
@@ -232,6 +249,7 @@ class PatternSpec:
     flags: str = ""
     confidence: float = REGEX_CONFIDENCE
     method: str = "regex"
+    guard: tuple | None = None
 
     def java(self, unicode: bool = True) -> str:
         return java_regex(self.regex, self.flags, unicode)
@@ -248,7 +266,7 @@ class PatternRegistry:
 
     @classmethod
     def default(cls) -> "PatternRegistry":
-        return cls(tuple(PatternSpec(t, r, f) for t, r, f in SPAN_PATTERNS))
+        return cls(tuple(PatternSpec(t, r, f, guard=GUARDS.get(t)) for t, r, f in SPAN_PATTERNS))
 
     def with_patterns(self, extra) -> "PatternRegistry":
         """Append user patterns ``(pii_type, regex[, flags[, confidence]])``."""
@@ -276,7 +294,7 @@ class PatternRegistry:
 def pattern_for(pii_type: str) -> PatternSpec:
     for t, r, f in SPAN_PATTERNS:
         if t == pii_type:
-            return PatternSpec(t, r, f)
+            return PatternSpec(t, r, f, guard=GUARDS.get(t))
     raise KeyError(pii_type)
 
 

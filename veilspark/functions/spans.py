@@ -45,6 +45,17 @@ def gap_regex(spec: PatternSpec, unicode: bool = True) -> str:
     return f"{head}\\G(?s:(.*?))(?:{spec.regex})"
 
 
+def guard_expr(text: Column, spec: PatternSpec, unicode: bool = True) -> Column | None:
+    """Cheap necessary condition of ``spec`` (None when it has none)."""
+    if spec.guard is None:
+        return None
+    kind, value = spec.guard
+    if kind == "contains":
+        return text.contains(value)
+    flags = ("U" if unicode else "") + spec.flags
+    return text.rlike((f"(?{flags})" if flags else "") + value)
+
+
 def pattern_spans(text: Column, spec: PatternSpec, prio: int, unicode: bool = True) -> Column:
     """All non-overlapping matches of one pattern as an array of span structs."""
     matches = F.regexp_extract_all(text, F.lit(spec.java(unicode)), 0)
@@ -67,8 +78,11 @@ def pattern_spans(text: Column, spec: PatternSpec, prio: int, unicode: bool = Tr
 
     zipped = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
     folded = F.aggregate(zipped, init, step, lambda acc: acc["out"])
-    # cheap existence test first: cells without a hit never pay for the fold
-    return F.when(F.size(matches) > 0, folded).otherwise(_empty_spans())
+    # cells without a hit never pay for the fold; cells failing the guard
+    # never pay for the regex
+    out = F.when(F.size(matches) > 0, folded).otherwise(_empty_spans())
+    g = guard_expr(text, spec, unicode)
+    return out if g is None else F.when(g, out).otherwise(_empty_spans())
 
 
 def registry_spans(text: Column, registry: PatternRegistry, unicode: bool = True) -> Column:

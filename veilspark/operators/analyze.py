@@ -99,3 +99,25 @@ def proximity_pairs(framed: DataFrame, cfg: VeilConfig = DEFAULT, window: int |
 
     pairs = F.flatten(F.transform(F.col("spans"), partners_of(F.col("spans"))))
     return framed.select("row_index", "column_ordinal", "column_name", F.inline(pairs))
+
+
+def group_pairs(framed: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """All pairs ``i < j`` inside each proximity group, with their pair risk.
+
+    This is the pairwise view of the group analysis.  A group only holds
+    spans starting within one window of its anchor, so the pairs per group
+    are bounded and are built inside the cell's array (no join)."""
+    groups = framed.select("row_index", "column_ordinal", "column_name",
+                           F.posexplode(R.anchor_groups(F.col("spans"), cfg.proximity_window)).alias("group_ord", "g"))
+
+    def partners(members):
+        return lambda a: F.transform(
+            F.filter(members, lambda b: b["ord"] > a["ord"]),
+            lambda b: F.struct(a["ord"].alias("src_ord"), b["ord"].alias("dst_ord"),
+                               a["pii_type"].alias("src_type"), b["pii_type"].alias("dst_type"),
+                               R.pair_risk(a["pii_type"], b["pii_type"]).alias("pair_risk")))
+
+    m = F.col("g.members")
+    return groups.where(F.size(m) > 1).select(
+        "row_index", "column_ordinal", "column_name", "group_ord",
+        F.inline(F.flatten(F.transform(m, partners(m)))))

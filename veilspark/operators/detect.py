@@ -64,3 +64,36 @@ def entities(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: PatternRegis
     span_ord, text, pii_type, start_pos, end_pos, confidence, context,
     detection_method, prio``).  Narrow: no shuffle anywhere."""
     return explode_entities(cell_spans(cells, cfg, registry, resolve, extra), cfg)
+
+
+# --------------------------------------------------------------------------
+# Pluggable span detectors.  A detector is any function
+#     cells DataFrame (row_index, column_ordinal, ..., cell_text)
+#       -> spans DataFrame (row_index, column_ordinal, start, end, text, pii_type)
+# e.g. the gazetteer, or a model wrapped in ``mapInPandas``.  Its spans join
+# the regex spans in overlap resolution as 0.8-confidence ``ner`` spans.
+# --------------------------------------------------------------------------
+
+
+def attach_spans(cells: DataFrame, spans: DataFrame, prio_base: int) -> DataFrame:
+    """Add an ``extra`` column holding each cell's detector spans (group by
+    the cell key, left join back)."""
+    per_cell = spans.groupBy("row_index", "column_ordinal").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "text", "pii_type"))).alias("g")
+    )
+    joined = cells.join(per_cell, ["row_index", "column_ordinal"], "left")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string,pii_type:string>>)")
+    return joined.withColumn("extra", S.ner_spans_from_array(F.coalesce(F.col("g"), empty), prio_base)).drop("g")
+
+
+def entities_with_detectors(cells: DataFrame, detectors, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Regex registry plus any number of span detectors, resolved together."""
+    spans = None
+    for det in detectors:
+        d = det(cells).select("row_index", "column_ordinal", F.col("start").cast("int").alias("start"),
+                              F.col("end").cast("int").alias("end"), "text", "pii_type")
+        spans = d if spans is None else spans.unionByName(d)
+    if spans is None:
+        return entities(cells, cfg)
+    with_extra = attach_spans(cells, spans, prio_base=len(cfg.registry))
+    return explode_entities(cell_spans(with_extra, cfg, extra=F.col("extra")).drop("extra"), cfg)

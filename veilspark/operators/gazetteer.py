@@ -60,17 +60,14 @@ def gazetteer_matches(cells: DataFrame, gazetteer: DataFrame, max_tokens: int =
 
 
 def gazetteer_spans(cells: DataFrame, gazetteer: DataFrame, max_tokens: int = 2) -> DataFrame:
-    """``row_index, column_ordinal, start, end, text, pii_type`` of mapped hits."""
+    """``row_index, column_ordinal, column_name, start, end, text, pii_type`` of mapped hits."""
     m = map_labels(gazetteer_matches(cells, gazetteer, max_tokens))
-    return m.select("row_index", "column_ordinal", "start", "end", F.col("phrase").alias("text"), "pii_type")
+    return m.select("row_index", "column_ordinal", "column_name", "start", "end", F.col("phrase").alias("text"),
+                    "pii_type")
 
 
 def spans_per_cell(cells: DataFrame, spans: DataFrame, prio_base: int) -> DataFrame:
-    """Attach the gazetteer spans of each cell as an ``extra`` array column
-    (group by cell, then a left join on the cell key)."""
-    per_cell = spans.groupBy("row_index", "column_ordinal").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "text", "pii_type"))).alias("g")
-    )
-    joined = cells.join(per_cell, ["row_index", "column_ordinal"], "left")
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string,pii_type:string>>)")
-    return joined.withColumn("extra", S.ner_spans_from_array(F.coalesce(F.col("g"), empty), prio_base)).drop("g")
+    """Attach the gazetteer spans of each cell as an ``extra`` array column."""
+    from .detect import attach_spans
+
+    return attach_spans(cells, spans, prio_base)

@@ -839,3 +839,18 @@ def eigenvector_centrality_q(spark, sf):
     brute-force power iteration)."""
     cfg, ent, _, rct = _graph_inputs(spark, sf)
     return G.eigenvector_centrality(ent, rct, cfg)
+
+
+@register("entity_pairs", _with_aent(PEOPLE, f""", pr2(ta, tb, score) AS ({Q._values(
+    __import__('veilspark.functions.patterns', fromlist=['x']).pair_risk_entries())})
+SELECT a.row_index, a.column_name, a.group_ord, a.span_ord AS src_ord, b.span_ord AS dst_ord,
+  a.pii_type AS src_type, b.pii_type AS dst_type, coalesce(pr2.score, 0.3::DOUBLE) AS pair_risk
+FROM aent a JOIN aent b ON a.row_index = b.row_index AND a.column_ordinal = b.column_ordinal
+  AND a.group_ord = b.group_ord AND b.span_ord > a.span_ord
+LEFT JOIN pr2 ON pr2.ta = a.pii_type AND pr2.tb = b.pii_type"""))
+def entity_pairs(spark, sf):
+    """Pairs inside each proximity group with their pair risk."""
+    cfg = PEOPLE.config()
+    p = A.group_pairs(A.span_frame(PEOPLE.cells(spark, sf), cfg), cfg)
+    return p.select("row_index", "column_name", "group_ord", "src_ord", "dst_ord", "src_type", "dst_type",
+                    "pair_risk")

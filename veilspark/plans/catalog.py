@@ -854,3 +854,22 @@ def entity_pairs(spark, sf):
     p = A.group_pairs(A.span_frame(PEOPLE.cells(spark, sf), cfg), cfg)
     return p.select("row_index", "column_name", "group_ord", "src_ord", "dst_ord", "src_type", "dst_type",
                     "pair_risk")
+
+
+LINE_SEV = Q.severity_sql("line")
+LINE_MASKED = Q.mask_message_sql("line")
+
+
+@register("log_lines_policy", f"""SELECT doc_id, line_no, sev AS severity,
+  CASE WHEN line IS NULL OR line = '' THEN NULL WHEN sev IS NULL THEN line
+       WHEN sev = 'critical' THEN '[BLOCKED] Message contained critical PII' ELSE {LINE_MASKED} END AS output
+FROM (SELECT doc_id, line_no, line, {LINE_SEV} AS sev FROM (
+  SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))""")
+def log_lines_policy(spark, sf):
+    """Every line of every document as a log message under mask_and_log."""
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    sev = M.severity(F.col("line"))
+    w = lines.withColumn("severity", sev)
+    return w.select("doc_id", "line_no", "severity",
+                    M.policy_output(F.col("line"), F.col("severity"), "mask_and_log").alias("output"))

@@ -15,8 +15,8 @@ from veilspark.operators.mask import mask_table, sanitize_formula
 
 def spark_kept(spark, texts, cfg=VeilConfig()):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    rows = df.select("i", D.kept_spans(F.col("text"), cfg).alias("k"),
-                     S.mask_with_spans(F.col("text"), D.kept_spans(F.col("text"), cfg)).alias("m")).orderBy("i")
+    rows = (df.withColumn("k", D.kept_spans(F.col("text"), cfg))
+            .select("i", "k", S.mask_with_spans(F.col("text"), F.col("k")).alias("m")).orderBy("i"))
     return [([(s.start, s.end, s.prio, s.text, s.pii_type) for s in r.k], r.m) for r in rows.collect()]
 
 
@@ -41,6 +41,14 @@ def test_offsets_dedup_and_mask_match_python(spark):
         assert masked == brute.mask(text, exp)
 
 
+def test_same_start_tie_goes_to_registry_order(spark):
+    # e-mail (registry 0) and IP (registry 5) both start at 0; the e-mail
+    # is longer and comes first in the registry, so it is kept
+    (kept, masked), = spark_kept(spark, ["10.1.2.3.a@b.io"])
+    assert [(k[0], k[1], k[4]) for k in kept] == [(0, 15, "email_address")]
+    assert kept == brute.kept_spans("10.1.2.3.a@b.io")
+
+
 def test_tie_break_is_registry_order_not_longest(spark):
     # "123456789" is both a bare SSN and part of a phone-like run; earliest
     # start wins, then registry order
@@ -75,14 +83,16 @@ def test_mixed_confidence_rule(spark):
         F.struct(F.lit(0).alias("start"), F.lit(16).alias("end"), F.lit("Jane Doe Smith 1").alias("text"),
                  F.lit("person_name").alias("pii_type")),
     ), 100)
-    k = df.select(D.kept_spans(F.col("text"), VeilConfig(), extra=extra).alias("k")).first().k
+    k = df.withColumn("extra", extra).select(
+        D.kept_spans(F.col("text"), VeilConfig(), extra=F.col("extra")).alias("k")).first().k
     assert [(s.start, s.pii_type) for s in k] == [(15, "social_security_number")]
     # same start: the regex span ranks first and the model span is dropped
     extra2 = S.ner_spans_from_array(F.array(
         F.struct(F.lit(15).alias("start"), F.lit(20).alias("end"), F.lit("123-4").alias("text"),
                  F.lit("person_name").alias("pii_type")),
     ), 100)
-    k2 = df.select(D.kept_spans(F.col("text"), VeilConfig(), extra=extra2).alias("k")).first().k
+    k2 = df.withColumn("extra", extra2).select(
+        D.kept_spans(F.col("text"), VeilConfig(), extra=F.col("extra")).alias("k")).first().k
     assert [(s.start, s.pii_type) for s in k2] == [(15, "social_security_number")]
 
 

@@ -12,6 +12,8 @@ too.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,116 @@ def gap_regex(spec: PatternSpec, unicode: bool = True) -> str:
     return f"{head}\\G(?s:(.*?))(?:{spec.regex})"
 
 
+# ---------------------------------------------------------------- SQL text
+# The span expressions are generated as Spark SQL text and parsed once with
+# ``F.expr``: the same Catalyst expressions as the DataFrame API, built
+# without thousands of driver round trips.  Lambda variables get unique
+# names; ``element_at(transform(array(v), b -> ...), 1)`` binds ``v`` once
+# (a "let"), so an array used twice is computed once.
+
+_counter = [0]
+
+
+def _var(prefix: str) -> str:
+    _counter[0] += 1
+    return f"{prefix}_{_counter[0]}"
+
+
+def sql_str(s: str) -> str:
+    """Spark SQL string literal (backslash escapes are on by default)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_of(c) -> str:
+    """SQL text of a plain column reference (or SQL text passed through)."""
+    if isinstance(c, str):
+        return c
+    name = c._jc.toString()
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"expected a plain column reference, got {name!r}")
+    return f"`{name}`"
+
+
+EMPTY_SQL = f"cast(array() as {SPAN_ARRAY_TYPE})"
+
+
+def _guard_sql(t: str, spec: PatternSpec, unicode: bool) -> str | None:
+    if spec.guard is None:
+        return None
+    kind, value = spec.guard
+    if kind == "contains":
+        return f"contains({t}, {sql_str(value)})"
+    flags = ("U" if unicode else "") + spec.flags
+    return f"({t} RLIKE {sql_str((f'(?{flags})' if flags else '') + value)})"
+
+
+def pattern_spans_sql(t: str, spec: PatternSpec, prio: int, unicode: bool = True) -> str:
+    m, g, mm, acc, x = _var("m"), _var("g"), _var("mm"), _var("acc"), _var("x")
+    start = f"{acc}.pos + length({x}.g)"
+    span = (f"named_struct('start', {start}, 'end', {start} + length({x}.m), 'prio', {int(prio)}, "
+            f"'text', {x}.m, 'pii_type', {sql_str(spec.pii_type)}, 'confidence', {float(spec.confidence)!r}D, "
+            f"'method', {sql_str(spec.method)})")
+    fold = (f"aggregate(zip_with(regexp_extract_all({t}, {sql_str(gap_regex(spec, unicode))}, 1), {m}, "
+            f"({g}, {mm}) -> named_struct('g', {g}, 'm', {mm})), "
+            f"named_struct('pos', 0, 'out', {EMPTY_SQL}), "
+            f"({acc}, {x}) -> named_struct('pos', {start} + length({x}.m), 'out', array_append({acc}.out, {span})), "
+            f"{acc} -> {acc}.out)")
+    body = (f"element_at(transform(array(regexp_extract_all({t}, {sql_str(spec.java(unicode))}, 0)), "
+            f"{m} -> CASE WHEN size({m}) = 0 THEN {EMPTY_SQL} ELSE {fold} END), 1)")
+    guard = _guard_sql(t, spec, unicode)
+    return body if guard is None else f"CASE WHEN {guard} THEN {body} ELSE {EMPTY_SQL} END"
+
+
+def registry_spans_sql(t: str, registry: PatternRegistry, unicode: bool = True) -> str:
+    parts = [pattern_spans_sql(t, spec, i, unicode) for i, spec in enumerate(registry)]
+    if not parts:
+        return EMPTY_SQL
+    return parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
+
+
+def _by_start_sql() -> str:
+    a, b = _var("a"), _var("b")
+    return f"({a}, {b}) -> CASE WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 ELSE 0 END"
+
+
+def _by_start_prio_sql() -> str:
+    """Order of overlap resolution: start, then registry priority (the
+    struct's own field order would break start ties by end)."""
+    a, b = _var("a"), _var("b")
+    return (f"({a}, {b}) -> CASE WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 "
+            f"WHEN {a}.prio < {b}.prio THEN -1 WHEN {a}.prio > {b}.prio THEN 1 ELSE 0 END")
+
+
+def resolve_overlaps_sql(spans: str, mixed_confidence: bool = False) -> str:
+    if not mixed_confidence:
+        acc, s_ = _var("acc"), _var("s")
+        return (f"aggregate(array_sort({spans}, {_by_start_prio_sql()}), named_struct('last_end', 0, 'kept', slice({spans}, 1, 0)), "
+                f"({acc}, {s_}) -> CASE WHEN {s_}.start >= {acc}.last_end THEN named_struct('last_end', "
+                f"greatest({acc}.last_end, {s_}.end), 'kept', array_append({acc}.kept, {s_})) ELSE {acc} END, "
+                f"{acc} -> {acc}.kept)")
+    v, acc, s_, k, f, k2 = _var("v"), _var("acc"), _var("s"), _var("k"), _var("f"), _var("k")
+    over = f"filter({acc}, {k} -> {s_}.start < {k}.end AND {s_}.end > {k}.start)"
+    step = (f"({acc}, {s_}) -> element_at(transform(array({over}), {f} -> CASE WHEN size({f}) = 0 "
+            f"THEN array_append({acc}, {s_}) WHEN {s_}.confidence > {f}[0].confidence THEN array_append("
+            f"filter({acc}, {k2} -> NOT ({k2}.start = {f}[0].start AND {k2}.prio = {f}[0].prio)), {s_}) "
+            f"ELSE {acc} END), 1)")
+    return (f"element_at(transform(array({spans}), {v} -> array_sort(aggregate(array_sort({v}, "
+            f"{_by_start_prio_sql()}), slice({v}, 1, 0), "
+            f"{step}), {_by_start_sql()})), 1)")
+
+
+def mask_with_spans_sql(t: str, spans: str) -> str:
+    acc, s_ = _var("acc"), _var("s")
+    return (f"aggregate(reverse(array_sort({spans}, {_by_start_sql()})), {t}, ({acc}, {s_}) -> "
+            f"concat(substring({acc}, 1, {s_}.start), '[', upper({s_}.pii_type), '_REDACTED]', "
+            f"substring({acc}, {s_}.end + 1, 2147483647)))")
+
+
+# ---------------------------------------------------------------- Column API
+
+
 def guard_expr(text: Column, spec: PatternSpec, unicode: bool = True) -> Column | None:
-    """Cheap necessary condition of ``spec`` (None when it has none)."""
+    """Cheap necessary condition of ``spec`` as a Column (None when it has none)."""
     if spec.guard is None:
         return None
     kind, value = spec.guard
@@ -56,49 +166,22 @@ def guard_expr(text: Column, spec: PatternSpec, unicode: bool = True) -> Column
     return text.rlike((f"(?{flags})" if flags else "") + value)
 
 
-def pattern_spans(text: Column, spec: PatternSpec, prio: int, unicode: bool = True) -> Column:
+def pattern_spans(text, spec: PatternSpec, prio: int, unicode: bool = True) -> Column:
     """All non-overlapping matches of one pattern as an array of span structs."""
-    matches = F.regexp_extract_all(text, F.lit(spec.java(unicode)), 0)
-    gaps = F.regexp_extract_all(text, F.lit(gap_regex(spec, unicode)), 1)
-    init = F.struct(F.lit(0).alias("pos"), _empty_spans().alias("out"))
-
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(
-            start.cast("int").alias("start"),
-            end.cast("int").alias("end"),
-            F.lit(prio).alias("prio"),
-            x["m"].alias("text"),
-            F.lit(spec.pii_type).alias("pii_type"),
-            F.lit(float(spec.confidence)).alias("confidence"),
-            F.lit(spec.method).alias("method"),
-        )
-        return F.struct(end.cast("int").alias("pos"), F.array_append(acc["out"], span).alias("out"))
-
-    zipped = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
-    folded = F.aggregate(zipped, init, step, lambda acc: acc["out"])
-    # cells without a hit never pay for the fold; cells failing the guard
-    # never pay for the regex
-    out = F.when(F.size(matches) > 0, folded).otherwise(_empty_spans())
-    g = guard_expr(text, spec, unicode)
-    return out if g is None else F.when(g, out).otherwise(_empty_spans())
-
-
-def registry_spans(text: Column, registry: PatternRegistry, unicode: bool = True) -> Column:
+    return F.expr(pattern_spans_sql(sql_of(text), spec, prio, unicode))
+
+
+def registry_spans(text, registry: PatternRegistry, unicode: bool = True) -> Column:
     """Concatenated raw spans of every registry pattern (before overlap resolution)."""
-    parts = [pattern_spans(text, spec, i, unicode) for i, spec in enumerate(registry)]
-    if not parts:
-        return _empty_spans()
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.expr(registry_spans_sql(sql_of(text), registry, unicode))
 
 
-def sort_spans(spans: Column) -> Column:
-    """Sort by (start, prio): struct order puts those two fields first."""
-    return F.array_sort(spans)
+def sort_spans(spans) -> Column:
+    """Sort by (start, registry priority)."""
+    return F.expr(f"array_sort({sql_of(spans)}, {_by_start_prio_sql()})")
 
 
-def resolve_overlaps(spans: Column, mixed_confidence: bool = False) -> Column:
+def resolve_overlaps(spans, mixed_confidence: bool = False) -> Column:
     """Greedy overlap resolution over spans sorted by (start, prio).
 
     Equal confidence never replaces, so with one confidence level the rule is
@@ -106,57 +189,14 @@ def resolve_overlaps(spans: Column, mixed_confidence: bool = False) -> Column:
     span".  With mixed confidence (regex 0.9 next to model spans 0.8) the
     general rule applies: a span that overlaps kept spans is compared with the
     first of them only, replaces it when strictly more confident, and
-    otherwise is dropped.
+    otherwise is dropped.  ``spans`` is SQL text or a column reference.
     """
-    ordered = sort_spans(spans)
-    if not mixed_confidence:
-        init = F.struct(F.lit(0).alias("last_end"), _empty_spans().alias("kept"))
-
-        def keep(acc, s):
-            take = s["start"] >= acc["last_end"]
-            return F.when(
-                take,
-                F.struct(
-                    F.greatest(acc["last_end"], s["end"]).alias("last_end"),
-                    F.array_append(acc["kept"], s).alias("kept"),
-                ),
-            ).otherwise(acc)
-
-        return F.aggregate(ordered, init, keep, lambda acc: acc["kept"])
-
-    def general(acc, s):
-        over = F.filter(acc, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"]))
-        first = F.try_element_at(over, F.lit(1))
-        replaced = F.array_append(
-            F.filter(acc, lambda k: (k["start"] != first["start"]) | (k["prio"] != first["prio"])), s
-        )
-        return (
-            F.when(F.size(over) == 0, F.array_append(acc, s))
-            .when(s["confidence"] > first["confidence"], replaced)
-            .otherwise(acc)
-        )
-
-    folded = F.aggregate(ordered, _empty_spans(), general)
-    # stable sort on start only (the kept list order breaks ties)
-    return F.array_sort(
-        folded,
-        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
-    )
+    return F.expr(resolve_overlaps_sql(sql_of(spans), mixed_confidence))
 
 
-def mask_with_spans(text: Column, spans: Column) -> Column:
+def mask_with_spans(text, spans) -> Column:
     """Replace every span, right to left, with ``[<TYPE>_REDACTED]``."""
-    def step(acc, s):
-        token = F.concat(F.lit("["), F.upper(s["pii_type"]), F.lit("_REDACTED]"))
-        return F.concat(
-            F.substring(acc, F.lit(1), s["start"]),
-            token,
-            F.substring(acc, s["end"] + 1, F.lit(2147483647)),
-        )
-
-    by_start_desc = F.reverse(F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1)
-                                           .when(a["start"] > b["start"], 1).otherwise(0)))
-    return F.when(F.size(spans) > 0, F.aggregate(by_start_desc, text, step)).otherwise(text)
+    return F.expr(mask_with_spans_sql(sql_of(text), sql_of(spans)))
 
 
 def context_snippet(text: Column, start: Column, end: Column, window: int = CONTEXT_WINDOW) -> Column:

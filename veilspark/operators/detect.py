@@ -15,28 +15,39 @@ ENTITY_COLUMNS = [
 ]
 
 
-def raw_spans(text: Column, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None) -> Column:
+def raw_spans(text, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None) -> Column:
     return S.registry_spans(text, registry or cfg.registry, cfg.unicode_regex)
 
 
-def kept_spans(text: Column, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None,
-               extra: Column | None = None) -> Column:
-    """Raw regex spans (plus optional model/gazetteer spans) after overlap
-    resolution.  Mixed confidence switches to the general rule."""
+def kept_spans_sql(text: str, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None,
+                   extra: str | None = None) -> str:
+    """SQL text of the kept spans of ``text`` (SQL text)."""
     reg = registry or cfg.registry
-    raw = raw_spans(text, cfg, reg)
-    confidences = {s.confidence for s in reg}
-    mixed = extra is not None or len(confidences) > 1
+    raw = S.registry_spans_sql(text, reg, cfg.unicode_regex)
+    mixed = extra is not None or len({s.confidence for s in reg}) > 1
     if extra is not None:
-        raw = F.concat(raw, extra)
-    return S.resolve_overlaps(raw, mixed_confidence=mixed)
+        raw = f"concat({raw}, {extra})"
+    return S.resolve_overlaps_sql(raw, mixed_confidence=mixed)
+
+
+def kept_spans(text, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None,
+               extra=None) -> Column:
+    """Raw regex spans (plus optional model/gazetteer spans, given as a
+    column reference) after overlap resolution.  Mixed confidence switches
+    to the general rule."""
+    ex = None if extra is None else S.sql_of(extra)
+    return F.expr(kept_spans_sql(S.sql_of(text), cfg, registry, ex))
 
 
 def cell_spans(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None,
                resolve: bool = True, extra: Column | None = None) -> DataFrame:
     """Add a ``spans`` array column (kept spans unless ``resolve=False``)."""
     text = F.col("cell_text")
-    col = kept_spans(text, cfg, registry, extra) if resolve else S.sort_spans(raw_spans(text, cfg, registry))
+    if resolve:
+        col = kept_spans(text, cfg, registry, extra)
+    else:
+        raw = S.registry_spans_sql(S.sql_of(text), registry or cfg.registry, cfg.unicode_regex)
+        col = F.expr(f"array_sort({raw}, {S._by_start_prio_sql()})")
     return cells.withColumn("spans", col)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, VeilConfig
 from ..functions import spans as S
-from .detect import kept_spans
 
 
 def mask_table(df: DataFrame, key: str, columns: list[str], cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -23,11 +22,13 @@ def mask_table(df: DataFrame, key: str, columns: list[str], cfg: VeilConfig = DE
     if not targets:
         return df
 
-    def mask_one(text):
-        return F.when(text.isNull() | (text == ""), text).otherwise(S.mask_with_spans(text, kept_spans(text, cfg)))
+    from .detect import kept_spans_sql
 
-    vals = F.array(*[F.col(c).cast("string") for c in targets])
-    masked = df.withColumn("__masked", F.transform(vals, mask_one))
+    x = "cell_v"
+    masked_one = S.mask_with_spans_sql(x, kept_spans_sql(x, cfg))
+    vals = ", ".join(f"CAST(`{c}` AS STRING)" for c in targets)
+    expr = f"transform(array({vals}), {x} -> CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {masked_one} END)"
+    masked = df.withColumn("__masked", F.expr(expr))
     pos = {c: i for i, c in enumerate(targets)}
     return masked.select(*[
         F.col("__masked")[pos[c]].alias(c) if c in pos else F.col(c) for c in df.columns

@@ -79,7 +79,7 @@ def level_score(level: Column) -> Column:
     return F.element_at(_map(CLUSTER_LEVEL_SCORE), level)
 
 
-def anchor_groups(spans: Column, window: Column | int) -> Column:
+def anchor_groups(spans, window: int) -> Column:
     """Split spans sorted by start into anchor groups.
 
     The first span not yet grouped is an anchor and takes every later span
@@ -88,24 +88,19 @@ def anchor_groups(spans: Column, window: Column | int) -> Column:
     new group when ``start - anchor_start > window``.  Result:
     ``array<struct<anchor:int, members:array<span>>>``.  A group can only
     hold spans starting inside one window, so its size is bounded.
+    ``spans`` is a column reference (SQL text is generated and parsed once).
     """
-    w = window if isinstance(window, Column) else F.lit(window)
-    # an empty group list typed after the input spans (whatever fields they carry)
-    empty_groups = F.filter(
-        F.array(F.struct(F.lit(0).alias("anchor"), F.slice(spans, 1, 0).alias("members"))), lambda g: F.lit(False)
-    )
-
-    def step(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))
-        extend = (F.size(acc) > 0) & (s["start"] - last["anchor"] <= w)
-        grown = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["anchor"].alias("anchor"), F.array_append(last["members"], s).alias("members"))),
-        )
-        fresh = F.array_append(acc, F.struct(s["start"].alias("anchor"), F.array(s).alias("members")))
-        return F.when(extend, grown).otherwise(fresh)
-
-    return F.aggregate(spans, empty_groups, step)
+    from .spans import _var, sql_of
+
+    sp = sql_of(spans)
+    acc, s_, g, last = _var("acc"), _var("s"), _var("g"), _var("last")
+    empty = f"filter(array(named_struct('anchor', 0, 'members', slice({sp}, 1, 0))), {g} -> false)"
+    step = (f"({acc}, {s_}) -> element_at(transform(array(try_element_at({acc}, -1)), {last} -> "
+            f"CASE WHEN size({acc}) > 0 AND {s_}.start - {last}.anchor <= {int(window)} "
+            f"THEN concat(slice({acc}, 1, size({acc}) - 1), array(named_struct('anchor', {last}.anchor, "
+            f"'members', array_append({last}.members, {s_})))) "
+            f"ELSE array_append({acc}, named_struct('anchor', {s_}.start, 'members', array({s_}))) END), 1)")
+    return F.expr(f"aggregate({sp}, {empty}, {step})")
 
 
 def related_label(t: Column, text: Column) -> Column:

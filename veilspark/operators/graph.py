@@ -88,30 +88,40 @@ def _partners(spark: SparkSession, min_w: float) -> DataFrame:
     return spark.createDataFrame(rows, "t string, partner string")
 
 
-def _type_count(items, t: str):
-    """Sum of ``n`` over the entries of ``items`` (array<struct<t, n>>) of type ``t``."""
-    return F.aggregate(F.filter(items, lambda x: x["t"] == t), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-
-
 def _semantic_terms(items, min_w: float) -> dict:
     """Semantic pair count and weight moments inside one group, from its
-    per-type counts: sum over the (constant) semantic pairs of n_A * n_B."""
-    cnt, sw, sw2, wmins, wmaxs = None, None, None, [], []
+    per-type counts ``items`` (array<struct<t, n>>, a column reference):
+    sum over the (constant) semantic pairs of n_A * n_B.  Built as SQL text."""
+    from ..functions.spans import _var, sql_of, sql_str
+
+    it = sql_of(items)
+
+    def count(t):
+        a, x = _var("a"), _var("x")
+        return f"aggregate(filter({it}, {x} -> {x}.t = {sql_str(t)}), 0L, ({a}, {x}) -> {a} + {x}.n)"
+
+    ks, ws = [], []
     for a, b, w in semantic_entries():
-        if w < min_w:
-            continue
-        k = _type_count(items, a) * _type_count(items, b)
-        cnt = k if cnt is None else cnt + k
-        sw = k * F.lit(w) if sw is None else sw + k * F.lit(w)
-        sw2 = k * F.lit(w * w) if sw2 is None else sw2 + k * F.lit(w * w)
-        wmins.append(F.when(k > 0, F.lit(w)))
-    if cnt is None:
-        zero = F.lit(0).cast("long")
-        return {"cnt": zero, "sw": F.lit(0.0), "sw2": F.lit(0.0), "wmin": F.lit(None).cast("double"),
-                "wmax": F.lit(None).cast("double")}
-    least = F.least(*wmins) if len(wmins) > 1 else wmins[0]
-    greatest = F.greatest(*wmins) if len(wmins) > 1 else wmins[0]
-    return {"cnt": cnt, "sw": sw, "sw2": sw2, "wmin": least, "wmax": greatest}
+        if w >= min_w:
+            ks.append(f"({count(a)} * {count(b)})")
+            ws.append(float(w))
+    if not ks:
+        return {"cnt": F.lit(0).cast("long"), "sw": F.lit(0.0), "sw2": F.lit(0.0),
+                "wmin": F.lit(None).cast("double"), "wmax": F.lit(None).cast("double")}
+    # bind every pair count once: k_i are fields of one struct
+    v = _var("v")
+    packed = "named_struct(" + ", ".join(f"'k{i}', {k}" for i, k in enumerate(ks)) + ")"
+
+    def over(body):
+        return F.expr(f"element_at(transform(array({packed}), {v} -> {body}), 1)")
+
+    cnt = " + ".join(f"{v}.k{i}" for i in range(len(ks)))
+    sw = " + ".join(f"{v}.k{i} * {w!r}D" for i, w in enumerate(ws))
+    sw2 = " + ".join(f"{v}.k{i} * {w * w!r}D" for i, w in enumerate(ws))
+    wlist = ", ".join(f"CASE WHEN {v}.k{i} > 0 THEN {w!r}D END" for i, w in enumerate(ws))
+    pick = (lambda fn: f"{fn}({wlist})") if len(ws) > 1 else (lambda fn: wlist)
+    return {"cnt": over(cnt), "sw": over(sw), "sw2": over(sw2), "wmin": over(pick("least")),
+            "wmax": over(pick("greatest"))}
 
 
 def _pairs(n):

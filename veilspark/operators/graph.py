@@ -75,6 +75,13 @@ def cell_type_counts(ent: DataFrame) -> DataFrame:
     return ent.groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cell_type_counts_from_spans(framed: DataFrame) -> DataFrame:
+    """Same counts straight from the span frame (``row_index, column_ordinal,
+    spans``): only the span types are needed, not the risk analysis."""
+    return (framed.select("row_index", "column_ordinal", F.explode("spans.pii_type").alias("pii_type"))
+            .groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n")))
+
+
 def _semantic_pairs(spark: SparkSession, min_w: float) -> DataFrame:
     rows = [(a, b, float(w)) for a, b, w in semantic_entries() if w >= min_w]
     return spark.createDataFrame(rows, "a string, b string, w double")

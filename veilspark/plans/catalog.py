@@ -539,7 +539,7 @@ def _graph_inputs(spark, sf):
     framed = A.span_frame(PEOPLE.cells(spark, sf), cfg).persist()
     ent = A.entities_from_spans(framed, cfg)
     edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
-    rct = G.cell_type_counts(ent).persist()
+    rct = G.cell_type_counts_from_spans(framed).persist()
     return cfg, ent, edges, rct
 
 

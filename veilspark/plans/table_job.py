@@ -93,7 +93,7 @@ def process_table(df: DataFrame, key: str = "row_index", columns: list[str] | No
     framed = A.span_frame(cells, cfg).persist()
     entities = A.entities_from_spans(framed, cfg)
     edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
-    counts = G.cell_type_counts(entities).persist()
+    counts = G.cell_type_counts_from_spans(framed).persist()
     masked = mask_table(df, key, cols, cfg)
     return TableResult(cells, entities, masked, edges, counts, cfg)
 

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 REPLACEMENT_CHAR = "�"
 
 
-def _reader(spark: SparkSession, encoding: str):
+def _reader(spark: SparkSession, encoding: str, multiline: bool = True):
     # header row, every column a string, empty fields stay empty strings and
-    # text such as "NA" stays a value
+    # text such as "NA" stays a value.  ``multiline`` parses quoted fields
+    # that contain line breaks, but then a file is read by one task; turn it
+    # off for very large files without such fields so that they split.
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("encoding", encoding)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("nullValue", None)
         .option("emptyValue", "")
@@ -33,7 +35,7 @@ def total_size_mb(spark: SparkSession, path: str) -> float:
 
 
 def read_csv(spark: SparkSession, path: str, max_size_mb: float | None = None,
-             encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> tuple[DataFrame, str]:
+             encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = True) -> tuple[DataFrame, str]:
     """Read a CSV table; return ``(frame, encoding used)``.
 
     Spark replaces undecodable bytes with U+FFFD instead of failing, so the
@@ -47,7 +49,7 @@ def read_csv(spark: SparkSession, path: str, max_size_mb: float | None = None,
             raise ValueError(f"File too large: {size:.1f}MB (max: {max_size_mb}MB)")
     df = None
     for enc in encodings:
-        df = _reader(spark, enc).csv(path)
+        df = _reader(spark, enc, multiline).csv(path)
         if not df.columns:
             return df, enc
         bad = None

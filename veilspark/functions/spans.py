@@ -130,7 +130,9 @@ def _by_start_prio_sql() -> str:
 def resolve_overlaps_sql(spans: str, mixed_confidence: bool = False) -> str:
     if not mixed_confidence:
         acc, s_ = _var("acc"), _var("s")
-        return (f"aggregate(array_sort({spans}, {_by_start_prio_sql()}), named_struct('last_end', 0, 'kept', slice({spans}, 1, 0)), "
+        # the empty start value is a typed literal: referencing ``spans`` a
+        # second time would evaluate the whole detection twice
+        return (f"aggregate(array_sort({spans}, {_by_start_prio_sql()}), named_struct('last_end', 0, 'kept', {EMPTY_SQL}), "
                 f"({acc}, {s_}) -> CASE WHEN {s_}.start >= {acc}.last_end THEN named_struct('last_end', "
                 f"greatest({acc}.last_end, {s_}.end), 'kept', array_append({acc}.kept, {s_})) ELSE {acc} END, "
                 f"{acc} -> {acc}.kept)")

@@ -15,7 +15,7 @@ from ..config import DEFAULT, VeilConfig
 from ..functions import risk as R
 from ..functions import spans as S
 from ..functions.patterns import PatternRegistry
-from .detect import kept_spans
+from .detect import bind_column, kept_spans
 
 ANALYZED_COLUMNS = [
     "row_index", "column_ordinal", "column_name", "span_ord", "text", "pii_type", "start_pos", "end_pos",
@@ -30,7 +30,8 @@ def span_frame(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: PatternReg
     Cells without a span are dropped here (they add nothing downstream)."""
     spans = kept_spans(F.col("cell_text"), cfg, registry, extra)
     numbered = F.transform(spans, lambda s, i: s.withField("ord", i))
-    return cells.withColumn("spans", numbered).where(F.size("spans") > 0)
+    # bound once (see detect.bind_column), so the filter cannot re-run detection
+    return bind_column(cells, "spans", numbered).where(F.size("spans") > 0)
 
 
 def analyze_cells(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None,

@@ -15,6 +15,19 @@ ENTITY_COLUMNS = [
 ]
 
 
+def bind_column(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``expr`` as column ``name`` so that it is evaluated exactly once.
+
+    Catalyst pushes a filter on a projected column below the projection by
+    inlining the column's expression (and infers such a filter, ``size(x) >
+    0``, for every ``explode(x)``).  For the span arrays that would run the
+    whole detection twice per cell.  Producing the column from a one-element
+    ``inline_outer`` generator stops that: filters on a generator's output
+    stay above it, and outer generators get no inferred filters.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(expr.alias(name)))))
+
+
 def raw_spans(text, cfg: VeilConfig = DEFAULT, registry: PatternRegistry | None = None) -> Column:
     return S.registry_spans(text, registry or cfg.registry, cfg.unicode_regex)
 
@@ -48,7 +61,7 @@ def cell_spans(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: PatternReg
     else:
         raw = S.registry_spans_sql(S.sql_of(text), registry or cfg.registry, cfg.unicode_regex)
         col = F.expr(f"array_sort({raw}, {S._by_start_prio_sql()})")
-    return cells.withColumn("spans", col)
+    return bind_column(cells.drop("spans"), "spans", col)
 
 
 def explode_entities(with_spans: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:

@@ -33,8 +33,10 @@ def map_labels(matches: DataFrame) -> DataFrame:
 def ngrams(cells: DataFrame, max_tokens: int = 2) -> DataFrame:
     """``row_index, column_ordinal, column_name, start, end, phrase`` for
     every n-gram (n <= max_tokens) that starts with an upper-case letter."""
+    from .detect import bind_column
+
     toks = S.pattern_spans(F.col("cell_text"), TOKEN_PATTERN, 0)
-    with_toks = cells.select("row_index", "column_ordinal", "column_name", "cell_text", toks.alias("toks"))
+    with_toks = bind_column(cells.select("row_index", "column_ordinal", "column_name", "cell_text"), "toks", toks)
     def gram(n):
         return lambda t, i: F.when(
             i + n - 1 < F.size(F.col("toks")),

@@ -267,7 +267,7 @@ def mask_spans(spark, sf):
     """Span masking of every document cell that holds a span."""
     cells = DOCS.cells(spark, sf)
     kept = D.kept_spans(F.col("cell_text"), DOCS.config())
-    return (cells.withColumn("k", kept).where(F.size("k") > 0)
+    return (D.bind_column(cells, "k", kept).where(F.size("k") > 0)
             .select("row_index", "column_name", S.mask_with_spans(F.col("cell_text"), F.col("k")).alias("masked")))
 
 

@@ -35,8 +35,10 @@ def drop_blocked(stream: DataFrame, text_col: str = "text", cfg: VeilConfig = DE
 
 def entity_stream(stream: DataFrame, text_col: str = "text", cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Kept spans and the span-masked text of every row (stateless)."""
+    from ..operators.detect import bind_column
+
     spans = kept_spans(F.col(text_col), cfg)
-    with_spans = stream.withColumn("spans", spans)
+    with_spans = bind_column(stream, "spans", spans)
     return with_spans.withColumn("masked", S.mask_with_spans(F.col(text_col), F.col("spans")))
 
 

@@ -43,9 +43,13 @@ def analyze_cells(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: Pattern
 
 def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
-    grouped = framed.select(
+    # groups bound once: the filter Spark infers for the explode stays above
+    with_groups = bind_column(framed.select(*keep, "row_index", "column_ordinal", "column_name", "cell_text",
+                                            "spans"),
+                              "groups", R.anchor_groups(F.col("spans"), cfg.proximity_window))
+    grouped = with_groups.select(
         *keep, "row_index", "column_ordinal", "column_name", "cell_text",
-        F.posexplode(R.anchor_groups(F.col("spans"), cfg.proximity_window)).alias("group_ord", "g"),
+        F.posexplode("groups").alias("group_ord", "g"),
     )
     members = grouped.select(
         *keep, "row_index", "column_ordinal", "column_name", "cell_text", "group_ord",
@@ -108,8 +112,10 @@ def group_pairs(framed: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     This is the pairwise view of the group analysis.  A group only holds
     spans starting within one window of its anchor, so the pairs per group
     are bounded and are built inside the cell's array (no join)."""
-    groups = framed.select("row_index", "column_ordinal", "column_name",
-                           F.posexplode(R.anchor_groups(F.col("spans"), cfg.proximity_window)).alias("group_ord", "g"))
+    bound = bind_column(framed.select("row_index", "column_ordinal", "column_name", "spans"), "groups",
+                        R.anchor_groups(F.col("spans"), cfg.proximity_window))
+    groups = bound.select("row_index", "column_ordinal", "column_name",
+                          F.posexplode("groups").alias("group_ord", "g"))
 
     def partners(members):
         return lambda a: F.transform(

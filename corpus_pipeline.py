@@ -9,11 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import mixing, packing
+from veilspark.llm import jaccard, mixing, packing, pii, quality
 from veilspark.llm.common import table, written
 from veilspark.llm.queries import tokenizer_path
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each personal-data span replaced by its kind."""
+    return pii.mask(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.emit_copies(mixing.mix(docs, carry=True))
@@ -24,7 +39,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("quality_rules", good_documents),
+    ("near_duplicates", one_of_each_group),
+    ("pii", without_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: DuckDB has no tokenizer: tests hold the result against a brute-force version
 ORACLE_SQL = None

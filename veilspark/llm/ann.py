@@ -43,7 +43,7 @@ K = 10
 EVERY = 100
 SAMPLE = 20_000
 MOST_CELLS = 1024
-PROBE_SHARE = 0.75
+PROBE_SHARE = 0.9
 EPSILON = 2.5
 BLOCK = 16_000
 QUERIES = 4_000

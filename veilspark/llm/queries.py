@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, jaccard, mixing, packing, pii, quality, suffix_dedup, urls
+from . import ann, chat, jaccard, licenses, mixing, packing, pii, quality, suffix_dedup, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_files(table(spark, sf_dir, "documents"))
+    return licenses.scan(files, licenses.default_templates(spark)).withColumnRenamed("file_id", "doc_id")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 

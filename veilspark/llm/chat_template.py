@@ -243,25 +243,29 @@ def fold_expression(tree, filters):
 
 def fold(nodes: tuple, filters) -> tuple:
     out: list = []
+
+    def add(node) -> None:
+        if isinstance(node, Write) and isinstance(node.expr, Const):
+            text = _text(node.expr.value)
+            if out and isinstance(out[-1], Write) and isinstance(out[-1].expr, Const):
+                text = out.pop().expr.value + text
+            node = Write(Const(text))
+        out.append(node)
+
     for node in nodes:
         if isinstance(node, Write):
-            node = Write(fold_expression(node.expr, filters))
-            if isinstance(node.expr, Const):
-                text = _text(node.expr.value)
-                if out and isinstance(out[-1], Write) and isinstance(out[-1].expr, Const):
-                    text = out.pop().expr.value + text
-                node = Write(Const(text))
-            out.append(node)
+            add(Write(fold_expression(node.expr, filters)))
         elif isinstance(node, If):
             test = fold_expression(node.test, filters)
             if isinstance(test, Const):
-                out.extend(fold(node.then if test.value else node.other, filters))
+                for inner in fold(node.then if test.value else node.other, filters):
+                    add(inner)
             else:
-                out.append(If(test, fold(node.then, filters), fold(node.other, filters)))
+                add(If(test, fold(node.then, filters), fold(node.other, filters)))
         elif isinstance(node, For):
-            out.append(For(node.name, fold(node.body, filters)))
+            add(For(node.name, fold(node.body, filters)))
         else:
-            out.append(Generation(fold(node.body, filters)))
+            add(Generation(fold(node.body, filters)))
     return tuple(out)
 
 

@@ -20,7 +20,7 @@ class VeilConfig:
     context_window: int = CONTEXT_WINDOW
     # message agent
     max_message_len: int = MESSAGE_MAX_LEN
-    oversize: str = "clean"             # clean (fail open, as the reference) | scan | block
+    oversize: str = "scan"              # scan (read every text) | clean (fail open) | block
     unicode_email_fallback: bool = False
     # proximity analysis
     proximity_window: int = 100

@@ -49,13 +49,13 @@ def _class_guard(severity: str, text: Column, unicode: bool) -> Column | None:
     return out
 
 
-def severity(text: Column, max_len: int = MESSAGE_MAX_LEN, oversize: str = "clean",
+def severity(text: Column, max_len: int = MESSAGE_MAX_LEN, oversize: str = "scan",
              unicode: bool = True, unicode_email_fallback: bool = False) -> Column:
     """Highest severity of a message, or null when clean.
 
-    ``oversize`` decides messages longer than ``max_len``: ``clean`` treats
-    them as clean (fails open, like the reference), ``scan`` scans them
-    anyway, ``block`` reports them as critical.
+    Every text is read whole.  ``oversize`` can instead ask for a length gate
+    on messages longer than ``max_len``: ``clean`` treats them as clean
+    (fails open), ``block`` reports them as critical.
     """
     expr = F.when(text.isNull() | (text == ""), F.lit(None).cast("string"))
     if oversize == "clean":
@@ -80,22 +80,24 @@ def has_pii(text: Column, **kw) -> Column:
 def mask_message(text: Column, unicode: bool = True, unicode_email: bool = False) -> Column:
     """Pattern masking in severity order with short tokens; later patterns
     see the output of earlier ones (order is part of the contract)."""
-    from .spans import guard_expr
-
-    # Guards test the original text: no redaction token adds a digit, an
-    # '@' or the api/access/pass/pwd keywords, so a guard that fails on the
-    # input also fails on every intermediate result.
     out = text
-    for _sev, ptype, tok in MESSAGE_RULES:
-        spec = pattern_for(ptype)
-        replaced = F.regexp_replace(out, spec.java(unicode), tok)
-        g = guard_expr(text, spec, unicode)
-        out = replaced if g is None else F.when(g, replaced).otherwise(out)
+    for _sev, ptype, tok in MESSAGE_RULES:  # each step is named once: linear in the rules
+        out = F.regexp_replace(out, pattern_for(ptype).java(unicode), tok)
     if unicode_email:
         out = F.regexp_replace(out, "(?iU)" + UNICODE_EMAIL, "[EMAIL_REDACTED]")
     return out
 
 
+def severity_of(text: Column, cfg) -> Column:
+    """Severity with every option of the config; the one form that operators use."""
+    return severity(text, cfg.max_message_len, cfg.oversize, cfg.unicode_regex, cfg.unicode_email_fallback)
+
+
+def masked_of(text: Column, cfg) -> Column:
+    """Masking that covers whatever ``severity_of`` detects."""
+    return mask_message(text, cfg.unicode_regex, cfg.unicode_email_fallback)
+
+
 def mask_log_keys(text: Column) -> Column:
     out = text
     for regex, tok in LOG_KEY_PATTERNS:

@@ -31,22 +31,6 @@ SPAN_TYPE = (
 SPAN_ARRAY_TYPE = f"array<{SPAN_TYPE}>"
 
 
-def _empty_spans() -> Column:
-    return F.expr(f"cast(array() as {SPAN_ARRAY_TYPE})")
-
-
-def gap_regex(spec: PatternSpec, unicode: bool = True) -> str:
-    """Regex whose group 1 is the text between the previous match and the next.
-
-    ``\\G`` pins every attempt to the end of the previous match, so the lazy
-    gap is found in one left-to-right pass and the match sequence is the same
-    as ``find()`` on the plain pattern.
-    """
-    flags = ("U" if unicode else "") + spec.flags
-    head = f"(?{flags})" if flags else ""
-    return f"{head}\\G(?s:(.*?))(?:{spec.regex})"
-
-
 # ---------------------------------------------------------------- SQL text
 # The span expressions are generated as Spark SQL text and parsed once with
 # ``F.expr``: the same Catalyst expressions as the DataFrame API, built
@@ -79,6 +63,39 @@ def sql_of(c) -> str:
 
 EMPTY_SQL = f"cast(array() as {SPAN_ARRAY_TYPE})"
 
+#: elements per block of a blocked fold
+BLOCK = 512
+
+
+def _blocked_fold_sql(items: str, start: str, out_type: str, step, keep: str) -> str:
+    """Left fold that grows an output array without copying it per element.
+
+    ``items`` is a bound array, ``start`` the fields of the first state,
+    ``step(state, item)`` gives ``(fields of the next state, condition,
+    element)`` and ``keep`` names the state fields carried between blocks.
+    Elements are appended to a block's own array and blocks are concatenated,
+    so n elements cost about n * (BLOCK + n / BLOCK) copies instead of n * n.
+    """
+    outer, inner, i, k, done = _var("o"), _var("s"), _var("i"), _var("k"), _var("d")
+    fields, condition, element = step(inner, f"{items}[{i}]")
+    empty = f"cast(array() as {out_type})"
+    carry = ", ".join(f"'{f}', {outer}.{f}" for f in keep.split())
+    back = ", ".join(f"'{f}', {done}.{f}" for f in keep.split())
+    body = f"named_struct({fields}, 'out', array_append({inner}.out, {element}))"
+    if condition:
+        body = f"CASE WHEN {condition} THEN {body} ELSE {inner} END"
+    block = (f"aggregate(sequence({k}, least({k} + {BLOCK}, size({items})) - 1), "
+             f"named_struct({carry}, 'out', {empty}), ({inner}, {i}) -> {body}, "
+             f"{done} -> named_struct({back}, 'out', concat({outer}.out, {done}.out)))")
+    return (f"CASE WHEN size({items}) = 0 THEN named_struct({start}, 'out', {empty}) ELSE "
+            f"aggregate(sequence(0, size({items}) - 1, {BLOCK}), named_struct({start}, 'out', {empty}), "
+            f"({outer}, {k}) -> {block}) END")
+
+
+def _let_sql(value: str, body) -> str:
+    v = _var("v")
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
 
 def _guard_sql(t: str, spec: PatternSpec, unicode: bool) -> str | None:
     if spec.guard is None:
@@ -91,18 +108,27 @@ def _guard_sql(t: str, spec: PatternSpec, unicode: bool) -> str | None:
 
 
 def pattern_spans_sql(t: str, spec: PatternSpec, prio: int, unicode: bool = True) -> str:
-    m, g, mm, acc, x = _var("m"), _var("g"), _var("mm"), _var("acc"), _var("x")
-    start = f"{acc}.pos + length({x}.g)"
-    span = (f"named_struct('start', {start}, 'end', {start} + length({x}.m), 'prio', {int(prio)}, "
-            f"'text', {x}.m, 'pii_type', {sql_str(spec.pii_type)}, 'confidence', {float(spec.confidence)!r}D, "
-            f"'method', {sql_str(spec.method)})")
-    fold = (f"aggregate(zip_with(regexp_extract_all({t}, {sql_str(gap_regex(spec, unicode))}, 1), {m}, "
-            f"({g}, {mm}) -> named_struct('g', {g}, 'm', {mm})), "
-            f"named_struct('pos', 0, 'out', {EMPTY_SQL}), "
-            f"({acc}, {x}) -> named_struct('pos', {start} + length({x}.m), 'out', array_append({acc}.out, {span})), "
-            f"{acc} -> {acc}.out)")
-    body = (f"element_at(transform(array(regexp_extract_all({t}, {sql_str(spec.java(unicode))}, 0)), "
-            f"{m} -> CASE WHEN size({m}) = 0 THEN {EMPTY_SQL} ELSE {fold} END), 1)")
+    # the text between matches comes from splitting by the same pattern, so
+    # groups and back-references of a user's pattern keep their numbers
+    g, mm = _var("g"), _var("mm")
+    pattern = sql_str(spec.java(unicode))
+
+    def fold(pairs: str) -> str:
+        def step(acc: str, x: str):
+            start = f"{acc}.pos + length({x}.g)"
+            span = (f"named_struct('start', {start}, 'end', {start} + length({x}.m), 'prio', {int(prio)}, "
+                    f"'text', {x}.m, 'pii_type', {sql_str(spec.pii_type)}, 'confidence', {float(spec.confidence)!r}D, "
+                    f"'method', {sql_str(spec.method)})")
+            return f"'pos', {start} + length({x}.m)", None, span
+
+        return "(" + _blocked_fold_sql(pairs, "'pos', 0", SPAN_ARRAY_TYPE, step, "pos") + ").out"
+
+    def found(m: str) -> str:
+        pairs = (f"zip_with(slice(split({t}, {pattern}, -1), 1, size({m})), {m}, "
+                 f"({g}, {mm}) -> named_struct('g', {g}, 'm', {mm}))")
+        return f"CASE WHEN size({m}) = 0 THEN {EMPTY_SQL} ELSE {_let_sql(pairs, fold)} END"
+
+    body = _let_sql(f"regexp_extract_all({t}, {pattern}, 0)", found)
     guard = _guard_sql(t, spec, unicode)
     return body if guard is None else f"CASE WHEN {guard} THEN {body} ELSE {EMPTY_SQL} END"
 
@@ -129,13 +155,11 @@ def _by_start_prio_sql() -> str:
 
 def resolve_overlaps_sql(spans: str, mixed_confidence: bool = False) -> str:
     if not mixed_confidence:
-        acc, s_ = _var("acc"), _var("s")
-        # the empty start value is a typed literal: referencing ``spans`` a
-        # second time would evaluate the whole detection twice
-        return (f"aggregate(array_sort({spans}, {_by_start_prio_sql()}), named_struct('last_end', 0, 'kept', {EMPTY_SQL}), "
-                f"({acc}, {s_}) -> CASE WHEN {s_}.start >= {acc}.last_end THEN named_struct('last_end', "
-                f"greatest({acc}.last_end, {s_}.end), 'kept', array_append({acc}.kept, {s_})) ELSE {acc} END, "
-                f"{acc} -> {acc}.kept)")
+        def step(acc: str, x: str):
+            return (f"'last_end', greatest({acc}.last_end, {x}.end)", f"{x}.start >= {acc}.last_end", x)
+
+        return _let_sql(f"array_sort({spans}, {_by_start_prio_sql()})", lambda v: "(" + _blocked_fold_sql(
+            v, "'last_end', 0", SPAN_ARRAY_TYPE, step, "last_end") + ").out")
     v, acc, s_, k, f, k2 = _var("v"), _var("acc"), _var("s"), _var("k"), _var("f"), _var("k")
     over = f"filter({acc}, {k} -> {s_}.start < {k}.end AND {s_}.end > {k}.start)"
     step = (f"({acc}, {s_}) -> element_at(transform(array({over}), {f} -> CASE WHEN size({f}) = 0 "
@@ -148,10 +172,22 @@ def resolve_overlaps_sql(spans: str, mixed_confidence: bool = False) -> str:
 
 
 def mask_with_spans_sql(t: str, spans: str) -> str:
-    acc, s_ = _var("acc"), _var("s")
-    return (f"aggregate(reverse(array_sort({spans}, {_by_start_sql()})), {t}, ({acc}, {s_}) -> "
-            f"concat(substring({acc}, 1, {s_}.start), '[', upper({s_}.pii_type), '_REDACTED]', "
-            f"substring({acc}, {s_}.end + 1, 2147483647)))")
+    """Kept spans do not overlap: the text is cut once, left to right, into the
+    pieces between them (slices of its characters) and joined again."""
+    def masked(both: str) -> str:
+        def step(acc: str, x: str):
+            piece = (f"concat(array_join(slice({both}.c, {acc}.pos + 1, {x}.start - {acc}.pos), ''), "
+                     f"'[', upper({x}.pii_type), '_REDACTED]')")
+            return f"'pos', {x}.end", None, piece
+
+        folded = _blocked_fold_sql(f"{both}.s", "'pos', 0", "array<string>", step, "pos")
+        return _let_sql(folded, lambda r: f"concat(array_join({r}.out, ''), array_join(slice({both}.c, {r}.pos + 1, "
+                                          f"greatest(size({both}.c) - {r}.pos, 0)), ''))")
+
+    # one let for the spans decides whether the text is cut at all
+    return _let_sql(f"array_sort({spans}, {_by_start_sql()})", lambda v: (
+        f"CASE WHEN size({v}) = 0 THEN {t} ELSE "
+        + _let_sql(f"named_struct('s', {v}, 'c', split({t}, ''))", masked) + " END"))
 
 
 # ---------------------------------------------------------------- Column API
@@ -178,11 +214,6 @@ def registry_spans(text, registry: PatternRegistry, unicode: bool = True) -> Col
     return F.expr(registry_spans_sql(sql_of(text), registry, unicode))
 
 
-def sort_spans(spans) -> Column:
-    """Sort by (start, registry priority)."""
-    return F.expr(f"array_sort({sql_of(spans)}, {_by_start_prio_sql()})")
-
-
 def resolve_overlaps(spans, mixed_confidence: bool = False) -> Column:
     """Greedy overlap resolution over spans sorted by (start, prio).
 
@@ -197,7 +228,7 @@ def resolve_overlaps(spans, mixed_confidence: bool = False) -> Column:
 
 
 def mask_with_spans(text, spans) -> Column:
-    """Replace every span, right to left, with ``[<TYPE>_REDACTED]``."""
+    """Replace every (non-overlapping) span with ``[<TYPE>_REDACTED]``."""
     return F.expr(mask_with_spans_sql(sql_of(text), sql_of(spans)))
 
 

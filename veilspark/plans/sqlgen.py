@@ -90,12 +90,14 @@ def message_class_regex(severity: str) -> str:
     return "|".join(alts)
 
 
-def severity_sql(col: str, max_len: int = 10000) -> str:
+def severity_sql(col: str, max_len: int | None = None, unicode_email: bool = False) -> str:
+    gate = f" OR length({col}) > {max_len}" if max_len else ""
+    last = f"WHEN regexp_matches({col}, {q(UNICODE_EMAIL_RE2)}) THEN 'sensitive' " if unicode_email else ""
     return (
-        f"CASE WHEN {col} IS NULL OR {col} = '' OR length({col}) > {max_len} THEN NULL "
+        f"CASE WHEN {col} IS NULL OR {col} = ''{gate} THEN NULL "
         f"WHEN regexp_matches({col}, {q(message_class_regex('critical'))}) THEN 'critical' "
         f"WHEN regexp_matches({col}, {q(message_class_regex('sensitive'))}) THEN 'sensitive' "
-        f"WHEN regexp_matches({col}, {q(message_class_regex('contextual'))}) THEN 'contextual' END"
+        f"WHEN regexp_matches({col}, {q(message_class_regex('contextual'))}) THEN 'contextual' {last}END"
     )
 
 

@@ -21,16 +21,15 @@ def policy_stream(stream: DataFrame, text_col: str = "text", policy: str = "mask
                   cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Severity, sink output and log level for every message (stateless)."""
     t = F.col(text_col)
-    sev = M.severity(t, cfg.max_message_len, cfg.oversize, cfg.unicode_regex, cfg.unicode_email_fallback)
-    with_sev = stream.withColumn("severity", sev)
+    with_sev = stream.withColumn("severity", M.severity_of(t, cfg))
     s = F.col("severity")
-    return with_sev.withColumn("output", M.policy_output(t, s, policy)).withColumn(
+    return with_sev.withColumn("output", M.policy_output(t, s, policy, M.masked_of(t, cfg))).withColumn(
         "log_level", M.log_level(t, s, policy))
 
 
 def drop_blocked(stream: DataFrame, text_col: str = "text", cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Filter form of BLOCK: messages with any PII never reach the sink."""
-    return stream.where(M.severity(F.col(text_col), cfg.max_message_len, cfg.oversize).isNull())
+    return stream.where(M.severity_of(F.col(text_col), cfg).isNull())
 
 
 def entity_stream(stream: DataFrame, text_col: str = "text", cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -50,7 +49,7 @@ def _event_time(stream: DataFrame, ts_col: str) -> DataFrame:
 def severity_counts(stream: DataFrame, ts_col: str, text_col: str = "text", window: str = "10 minutes",
                     slide: str | None = None, watermark: str = "10 minutes", cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Messages per severity class per event-time window (clean included)."""
-    sev = F.coalesce(M.severity(F.col(text_col), cfg.max_message_len, cfg.oversize), F.lit("clean"))
+    sev = F.coalesce(M.severity_of(F.col(text_col), cfg), F.lit("clean"))
     w = F.window(ts_col, window, slide) if slide else F.window(ts_col, window)
     return (
         _event_time(stream, ts_col).withWatermark(ts_col, watermark)

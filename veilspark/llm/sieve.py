@@ -9,8 +9,9 @@ whose hash came from more than one lot.  So however many owners share a hash,
 a reader holds at most one entry a lot for it, and the number of buckets
 follows the expected number of hashes.
 
-An entry is a 64-bit hash with a 32-bit check, both of which must agree, and
-an owner; blocks name their owners once.
+An entry is a 64-bit hash with a 16-bit check, both of which must agree, and
+an owner; blocks name their owners once, and checks that are all zero not at
+all.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import arrow_batch, arrow_schema
 
 BLOCKS = "part int, known int, hashes binary, checks binary, owners binary, names binary"
 SHARED = "hash long, owner long"
-LOT = 1_000_000
-PER_BUCKET = 3_000_000
+LOT = 300_000
+PER_BUCKET = 1_000_000
 
 
 def bucket_count(spark, expected: float) -> int:
@@ -34,12 +35,12 @@ def bucket_count(spark, expected: float) -> int:
 
 def _block(part: int, known: int, hashes, checks, owners):
     names, index = np.unique(owners, return_inverse=True)
-    return (part, known, hashes.tobytes(), checks.tobytes(), index.astype("<u4" if len(names) > 65535 else "<u2").tobytes(),
+    return (part, known, hashes.tobytes(), checks.tobytes() if checks.any() else b"", index.astype("<u4" if len(names) > 65535 else "<u2").tobytes(),
             names.tobytes())
 
 
 def blocks(lots, buckets: int):
-    """Arrow batches of ``BLOCKS`` from lots of (hash uint64, check uint32, owner int64) arrays; an
+    """Arrow batches of ``BLOCKS`` from lots of (hash uint64, check uint16, owner int64) arrays; an
     entry that stands twice in a lot for one owner is one that occurs twice there."""
     schema, turn = arrow_schema(BLOCKS), 0
     for hashes, checks, owners in lots:
@@ -71,7 +72,8 @@ def _read(row):
     _, _, hashes, checks, owners, names = (x.as_py() for x in row)
     names = np.frombuffer(names, np.int64)
     index = np.frombuffer(owners, "<u4" if len(names) > 65535 else "<u2")
-    return np.frombuffer(hashes, np.uint64), np.frombuffer(checks, np.uint32), names[index]
+    hashes = np.frombuffer(hashes, np.uint64)
+    return hashes, np.frombuffer(checks, np.uint16) if checks else np.zeros(len(hashes), np.uint16), names[index]
 
 
 def _shared(batches):

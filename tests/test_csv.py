@@ -7,11 +7,12 @@ import tempfile
 from veilspark.config import VeilConfig
 from veilspark.functions.patterns import PatternRegistry
 from veilspark.plans.table_job import process_csv
-from veilspark.sources.csv import read_csv, read_csv_batch, with_file_row_index
+from veilspark.sources.csv import read_csv, read_csv_batch, read_csv_indexed, with_file_row_index
+from veilspark.sources.sinks import write_masked_csv
 from veilspark.sources.tables import ADDRESS_PATTERN
 
-CSV = "name,email,phone,notes\nJohn Doe,john@example.com,555-123-4567,Regular customer\n" \
-      "Jane Smith,jane@test.org,555-987-6543,VIP NA\nBob,,,SSN 123-45-6789\n"
+CSV = ("name,email,phone,notes\nMara Lind,mara@kiln.test,219-555-0173,glaze NA\n"
+       "Tove Berg,tove@kiln.test,219-555-0188,\"said \"\"hi\"\", left\"\nUlf,,,SSN 321-54-9876\n")
 
 
 def _tmp():
@@ -22,13 +23,13 @@ def test_encoding_fallback(spark):
     d = _tmp()
     p = os.path.join(d, "latin.csv")
     with open(p, "wb") as f:
-        f.write("name,email\nJosé García,jose@example.com\nFrançois,f@x.fr\n".encode("latin-1"))
+        f.write("name,email\nZoë Müller,zoe@kiln.test\nInês,ines@kiln.test\n".encode("latin-1"))
     df, enc = read_csv(spark, p)
     assert enc == "ISO-8859-1"
-    assert sorted(r.name for r in df.collect()) == ["François", "José García"]
+    assert sorted(r.name for r in df.collect()) == ["Inês", "Zoë Müller"]
     p2 = os.path.join(d, "utf.csv")
     with open(p2, "w", encoding="utf-8") as f:
-        f.write("name,email\nJosé García,jose@example.com\n")
+        f.write("name,email\nZoë Müller,zoe@kiln.test\n")
     assert read_csv(spark, p2)[1] == "UTF-8"
 
 
@@ -81,11 +82,52 @@ def test_process_csv_end_to_end(spark):
     cfg = VeilConfig(registry=PatternRegistry.default().with_patterns([ADDRESS_PATTERN]))
     out = os.path.join(d, "out")
     res = process_csv(spark, p, out, cfg, timestamp="2024-01-01T00:00:00")
-    masked = {r.name: r for r in spark.read.option("header", True).csv(os.path.join(out, "masked")).collect()}
-    assert masked["John Doe"].email == "[EMAIL_ADDRESS_REDACTED]"
-    assert masked["Bob"].notes == "SSN [SOCIAL_SECURITY_NUMBER_REDACTED]"
-    assert masked["Jane Smith"].notes == "VIP NA"
+    back, _ = read_csv(spark, os.path.join(out, "masked"))
+    masked = {r.name: r for r in back.collect()}
+    assert back.columns == ["name", "email", "phone", "notes"]
+    assert masked["Mara Lind"].email == "[EMAIL_ADDRESS_REDACTED]" and masked["Mara Lind"].notes == "glaze NA"
+    assert masked["Ulf"].notes == "SSN [SOCIAL_SECURITY_NUMBER_REDACTED]" and masked["Ulf"].email == ""
+    assert masked["Tove Berg"].notes == 'said "hi", left'
     rep = json.loads(spark.read.text(os.path.join(out, "report")).first().value)
     assert rep["summary"]["total_entities"] == 5
     assert rep["timestamp"] == "2024-01-01T00:00:00"
     assert res.summary().first().total_entities == 5
+
+
+def test_encoding_is_decided_per_file(spark):
+    d = _tmp()
+    with open(os.path.join(d, "a.csv"), "wb") as f:
+        f.write("name,note\nZoë,keeps \ufffd\n".encode())
+    with open(os.path.join(d, "b.csv"), "wb") as f:
+        f.write("name,note\nInês,x\n".encode("latin-1"))
+    df, enc = read_csv(spark, d)
+    assert sorted(tuple(r) for r in df.collect()) == [("Inês", "x"), ("Zoë", "keeps \ufffd")]
+    assert enc == "UTF-8, ISO-8859-1"
+
+
+def test_written_cells_read_back_equal(spark):
+    rows = [("  padded  ", 'he said "hi", ok'), ("", "a,b"), ("back\\slash", "'"), ('"', "NA"), ("tab\there", "é")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = os.path.join(_tmp(), "t")
+    write_masked_csv(df, out)
+    assert sorted(tuple(r) for r in read_csv(spark, out)[0].collect()) == sorted(rows)
+
+
+def test_row_numbers_are_unique_over_files_and_bad_rows_are_reported(spark):
+    d = _tmp()
+    for name, rows in (("a", 3), ("b", 2)):
+        with open(os.path.join(d, f"{name}.csv"), "w") as f:
+            f.write("id,text\n" + "".join(f"{name}{i},t\n" for i in range(rows)))
+    got = read_csv_indexed(spark, d).collect()
+    assert sorted((r.row_index, r.id) for r in got) == [(0, "a0"), (1, "a1"), (2, "a2"), (3, "b0"), (4, "b1")]
+    wide = os.path.join(_tmp(), "wide.csv")
+    with open(wide, "w") as f:
+        f.write("name,email\nA,a@kiln.test,219-555-0173\nB,\n")
+    res = read_csv_batch(spark, [wide])
+    assert sorted(tuple(r) for r in res.tables["wide"].select("name", "email").collect()) == [("A", "a@kiln.test"), ("B", "")]
+    bad = res.errors.collect()
+    assert [(r.dataset, r.record) for r in bad] == [("wide", "A,a@kiln.test,219-555-0173")]
+    out = os.path.join(_tmp(), "out")
+    process_csv(spark, wide, out, timestamp="t")
+    errors = spark.read.json(os.path.join(out, "errors")).collect()
+    assert len(errors) == 1 and "0173" not in errors[0]["_bad_record"]

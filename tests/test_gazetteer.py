@@ -59,3 +59,12 @@ def test_custom_detector_function(spark):
     ent = D.entities_with_detectors(cells, [office_detector], VeilConfig())
     assert {(r.text, r.pii_type) for r in ent.where("column_name = 'notes'").collect()} == {
         ("office", "physical_address")}
+
+
+def test_phrases_of_any_length_and_case(spark):
+    cells = to_cells(spark.createDataFrame([(0, "we sent acme corp to the United Arab Emirates via Paris")],
+                                           "row_index long, notes string"), "row_index", ["notes"])
+    gaz = spark.createDataFrame([("United Arab Emirates", "GPE"), ("acme corp", "ORG"), ("Paris", "GPE")],
+                                "phrase string, label string")
+    assert {r.phrase for r in GZ.gazetteer_matches(cells, gaz).collect()} == {"United Arab Emirates", "acme corp", "Paris"}
+    assert {r.phrase for r in GZ.gazetteer_matches(cells, gaz, capitalised=True).collect()} == {"United Arab Emirates", "Paris"}

@@ -120,6 +120,29 @@ def test_distributed_components_match_union_find(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 4: 4, 5: 4, 10: 10, 11: 10, 12: 10}
 
 
+def test_long_path_is_one_component(spark):
+    from veilspark.operators.components import connected_components
+
+    n = 300
+    order = [(7 * i) % n for i in range(n)]  # neighbours are far apart in id order
+    e = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "src long, dst long")
+    got = connected_components(e).collect()
+    assert len(got) == n and {r.component for r in got} == {0}
+
+
+def test_pair_counts_do_not_overflow(spark):
+    big = 10_000_000_000
+    rct = spark.createDataFrame([(0, 0, "email_address", big), (0, 1, "person_name", big + 1)],
+                                "row_index long, column_ordinal int, pii_type string, n long")
+    got = {r.column_ordinal: int(r.column_edges) for r in G.column_edge_counts(rct).collect()}
+    assert got == {}  # every pair of a column is in its row here
+    sem = {(r.type_a, r.type_b): int(r.edges) for r in G.semantic_edge_counts(rct).collect()}
+    assert sem == {("email_address", "person_name"): big * (big + 1)}
+    split = spark.createDataFrame([(0, 0, "zip_code", big), (1, 0, "zip_code", big + 3)],
+                                  "row_index long, column_ordinal int, pii_type string, n long")
+    assert [int(r.column_edges) for r in G.column_edge_counts(split).collect()] == [big * (big + 3)]
+
+
 def test_empty_graph(spark):
     cfg = VeilConfig()
     df = spark.createDataFrame([(0, "nothing here")], "row_index long, text string")

@@ -134,3 +134,38 @@ def test_sanitize_formula(spark):
     df = spark.createDataFrame([("=1+1", "+x", "-3"), ("@SUM", "ok", "a=b")], "a string, b string, c string")
     rows = sanitize_formula(df).collect()
     assert [tuple(r) for r in rows] == [("1+1", "x", "3"), ("SUM", "ok", "a=b")]
+
+
+def test_groups_and_back_references_keep_their_offsets(spark, one_col):
+    import random
+    import re
+
+    from veilspark.functions.patterns import PatternSpec
+
+    rng = random.Random(4)
+    texts = ["xx aaaa yy bbbb"] + ["".join(rng.choice("aab  c1-") for _ in range(40)) for _ in range(60)]
+    for regex in (r"(\w)\1{3}", r"(a)(b)?\1", r"([a-c])-?\1", r"(?:1|a(c))b"):
+        spec = PatternSpec("x", regex)
+        got = one_col(texts).select("text", S.pattern_spans(F.col("text"), spec, 0, unicode=False).alias("s")).collect()
+        for r in got:
+            assert [(x.start, x.end, x.text) for x in r.s] == [(m.start(), m.end(), m.group()) for m in re.finditer(regex, r.text)]
+            assert all(r.text[x.start:x.end] == x.text for x in r.s)
+
+
+def test_patterns_that_match_empty_text_are_refused():
+    import pytest
+
+    from veilspark.functions.patterns import PatternSpec
+
+    for regex in ("a*", "x|", r"\b"):
+        with pytest.raises(ValueError):
+            PatternSpec("x", regex)
+
+
+def test_very_many_matches_in_one_cell(spark, one_col):
+    text = "a1@kiln.test " * 20_000
+    spec = PatternRegistry.default().only("email_address").specs[0]
+    df = one_col([text]).withColumn("s", S.pattern_spans(F.col("text"), spec, 0))
+    kept = df.withColumn("k", S.resolve_overlaps(F.col("s")))
+    row = kept.select(F.size("k").alias("n"), S.mask_with_spans(F.col("text"), F.col("k")).alias("m")).first()
+    assert row.n == 20_000 and row.m == "[EMAIL_ADDRESS_REDACTED] " * 20_000

@@ -35,12 +35,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
     """Return ``(vertex, component)`` where ``component`` is the smallest
     vertex id reachable from ``vertex``.  Vertex ids must be orderable; null
     ends and loops are ignored as edges."""
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     own = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
     if vertices is not None:
         own = own.unionByName(vertices.select(F.col(vertices.columns[0]).alias("v")).where("v IS NOT NULL"))
     labels = materialize(own.distinct().select("v", F.col("v").alias("root")), "labels")
-    left = materialize(pairs.where("a <> b").select(
+    left = materialize(pairs.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))

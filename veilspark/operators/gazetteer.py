@@ -1,10 +1,9 @@
 """Gazetteer detector: the model-free stand-in for named-entity recognition.
 
-Texts are cut into word tokens with offsets; n-grams of up to ``max_tokens``
-tokens that start with an upper-case letter are joined to a gazetteer
-``(phrase, label)``.  Labels go through the NER label map (unmapped labels
-are dropped).  The gazetteer is broadcast only when its row count is under
-a checked bound; larger gazetteers use a shuffle join, so any size works.
+Texts are cut into word tokens with offsets; n-grams of every length that
+some phrase of the gazetteer has are joined to its ``(phrase, label)`` rows.
+Labels go through the NER label map (unmapped labels are dropped).  Whether
+the gazetteer is broadcast is the planner's choice, by its measured size.
 Matches become 0.8-confidence ``ner`` spans that join the regex spans in
 overlap resolution.
 """
@@ -18,7 +17,6 @@ from ..functions import spans as S
 from ..functions.patterns import NER_LABELS, PatternSpec
 
 TOKEN_PATTERN = PatternSpec("token", r"[\p{L}\p{N}_#]+")
-BROADCAST_LIMIT = 1_000_000
 
 
 def label_map(spark: SparkSession) -> DataFrame:
@@ -30,40 +28,40 @@ def map_labels(matches: DataFrame) -> DataFrame:
     return matches.join(F.broadcast(label_map(matches.sparkSession)), "label")
 
 
-def ngrams(cells: DataFrame, max_tokens: int = 2) -> DataFrame:
-    """``row_index, column_ordinal, column_name, start, end, phrase`` for
-    every n-gram (n <= max_tokens) that starts with an upper-case letter."""
+def phrase_lengths(gazetteer: DataFrame) -> DataFrame:
+    """One row: the distinct numbers of tokens of the gazetteer's phrases."""
+    n = F.size(F.regexp_extract_all("phrase", F.lit(TOKEN_PATTERN.java()), F.lit(0)))
+    return gazetteer.select(n.alias("n")).where("n > 0").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+
+
+def ngrams(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
+    """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram of
+    a length that the gazetteer has (``capitalised``: only those that start in upper case)."""
     from .detect import bind_column
 
     toks = S.pattern_spans(F.col("cell_text"), TOKEN_PATTERN, 0)
     with_toks = bind_column(cells.select("row_index", "column_ordinal", "column_name", "cell_text"), "toks", toks)
-    def gram(n):
-        return lambda t, i: F.when(
-            i + n - 1 < F.size(F.col("toks")),
-            F.struct(t["start"].alias("start"), F.col("toks")[i + n - 1]["end"].alias("end")),
-        )
-
-    grams = [F.filter(F.transform(F.col("toks"), gram(n)), lambda g: g.isNotNull())
-             for n in range(1, max_tokens + 1)]
-    allg = F.concat(*grams) if len(grams) > 1 else grams[0]
-    g = with_toks.select("row_index", "column_ordinal", "column_name", "cell_text", F.explode(allg).alias("g"))
+    # a scalar subquery: one small array, however large the gazetteer
+    with_toks = with_toks.withColumn("lengths", phrase_lengths(gazetteer).scalar())
+    grams = F.flatten(F.transform("toks", lambda t, i: F.transform("lengths", lambda n: F.struct(
+        t["start"].alias("start"), F.get("toks", i + n - 1)["end"].alias("end")))))
+    g = with_toks.select("row_index", "column_ordinal", "column_name", "cell_text", F.explode(grams).alias("g")).where(
+        "g.end IS NOT NULL")
     phrase = F.substring(F.col("cell_text"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    return g.select("row_index", "column_ordinal", "column_name", F.col("g.start").alias("start"),
-                    F.col("g.end").alias("end"), phrase.alias("phrase")).where(F.col("phrase").rlike(r"^\p{Lu}"))
+    out = g.select("row_index", "column_ordinal", "column_name", F.col("g.start").alias("start"),
+                   F.col("g.end").alias("end"), phrase.alias("phrase"))
+    return out.where(F.col("phrase").rlike(r"^\p{Lu}")) if capitalised else out
 
 
-def gazetteer_matches(cells: DataFrame, gazetteer: DataFrame, max_tokens: int = 2,
-                      broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def gazetteer_matches(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
     """Raw gazetteer hits with their NER label (before the label map)."""
     gz = gazetteer.select("phrase", "label").dropDuplicates(["phrase", "label"])
-    n = gz.limit(broadcast_limit + 1).count()
-    side = F.broadcast(gz) if n <= broadcast_limit else gz
-    return ngrams(cells, max_tokens).join(side, "phrase")
+    return ngrams(cells, gz, capitalised).join(gz, "phrase")
 
 
-def gazetteer_spans(cells: DataFrame, gazetteer: DataFrame, max_tokens: int = 2) -> DataFrame:
+def gazetteer_spans(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
     """``row_index, column_ordinal, column_name, start, end, text, pii_type`` of mapped hits."""
-    m = map_labels(gazetteer_matches(cells, gazetteer, max_tokens))
+    m = map_labels(gazetteer_matches(cells, gazetteer, capitalised))
     return m.select("row_index", "column_ordinal", "column_name", "start", "end", F.col("phrase").alias("text"),
                     "pii_type")
 

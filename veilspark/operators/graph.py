@@ -105,15 +105,16 @@ def _semantic_terms(items, min_w: float) -> dict:
 
     def count(t):
         a, x = _var("a"), _var("x")
-        return f"aggregate(filter({it}, {x} -> {x}.t = {sql_str(t)}), 0L, ({a}, {x}) -> {a} + {x}.n)"
+        return (f"CAST(aggregate(filter({it}, {x} -> {x}.t = {sql_str(t)}), 0L, ({a}, {x}) -> {a} + {x}.n) "
+                f"AS DECIMAL(19,0))")
 
     ks, ws = [], []
     for a, b, w in semantic_entries():
         if w >= min_w:
-            ks.append(f"({count(a)} * {count(b)})")
+            ks.append(f"CAST({count(a)} * {count(b)} AS DECIMAL(38,0))")
             ws.append(float(w))
     if not ks:
-        return {"cnt": F.lit(0).cast("long"), "sw": F.lit(0.0), "sw2": F.lit(0.0),
+        return {"cnt": F.lit(0).cast("decimal(38,0)"), "sw": F.lit(0.0), "sw2": F.lit(0.0),
                 "wmin": F.lit(None).cast("double"), "wmax": F.lit(None).cast("double")}
     # bind every pair count once: k_i are fields of one struct
     v = _var("v")
@@ -131,8 +132,19 @@ def _semantic_terms(items, min_w: float) -> dict:
             "wmax": over(pick("greatest"))}
 
 
+BIG = "decimal(38,0)"
+
+
+def _big(n):
+    """A count as an exact decimal, so that products of counts cannot overflow."""
+    return n.cast("decimal(19,0)")
+
+
 def _pairs(n):
-    return (n * (n - 1) / 2).cast("long")
+    """``n * (n - 1) / 2``, exact: the even factor is halved before multiplying."""
+    even = n.bitwiseAND(F.lit(1).cast("long")) == 0
+    return F.when(even, _big(F.shiftright(n, 1)) * _big(n - 1)).otherwise(
+        _big(n) * _big(F.shiftright(n - 1, 1))).cast(BIG)
 
 
 def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -188,18 +200,18 @@ def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAUL
     allv = rct.sparkSession.range(1)
     const = allv.select(
         F.explode(F.array(
-            F.struct(F.lit("row_co_occurrence").alias("edge_type"), row_cnt.cast("long").alias("cnt"),
+            F.struct(F.lit("row_co_occurrence").alias("edge_type"), row_cnt.cast(BIG).alias("cnt"),
                      F.lit(ROW_EDGE_WEIGHT).alias("w")),
-            F.struct(F.lit("column_co_occurrence").alias("edge_type"), col_cnt.cast("long").alias("cnt"),
+            F.struct(F.lit("column_co_occurrence").alias("edge_type"), col_cnt.cast(BIG).alias("cnt"),
                      F.lit(COLUMN_EDGE_WEIGHT).alias("w")),
         )).alias("e"))
     const = const.select(
         "e.edge_type", "e.cnt", (F.col("e.w") * F.col("e.cnt")).alias("sw"),
         (F.col("e.w") * F.col("e.w") * F.col("e.cnt")).alias("sw2"),
         F.col("e.w").alias("wmin"), F.col("e.w").alias("wmax"))
-    out = (sem.select(F.lit("semantic").alias("edge_type"), F.col("cnt").cast("long").alias("cnt"), "sw", "sw2",
+    out = (sem.select(F.lit("semantic").alias("edge_type"), F.col("cnt").cast(BIG).alias("cnt"), "sw", "sw2",
                       "wmin", "wmax")
-           .unionByName(pr.select(F.lit("proximity").alias("edge_type"), F.col("cnt").cast("long").alias("cnt"),
+           .unionByName(pr.select(F.lit("proximity").alias("edge_type"), F.col("cnt").cast(BIG).alias("cnt"),
                                   "sw", "sw2", "wmin", "wmax"))
            .unionByName(const))
     return out.where(F.col("cnt") > 0)
@@ -211,12 +223,19 @@ def edge_type_counts(totals: DataFrame) -> DataFrame:
 
 def edge_weight_stats(totals: DataFrame) -> DataFrame:
     """Mean, population std, min and max of all edge weights."""
+    # centred: squared deviations inside each class plus those of the class means
+    n = F.col("cnt").cast("double")
+    mine = F.col("sw") / n
+    inside = F.when(F.col("wmin") == F.col("wmax"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("sw2") - F.col("sw") * mine))
+    overall = totals.agg(F.sum("sw") / F.sum(n)).scalar()
     agg = totals.agg(
-        F.sum("cnt").alias("m"), F.sum("sw").alias("sw"), F.sum("sw2").alias("sw2"),
+        F.sum("cnt").alias("m"), F.sum("sw").alias("sw"),
+        F.sum(inside + n * (mine - overall) * (mine - overall)).alias("squares"),
         F.min("wmin").alias("wmin"), F.max("wmax").alias("wmax"),
     )
-    mean = F.col("sw") / F.col("m")
-    var = F.greatest(F.lit(0.0), F.col("sw2") / F.col("m") - mean * mean)
+    m = F.col("m").cast("double")
+    mean = F.col("sw") / m
+    var = F.greatest(F.lit(0.0), F.col("squares") / m)
     return agg.select(
         F.col("m").alias("total_edges"),
         F.round(mean, STATS_DIGITS).alias("mean_weight"),
@@ -285,7 +304,7 @@ def component_labels(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     present = rct.select("pii_type").distinct()
     live = (partners.join(present, partners.t == present.pii_type, "left_semi")
             .join(present.withColumnRenamed("pii_type", "partner"), "partner", "left_semi"))
-    hub = lambda c: F.concat(F.lit("c:"), F.lpad(F.col(c).cast("string"), 6, "0"))
+    hub = lambda c: F.concat(F.lit("c:"), F.col(c).cast("string"))
     cols_per_row = rct.groupBy("row_index").agg(F.array_sort(F.collect_set("column_ordinal")).alias("cs"))
     col_links = cols_per_row.where(F.size("cs") > 1).select(
         F.explode(F.arrays_zip(F.slice("cs", 1, F.size("cs") - 1).alias("x"),
@@ -297,53 +316,12 @@ def component_labels(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     tt_links = live.select(F.concat(F.lit("t:"), "t").alias("src"), F.concat(F.lit("t:"), "partner").alias("dst"))
     hub_edges = col_links.unionByName(type_links).unionByName(tt_links)
     col_vertices = rct.select(hub("column_ordinal").alias("vertex")).distinct()
-    labels = small_components(hub_edges, col_vertices)
-    if labels is None:
-        labels = connected_components(hub_edges, col_vertices)
+    labels = connected_components(hub_edges, col_vertices)
     return labels.where(F.col("vertex").startswith("c:")).select(
-        F.substring("vertex", 3, 6).cast("int").alias("column_ordinal"), F.col("component").alias("hub")
+        F.substring_index("vertex", ":", -1).cast("int").alias("column_ordinal"), F.col("component").alias("hub")
     )
 
 
-HUB_COLLECT_LIMIT = 200_000
-
-
-def small_components(edges: DataFrame, vertices: DataFrame, limit: int = HUB_COLLECT_LIMIT) -> DataFrame | None:
-    """Union-find on the driver for a graph with a proven small bound.
-
-    The hub graph has at most (columns + types)^2 edges whatever the data
-    size.  The bound is still checked: when more than ``limit`` edges come
-    back, ``None`` is returned and the caller uses the distributed label
-    propagation instead.
-    """
-    spark = edges.sparkSession
-    rows = edges.limit(limit + 1).collect()
-    verts = vertices.limit(limit + 1).collect()
-    if len(rows) > limit or len(verts) > limit:
-        return None
-    parent: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for (v,) in verts:
-        find(v)
-    for a, b in rows:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    members: dict[str, str] = {}
-    for v in parent:
-        r = find(v)
-        members[r] = min(members.get(r, r), v)
-    out = [(v, members[find(v)]) for v in parent]
-    return spark.createDataFrame(out, "vertex string, component string")
-
-
 def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Return (membership, summary).
 
@@ -371,6 +349,15 @@ def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tup
     return membership, summary.drop("hub")
 
 
+def cluster_members(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Entities of each component as rows: component, its rank, and the entity's node id,
+    type, text preview, risk level and confidence."""
+    membership, summary = components(ent, rct, cfg)
+    return membership.join(summary.select("component_id", "cluster_rank"), "component_id").select(
+        "component_id", "cluster_rank", "node_id", "pii_type", F.col("text").alias("text_preview"), "risk_level",
+        "confidence")
+
+
 def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Components with at least two entities, scored:
     ``min(1, 0.4*avg + 0.3*max + 0.2*diversity + 0.1*min(1, size/5))``."""
@@ -411,7 +398,7 @@ def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilCo
     ne = m.select("num_edges").scalar()
     return rct.sparkSession.range(1).select(
         nn.alias("num_nodes"), ne.alias("num_edges"),
-        F.round(F.when(nn > 1, F.lit(2.0) * ne / (nn * (nn - 1))).otherwise(F.lit(0.0)), STATS_DIGITS).alias("density"),
+        F.round(F.when(nn > 1, F.lit(2.0) * ne.cast("double") / (nn.cast("double") * (nn - 1))).otherwise(F.lit(0.0)), STATS_DIGITS).alias("density"),
         (comp.select("n_components").scalar() == 1).alias("is_connected"),
         comp.select("n_components").scalar().alias("n_components"),
         comp.select("largest_component_size").scalar().alias("largest_component_size"),
@@ -482,7 +469,7 @@ def _pair_sums_by(counts: DataFrame, keys: list[str], sem: DataFrame) -> DataFra
     a = counts.select(*keys, F.col("pii_type").alias("a"), F.col("n").alias("na"))
     b = counts.select(*keys, F.col("pii_type").alias("b"), F.col("n").alias("nb"))
     j = a.join(F.broadcast(sem), "a").join(b, keys + ["b"])
-    return j.groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("sem"))
+    return j.groupBy(*keys).agg(F.sum((_big(F.col("na")) * _big(F.col("nb"))).cast(BIG)).alias("sem"))
 
 
 def row_edge_counts(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -493,8 +480,7 @@ def row_edge_counts(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT)
     n_r = r.groupBy("row_index").agg(F.sum("n").alias("n"))
     s = _pair_sums_by(r, ["row_index"], sem)
     p = edges.where(F.col("edge_type") == "proximity").groupBy("row_index").agg(F.count(F.lit(1)).alias("p"))
-    cnt = (F.col("n") * (F.col("n") - 1) / 2 - F.coalesce(F.col("sem"), F.lit(0))
-           - F.coalesce(F.col("p"), F.lit(0))).cast("long")
+    cnt = (_pairs(F.col("n")) - F.coalesce(F.col("sem"), F.lit(0)) - F.coalesce(F.col("p"), F.lit(0))).cast(BIG)
     return (n_r.join(s, "row_index", "left").join(p, "row_index", "left")
             .select("row_index", cnt.alias("row_edges")).where(F.col("row_edges") > 0))
 
@@ -507,11 +493,11 @@ def column_edge_counts(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     n_c = c.groupBy("column_ordinal").agg(F.sum("n").alias("n"))
     s_c = _pair_sums_by(c, ["column_ordinal"], sem)
     cell = rct.groupBy("row_index", "column_ordinal").agg(F.sum("n").alias("n"))
-    same_cell = cell.groupBy("column_ordinal").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("cc"))
+    same_cell = cell.groupBy("column_ordinal").agg(F.sum(_pairs(F.col("n"))).alias("cc"))
     s_rc = _pair_sums_by(rct, ["row_index", "column_ordinal"], sem).groupBy("column_ordinal").agg(
         F.sum("sem").alias("sem_rc"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    cnt = (F.col("n") * (F.col("n") - 1) / 2 - z("sem") - z("cc") + z("sem_rc")).cast("long")
+    cnt = (_pairs(F.col("n")) - z("sem") - z("cc") + z("sem_rc")).cast(BIG)
     return (n_c.join(s_c, "column_ordinal", "left").join(same_cell, "column_ordinal", "left")
             .join(s_rc, "column_ordinal", "left")
             .select("column_ordinal", cnt.alias("column_edges")).where(F.col("column_edges") > 0))
@@ -524,4 +510,4 @@ def semantic_edge_counts(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame
     j = (sem.join(g.select(F.col("pii_type").alias("a"), F.col("n").alias("na")), "a")
          .join(g.select(F.col("pii_type").alias("b"), F.col("n").alias("nb")), "b"))
     return j.select(F.col("a").alias("type_a"), F.col("b").alias("type_b"),
-                    (F.col("na") * F.col("nb")).alias("edges"), F.col("w").alias("weight"))
+                    (_big(F.col("na")) * _big(F.col("nb"))).cast(BIG).alias("edges"), F.col("w").alias("weight"))

@@ -1,9 +1,9 @@
 """Join of externally produced yes/no PII verdicts (e.g. from a model judge).
 
 The model call itself is outside Spark; its verdicts arrive as a table
-keyed by message text.  Each distinct message is looked up once (the
-distinct step replaces a per-process cache) and a missing verdict counts as
-PII, the fail-safe default.
+keyed by message text.  Of several verdicts on one text any "detected" wins,
+and a missing verdict, a null one or a null text counts as PII, the fail-safe
+default.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ VERDICT_PREFIX = "[PII DETECTED BY LLM] "
 
 def verdict_join(messages: DataFrame, verdicts: DataFrame, text_col: str = "text") -> DataFrame:
     """``messages`` + ``is_pii``; ``verdicts`` has ``text, verdict``."""
-    distinct = messages.select(text_col).dropDuplicates([text_col])
-    v = verdicts.select(F.col("text").alias(text_col), "verdict").dropDuplicates([text_col])
-    judged = distinct.join(v, text_col, "left").select(
-        text_col, F.coalesce(F.col("verdict") == "PII_DETECTED", F.lit(True)).alias("is_pii"))
-    return messages.join(judged, text_col, "left")
+    # of conflicting verdicts any "detected" wins; one row a text, so the join
+    # neither repeats messages nor needs them distinct, and skewed texts split
+    v = verdicts.where(F.col("text").isNotNull()).groupBy(F.col("text").alias(text_col)).agg(
+        F.max(F.coalesce(F.col("verdict") == "PII_DETECTED", F.lit(True))).alias("_judged"))
+    return messages.join(v, text_col, "left").withColumn("is_pii", F.coalesce("_judged", F.lit(True))).drop("_judged")
 
 
 def apply_verdict_policy(judged: DataFrame, policy: str, text_col: str = "text") -> DataFrame:

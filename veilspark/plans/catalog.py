@@ -63,8 +63,8 @@ def has_pii_filter(spark, sf):
 
 @register(
     "oversize_gate",
-    f"SELECT doc_id, length(text) AS n_chars, {SEV} AS severity_gated, "
-    f"{Q.severity_sql('text', 10**12)} AS severity_scanned, "
+    f"SELECT doc_id, length(text) AS n_chars, {Q.severity_sql('text', 10000)} AS severity_gated, "
+    f"{SEV} AS severity_scanned, "
     f"CASE WHEN length(text) > 10000 THEN 'critical' ELSE {SEV} END AS severity_blocking "
     f"FROM documents",
 )
@@ -175,12 +175,11 @@ def mask_log_keys(spark, sf):
     return _docs(spark, sf).select("doc_id", M.mask_log_keys(F.col("text")).alias("masked"))
 
 
-@register(
-    "detect_unicode_email", None,
-)
+@register("detect_unicode_email",
+          f"SELECT doc_id, {Q.severity_sql('text', unicode_email=True)} AS severity FROM documents")
 def detect_unicode_email(spark, sf):
     """Severity with the Unicode e-mail fallback (checked only when the
-    ASCII patterns miss).  RE2 has no Unicode word classes, so no oracle."""
+    ASCII patterns miss)."""
     d = _docs(spark, sf)
     return d.select("doc_id", M.severity(F.col("text"), unicode_email_fallback=True).alias("severity"))
 
@@ -529,6 +528,11 @@ def column_profile_q(spark, sf):
 from ..operators import graph as G  # noqa: E402
 
 
+def _as_long(df, column):
+    """The library counts pairs in decimals; the given tables' counts fit a long."""
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def _graph_inputs(spark, sf):
     """Entities, explicit edges and the per-(row, column, type) counts.
 
@@ -604,7 +608,7 @@ def proximity_edges(spark, sf):
 @register("edge_types", _graph_sql("SELECT edge_type, count(*) AS count FROM ge GROUP BY 1"))
 def edge_types(spark, sf):
     cfg, _, edges, rct = _graph_inputs(spark, sf)
-    return G.edge_type_counts(G.edge_class_totals(rct, edges, cfg))
+    return _as_long(G.edge_type_counts(G.edge_class_totals(rct, edges, cfg)), "count")
 
 
 @register("edge_weight_stats", _graph_sql(
@@ -612,7 +616,7 @@ def edge_types(spark, sf):
     " round(min(weight), 9) AS min_weight, round(max(weight), 9) AS max_weight FROM ge"))
 def edge_weight_stats(spark, sf):
     cfg, _, edges, rct = _graph_inputs(spark, sf)
-    return G.edge_weight_stats(G.edge_class_totals(rct, edges, cfg))
+    return _as_long(G.edge_weight_stats(G.edge_class_totals(rct, edges, cfg)), "total_edges")
 
 
 @register("degree_centrality", _graph_sql(
@@ -704,7 +708,7 @@ def _metrics_sql() -> str:
 @register("graph_metrics", _metrics_sql())
 def graph_metrics_q(spark, sf):
     cfg, ent, edges, rct = _graph_inputs(spark, sf)
-    return G.graph_metrics(ent, rct, G.edge_class_totals(rct, edges, cfg), cfg)
+    return _as_long(G.graph_metrics(ent, rct, G.edge_class_totals(rct, edges, cfg), cfg), "num_edges")
 
 
 # ---------------------------------------------------------------- gazetteer, verdicts
@@ -753,9 +757,9 @@ grams AS (SELECT row_index, column_ordinal, column_name, start_pos AS start, end
   UNION ALL
   SELECT a.row_index, a.column_ordinal, a.column_name, a.start_pos, b.end_pos,
     substring(a.cell_text, a.start_pos + 1, b.end_pos - a.start_pos)
-  FROM tok a JOIN tok b ON a.row_index = b.row_index AND a.column_ordinal = b.column_ordinal AND b.k = a.k + 1),
+  FROM tok a JOIN tok b ON a.row_index = b.row_index AND a.column_ordinal = b.column_ordinal AND b.k > a.k),
 gz AS (SELECT DISTINCT phrase, label FROM ({GAZ_SQL})),
-hits AS (SELECT g.*, gz.label FROM grams g JOIN gz USING (phrase) WHERE regexp_matches(g.phrase, '^\\p{{Lu}}'))"""
+hits AS (SELECT g.*, gz.label FROM grams g JOIN gz USING (phrase))"""
 
 
 @register("detect_gazetteer", f"WITH {_ngram_sql()} SELECT row_index, column_name, start, \"end\", phrase, label FROM hits")
@@ -793,7 +797,7 @@ VERDICT_SQL = ("SELECT d.text, CASE WHEN l.toxic = 1 THEN 'PII_DETECTED' ELSE 'N
 
 @register("verdict_join", f"""WITH v AS ({VERDICT_SQL}),
 j AS (SELECT t.text, coalesce(v.verdict = 'PII_DETECTED', true) AS is_pii
-  FROM (SELECT DISTINCT text FROM documents) t LEFT JOIN (SELECT text, any_value(verdict) AS verdict FROM v GROUP BY 1) v
+  FROM (SELECT DISTINCT text FROM documents) t LEFT JOIN (SELECT text, max(verdict) AS verdict FROM v GROUP BY 1) v
   USING (text))
 SELECT doc_id, is_pii, CASE WHEN is_pii THEN '[PII DETECTED BY LLM] ' || d.text ELSE d.text END AS output
 FROM documents d LEFT JOIN j USING (text)""")
@@ -813,7 +817,7 @@ def verdict_join_q(spark, sf):
     "WHERE edge_type = 'row_co_occurrence' GROUP BY 1"))
 def row_edges_q(spark, sf):
     cfg, _, edges, rct = _graph_inputs(spark, sf)
-    return G.row_edge_counts(rct, edges, cfg)
+    return _as_long(G.row_edge_counts(rct, edges, cfg), "row_edges")
 
 
 @register("column_edges", _graph_sql(
@@ -821,7 +825,7 @@ def row_edges_q(spark, sf):
     "WHERE edge_type = 'column_co_occurrence' GROUP BY 1"))
 def column_edges_q(spark, sf):
     cfg, _, _, rct = _graph_inputs(spark, sf)
-    return G.column_edge_counts(rct, cfg)
+    return _as_long(G.column_edge_counts(rct, cfg), "column_edges")
 
 
 @register("semantic_edges", _graph_sql(
@@ -830,7 +834,7 @@ def column_edges_q(spark, sf):
     "JOIN nodes y ON y.node_id = ge.dst WHERE edge_type = 'semantic' GROUP BY 1, 2"))
 def semantic_edges_q(spark, sf):
     cfg, _, _, rct = _graph_inputs(spark, sf)
-    return G.semantic_edge_counts(rct, cfg)
+    return _as_long(G.semantic_edge_counts(rct, cfg), "edges")
 
 
 @register("eigenvector_centrality", None)

@@ -15,6 +15,10 @@ from ..functions.patterns import (
 )
 
 
+#: the Unicode e-mail pattern with RE2's classes for Python's ``\\w``
+UNICODE_EMAIL_RE2 = (r"[\p{L}\p{M}\p{N}\p{Pc}._%+-]+@[\p{L}\p{M}\p{N}\p{Pc}.-]+\.[\p{L}\p{M}\p{N}\p{Pc}]{2,}")
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"

@@ -20,7 +20,7 @@ from ..operators import report as RP
 from ..operators.cells import to_cells
 from ..operators.mask import mask_table
 from ..sources import sinks
-from ..sources.csv import read_csv, with_file_row_index
+from ..sources.csv import BAD_RECORD, read_csv_indexed
 
 
 @dataclass
@@ -31,6 +31,7 @@ class TableResult:
     edges: DataFrame
     counts: DataFrame
     cfg: VeilConfig = field(default=DEFAULT)
+    persisted: tuple[DataFrame, ...] = ()
 
     # summaries -----------------------------------------------------------
     def summary(self) -> DataFrame:
@@ -58,6 +59,14 @@ class TableResult:
     def clusters(self) -> DataFrame:
         return G.risk_clusters(self.entities, self.counts, self.cfg)
 
+    def cluster_members(self) -> DataFrame:
+        return G.cluster_members(self.entities, self.counts, self.cfg)
+
+    def release(self) -> None:
+        """Give back what the frames keep on the executors."""
+        for df in self.persisted:
+            df.unpersist()
+
     def graph_metrics(self) -> DataFrame:
         return G.graph_metrics(self.entities, self.counts, self.edge_totals(), self.cfg)
 
@@ -95,20 +104,33 @@ def process_table(df: DataFrame, key: str = "row_index", columns: list[str] | No
     edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
     counts = G.cell_type_counts_from_spans(framed).persist()
     masked = mask_table(df, key, cols, cfg)
-    return TableResult(cells, entities, masked, edges, counts, cfg)
+    return TableResult(cells, entities, masked, edges, counts, cfg, (framed, counts))
 
 
 def process_csv(spark: SparkSession, path: str, output_dir: str | None = None, cfg: VeilConfig = DEFAULT,
-                max_size_mb: float | None = None, timestamp: str = "") -> TableResult:
-    """CSV in, masked CSV + entity JSON + report JSON + graph tables out."""
-    raw, _enc = read_csv(spark, path, max_size_mb)
-    table = with_file_row_index(raw)
-    result = process_table(table, "row_index", [c for c in raw.columns], cfg)
+                max_size_mb: float | None = None, timestamp: str = "", multiline: bool = False) -> TableResult:
+    """CSV in, masked CSV + entity JSON + report JSON + graph tables out.
+
+    The graph's row, column and semantic edges are cliques: they are written
+    as one hub row a row, column and type pair with its exact edge count, beside
+    the listed same-cell pairs."""
+    table = read_csv_indexed(spark, path, max_size_mb, multiline=multiline)
+    # the raw text of a row that does not fit the header is one more cell: its
+    # entities count, and it is written masked to the errors, not to the table
+    columns = [c for c in table.columns if c not in ("row_index", BAD_RECORD)]
+    table = table.withColumn(BAD_RECORD, F.coalesce(BAD_RECORD, F.lit("")))
+    result = process_table(table, "row_index", [*columns, BAD_RECORD], cfg)
     if output_dir:
         base = output_dir.rstrip("/")
-        sinks.write_masked_csv(result.masked, f"{base}/masked")
+        sinks.write_masked_csv(result.masked, f"{base}/masked", drop=("row_index", BAD_RECORD))
+        sinks.write_json(result.masked.where(F.col(BAD_RECORD) != "").select("row_index", BAD_RECORD), f"{base}/errors")
         sinks.write_json(result.entities, f"{base}/entities")
         sinks.write_json(result.report(timestamp), f"{base}/report")
-        sinks.write_tables({"nodes": result.nodes(), "edges": result.edges, "clusters": result.clusters()},
-                           f"{base}/graph")
+        sinks.write_tables({
+            "nodes": result.nodes(), "edges": result.edges, "clusters": result.clusters(),
+            "cluster_members": result.cluster_members(),
+            "semantic_hubs": G.semantic_edge_counts(result.counts, cfg),
+            "row_hubs": G.row_edge_counts(result.counts, result.edges, cfg),
+            "column_hubs": G.column_edge_counts(result.counts, cfg)}, f"{base}/graph")
+        result.release()
     return result

@@ -1,5 +1,5 @@
-"""CSV sources: all-string tables with encoding fallback, row numbers in
-file order, size guard and per-file error isolation."""
+"""CSV sources: all-string tables with a per-file encoding, row numbers in file
+order, bad records kept aside, size guard and per-file error isolation."""
 
 from __future__ import annotations
 
@@ -8,24 +8,43 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-REPLACEMENT_CHAR = "�"
-
-
-def _reader(spark: SparkSession, encoding: str, multiline: bool = True):
-    # header row, every column a string, empty fields stay empty strings and
-    # text such as "NA" stays a value.  ``multiline`` parses quoted fields
-    # that contain line breaks, but then a file is read by one task; turn it
-    # off for very large files without such fields so that they split.
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("encoding", encoding)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("nullValue", None)
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
+#: column that holds the raw line of a row that does not fit the header
+BAD_RECORD = "_bad_record"
+_FILE, _BLOCK, _ORDER = "__file", "__block", "__mid"
+
+
+def _read(spark: SparkSession, paths: list[str], encoding: str, multiline: bool) -> DataFrame:
+    """Header row, every column a string, text such as "NA" a value, quotes doubled.
+
+    Rows with more or fewer fields than the header carry their raw text in
+    ``BAD_RECORD`` (surplus fields are in no column).  ``multiline`` parses
+    quoted fields that contain line breaks, but then a file is read by one
+    task; without it files split.
+    """
+    reader = (
+        spark.read.option("header", True).option("encoding", encoding).option("multiLine", multiline)
+        .option("escape", '"').option("mode", "PERMISSIVE")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
+    names = reader.option("inferSchema", False).csv(paths[0]).columns
+    if not names:
+        return spark.createDataFrame([], f"{BAD_RECORD} string")
+    fields = ", ".join(f"`{n}` STRING" for n in [*names, BAD_RECORD])
+    df = reader.schema(fields).option("columnNameOfCorruptRecord", BAD_RECORD).csv(paths)
+    return df.select(
+        # an empty field is an empty string whether or not it was quoted
+        *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names],
+        # all fields are named, so that none is pruned from the parser, which could not count them then
+        F.when(F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])) >= 0, F.col(BAD_RECORD)).alias(BAD_RECORD),
+        F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
+        F.monotonically_increasing_id().alias(_ORDER))
+
+
+def _undecodable(spark: SparkSession, path: str) -> set[str]:
+    """Names of the files that hold bytes which are not UTF-8 (the scan compares raw bytes)."""
+    lines = spark.read.text(path)
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f")).distinct()
+    return {r.f for r in bad.collect()}  # file names only
 
 
 def total_size_mb(spark: SparkSession, path: str) -> float:
@@ -34,76 +53,108 @@ def total_size_mb(spark: SparkSession, path: str) -> float:
     return (row["n"] or 0) / (1024 * 1024)
 
 
-def read_csv(spark: SparkSession, path: str, max_size_mb: float | None = None,
-             encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = True) -> tuple[DataFrame, str]:
-    """Read a CSV table; return ``(frame, encoding used)``.
-
-    Spark replaces undecodable bytes with U+FFFD instead of failing, so the
-    fallback is a distributed existence test for that character; only when
-    it is found the file is read again with the next encoding.  ISO-8859-1
-    accepts every byte, so it always succeeds.
-    """
+def _tagged(spark: SparkSession, path: str, max_size_mb: float | None, encodings: tuple[str, ...],
+            multiline: bool) -> tuple[DataFrame, str]:
     if max_size_mb is not None:
         size = total_size_mb(spark, path)
         if size > max_size_mb:
             raise ValueError(f"File too large: {size:.1f}MB (max: {max_size_mb}MB)")
-    df = None
-    for enc in encodings:
-        df = _reader(spark, enc, multiline).csv(path)
-        if not df.columns:
-            return df, enc
-        bad = None
-        for c in df.columns:
-            cond = F.col(c).contains(REPLACEMENT_CHAR)
-            bad = cond if bad is None else (bad | cond)
-        if df.where(bad).limit(1).count() == 0:
-            return df, enc
-    return df, encodings[-1]
+    first, *other = encodings
+    odd = _undecodable(spark, path) if other and first.upper() in ("UTF-8", "UTF8") else set()
+    if not odd:
+        return _read(spark, [path], first, multiline), first
+    files = set(spark.read.text(path).inputFiles())
+    odd = {f for f in files if _plain(f) in {_plain(o) for o in odd}}
+    rest = _read(spark, sorted(odd), other[0], multiline)
+    if odd == files:
+        return rest, other[0]
+    return _read(spark, sorted(files - odd), first, multiline).unionByName(rest), f"{first}, {other[0]}"
+
+
+def _plain(uri: str) -> str:
+    """A file URI without its scheme's slashes, which differ between listings."""
+    return uri.split(":", 1)[-1].lstrip("/")
+
+
+def read_csv(spark: SparkSession, path: str, max_size_mb: float | None = None,
+             encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = False,
+             bad_records: bool = False) -> tuple[DataFrame, str]:
+    """Read a CSV table (a file or a folder of files with one header); return ``(frame, encoding used)``.
+
+    The encoding is decided per file, on undecodable bytes: files that are
+    not valid UTF-8 are read with the next encoding (ISO-8859-1 accepts every
+    byte), the others stay UTF-8.  With ``bad_records`` rows that do not fit
+    the header keep their raw text in column ``_bad_record``.
+    """
+    df, encoding = _tagged(spark, path, max_size_mb, encodings, multiline)
+    drop = [_FILE, _BLOCK, _ORDER] + ([] if bad_records else [BAD_RECORD])
+    return df.drop(*drop), encoding
+
+
+def read_csv_indexed(spark: SparkSession, path: str, max_size_mb: float | None = None,
+                     encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = False,
+                     name: str = "row_index") -> DataFrame:
+    """``read_csv`` with bad records and a 0-based row number over all files, in path order."""
+    df, _ = _tagged(spark, path, max_size_mb, encodings, multiline)
+    return _numbered(df, name)
 
 
 def with_file_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based row number in file order, computed without a global sort.
+    """0-based row number in file order of a frame that is read from files."""
+    return _numbered(df.select(
+        "*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
+        F.monotonically_increasing_id().alias(_ORDER)), name)
 
-    Rows keep their order inside a file split; splits are ordered by their
-    byte offset.  Each split gets an offset from a prefix sum over the split
-    counts (a table with one row per split, small next to the data), and a
-    row's number is that offset plus its position inside the split.
+
+def _numbered(tagged: DataFrame, name: str) -> DataFrame:
+    """Row numbers without a global sort.
+
+    Rows keep their order inside a file split; splits are ordered by path
+    and byte offset.  Each split gets an offset from a prefix sum over the
+    split counts (one row a split), and a row's number is that offset plus its
+    position inside the split, so numbers are unique over all files.
     """
-    meta = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__mid"),
-    )
-    splits = meta.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"))
-    w = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("__file", "__block", "__mid0",
-                            F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    out = meta.join(F.broadcast(offsets), ["__file", "__block"])
+    if _FILE not in tagged.columns:  # a file without columns
+        return tagged.withColumn(name, F.lit(0).cast("long"))
+    splits = tagged.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("__n"), F.min(_ORDER).alias("__mid0"))
+    w = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(_FILE, _BLOCK, "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    out = tagged.join(offsets, [_FILE, _BLOCK])
     return out.select(
-        (F.col("__off") + F.col("__mid") - F.col("__mid0")).alias(name),
-        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col("__off") + F.col(_ORDER) - F.col("__mid0")).alias(name),
+        *[F.col(f"`{c}`") for c in tagged.columns if c not in (_FILE, _BLOCK, _ORDER)],
     )
 
 
 @dataclass
 class BatchRead:
     tables: dict[str, DataFrame]     # data set name -> table with row_index
-    errors: DataFrame                # dataset, path, error
+    errors: DataFrame                # dataset, path, error, record
 
 
-def read_csv_batch(spark: SparkSession, paths: list[str], max_size_mb: float | None = None) -> BatchRead:
-    """Open several CSV files, each with its own header; a file that cannot
-    be opened becomes a row of ``errors`` instead of failing the batch.
-    The loop runs over file names only; every read is distributed."""
+def read_csv_batch(spark: SparkSession, paths: list[str], max_size_mb: float | None = None,
+                   multiline: bool = False) -> BatchRead:
+    """Open several CSV files, each with its own header.
+
+    A file that cannot be opened becomes a row of ``errors`` instead of
+    failing the batch, and so does every row that does not fit its file's
+    header (it stays in the table with the fields that fit).  The loop runs
+    over file names only; every read is distributed.
+    """
     tables: dict[str, DataFrame] = {}
-    errors = []
+    failed, bad = [], None
+    schema = "dataset string, path string, error string, record string"
     for p in paths:
         name = p.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
         try:
-            df, _ = read_csv(spark, p, max_size_mb)
-            tables[name] = with_file_row_index(df)
+            df = read_csv_indexed(spark, p, max_size_mb, multiline=multiline)
         except Exception as e:  # noqa: BLE001 - isolate per file
-            errors.append((name, p, f"{type(e).__name__}: {str(e).splitlines()[0][:500]}"))
-    err = spark.createDataFrame(errors, "dataset string, path string, error string")
-    return BatchRead(tables, err)
+            failed.append((name, p, f"{type(e).__name__}: {str(e).splitlines()[0][:500]}", None))
+            continue
+        tables[name] = df.drop(BAD_RECORD)
+        rows = df.where(F.col(BAD_RECORD).isNotNull()).select(
+            F.lit(name).alias("dataset"), F.lit(p).alias("path"),
+            F.format_string("row %d does not fit the header", "row_index").alias("error"), F.col(BAD_RECORD).alias("record"))
+        bad = rows if bad is None else bad.unionByName(rows)
+    errors = spark.createDataFrame(failed, schema)
+    return BatchRead(tables, errors if bad is None else errors.unionByName(bad))

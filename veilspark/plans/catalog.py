@@ -23,7 +23,7 @@ from ..functions.patterns import (
 )
 from ..operators import analyze as A
 from ..operators import detect as D
-from ..operators.mask import mask_table
+from ..operators.mask import mask_table, sanitize_formula
 from ..sources.tables import spread, table
 from . import sqlgen as Q
 from .datasets import DOCS, PAGES, PEOPLE, Dataset
@@ -139,6 +139,22 @@ def log_batch_status(spark, sf):
     )
 
 
+def _batch_status(policy: str, status: str, output: str) -> None:
+    """Batch form of the other policies."""
+    sql = (f"SELECT doc_id, CASE WHEN sev IS NULL THEN 'CLEAN' ELSE '{status}' END AS status, "
+           f"CASE WHEN sev IS NULL THEN text ELSE {output} END AS output FROM (SELECT doc_id, text, {SEV} AS sev FROM documents)")
+
+    @register(f"log_batch_status_{policy}", sql)
+    def build(spark, sf):
+        d = _docs(spark, sf).withColumn("sev", M.severity(F.col("text")))
+        return d.select("doc_id", M.batch_status(F.col("sev"), policy).alias("status"),
+                        M.batch_output(F.col("text"), F.col("sev"), policy).alias("output"))
+
+
+_batch_status("block", "BLOCKED", "NULL")
+_batch_status("log_as_is", "WARNING", "text")
+
+
 @register(
     "corpus_stats",
     f"SELECT coalesce(sev, 'clean') AS severity, count(*) AS n, "
@@ -232,6 +248,17 @@ for _t, _name in _DETECT_NAMES.items():
     _b, _s = _raw_query(PEOPLE, [(_spec.pii_type, _spec.regex, _spec.flags)])
     register(_name, _s)(_b)
 
+for _ds, _name in ((DOCS, "detect_documents"), (PAGES, "detect_pages")):
+    # every built-in pattern over the text tables, before overlap resolution
+    _b, _s = _raw_query(_ds, list(SPAN_PATTERNS))
+    register(_name, _s)(_b)
+
+
+@register("sanitize_formula", r"SELECT doc_id, regexp_replace(text, '^[=+\-@]', '') AS text FROM documents")
+def sanitize_formula_q(spark, sf):
+    return sanitize_formula(_docs(spark, sf), ["text"])
+
+
 _b, _s = _raw_query(DOCS, list(SPAN_PATTERNS))
 register("entity_spans", _s)(_b)
 

@@ -10,15 +10,13 @@ one call.  Texts that hold a special token's string go to it whole.
 from __future__ import annotations
 
 import os
-import unicodedata
+from array import array
 
 #: entries after which a cache is emptied; bounds a worker's memory
 MOST_CHUNKS = 400_000
 MOST_PIECES = 300_000
 #: the pre-tokenizer's pattern as its public vocabulary file states it (fixed value)
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: the word-end mark of the vocabulary (fixed value)
-WORD_END = "</w>"
 
 
 class ChunkTokenizer:
@@ -33,16 +31,17 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
-        for word, i in self.tok.get_vocab().items():
-            self.ends[i] = word.endswith(WORD_END)
+        # the byte-level alphabet: printable bytes spell themselves, others follow from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.spelled = {b: 256 + i for i, b in enumerate(others)}
         self.split = regex.compile(PIECE).findall
+        self.merge = self.tok.model.tokenize
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -51,58 +50,53 @@ class ChunkTokenizer:
 
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_pieces(self, missing: list[str]) -> None:
-        import numpy as np
+    def _learn_piece(self, piece: str) -> bytes:
+        """A piece is pre-tokenised already: only the merges are left to do."""
+        if not (piece.isascii() and piece.isalpha()):
+            spelled = piece.encode().decode("latin-1").translate(self.spelled)
+        else:
+            spelled = piece
+        raw = self.pieces[piece] = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+        return raw
 
-        for i in range(0, len(missing), 4000):
-            some = missing[i:i + 4000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # a piece that the tokenizer cuts otherwise
-                for piece in some:
-                    self.pieces[piece] = self._raw(piece)
-                continue
-            start = 0
-            for piece, end in zip(some, ends.tolist()):
-                self.pieces[piece] = ids[start:end].tobytes()
-                start = end
-
-    def _learn(self, missing: list[str]) -> None:
+    def _learn(self, missing) -> None:
         if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
-        cut, plain = [], []
+        known, piece_of, learn = self.chunks, self.pieces.get, self._learn_piece
+        others = []
         for chunk in missing:
-            # per-character lower case differs from Python's for final sigma only
-            if "Σ" in chunk or "σ" in chunk or "ς" in chunk or "İ" in chunk:
-                self.chunks[chunk] = self._raw(chunk)
+            # ASCII and the Latin letters after it: Python's rules for case and
+            # letters are the tokenizer's there; other scripts are left to it
+            if not chunk.isascii() and (max(chunk) >= "\u0180" or "\u0130" in chunk):
+                others.append(chunk)
+                continue
+            low = chunk.lower()
+            if low.isalpha():  # letters only: one piece
+                known[chunk] = piece_of(low) or learn(low)
+                continue
+            word, mark = low[:-1], low[-1:]
+            if word.isalpha() and mark in ".,;:!?":
+                known[chunk] = (piece_of(word) or learn(word)) + (piece_of(mark) or learn(mark))
             else:
-                plain.append(chunk)
-                cut.append(self.split(unicodedata.normalize("NFC", chunk).lower()))
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.pieces))
-        if new:
-            self._learn_pieces(new)
-        pieces = self.pieces
-        for chunk, ps in zip(plain, cut):
-            self.chunks[chunk] = b"".join([pieces[p] for p in ps])
+                known[chunk] = b"".join([piece_of(p) or learn(p) for p in self.split(low)])
+        for i in range(0, len(others), 1000):
+            some = others[i:i + 1000]
+            for chunk, got in zip(some, self.tok.encode_batch(some, add_special_tokens=False)):
+                known[chunk] = array("I", got.ids).tobytes()
 
-    def encode_batch(self, texts):
+    def encode_batch(self, texts, lot: int = 256):
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
-        for text in texts:
-            text = text.as_py() if hasattr(text, "as_py") else text
-            if not text:
-                yield b""
-                continue
-            if any(s in text for s in self.special):
-                yield self._raw(text)
-                continue
-            parts = text.replace("\n", " ").split(" ")
+        texts = texts.to_pylist() if hasattr(texts, "to_pylist") else list(texts)
+        for i in range(0, len(texts), lot):
+            some = [t or "" for t in texts[i:i + lot]]
+            whole = {j for j, t in enumerate(some) if "<|" in t and any(s in t for s in self.special)}
+            parts = [[] if j in whole else t.replace("\n", " ").split(" ") for j, t in enumerate(some)]
+            if len(self.chunks) > MOST_CHUNKS:
+                self.chunks.clear()
             known = self.chunks
-            try:
-                yield b"".join([known[c] for c in parts])
-                continue
-            except KeyError:
-                pass
-            if len(known) > MOST_CHUNKS:
-                known.clear()
-            self._learn(list({c for c in parts if c not in known}))
-            yield b"".join([known[c] for c in parts])
+            new: set[str] = set()
+            for p in parts:
+                new.update(p)
+            self._learn(new - known.keys())
+            for j, p in enumerate(parts):
+                yield self._raw(some[j]) if j in whole else b"".join(map(known.__getitem__, p))

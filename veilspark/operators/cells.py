@@ -51,6 +51,6 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     # one row per partition: a bounded table, so an unpartitioned window is fine
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__pid", "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), "__pid")
+    out = tagged.join(offsets, "__pid")
     return out.select((F.col("__off") + F.col("__mid") - F.col("__mid0")).alias(name),
                       *[F.col(f"`{c}`") for c in df.columns])

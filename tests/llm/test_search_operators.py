@@ -122,6 +122,23 @@ def test_components_match_all_pairs(spark, scheme):
     assert sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
 
 
+def test_large_signatures_are_compared_by_blocks(spark, monkeypatch):
+    """Many near copies around the threshold: neither one component nor none."""
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        text = base[:]
+        for _ in range(rng.randint(2, 6)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    want = plain_components(rows)
+    assert 1 < len({c for *_, c in want}) < 120
+    assert sorted(map(tuple, jaccard.components(docs_of(spark, rows)).collect())) == sorted(want)
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = near_copies(2)
     out = jaccard.keep_one(docs_of(spark, rows))

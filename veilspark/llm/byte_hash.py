@@ -36,7 +36,7 @@ def powers(base: int, n: int) -> np.ndarray:
         got = np.ones(1, dtype=U) if got is None else got
         while len(got) < n:
             got = np.concatenate([got, got * U(pow(base, len(got), 1 << 64))])
-        _powers[base] = got if len(got) <= 1 << 22 else _powers.get(base, got[:1])
+        _powers[base] = got if len(got) <= 1 << 19 else _powers.get(base, got[:1])
     return got[:n]
 
 

@@ -74,3 +74,35 @@ def arrow_batch(columns, schema):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def rows_of(batches, rows: int = 256):
+    """Rows of Arrow batches as tuples, converted a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns))
+
+
+def tidied(task):
+    """A batch function that gives freed memory back when its task ends.
+
+    Python workers are reused by later tasks; without this they keep the
+    largest task's memory for good.
+    """
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run

@@ -24,11 +24,14 @@ principle all but that many segments are equal in both.
 Documents with equal sets are one node from the start (a digest of the set), so
 copies never meet as pairs.  Signatures that stand alone are sieved out in
 packed form (``sieve``).  Nodes that share a signature are first tried against
-the smallest node of each signature; what links is united; then every pair of
-nodes that share a signature but not yet a component is verified.  So a large
-group of near copies costs a star, not all its pairs, and no link between
-components is missed.  Set sizes travel with the nodes and pairs outside the
-ratio are never formed.
+the smallest node of each signature; what links is united.  Then all nodes that
+share a signature but not yet a component are compared: pair by pair where a
+signature has up to ``SMALL_GROUP`` nodes; nodes of larger signatures are
+gathered into clusters, cut into blocks of about ``BLOCK_NODES``, and each pair
+of blocks is intersected at once as a matrix product, from which only one link
+a pair of components leaves.  So a large group of near copies costs a star
+and a few products, its pairs never become rows, and no link between
+components is missed.
 
 Digests of sets and shingles are 64 bits (accidental equality: about one pair
 in a corpus of 6e9 distinct sets).
@@ -50,7 +53,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from . import sieve
 from .byte_hash import mix, prefix_sums, slices
-from .common import WORD, arrow_batch, arrow_schema, shipped, text_or_empty, written
+from .common import WORD, arrow_batch, arrow_schema, rows_of, shipped, text_or_empty, tidied, written
 
 WORDS = 5
 #: similarity 3/4: sets of sizes a and b link if they share 3/7 of a + b, so differ in 1/7
@@ -59,7 +62,9 @@ SHARE_DIFFERING = 7
 SAMPLE_DOCS, SAMPLE_COUNT, MOST_COMMON = 4000, 3, 200_000
 #: cost model: sets of a band, and the chance that a set holds a given shingle of another
 COST_SETS, COST_SHARED = 20_000, 0.002
-LOT_BYTES = 1 << 20
+LOT_BYTES = 1 << 18
+#: nodes of a signature up to which its open pairs are formed one by one; nodes of a block beyond
+SMALL_GROUP, BLOCK_NODES, BLOCK_SHINGLES = 16, 512, 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -202,14 +207,13 @@ def plan_of(band: int) -> tuple[str, int]:
 def _lots(batches):
     """Lists of (other columns, text bytes) of about ``LOT_BYTES``; the text is the last column."""
     lot, size = [], 0
-    for batch in batches:
-        for *keys, text in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            lot.append((keys, raw))
-            size += len(raw)
-            if size >= LOT_BYTES:
-                yield lot
-                lot, size = [], 0
+    for *keys, text in rows_of(batches):
+        raw = text.encode()
+        lot.append((keys, raw))
+        size += len(raw)
+        if size >= LOT_BYTES:
+            yield lot
+            lot, size = [], 0
     if lot:
         yield lot
 
@@ -236,10 +240,8 @@ def _sample(words: int):
     return run
 
 
-def _sign(words: int, buckets: int, common_list: list[int], schemes=None):
+def _sign(words: int, buckets: int, common: np.ndarray, schemes=None):
     def run(batches):
-        common = np.sort(np.array(common_list, np.int64).view(np.uint64))
-
         def lots():
             held, total = [], 0
             for lot in _lots(batches):
@@ -267,7 +269,7 @@ def _sign(words: int, buckets: int, common_list: list[int], schemes=None):
             sign, owner = sign[order], owner[order]
             new = np.ones(len(sign), bool)
             new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
-            return sign[new], np.zeros(new.sum(), np.uint32), owner[new]
+            return sign[new], np.zeros(new.sum(), np.uint16), owner[new]
 
         yield from sieve.blocks(lots(), buckets)
 
@@ -314,13 +316,14 @@ def _verify(words: int):
 
 # --- the join ----------------------------------------------------------------
 
-def _common_shingles(texts: DataFrame, rows: int, words: int) -> list[int]:
+def _common_shingles(texts: DataFrame, rows: int, words: int) -> np.ndarray:
     if not rows:
-        return []
+        return np.zeros(0, np.uint64)
     some = texts.sample(fraction=min(1.0, SAMPLE_DOCS / rows), seed=7)
-    counted = some.mapInArrow(_sample(words), "node long, shingle long").distinct().groupBy("shingle").agg(
+    counted = some.mapInArrow(tidied(_sample(words)), "node long, shingle long").distinct().groupBy("shingle").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_COUNT)
-    return [r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").collect()]
+    found = [r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
 def _in_ratio():
@@ -338,7 +341,7 @@ def _components(docs: DataFrame, words: int, schemes=None) -> DataFrame:
     spark = shipped(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     texts = rows.select("text")
-    members = written(rows.select(F.xxhash64("doc_id", "text"), "doc_id", "text").mapInArrow(_members(words), MEMBERS),
+    members = written(rows.select(F.xxhash64("doc_id", "text"), "doc_id", "text").mapInArrow(tidied(_members(words)), MEMBERS),
                       "members")
     count, total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     labels = _labels(spark, texts, members, count, total, words, schemes)
@@ -355,7 +358,7 @@ def _labels(spark, texts, members, rows, total, words, schemes) -> DataFrame:
     """``node, component`` of the nodes that have links."""
     buckets = sieve.bucket_count(spark, 0.5 * total)
     common = _common_shingles(texts, rows, words)
-    signed = texts.mapInArrow(_sign(words, buckets, common, schemes), sieve.BLOCKS)
+    signed = texts.mapInArrow(tidied(_sign(words, buckets, common, schemes)), sieve.BLOCKS)
     sizes = members.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("size"))
     met = sieve.shared(signed, buckets).distinct()
     # a signature that only copies of one set have leaves here
@@ -365,24 +368,73 @@ def _labels(spark, texts, members, rows, total, words, schemes) -> DataFrame:
     star = written(_sized(met.where("node <> low").select(
         F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sizes), "star")
     nodes = met.select("node").distinct()
-    zs = written(texts.mapInArrow(_pack(words), PACKED).join(nodes, "node").groupBy("node").agg(
+    zs = written(texts.mapInArrow(tidied(_pack(words)), PACKED).join(nodes, "node").groupBy("node").agg(
         F.first("z").alias("z")), "sets")
     linked = written(_linked(star, zs, words), "linked")
     label = connected_components(linked, nodes, "a", "b")
 
     # what shares a signature but not yet a component
     named = met.join(label.withColumnRenamed("vertex", "node"), "node").join(sizes, "node")
-    mixed = named.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
-        "x < y").select("hash")
-    open_ = written(named.join(mixed, "hash").select("hash", "node", "component", "size"), "open")
+    mixed = named.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                      F.count(F.lit(1)).alias("n")).where("x < y").select("hash", "n")
+    open_ = written(named.join(mixed, "hash").select("hash", "node", "low", "component", "size", "n"), "open")
+    more = _few(open_.where(F.col("n") <= SMALL_GROUP), star, zs, words)
+    large = open_.where(F.col("n") > SMALL_GROUP)
+    if large.limit(1).count():
+        more = more.unionByName(_many(large, zs, words))
+    united = connected_components(linked.unionByName(written(more, "more")), nodes, "a", "b")
+    return united.select(F.col("vertex").alias("node"), "component")
+
+
+def _few(open_: DataFrame, star: DataFrame, zs: DataFrame, words: int) -> DataFrame:
+    """Links among nodes of small signatures, pair by pair."""
     left = open_.select("hash", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("size_a"))
     right = open_.select("hash", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"))
     rest = left.join(right, "hash").where((F.col("ca") < F.col("cb")) & _in_ratio()).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = _linked(rest, zs, words)
-    united = connected_components(linked.unionByName(more), nodes, "a", "b")
-    return united.select(F.col("vertex").alias("node"), "component")
+    return _linked(written(rest.join(star, ["a", "b"], "left_anti"), "rest"), zs, words)
+
+
+def _many(large: DataFrame, zs: DataFrame, words: int) -> DataFrame:
+    """Links among nodes of large signatures, by blocks."""
+    cluster = connected_components(large.select("low", "node"), None, "low", "node").withColumnRenamed("component", "cluster")
+    held = cluster.withColumnRenamed("vertex", "node").join(large.select("node", "component").distinct(), "node")
+    blocks = held.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = held.join(blocks, "cluster").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                         "node", "component")
+    return dealt.join(zs, "node").groupBy("cluster", "i", "j").applyInPandas(_block_links(words), PAIRS)
+
+
+def _block_links(words: int):
+    def run(pdf):
+        import pandas as pd
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        node, component = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+        owner, hashes = shingle_sets([unpacker.decompress(z) for z in pdf["z"]], words)
+        size = np.bincount(owner, minlength=len(node)).astype(np.float32)
+        _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)  # a shingle of one node is in no intersection
+        rank = np.full(len(count), -1)
+        rank[shared] = np.arange(len(shared))
+        column = rank[column]
+        owner, column = owner[column >= 0], column[column >= 0]
+        both = np.zeros((len(node), len(node)), np.float32)
+        for at in range(0, len(shared), BLOCK_SHINGLES):
+            here = (column >= at) & (column < at + BLOCK_SHINGLES)
+            held = np.zeros((len(node), BLOCK_SHINGLES), np.float32)
+            held[owner[here], column[here] - at] = 1
+            both += held @ held.T
+        link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+        x, y = np.nonzero(link & (component[:, None] < component[None, :]))
+        _, one = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+        return pd.DataFrame({"a": node[x[one]], "b": node[y[one]]})
+
+    return run
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -396,7 +448,7 @@ def _linked(pairs: DataFrame, zs: DataFrame, words: int) -> DataFrame:
     """The pairs that link, verified on the full sets."""
     both = (pairs.join(zs.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
             .join(zs.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b"))
-    return both.select("a", "b", "za", "zb").mapInArrow(_verify(words), PAIRS)
+    return both.select("a", "b", "za", "zb").mapInArrow(tidied(_verify(words)), PAIRS)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -28,7 +28,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, shipped, written
+from .common import arrow_batch, arrow_schema, shipped, tidied, written
 from .tokens import ChunkTokenizer
 
 WINDOW = 2048
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
     shipped(docs.sparkSession)
     first = written(
         docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _pack_partition(tokenizer_path, window, open_windows, end_id), PIECES),
+            tidied(_pack_partition(tokenizer_path, window, open_windows, end_id)), PIECES),
         "pack")
     done = first.where("ids IS NULL").drop("ids")
     group = F.shiftright("sequence_id", 32).cast("long")

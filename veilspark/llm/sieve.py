@@ -21,7 +21,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_batch, arrow_schema
+from .common import arrow_batch, arrow_schema, tidied
 
 BLOCKS = "part int, known int, hashes binary, checks binary, owners binary, names binary"
 SHARED = "hash long, owner long"
@@ -107,4 +107,4 @@ def _shared(batches):
 
 def shared(packed: DataFrame, buckets: int) -> DataFrame:
     """``(hash, owner)`` of each hash that occurs at least twice; a pair may stand repeatedly."""
-    return packed.repartition(buckets, "part").mapInArrow(_shared, SHARED)
+    return packed.repartition(buckets, "part").mapInArrow(tidied(_shared), SHARED)

@@ -70,10 +70,10 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) ->
     models = templates.select(F.monotonically_increasing_id().alias("model"), "license", F.col("template").alias("unit"))
     df = kinds.select("n", F.explode(F.array_distinct(_tokens(F.col("unit")))).alias("token")).groupBy("token").agg(
         F.sum("n").alias("df"))
-    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()  # a scalar subquery
     known = df.unionByName(models.select(F.explode(_tokens(F.col("unit"))).alias("token"), F.lit(0).alias("df")))
-    idf = known.groupBy("token").agg(F.sum("df").alias("df")).join(total).select(  # total is one row
-        "token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = known.groupBy("token").agg(F.sum("df").alias("df")).select(
+        "token", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     have = _weights(kinds, "unit", idf)
     want = _weights(models, "model", idf).join(models.select("model", "license"), "model")
     cosine = have.join(want.select("model", "license", "token", F.col("w").alias("v")), "token").groupBy(

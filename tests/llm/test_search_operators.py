@@ -252,3 +252,18 @@ def test_licences_and_inheritance(spark):
     assert got[2].inherited_from == "p/" and got[5].inherited_from == "p/q/r/" and got[3].inherited_from is None
     assert math.isclose(got[1].own_cosine, 1.0) and got[8].own_license is None
     assert licenses.scan(df.where("false"), licenses.default_templates(spark)).count() == 0
+
+
+def test_licences_without_a_cue_word(spark):
+    mit = ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated '
+           'documentation files (the "Software"), to deal')
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    prose = "The river ran past the old mill. Nobody had been there all week, or reserved a boat."
+    files = [(1, "a/x.txt", False, "Intro here. All rights reserved."), (2, "b/x.txt", False, f"{prose}\n{mit}"),
+             (3, "c/LICENSE", True, f"Copyright 2020 Some One. All rights reserved.\n\n{bsd}"), (4, "c/d/x.txt", False, prose),
+             (5, "c/y.txt", False, "All rights reserved."), (6, "e/x.txt", False, prose)]
+    df = spark.createDataFrame(files, "file_id long, path string, is_licence_file boolean, text string")
+    got = {r.file_id: r for r in licenses.scan(df, licenses.default_templates(spark)).collect()}
+    assert {i: got[i].own_license for i in got} == {1: "proprietary", 2: "MIT", 3: "BSD-family", 4: None, 5: "proprietary", 6: None}
+    assert (got[4].license, got[4].inherited_from, got[5].inherited_from) == ("BSD-family", "c/", None)
+    assert got[1].n_candidates == 1 and got[3].n_candidates >= 2 and got[6].n_candidates == 0

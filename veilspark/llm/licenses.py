@@ -1,17 +1,25 @@
 """Operator 7, licence scans: sparse TF-IDF cosine to templates, then inheritance.
 
-Every sentence of every whole text that names a licensing cue is a header
-candidate.  Equal candidates are scored once: their tokens and those of the
-templates are weighted by TF-IDF over the candidates of the whole corpus, dot
-products come from an equi-join on tokens, and the template of highest cosine
-is taken from ``LEAST_COSINE`` on (ties: by name).  A file's own licence is
-that of its best candidate.  Files without one inherit from the nearest
-ancestor directory that holds a licence file: paths are expanded into their
-ancestor directories and joined to the directories' licences.
-
-Scale: sentences leave the scan's stage only where they hold a cue; distinct
-candidates are pre-aggregated, so a header that a third of all files carry is
-one row a task; directories carry one row each.  No side is broadcast by hand.
+Every sentence of every whole text is compared with every template: tokens are
+weighted by TF-IDF over all sentences of the corpus, and the template of
+highest cosine is taken from ``LEAST_COSINE`` on (ties: by name).  A sentence
+that reaches it is a header candidate.  A file's own licence is that of its
+best candidate; a bare reservation of rights (``RESERVED``), which also stands
+above grants, decides only in files without another candidate.  Files without a
+licence inherit from the nearest ancestor directory that holds a licence file:
+paths are expanded into their ancestor directories and joined to the
+directories' licences.
+
+Sentences that can't reach the least cosine are left out by an exact bound: of a
+template's tokens, the most frequent ones whose squared weights sum to less than
+the square of the least cosine are left out, the others are its *rare* ones; by
+Cauchy-Schwarz a sentence without any of them stays below that cosine.
+
+Scale: token counts are combined in the scan's stage; sentences leave it only
+where they hold a rare token; distinct ones are pre-aggregated and scored once
+by equi-joins on tokens, so a header that a third of all files carry is one row
+a task; directories carry one row each.  The rare tokens (a few dozen words of
+the templates) are a scalar subquery; no side is broadcast by hand.
 
 Defined results: null text or path: no candidate, no ancestor; rows of equal id
 and path keep their rows and share their candidates; a directory's best licence file decides (cosine, then
@@ -25,26 +33,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAST_COSINE = 0.6
-#: words that make a sentence a candidate, and what ends a sentence (fixed values of this operator)
-CUE = r"(?i)\b(?:licen[cs]e[ds]?|copyright|spdx|public domain)\b"
+#: cosines are rounded to nine digits; the bound leaves that much room
+ROOM = 1e-8
+#: what ends a sentence, and a token (fixed values of this operator)
 SENTENCE_END = r"\n|(?<=[.!?])\x20"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: short header texts in plain words, one or more a licence (fixed values of this operator)
+RESERVED = "proprietary"
+#: header texts in plain words, one or more a licence (fixed values of this operator); the BSD licences
+#: share their first sentence, which alone doesn't tell them apart
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License, Apache License 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy, MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("BSD-family", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                   "provided that the following conditions are met:"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("proprietary", "Copyright, all rights reserved, proprietary license."),
+    (RESERVED, "Copyright, all rights reserved, proprietary license."),
+    (RESERVED, "All rights reserved."),
 ]
 
 
@@ -53,35 +74,43 @@ def _tokens(text):
 
 
 def _weights(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """``key, token, w`` with unit norm per key."""
+    """``key, token, idf, w``, ``w`` with unit norm per key."""
     tf = units.select(key, F.explode(_tokens(F.col("unit"))).alias("token")).groupBy(key, "token").agg(
         F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tf.join(idf, "token").select(key, "token", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+    return w.join(norm, key).select(key, "token", "idf", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``files`` has ``file_id, path, is_licence_file, text``; gives ``file_id, path, n_candidates, own_license,
     own_cosine, inherited_from, license``."""
-    units = files.select("file_id", "path", F.explode(F.filter(
-        F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))).alias("unit"))
-    kinds = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    # outer: explode would evaluate its input twice, in a filter of its own too
+    said = files.select("file_id", "path", F.explode_outer(F.split("text", SENTENCE_END)).alias("unit"))
     models = templates.select(F.monotonically_increasing_id().alias("model"), "license", F.col("template").alias("unit"))
-    df = kinds.select("n", F.explode(F.array_distinct(_tokens(F.col("unit")))).alias("token")).groupBy("token").agg(
-        F.sum("n").alias("df"))
-    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()  # a scalar subquery
+    df = said.select(F.explode_outer(F.array_distinct(_tokens(F.col("unit")))).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"))
+    total = files.where("text IS NOT NULL").agg(
+        F.coalesce(F.sum(F.size(F.split("text", SENTENCE_END))), F.lit(0))).scalar()  # a scalar subquery
     known = df.unionByName(models.select(F.explode(_tokens(F.col("unit"))).alias("token"), F.lit(0).alias("df")))
     idf = known.groupBy("token").agg(F.sum("df").alias("df")).select(
         "token", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = _weights(models, "model", idf)
+    upto = F.sum(F.col("w") * F.col("w")).over(
+        W.partitionBy("model").orderBy("idf", "token").rowsBetween(W.unboundedPreceding, 0))
+    rare = weighed.withColumn("upto", upto).where(
+        F.col("upto") >= max(least - ROOM, 0.0) ** 2 - ROOM).agg(F.collect_set("token")).scalar()
+    units = said.where(F.arrays_overlap(_tokens(F.col("unit")), rare))
+    kinds = units.select("unit").distinct()
     have = _weights(kinds, "unit", idf)
-    want = _weights(models, "model", idf).join(models.select("model", "license"), "model")
+    want = weighed.join(models.select("model", "license"), "model")
     cosine = have.join(want.select("model", "license", "token", F.col("w").alias("v")), "token").groupBy(
         "unit", "license", "model").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("cosine"))
     best = cosine.where(F.col("cosine") >= least).groupBy("unit").agg(
         F.min(F.struct((-F.col("cosine")).alias("rank"), "license")).alias("best"))
-    found = units.join(best, "unit", "left").groupBy("file_id", "path").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.min("best").alias("best"))
+    found = units.join(best, "unit").groupBy("file_id", "path").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.min(F.struct((F.col("best.license") == RESERVED).alias("bare"), "best.rank", "best.license")).alias("best"))
     # null-safe: a null path is a path of its own here
     own = files.select("file_id", "path", "is_licence_file").alias("f").join(
         found.alias("o"), F.col("f.file_id").eqNullSafe(F.col("o.file_id")) & F.col("f.path").eqNullSafe(F.col("o.path")),

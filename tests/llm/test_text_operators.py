@@ -118,6 +118,19 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert [got[i].split(":")[0] for i in range(1, 9)] == ["iban", "", "ssn", "", "local_phone", "", "short_card", ""]
 
 
+def test_added_kinds_end_at_any_separator(spark):
+    a, g, amex = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "378282246310005"
+    texts = {1: (f"iban {a} Bitte zahlen", [a]), 2: (f"iban {g} Please", [g]), 3: (f"iban {g} BIC ABCD", [g]), 4: (f"{a} 2024", [a]),
+             5: (f"{a} GB82WEST12345698765432 X", [a, "GB82WEST12345698765432"]), 6: (f"é {g} Z", [g]), 7: (f"{a}x", []),
+             8: (f"amex card {amex} 2027", [amex]), 9: (f"card 2027 {amex}", [amex]), 10: ("visa 3782 822463 10005 12/27",
+             ["3782 822463 10005"]), 11: (f"amex card {amex[:-1]}6 2027", []), 12: (f"card {amex}7 20", []), 13: (None, [])}
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, want) in texts.items():
+        ends = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        assert [text[s:e] for s, e in ends] == want, (text, got[i])
+
+
 def test_mask_replaces_spans_and_keeps_columns(spark):
     df = docs_of(spark, [(1, "é a@b.c, 1.2.3.4.5 ok", "en", "a"), (2, None, "en", "a"), (3, "", "en", "a"), (4, "plain", "en", "a")])
     out = pii.mask(df)

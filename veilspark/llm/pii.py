@@ -17,7 +17,10 @@ security and national phone numbers.  Those start from a score for their
 shape, gain ``CHECKSUM_GAIN`` from a checksum and ``CONTEXT_GAIN`` from a
 word of their context list within ``CONTEXT_CHARS`` code points, lose
 ``CONTEXT_LOSS`` next to a word of the counter list, and count from
-``THRESHOLD`` on.
+``THRESHOLD`` on.  IBANs and short cards are proposed at each start of a word or
+digit group with every end at a separator; of the ends whose checksum holds the
+one of the country's IBAN length is taken, else the longest, and a span inside
+an earlier one of its kind is dropped.
 
 Defined results: a null text counts as empty; an empty text has no span;
 null or repeated doc_ids keep their rows; an empty table gives no row; other
@@ -49,14 +52,20 @@ IP_VALID = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)(?:\.0*+(?:25[0
 
 #: added kinds: pattern, shape score, context words (fixed values of this operator)
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.2,
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", 0.2,
              "iban|account|konto|cuenta|compte|bank"),
-    "short_card": (BASE["card"], 0.1, "card|visa|amex|credit|debit|karte|carte|tarjeta"),
+    "short_card": (r"(?<![0-9])(?=([0-9](?:[\x20-]?[0-9]){12,14}+[0-9]?))[0-9]", 0.1, "card|visa|amex|credit|debit|karte|carte|tarjeta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|taxpayer"),
     "local_phone": (r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", 0.3,
                     "call|phone|tel|telephone|mobile|fax|telefon|anrufen|llame"),
 }
 ADDED_GUARD = r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]|[0-9]{3}\)?[\x20.-][0-9]|[0-9](?:[\x20-]?[0-9]){12}"
+#: country and length of the registered IBANs
+IBAN_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 "
+    "BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 "
+    "SA24 SE24 SK24 TN24 VG24 LY25 PT25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 "
+    "HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33").split()
 COUNTER_WORDS = "order|invoice|version|serial|isbn|part"
 CONTEXT_CHARS = 40
 CHECKSUM_GAIN, CONTEXT_GAIN, CONTEXT_LOSS, THRESHOLD = 0.35, 0.3, 0.2, 0.5
@@ -64,21 +73,23 @@ BLOCK = 1024
 SPAN = "struct<s:int,e:int,m:string>"
 
 
-def _spans(text: Column, pattern: str, guard: Column) -> Column:
-    """Array of (s, e, m): code-point start, end and text of each match, in order."""
+def _spans(text: Column, pattern: str, guard: Column, ahead: bool = False) -> Column:
+    """Array of (s, e, m): code-point start, end and text of each match, in order; ``ahead``: with the
+    first group, which may reach beyond the match, as its text."""
     empty = F.array().cast(f"array<{SPAN}>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if ahead else found
     gaps = F.split(text, pattern, -1)
 
     def positions(both: Column) -> Column:
-        matches, between = both["m"], both["g"]
+        matches, between, texts = both["m"], both["g"], both["x" if ahead else "m"]
         n = F.size(matches)
 
         def one(state, i):
             at = state["pos"] + F.length(F.get(between, i))
             end = at + F.length(F.get(matches, i))
             return F.struct(end.alias("pos"), F.array_append(
-                state["out"], F.struct(at.alias("s"), end.alias("e"), F.get(matches, i).alias("m"))).alias("out"))
+                state["out"], F.struct(at.alias("s"), end.alias("e"), F.get(texts, i).alias("m"))).alias("out"))
 
         def block(state, first):
             return F.aggregate(
@@ -91,7 +102,8 @@ def _spans(text: Column, pattern: str, guard: Column) -> Column:
         return F.when(n > 0, folded).otherwise(empty)
 
     # let-bind the two regex results: the fold refers to them many times
-    bound = F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"))), positions)
+    bound = F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"), *(
+        [shown.alias("x")] if ahead else []))), positions)
     return F.when(guard, F.get(bound, F.lit(0))).otherwise(empty)
 
 
@@ -138,12 +150,35 @@ def _score(kind: str, span: Column, text: Column) -> Column:
                        span["e"] - span["s"] + 2 * CONTEXT_CHARS)
     score = (F.lit(shape) + F.when(near.rlike(rf"(?i)\b(?:{words})\b"), CONTEXT_GAIN).otherwise(0.0)
              - F.when(near.rlike(rf"(?i)\b(?:{COUNTER_WORDS})\b"), CONTEXT_LOSS).otherwise(0.0))
+    return score + CHECKSUM_GAIN if kind in CUT else score
+
+
+#: kinds proposed with every end at a separator
+CUT = ("iban", "short_card")
+
+
+def _fits(kind: str, plain: Column) -> Column:
     if kind == "iban":
-        return F.when(mod97(span["m"]), score + CHECKSUM_GAIN)
-    if kind == "short_card":
-        digits = _digits(span["m"])
-        return F.when(F.length(digits).between(13, 15) & luhn(digits), score + CHECKSUM_GAIN)
-    return score
+        return F.length(plain).between(15, 34) & plain.rlike("^[A-Z0-9]+$") & mod97(plain)
+    return F.length(plain).between(13, 15) & luhn(plain)
+
+
+def _cutter(kind: str):
+    """(s, e, m) with the best end whose checksum holds; null end if there is none."""
+    def cut(x):
+        words = F.split(x["m"], "[\x20-]")
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.struct(
+            F.length(F.array_join(F.slice(words, 1, k), " ")).alias("n"), F.array_join(F.slice(words, 1, k), "").alias("m")))
+        best = F.array_max(F.transform(F.filter(ends, lambda c: _fits(kind, c["m"])), lambda c: F.struct(
+            F.concat(F.substring(c["m"], 1, 2), F.length(c["m"]).cast("string")).isin(IBAN_LENGTHS).alias("known"),
+            c["n"].alias("n"), c["m"].alias("m"))))
+        return F.struct(x["s"].alias("s"), (x["s"] + best["n"]).alias("e"), best["m"].alias("m"))
+    return cut
+
+
+def _outermost(spans: Column) -> Column:
+    """Spans that aren't inside an earlier one."""
+    return F.filter(spans, lambda x: ~F.exists(spans, lambda y: (y["s"] < x["s"]) & (x["e"] <= y["e"])))
 
 
 # lambdas that depend on a kind (Spark counts a lambda's parameters, so no defaults)
@@ -173,16 +208,21 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     may = t.rlike(ADDED_GUARD)
     added = []
     for kind, (pattern, _, _) in ADDED.items():
-        # a card-shaped match is proposed once, for either card kind
-        proposed = F.col("_raw_card") if kind == "short_card" else _spans(t, pattern, may)
+        out = out.withColumn(f"_may_{kind}", _spans(t, pattern, may, ahead=kind in CUT))
+        proposed = F.col(f"_may_{kind}")
+        if kind in CUT:
+            out = out.withColumn(f"_cut_{kind}", F.filter(
+                F.transform(proposed, _cutter(kind)), lambda x: x["e"].isNotNull()))
+            proposed = F.col(f"_cut_{kind}")
         scored = F.transform(proposed, _named(kind, t))
         out = out.withColumn(f"_add_{kind}", F.filter(scored, lambda x: x["score"] >= THRESHOLD))
-        added.append(F.filter(f"_add_{kind}", lambda x: ~F.exists(
+        counted = F.col(f"_add_{kind}")
+        added.append(F.filter(_outermost(counted) if kind in CUT else counted, lambda x: ~F.exists(
             "_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
     base = [F.transform(f"_{k}", _named(k)) for k in BASE]
     out = out.withColumn("_pii", F.concat(*base, *added))
     return out.drop("_t", "_base", *[f"_raw_{k}" for k in BASE], *[f"_{k}" for k in BASE],
-                    *[f"_add_{k}" for k in ADDED])
+                    *[f"_{c}_{k}" for c in ("add", "may", "cut") for k in ADDED])
 
 
 def _listed(spans: Column) -> Column:

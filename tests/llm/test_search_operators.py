@@ -11,6 +11,7 @@ import pytest
 
 from veilspark.llm import ann, chat, jaccard, licenses, suffix_dedup
 from veilspark.llm.chat_template import TemplateError, compile_template, fold, parse
+from veilspark.llm.queries import op7_license_scans
 
 DOCS = "doc_id long, text string, key long, hash string"
 
@@ -267,3 +268,44 @@ def test_licences_without_a_cue_word(spark):
     assert {i: got[i].own_license for i in got} == {1: "proprietary", 2: "MIT", 3: "BSD-family", 4: None, 5: "proprietary", 6: None}
     assert (got[4].license, got[4].inherited_from, got[5].inherited_from) == ("BSD-family", "c/", None)
     assert got[1].n_candidates == 1 and got[3].n_candidates >= 2 and got[6].n_candidates == 0
+
+
+def plain_licences(files, templates, least):
+    """Every sentence of every file against every template, no filter; folders walked up one by one."""
+    words = [(i, p, lf, [Counter(re.findall(licenses.TOKEN, u.lower())) for u in re.split(licenses.SENTENCE_END, t)]
+              if t is not None else []) for i, p, lf, t in files]
+    total, df = sum(len(us) for *_, us in words), Counter(k for *_, us in words for u in us for k in u)
+
+    def unit(tf):
+        w = {k: n * (math.log((1 + total) / (1 + df[k])) + 1) for k, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {k: x / norm for k, x in w.items()} if norm else {}
+
+    models = [(name, unit(Counter(re.findall(licenses.TOKEN, t.lower())))) for name, t in templates]
+    own, held = {}, {}
+    for i, p, lf, us in words:
+        hits = []
+        for u in map(unit, us):
+            best = min((-round(sum(x * m[k] for k, x in u.items() if k in m), 9), name) for name, m in models)
+            if -best[0] >= least:
+                hits.append((best[1] == licenses.RESERVED, *best))
+        own[i] = (len(hits), min(hits)[1:] if hits else None)
+        if lf and hits:
+            folder = p[:p.rindex("/") + 1]
+            held[folder] = min(held.get(folder, (1.0, "", "")), (*own[i][1], p))
+    out = {}
+    for i, p, *_ in words:
+        n, best = own[i]
+        up = [p[:k + 1] for k, c in enumerate(p) if c == "/"] if best is None else []
+        near = max((f for f in up if f in held), key=len, default=None)
+        out[i] = (n, best and best[1], near, best[1] if best else held[near][1] if near else None)
+    return out
+
+
+def test_licence_query_matches_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    files = [tuple(r) for r in licenses.document_files(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    got = {r.doc_id: (r.n_candidates, r.own_license, r.inherited_from, r.license)
+           for r in op7_license_scans(spark, sf).collect()}
+    assert got == plain_licences(files, licenses.TEMPLATES, licenses.LEAST_COSINE)
+    assert sum(r[1] == "proprietary" for r in got.values()) == 3

@@ -184,6 +184,23 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_recall_with_skipped_cells(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((6400, 16))
+    cells = round(math.sqrt(len(v)) / 4)
+    centres = ann.fit_centres(v, cells)
+    counts = np.bincount(ann.nearest_cells(v, centres, 1)[:, 0], minlength=cells)
+    assert not ann.probed(v[::100], centres, counts, ann.PROBE_SHARE, ann.K).all(axis=1).any()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = Counter()
+    for r in ann.neighbours(df).collect():
+        d = np.sqrt(((v - v[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        assert math.isclose(r.score, d[r.vec_id])
+        got[r.query_id] += r.vec_id in np.argsort(d)[:10]
+    assert set(got) == set(range(0, 6400, 100)) and sum(got.values()) >= 0.95 * 10 * 64
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [0.5, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r["rank"]) for r in ann.neighbours(df).orderBy("rank").collect()] == [(2, 1), (1, 2)]

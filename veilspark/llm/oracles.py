@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import decontaminate, mixing, resample, urls, words
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,10 +83,61 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+_LOWER_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{words.WORD}')"
+
+
+def decontaminate_sql() -> str:
+    size = decontaminate.SIZE
+    return f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LOWER_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), {size}) AS n,
+  unnest(list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda k: array_to_string(w[k:k + {size - 1}], ' '))) AS win
+  FROM i WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN sizes ON n <= len(w)),
+occ AS (SELECT r, k, n, item FROM (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM places) JOIN win USING (n, win)),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS k FROM occ) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
+
+
+def resample_sql() -> str:
+    buckets, most = resample.BUCKETS, resample.MOST_WORDS
+    crc_bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    grams = " UNION ALL ".join(
+        f"SELECT src, r, array_to_string(w[k:k + {n - 1}], ' ') AS f FROM (SELECT src, r, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d)"
+        for n in range(1, most + 1))
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, k: {crc_bit})) AS t),
+d AS (SELECT 's' AS src, row_number() OVER () AS r, doc_id, {_LOWER_WORDS} AS w FROM documents
+  UNION ALL SELECT 't', 0, NULL, {_LOWER_WORDS} FROM benchmark),
+g AS ({grams}),
+u AS (SELECT f, regexp_extract_all(hex(encode(f)), '..') AS h FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(h, lambda x: CAST(CAST('0x' || x AS UINTEGER) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {buckets} AS b FROM u, tab),
+c AS (SELECT b, count(*) FILTER (src = 's') AS s, count(*) FILTER (src = 't') AS t FROM g JOIN b USING (f) GROUP BY b),
+tot AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM c),
+gain AS (SELECT b, CAST(floor(1000.0::DOUBLE * ln(((t::DOUBLE + 1) * (ss + {buckets})) / ((s::DOUBLE + 1) * (tt + {buckets})))) AS BIGINT) AS gain FROM c, tot),
+wt AS (SELECT r, sum(gain) AS weight, count(*) AS n FROM g JOIN b USING (f) JOIN gain USING (b) WHERE src = 's' GROUP BY r),
+sc AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::UBIGINT::DOUBLE
+    + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN wt USING (r) WHERE src = 's'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {resample.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS k,
+  count(*) FILTER (n_words >= {resample.LEAST_WORDS}) OVER () AS fit FROM sc)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN n_words >= {resample.LEAST_WORDS} AND k <= {resample.PERCENT} * fit // 100 THEN k END AS rank FROM rk"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing_sql(),
         "op5_url_filters": urls_sql(),
         "op9_chat_formatting": CHAT_SQL,
         "op10_ngram_jaccard_join": JACCARD_SQL,
+        "op12_importance_resampling": resample_sql(),
+        "op13_benchmark_decontamination": decontaminate_sql(),
     }

@@ -66,7 +66,7 @@ def arrow_schema(ddl: str):
     import pyarrow as pa
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
-             "double": pa.float64(), "boolean": pa.bool_()}
+             "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, jaccard, licenses, mixing, oracles, packing, pii, quality, resample, suffix_dedup, urls
+from . import (
+    align, ann, chat, decontaminate, jaccard, licenses, mixing, oracles, packing, pii, quality, resample, suffix_dedup, urls,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, model = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model")
+    return align.digest(table(spark, sf_dir, "documents"), ranks, model)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

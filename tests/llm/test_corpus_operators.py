@@ -69,12 +69,17 @@ def both():
 
 
 def plain_groups(a, b):
-    ends_a, ends_b = np.cumsum([n for _, n in a]), np.cumsum([n for _, n in b])
-    shared = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
-    groups, begun = [], 0
-    for end in shared:
-        groups.append(([i for (i, _), e in zip(a, ends_a) if begun < e <= end], [i for (i, _), e in zip(b, ends_b) if begun < e <= end]))
-        begun = end
+    ends = [np.cumsum([n for _, n in side]).tolist() for side in (a, b)]
+    groups, i, j, begun = [], 0, 0, (0, 0)
+    while i < len(a):
+        if ends[0][i] == ends[1][j]:
+            groups.append(([t for t, _ in a[begun[0]:i + 1]], [t for t, _ in b[begun[1]:j + 1]]))
+            i, j = i + 1, j + 1
+            begun = i, j
+        elif ends[0][i] < ends[1][j]:
+            i += 1
+        else:
+            j += 1
     return groups
 
 

@@ -65,19 +65,24 @@ class _Lot:
         self.bytes = 0
         self.used, self.pairs, self.docs = [], [], []
 
+    def _pairs_of(self, window):
+        from .token_windows import ranges
+
+        ends = self.windows.ends
+        sizes = ends[window + 1] - ends[window]
+        return sizes, self.windows.pairs[ranges(sizes) + ends[window].repeat(sizes)]
+
     def add(self, of_doc, window):
         """Distinct (document, window) of some documents: count the documents of each pair."""
         import numpy as np
 
-        ends, flat = np.array(self.windows.ends), np.array(self.windows.flat, np.int64)
-        sizes = ends[window + 1] - ends[window]
-        at = np.repeat(ends[window + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-        n = np.int64(len(self.windows.pairs))
-        pair = np.unique(np.repeat(of_doc, sizes) * n + flat[at]) % n
-        pair, docs = np.unique(pair, return_counts=True)
+        sizes, pairs = self._pairs_of(window)
+        held = np.unique(np.repeat(of_doc, sizes) << 32 | pairs) & 0xFFFFFFFF
+        held.sort()
+        first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+        self.pairs.append(held[first])
+        self.docs.append(np.diff(np.append(first, len(held))))
         self.used.append(np.unique(window))
-        self.pairs.append(pair)
-        self.docs.append(docs)
 
     def row(self, lot: int):
         import numpy as np
@@ -85,12 +90,9 @@ class _Lot:
         used = np.unique(np.concatenate(self.used))
         pairs, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
         docs = np.bincount(at, np.concatenate(self.docs)).astype(np.int64)
-        flat, ends = np.array(self.windows.flat, np.int64), np.array(self.windows.ends)
-        parts = [flat[ends[w]:ends[w + 1]] for w in used.tolist()]
-        number = np.searchsorted(pairs, np.concatenate(parts))
-        names = np.array(self.windows.pairs, np.int64)[pairs]
-        return (lot, 1, *[None] * 7, used.astype("<u4").tobytes(), np.array([len(p) for p in parts], "<u4").tobytes(),
-                number.astype("<u4").tobytes(), names.tolist(), docs.tolist())
+        sizes, own = self._pairs_of(used)
+        return (lot, 1, *[None] * 7, used.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
+                np.searchsorted(pairs, own).astype("<u4").tobytes(), pairs, docs)
 
 
 def _aligner(ranks: str, model: str, lot_bytes: int, with_groups: bool):
@@ -114,21 +116,21 @@ def _aligner(ranks: str, model: str, lot_bytes: int, with_groups: bool):
                     for d, e in zip(ids, encoded) if not e]
             if found:
                 keys, counts = tw.cut_windows([encoded[i] for i in found], tokenizers)
+                windows.learn(keys)
                 window = np.fromiter(map(windows.__getitem__, keys), np.int64, len(keys))
                 of = np.repeat(np.arange(len(found)), counts)
                 distinct, times = np.unique(of << 32 | window, return_counts=True)
                 of_doc, own = distinct >> 32, distinct & 0xFFFFFFFF
                 lot.add(of_doc, own)
                 edges = np.searchsorted(of_doc, np.arange(len(found) + 1)).tolist()
-                groups, links = np.array(windows.groups)[window], np.array(windows.links)[window]
-                stops = np.cumsum(counts).tolist()
-                begun = 0
+                starts = np.cumsum(counts) - counts
+                groups, links = (np.add.reduceat(x[window], starts).tolist() for x in (windows.groups, windows.links))
+                text_of, begun = list(map(windows.text.__getitem__, window.tolist())), 0
                 for k, i in enumerate(found):
-                    here = slice(begun, stops[k])
-                    begun = stops[k]
-                    text = ";".join(map(windows.text.__getitem__, window[here].tolist()))
+                    text = "".join(text_of[begun:begun + counts[k]])[:-1]
+                    begun += counts[k]
                     a, b = encoded[i]
-                    rows.append((first | number, 2, ids[i], len(a) // 2, len(b) // 2, int(groups[here].sum()), int(links[here].sum()),
+                    rows.append((first | number, 2, ids[i], len(a) // 2, len(b) // 2, groups[k], links[k],
                                  hashlib.sha256(text.encode()).hexdigest(), text if with_groups else None,
                                  own[edges[k]:edges[k + 1]].astype("<u4").tobytes(), _packed(times[edges[k]:edges[k + 1]]),
                                  None, None, None))

@@ -73,13 +73,8 @@ class TwoTokenizers:
             raise ValueError("ids must fit 16 bits, and a space must stand at a piece's start only")
         self.length = [np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b)]
         self.spaced = [np.array([t[:1] == b" " for t in side]) for side in (self.bytes_a, self.bytes_b)]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _keep(self, chunk: str, a, b) -> None:
-        """A chunk's ids, or None if either side doesn't spell its bytes."""
-        data = b" " + chunk.encode()
-        right = (b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data)
-        self.known[chunk] = (np.array(a, ID).tobytes(), np.array(b, ID).tobytes()) if right else None
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.misspelled: set[str] = set()
 
     def _learn(self, missing) -> None:
         plain, odd = [], []
@@ -87,18 +82,39 @@ class TwoTokenizers:
             (odd if not c or c[0].isspace() or c[-1].isspace() else plain).append(c)
         for i in range(0, len(plain), 2000):
             some = plain[i:i + 2000]
-            ids = np.array(self.encode_a(" " + " ".join(some)), np.int64)
-            ends = np.searchsorted(np.cumsum(self.length[0][ids]), np.cumsum([len(c.encode()) + 1 for c in some])) + 1
-            for c, a, b in zip(some, np.split(ids, ends[:-1]), self.encode_b(some)):
-                self._keep(c, a.tolist(), b)
+            if not self._learn_row(some, [self.encode_a(" " + " ".join(some)), self.encode_b([" ".join(some)])[0]]):
+                odd += some
         for c in odd:
-            self._keep(c, self.encode_a(" " + c), self.encode_b([c])[0])
+            if not self._learn_row([c], [self.encode_a(" " + c), self.encode_b([c])[0]]):
+                self.known[c] = (b"", b"")
+                self.misspelled.add(c)
+
+    def _learn_row(self, some: list[str], ids) -> bool:
+        """Keep chunks' parts of the ids of all of them in a row, if both sides spell them byte for byte."""
+        data = (" " + " ".join(some)).encode()
+        if any(b"".join(map(names.__getitem__, own)) != data for names, own in zip((self.bytes_a, self.bytes_b), ids)):
+            return False
+        stops = np.cumsum([len(c.encode()) + 1 for c in some])
+        cut, raw = [], []
+        for lengths, own in zip(self.length, ids):
+            own = np.array(own, np.int64)
+            ends = np.cumsum(lengths[own])
+            at = np.searchsorted(ends, stops)
+            if (ends[at] != stops).any():
+                return False
+            cut.append([0, *(2 * (at + 1)).tolist()])
+            raw.append(own.astype(ID).tobytes())
+        a, b = raw
+        for c, i, j, x, y in zip(some, cut[0], cut[0][1:], cut[1], cut[1][1:]):
+            self.known[c] = a[i:j], b[x:y]
+        return True
 
     def encode(self, texts) -> list[tuple[bytes, bytes] | None]:
         """Per text the ids of both sides as bytes; None if it is null, empty or not spelled by both."""
         parts = [chunks(t) if t else () for t in texts]
         if len(self.known) > MOST_CHUNKS:
             self.known.clear()
+            self.misspelled.clear()
         new: set[str] = set()
         for p in parts:
             new.update(p)
@@ -106,70 +122,87 @@ class TwoTokenizers:
         self._learn(new)
         out = []
         for p in parts:
-            pairs = [self.known[c] for c in p]
-            out.append(None if not pairs or None in pairs else (b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+            if p and self.misspelled.isdisjoint(p):
+                a, b = zip(*map(self.known.__getitem__, p))
+                out.append((b"".join(a), b"".join(b)))
+            else:
+                out.append(None)
         for c in new:
             if len(c) > LONGEST_KEPT:
                 del self.known[c]
+                self.misspelled.discard(c)
         return out
 
 
-def group_ids(a, b, length_a, length_b):
-    """The groups of a window: both sides' ids between offsets where both end."""
-    groups, i, j, ended_a, ended_b = [], 0, 0, 0, 0
-    begin_a = begin_b = 0
-    while i < len(a):
-        ended_a += length_a[a[i]]
-        i += 1
-        while ended_b < ended_a:
-            ended_b += length_b[b[j]]
-            j += 1
-        if ended_a == ended_b:
-            groups.append((a[begin_a:i], b[begin_b:j]))
-            begin_a, begin_b = i, j
-    return groups
+def ranges(sizes):
+    """0 .. size - 1 for each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 class Windows(dict):
-    """Window (both sides' id strings) to its number; an unseen one is aligned on the way."""
+    """Window (both sides' id strings) to its number, and what its alignment holds."""
 
     def __init__(self, tokenizers: TwoTokenizers):
         super().__init__()
-        self.lengths = [n.tolist() for n in tokenizers.length]
+        self.length = tokenizers.length
+        # an id's decimal, followed by what may stand behind it
+        self.spelled = np.array([f"{i}{after}" for after in ",|;" for i in range(0x10000)], dtype=object)
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.pair_number: dict[int, int] = {}
-        self.pairs: list[int] = []
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
-
-    def __missing__(self, key: bytes) -> int:
-        ids = np.frombuffer(key, ID)
-        at = int(np.flatnonzero(ids == 0xFFFF)[0])
-        found = group_ids(ids[:at].tolist(), ids[at + 1:].tolist(), *self.lengths)
-        links = 0
-        own: dict[int, int] = {}  # pair -> links of it in this window
-        for a, b in found:
-            links += len(a) * len(b)
-            for x in a:
-                for y in b:
-                    own[x << 16 | y] = own.get(x << 16 | y, 0) + 1
-        for pair, times in own.items():
-            number = self.pair_number.setdefault(pair, len(self.pairs))
-            if number == len(self.pairs):
-                self.pairs.append(pair)
-            self.flat.extend([number] * times)
-        self.ends.append(len(self.flat))
-        self.text.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in found))
-        self.groups.append(len(found))
-        self.links.append(links)
-        self[key] = number = len(self)
-        return number
+        self.groups = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int64)
+        #: the id pairs that each window links (A id << 16 | B id), one for a link
+        self.pairs = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def learn(self, keys) -> None:
+        """Align the windows not seen yet, all in one go."""
+        new = list(set(keys) - self.keys())
+        for i in range(0, len(new), 50_000):
+            self._align(new[i:i + 50_000])
+
+    def _align(self, new: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(new), ID).astype(np.int64)
+        sizes = np.array([len(k) // 2 for k in new])
+        window = np.repeat(np.arange(len(new)), sizes)
+        parts = np.flatnonzero(ids == 0xFFFF)  # one a window: before it A's ids, behind it B's
+        is_b = np.arange(len(ids)) > parts[window]
+        side = [(ids[m], window[m]) for m in (~is_b & (ids != 0xFFFF), is_b)]
+        ends = [np.cumsum(n[own]) for n, (own, _) in zip(self.length, side)]
+        # a window's sides have as many bytes, so offsets of the laid-out row agree
+        shared = np.zeros(int(ends[0][-1]) + 1, bool)
+        shared[ends[0]] = True
+        also = np.zeros_like(shared)
+        also[ends[1]] = True
+        shared &= also
+        group = [np.searchsorted(np.flatnonzero(shared), e) for e in ends]
+        n_groups = int(shared.sum())
+        n_a, n_b = (np.bincount(g, minlength=n_groups) for g in group)
+        (a, window_a), (b, _) = side
+        of = np.zeros(n_groups, np.int64)
+        of[group[0]] = window_a
+        # all of a group's A tokens with all of its B tokens
+        times = n_b[group[0]]
+        first_b = np.cumsum(n_b) - n_b
+        pairs = np.repeat(a, times) << 16 | b[np.repeat(first_b[group[0]], times) + ranges(times)]
+        links = np.bincount(of, n_a * n_b, len(new)).astype(np.int64)
+        # tokens in the order of the digest's text: by group, A before B
+        last = [np.append(g[1:] != g[:-1], True) for g in group]
+        spell = np.concatenate([np.where(last[0], a + 0x10000, a), np.where(last[1], b + 0x20000, b)])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        text = self.spelled[spell[order]].tolist()
+        stops = np.cumsum(sizes - 1).tolist()
+        self.text += ["".join(text[i:j]) for i, j in zip([0, *stops], stops)]
+        number = len(self)
+        self.update(zip(new, range(number, number + len(new))))
+        self.groups = np.append(self.groups, np.bincount(of, minlength=len(new)))
+        self.links = np.append(self.links, links)
+        self.pairs = np.append(self.pairs, pairs.astype(np.uint32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(links))
 
 
 def cut_windows(encoded, tokenizers: TwoTokenizers):

@@ -85,22 +85,28 @@ def anchor_groups(spans, window: int) -> Column:
     The first span not yet grouped is an anchor and takes every later span
     that starts within ``window`` characters of *the anchor* (no chaining).
     With spans sorted by start this is one left-to-right pass that opens a
-    new group when ``start - anchor_start > window``.  Result:
+    new group when ``start - anchor_start > window``; the pass is linear in the
+    spans.  Result:
     ``array<struct<anchor:int, members:array<span>>>``.  A group can only
     hold spans starting inside one window, so its size is bounded.
     ``spans`` is a column reference (SQL text is generated and parsed once).
     """
-    from .spans import _var, sql_of
+    from .spans import _blocked_fold_sql, _let_sql, _var, sql_of
 
     sp = sql_of(spans)
-    acc, s_, g, last = _var("acc"), _var("s"), _var("g"), _var("last")
-    empty = f"filter(array(named_struct('anchor', 0, 'members', slice({sp}, 1, 0))), {g} -> false)"
-    step = (f"({acc}, {s_}) -> element_at(transform(array(try_element_at({acc}, -1)), {last} -> "
-            f"CASE WHEN size({acc}) > 0 AND {s_}.start - {last}.anchor <= {int(window)} "
-            f"THEN concat(slice({acc}, 1, size({acc}) - 1), array(named_struct('anchor', {last}.anchor, "
-            f"'members', array_append({last}.members, {s_})))) "
-            f"ELSE array_append({acc}, named_struct('anchor', {s_}.start, 'members', array({s_}))) END), 1)")
-    return F.expr(f"aggregate({sp}, {empty}, {step})")
+    s_, i, g, k, j = _var("s"), _var("i"), _var("g"), _var("k"), _var("j")
+
+    # the fold only finds where groups begin; members are read by position
+    def step(state: str, x: str):
+        return (f"'anchor', {x}.start", f"({state}.anchor IS NULL OR {x}.start - {state}.anchor > {int(window)})",
+                f"named_struct('anchor', {x}.start, 'first', {x}.at)")
+
+    starts = f"transform({sp}, ({s_}, {i}) -> named_struct('start', {s_}.start, 'at', {i}))"
+    begins = _let_sql(starts, lambda v: "(" + _blocked_fold_sql(
+        v, "'anchor', CAST(NULL AS INT)", "array<struct<anchor:INT,first:INT>>", step, "anchor") + ").out")
+    return F.expr(_let_sql(begins, lambda b: (
+        f"transform({b}, ({g}, {k}) -> named_struct('anchor', {g}.anchor, 'members', transform(sequence({g}.first, "
+        f"coalesce(get({b}, {k} + 1).first, size({sp})) - 1), {j} -> {sp}[{j}])))")))
 
 
 def related_label(t: Column, text: Column) -> Column:

@@ -73,15 +73,20 @@ def _blocked_fold_sql(items: str, start: str, out_type: str, step, keep: str) ->
     ``items`` is a bound array, ``start`` the fields of the first state,
     ``step(state, item)`` gives ``(fields of the next state, condition,
     element)`` and ``keep`` names the state fields carried between blocks.
+    An item that fails the condition changes nothing.  A fourth part of the
+    step says when the element is appended, if not with every change of state.
     Elements are appended to a block's own array and blocks are concatenated,
     so n elements cost about n * (BLOCK + n / BLOCK) copies instead of n * n.
     """
     outer, inner, i, k, done = _var("o"), _var("s"), _var("i"), _var("k"), _var("d")
-    fields, condition, element = step(inner, f"{items}[{i}]")
+    fields, condition, element, *appended = step(inner, f"{items}[{i}]")
     empty = f"cast(array() as {out_type})"
     carry = ", ".join(f"'{f}', {outer}.{f}" for f in keep.split())
     back = ", ".join(f"'{f}', {done}.{f}" for f in keep.split())
-    body = f"named_struct({fields}, 'out', array_append({inner}.out, {element}))"
+    grown = f"array_append({inner}.out, {element})"
+    if appended:
+        grown = f"CASE WHEN {appended[0]} THEN {grown} ELSE {inner}.out END"
+    body = f"named_struct({fields}, 'out', {grown})"
     if condition:
         body = f"CASE WHEN {condition} THEN {body} ELSE {inner} END"
     block = (f"aggregate(sequence({k}, least({k} + {BLOCK}, size({items})) - 1), "
@@ -160,15 +165,22 @@ def resolve_overlaps_sql(spans: str, mixed_confidence: bool = False) -> str:
 
         return _let_sql(f"array_sort({spans}, {_by_start_prio_sql()})", lambda v: "(" + _blocked_fold_sql(
             v, "'last_end', 0", SPAN_ARRAY_TYPE, step, "last_end") + ").out")
-    v, acc, s_, k, f, k2 = _var("v"), _var("acc"), _var("s"), _var("k"), _var("f"), _var("k")
-    over = f"filter({acc}, {k} -> {s_}.start < {k}.end AND {s_}.end > {k}.start)"
-    step = (f"({acc}, {s_}) -> element_at(transform(array({over}), {f} -> CASE WHEN size({f}) = 0 "
-            f"THEN array_append({acc}, {s_}) WHEN {s_}.confidence > {f}[0].confidence THEN array_append("
-            f"filter({acc}, {k2} -> NOT ({k2}.start = {f}[0].start AND {k2}.prio = {f}[0].prio)), {s_}) "
-            f"ELSE {acc} END), 1)")
-    return (f"element_at(transform(array({spans}), {v} -> array_sort(aggregate(array_sort({v}, "
-            f"{_by_start_prio_sql()}), slice({v}, 1, 0), "
-            f"{step}), {_by_start_sql()})), 1)")
+
+    # Sorted by start, a span can only overlap the kept span that reaches
+    # furthest, and kept spans never overlap each other: one open span is all
+    # that has to be carried.  A span behind it closes it (and is open next), a
+    # more confident one replaces it, any other is dropped.
+    def sweep(acc: str, x: str):
+        behind = f"({acc}.open IS NULL OR {x}.start >= {acc}.open.end)"
+        return (f"'open', {x}", f"({behind} OR {x}.confidence > {acc}.open.confidence)", f"{acc}.open",
+                f"{acc}.open IS NOT NULL AND {behind}")
+
+    def swept(v: str) -> str:
+        folded = _blocked_fold_sql(v, f"'open', CAST(NULL AS {SPAN_TYPE})", SPAN_ARRAY_TYPE, sweep, "open")
+        last = _var("x")
+        return _let_sql(folded, lambda r: f"concat({r}.out, filter(array({r}.open), {last} -> {last} IS NOT NULL))")
+
+    return _let_sql(f"array_sort({spans}, {_by_start_prio_sql()})", swept)
 
 
 def mask_with_spans_sql(t: str, spans: str) -> str:

@@ -41,18 +41,37 @@ def analyze_cells(cells: DataFrame, cfg: VeilConfig = DEFAULT, registry: Pattern
     return entities_from_spans(span_frame(cells, cfg, registry, extra), cfg, keep)
 
 
+#: a longer text is cut into blocks, so that a snippet costs no scan from the text's start
+SNIPPET_TEXT, SNIPPET_BLOCK = 4096, 1024
+
+
+def _with_context(framed: DataFrame, keep: list[str], window: int) -> DataFrame:
+    """Spans with their ``context`` snippet; the text itself goes no further,
+    so a cell with many spans doesn't copy its text for each of them."""
+    cut = F.expr(f"named_struct('blocks', CASE WHEN length(cell_text) <= {SNIPPET_TEXT} THEN array(cell_text) ELSE "
+                 f"regexp_extract_all(cell_text, '(?s).{{1,{SNIPPET_BLOCK}}}', 0) END, 'length', length(cell_text), "
+                 f"'size', CASE WHEN length(cell_text) <= {SNIPPET_TEXT} THEN {SNIPPET_TEXT} ELSE {SNIPPET_BLOCK} END)")
+    begin, stop = f"greatest(s.start - {window}, 0)", f"least(cut.length, s.end + {window})"
+    first, last = f"CAST({begin} div cut.size AS INT)", f"CAST(greatest({begin}, {stop} - 1) div cut.size AS INT)"
+    context = (f"substring(array_join(transform(sequence({first}, {last}), b -> cut.blocks[b]), ''), "
+               f"{begin} - {first} * cut.size + 1, {stop} - {begin})")
+    kept = ", ".join(f"'{f}', s.{f}" for f in ("start", "end", "prio", "text", "pii_type", "confidence", "method", "ord"))
+    bound = bind_column(framed.select(*keep, "row_index", "column_ordinal", "column_name", "cell_text", "spans"), "cut", cut)
+    return bind_column(bound, "found", F.expr(f"transform(spans, s -> named_struct({kept}, 'context', {context}))")).select(
+        *keep, "row_index", "column_ordinal", "column_name", F.col("found").alias("spans"))
+
+
 def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
     # groups bound once: the filter Spark infers for the explode stays above
-    with_groups = bind_column(framed.select(*keep, "row_index", "column_ordinal", "column_name", "cell_text",
-                                            "spans"),
-                              "groups", R.anchor_groups(F.col("spans"), cfg.proximity_window))
+    with_groups = bind_column(_with_context(framed, keep, cfg.context_window), "groups",
+                              R.anchor_groups(F.col("spans"), cfg.proximity_window))
     grouped = with_groups.select(
-        *keep, "row_index", "column_ordinal", "column_name", "cell_text",
+        *keep, "row_index", "column_ordinal", "column_name",
         F.posexplode("groups").alias("group_ord", "g"),
     )
     members = grouped.select(
-        *keep, "row_index", "column_ordinal", "column_name", "cell_text", "group_ord",
+        *keep, "row_index", "column_ordinal", "column_name", "group_ord",
         F.col("g.members").alias("members"), F.explode("g.members").alias("s"),
     )
     s = F.col("s")
@@ -71,7 +90,7 @@ def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list
         s["start"].alias("start_pos"),
         s["end"].alias("end_pos"),
         s["confidence"].alias("confidence"),
-        S.context_snippet(F.col("cell_text"), s["start"], s["end"], cfg.context_window).alias("context"),
+        s["context"].alias("context"),
         s["method"].alias("base_method"),
         F.when(grouped_flag, F.lit("proximity")).otherwise(s["method"]).alias("detection_method"),
         "group_ord",
@@ -84,26 +103,34 @@ def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list
     )
 
 
+def near_pairs_sql(spans: str, window: int) -> str:
+    """SQL text of the pairs ``i < j`` of a cell's kept spans whose starts are
+    at most ``window`` apart, as structs.
+
+    Spans are sorted by start and don't overlap, so a span's partners are the
+    next ones up to a last, at most ``window`` further on, which is found by
+    halving steps: the work is linear in spans and pairs."""
+    steps = []
+    while sum(steps) < window:
+        steps.insert(0, 1 << len(steps))
+    reach = (f"aggregate(array({', '.join(map(str, steps))}), i, (far, step) -> CASE WHEN far + step < size({spans}) "
+             f"AND {spans}[far + step].start - {spans}[i].start <= {window} THEN far + step ELSE far END)")
+    pair = (f"named_struct('src_ord', {spans}[i].ord, 'dst_ord', {spans}[j].ord, 'src_type', {spans}[i].pii_type, "
+            f"'dst_type', {spans}[j].pii_type, 'distance', {spans}[j].start - {spans}[i].start)")
+    of_one = S._let_sql(reach, lambda far: f"transform(slice(sequence(i, {far}), 2, {far} - i), j -> {pair})")
+    found = f"flatten(transform(sequence(0, size({spans}) - 1), i -> {of_one}))"
+    none = "cast(array() as array<struct<src_ord:INT,dst_ord:INT,src_type:STRING,dst_type:STRING,distance:INT>>)"
+    return f"CASE WHEN size({spans}) < 2 THEN {none} ELSE {found} END" if window > 0 else none
+
+
 def proximity_pairs(framed: DataFrame, cfg: VeilConfig = DEFAULT, window: int | None = None) -> DataFrame:
     """Pairs of kept spans in one cell whose starts are at most ``window``
-    apart (``i < j`` in span order).  Spans never overlap, so each span has a
-    bounded number of partners inside one window; the search runs inside
-    the cell's sorted array (no join, no shuffle).  ``framed`` comes from
-    :func:`span_frame`."""
+    apart (``i < j`` in span order); the search runs inside the cell's sorted
+    array (no join, no shuffle).  ``framed`` comes from :func:`span_frame`."""
     w = window if window is not None else cfg.graph_window
-
-    def partners_of(sp):
-        return lambda a: F.transform(
-            F.filter(sp, lambda b: (b["ord"] > a["ord"]) & (b["start"] - a["start"] <= w)),
-            lambda b: F.struct(
-                a["ord"].alias("src_ord"), b["ord"].alias("dst_ord"),
-                a["pii_type"].alias("src_type"), b["pii_type"].alias("dst_type"),
-                (b["start"] - a["start"]).alias("distance"),
-            ),
-        )
-
-    pairs = F.flatten(F.transform(F.col("spans"), partners_of(F.col("spans"))))
-    return framed.select("row_index", "column_ordinal", "column_name", F.inline(pairs))
+    pairs = bind_column(framed.select("row_index", "column_ordinal", "column_name", "spans"), "pairs",
+                        F.expr(near_pairs_sql("spans", int(w))))
+    return pairs.select("row_index", "column_ordinal", "column_name", F.inline("pairs"))
 
 
 def group_pairs(framed: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:

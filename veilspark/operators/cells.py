@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def named(column: str):
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def string_columns(df: DataFrame, key: str) -> list[str]:
     return [f.name for f in df.schema.fields if f.name != key]
 
@@ -23,12 +28,12 @@ def to_cells(df: DataFrame, key: str = "row_index", columns: list[str] | None =
         F.struct(
             F.lit(i).alias("column_ordinal"),
             F.lit(c).alias("column_name"),
-            F.col(c).cast("string").alias("cell_text"),
+            named(c).cast("string").alias("cell_text"),
         )
         for i, c in enumerate(cols)
     ]
     return (
-        df.select(F.col(key).cast("long").alias("row_index"), F.inline(F.array(*structs)))
+        df.select(named(key).cast("long").alias("row_index"), F.inline(F.array(*structs)))
         .where(F.col("cell_text").isNotNull() & (F.col("cell_text") != ""))
     )
 
@@ -53,4 +58,4 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     offsets = parts.select("__pid", "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     out = tagged.join(offsets, "__pid")
     return out.select((F.col("__off") + F.col("__mid") - F.col("__mid0")).alias(name),
-                      *[F.col(f"`{c}`") for c in df.columns])
+                      *[named(c) for c in df.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, VeilConfig
 from ..functions import spans as S
+from .cells import named
 
 
 def mask_table(df: DataFrame, key: str, columns: list[str], cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -26,12 +27,12 @@ def mask_table(df: DataFrame, key: str, columns: list[str], cfg: VeilConfig = DE
 
     x = "cell_v"
     masked_one = S.mask_with_spans_sql(x, kept_spans_sql(x, cfg))
-    vals = ", ".join(f"CAST(`{c}` AS STRING)" for c in targets)
+    vals = ", ".join("CAST(`{}` AS STRING)".format(c.replace("`", "``")) for c in targets)
     expr = f"transform(array({vals}), {x} -> CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {masked_one} END)"
     masked = df.withColumn("__masked", F.expr(expr))
     pos = {c: i for i, c in enumerate(targets)}
     return masked.select(*[
-        F.col("__masked")[pos[c]].alias(c) if c in pos else F.col(c) for c in df.columns
+        F.col("__masked")[pos[c]].alias(c) if c in pos else named(c) for c in df.columns
     ])
 
 
@@ -40,6 +41,6 @@ def sanitize_formula(df: DataFrame, columns: list[str] | None = None) -> DataFra
     cell as a formula (opt-in: it also changes negative numbers)."""
     cols = columns or df.columns
     return df.select(*[
-        F.regexp_replace(F.col(c).cast("string"), r"^[=+\-@]", "").alias(c) if c in cols else F.col(c)
+        F.regexp_replace(named(c).cast("string"), r"^[=+\-@]", "").alias(c) if c in cols else named(c)
         for c in df.columns
     ])

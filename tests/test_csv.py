@@ -131,3 +131,52 @@ def test_row_numbers_are_unique_over_files_and_bad_rows_are_reported(spark):
     process_csv(spark, wide, out, timestamp="t")
     errors = spark.read.json(os.path.join(out, "errors")).collect()
     assert len(errors) == 1 and "0173" not in errors[0]["_bad_record"]
+
+
+def _write(d, name, data: bytes):
+    with open(os.path.join(d, name), "wb") as f:
+        f.write(data)
+
+
+def test_own_columns_named_like_internal_ones(spark):
+    d = _tmp()
+    _write(d, "t.csv", b"row_index,e.mail,_bad_record,f0,file,a`b\n7,a@b.io,x,y,z,555-222-3333\n8,,,,\n")
+    p = os.path.join(d, "t.csv")
+    got = read_csv_indexed(spark, p)
+    assert got.columns == ["row_index_", "row_index", "e.mail", "_bad_record", "f0", "file", "a`b", "_bad_record_"]
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == [(0, "7", "a@b.io"), (1, "8", "")]
+    out = os.path.join(d, "out")
+    res = process_csv(spark, p, out, timestamp="t")
+    assert {(r.row_index, r.column_name, r.pii_type) for r in res.entities.collect()} == {
+        (0, "e.mail", "email_address"), (0, "a`b", "phone_number")}
+    back, _ = read_csv(spark, os.path.join(out, "masked"))
+    assert back.columns == ["row_index", "e.mail", "_bad_record", "f0", "file", "a`b"]
+    assert sorted(r[1] for r in back.collect()) == ["", "[EMAIL_ADDRESS_REDACTED]"]
+
+
+def test_batch_groups_files_by_header_and_isolates_broken_ones(spark):
+    import gzip
+
+    d = _tmp()
+    for i in range(12):
+        _write(d, f"a{i:02d}.csv", "".join(["name,email\n", *[f"N{i}-{k},u{k}@b.io\n" for k in range(i)]]).encode())
+        _write(d, f"b {i:02d}.csv", f"id,note\n{i},Inês {i}\n".encode("latin-1" if i % 2 else "utf-8"))
+    whole = gzip.compress(b"name,email\n" + b"".join(b"Row %d,x%d@b.io\n" % (k, k * 7919) for k in range(20000)))
+    _write(d, "whole.csv.gz", whole)
+    _write(d, "half.csv.gz", whole[:len(whole) // 2])
+    _write(d, "empty.csv", b"")
+    paths = [os.path.join(d, n) for n in sorted(os.listdir(d))] + [os.path.join(d, "missing.csv")]
+    res = read_csv_batch(spark, paths)
+    assert set(res.tables) == {f"a{i:02d}" for i in range(12)} | {f"b {i:02d}" for i in range(12)} | {"whole.csv", "empty"}
+    assert {r.dataset for r in res.errors.collect()} == {"half.csv", "missing"}
+    by_columns = {tuple(g.columns[3:-1]): g for g in res.groups}
+    assert set(by_columns) == {("name", "email"), ("id", "note"), ()}
+    rows = by_columns[("name", "email")].collect()
+    assert len(rows) == sum(range(12)) + 20000
+    numbers = {}
+    for r in rows:
+        numbers.setdefault(r.dataset, set()).add(r.row_index)
+    assert all(n == set(range(len(n))) for n in numbers.values()) and len(numbers["a11"]) == 11
+    assert sorted(r.note for r in by_columns[("id", "note")].collect()) == sorted(f"Inês {i}" for i in range(12))
+    assert sorted(tuple(r) for r in res.tables["a03"].collect()) == [(k, f"N3-{k}", f"u{k}@b.io") for k in range(3)]
+    assert res.tables["empty"].count() == 0

@@ -68,3 +68,17 @@ def test_phrases_of_any_length_and_case(spark):
                                 "phrase string, label string")
     assert {r.phrase for r in GZ.gazetteer_matches(cells, gaz).collect()} == {"United Arab Emirates", "acme corp", "Paris"}
     assert {r.phrase for r in GZ.gazetteer_matches(cells, gaz, capitalised=True).collect()} == {"United Arab Emirates", "Paris"}
+
+
+def test_only_hits_become_rows(spark):
+    words = " ".join(f"w{i}" for i in range(3000))
+    cells = to_cells(spark.createDataFrame([(i, f"{words} New York City {words} York") for i in range(5)], "row_index long, notes string"),
+                     "row_index", ["notes"])
+    gaz = spark.createDataFrame([("New York", "GPE"), ("New York City", "GPE"), ("York", "GPE"), ("...", "GPE")], "phrase string, label string")
+    grams = GZ.ngrams(cells, gaz)
+    hits = GZ.gazetteer_matches(cells, gaz)
+    assert hits.count() == 5 * 4 and hits.count() <= grams.count() <= 5 * 30      # of 30,000 tokens
+    longest = GZ.gazetteer_spans(cells, gaz, longest=True).where("row_index = 0").collect()
+    assert sorted(r.text for r in longest) == ["New York City", "York", "York"]
+    empty = spark.createDataFrame([], "phrase string, label string")
+    assert GZ.gazetteer_matches(cells, empty).count() == 0

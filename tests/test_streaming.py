@@ -60,3 +60,40 @@ def test_windowed_counts_and_suppression(spark):
         assert uniq.count() == spark.read.parquet(src).select("text").distinct().count()
     finally:
         shutil.rmtree(d, ignore_errors=True)
+
+
+def test_log_sink_writes_each_message_once_over_a_failed_batch(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    texts = [f"message {i} from 10.0.0.{i}" if i % 3 else f"ssn 123-45-67{i:02d}" for i in range(30)]
+    schema = "id int, text string"
+    spark.createDataFrame(list(enumerate(texts)), schema).repartition(3).write.parquet(src)
+
+    def killed(batch_id):
+        raise RuntimeError("killed after the write")
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    query = ST.log_sink(stream(), out, ckpt, after=killed)
+    try:
+        query.awaitTermination()
+        raise AssertionError("the batch should have failed")
+    except Exception as e:  # noqa: BLE001
+        assert "killed after the write" in str(e)
+    assert ST.read_log(spark, out).count() > 0          # the failed batch had written already
+    ST.log_sink(stream(), out, ckpt).awaitTermination()
+    spark.createDataFrame([(99, "late 10.0.0.99")], schema).write.mode("append").parquet(src)
+    ST.log_sink(stream(), out, ckpt).awaitTermination()
+    got = ST.read_log(spark, out)
+    assert sorted(r.id for r in got.collect()) == [*range(30), 99]
+    exp = ST.policy_stream(spark.read.parquet(src)).select("id", "output", "severity")
+    assert got.select("id", "output", "severity").exceptAll(exp).count() == 0
+    assert got.select("batch_id").distinct().count() >= 3
+
+
+def test_log_sink_can_drop_blocked_messages(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(0, "clean"), (1, "ssn 123-45-6789"), (2, None)], "id int, text string").write.parquet(src)
+    stream = spark.readStream.schema("id int, text string").parquet(src)
+    ST.log_sink(stream, out, str(tmp_path / "c"), drop=True).awaitTermination()
+    assert sorted(r.id for r in ST.read_log(spark, out).collect()) == [0, 2]

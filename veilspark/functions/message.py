@@ -145,3 +145,8 @@ def batch_output(text: Column, sev: Column, policy: str, masked: Column | None =
         .when(st == "WARNING", text)
         .otherwise(F.lit(None).cast("string"))
     )
+
+
+def text_digest(text) -> Column:
+    """SHA-256 of a text as 32 bytes: a key for joins and state that doesn't grow with the text."""
+    return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))

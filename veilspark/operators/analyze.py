@@ -61,11 +61,17 @@ def _with_context(framed: DataFrame, keep: list[str], window: int) -> DataFrame:
         *keep, "row_index", "column_ordinal", "column_name", F.col("found").alias("spans"))
 
 
-def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list[str] | None = None) -> DataFrame:
-    keep = keep or []
+def skeleton(framed: DataFrame) -> DataFrame:
+    """The span frame without texts: positions, types and order of each cell's
+    spans, which is all that risk and the graph's structure depend on."""
+    spans = F.expr("transform(spans, s -> named_struct('start', s.start, 'ord', s.ord, 'pii_type', s.pii_type))")
+    return framed.select("row_index", "column_ordinal", "column_name", spans.alias("spans"))
+
+
+def _scored(framed: DataFrame, cfg: VeilConfig, keep: list[str]) -> DataFrame:
+    """One row per span ``s`` with its group and risk; ``others`` are the rest of its group."""
     # groups bound once: the filter Spark infers for the explode stays above
-    with_groups = bind_column(_with_context(framed, keep, cfg.context_window), "groups",
-                              R.anchor_groups(F.col("spans"), cfg.proximity_window))
+    with_groups = bind_column(framed, "groups", R.anchor_groups(F.col("spans"), cfg.proximity_window))
     grouped = with_groups.select(
         *keep, "row_index", "column_ordinal", "column_name",
         F.posexplode("groups").alias("group_ord", "g"),
@@ -79,9 +85,25 @@ def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list
     others = F.filter(F.col("members"), lambda o: o["ord"] != s["ord"])
     max_pair = F.aggregate(others, F.lit(0.0), lambda acc, o: F.greatest(acc, R.pair_risk(s["pii_type"], o["pii_type"])))
     base = R.base_risk_score(s["pii_type"])
-    grouped_flag = group_size > 1
-    score = F.when(grouped_flag, R.combined_risk(base, max_pair)).otherwise(base)
-    return members.select(
+    score = F.when(group_size > 1, R.combined_risk(base, max_pair)).otherwise(base)
+    level = F.when(group_size > 1, R.score_to_level(score)).otherwise(R.base_risk_level(s["pii_type"]))
+    return members.select(*keep, "row_index", "column_ordinal", "column_name", "group_ord", "s", others.alias("others"),
+                          group_size.alias("group_size"), score.alias("risk_score"), level.alias("risk_level"))
+
+
+def risk_rows(framed: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Type and risk of every span of a frame or a :func:`skeleton`, without texts."""
+    return _scored(framed.select("row_index", "column_ordinal", "column_name", "spans"), cfg, []).select(
+        "row_index", "column_ordinal", "column_name", F.col("s.ord").alias("span_ord"),
+        F.col("s.pii_type").alias("pii_type"), "risk_score", "risk_level")
+
+
+def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list[str] | None = None) -> DataFrame:
+    keep = keep or []
+    scored = _scored(_with_context(framed, keep, cfg.context_window), cfg, keep)
+    s = F.col("s")
+    grouped_flag = F.col("group_size") > 1
+    return scored.select(
         *keep,
         "row_index", "column_ordinal", "column_name",
         s["ord"].alias("span_ord"),
@@ -93,11 +115,8 @@ def entities_from_spans(framed: DataFrame, cfg: VeilConfig = DEFAULT, keep: list
         s["context"].alias("context"),
         s["method"].alias("base_method"),
         F.when(grouped_flag, F.lit("proximity")).otherwise(s["method"]).alias("detection_method"),
-        "group_ord",
-        group_size.alias("group_size"),
-        score.alias("risk_score"),
-        F.when(grouped_flag, R.score_to_level(score)).otherwise(R.base_risk_level(s["pii_type"])).alias("risk_level"),
-        F.when(grouped_flag, F.transform(others, lambda o: R.related_label(o["pii_type"], o["text"])))
+        "group_ord", "group_size", "risk_score", "risk_level",
+        F.when(grouped_flag, F.transform("others", lambda o: R.related_label(o["pii_type"], o["text"])))
         .otherwise(F.array().cast("array<string>"))
         .alias("related_entities"),
     )

@@ -1,8 +1,11 @@
 """Gazetteer detector: the model-free stand-in for named-entity recognition.
 
-Texts are cut into word tokens with offsets; n-grams of every length that
-some phrase of the gazetteer has are joined to its ``(phrase, label)`` rows.
-Labels go through the NER label map (unmapped labels are dropped).  Whether
+Texts are cut into word tokens with offsets.  Where a phrase's first token
+stands, the n-grams of every length that some phrase of the gazetteer has are
+looked up in a Bloom filter inside the cell; only those that pass become rows
+and are joined to the ``(phrase, label)`` rows, so what is shuffled follows
+the hits, not the tokens.  A very common phrase is one skewed join key with a
+single gazetteer row, which adaptive execution splits.  Labels go through the NER label map (unmapped labels are dropped).  Whether
 the gazetteer is broadcast is the planner's choice, by its measured size.
 Matches become 0.8-confidence ``ner`` spans that join the regex spans in
 overlap resolution.
@@ -10,7 +13,7 @@ overlap resolution.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
@@ -28,28 +31,57 @@ def map_labels(matches: DataFrame) -> DataFrame:
     return matches.join(F.broadcast(label_map(matches.sparkSession)), "label")
 
 
-def phrase_lengths(gazetteer: DataFrame) -> DataFrame:
-    """One row: the distinct numbers of tokens of the gazetteer's phrases."""
-    n = F.size(F.regexp_extract_all("phrase", F.lit(TOKEN_PATTERN.java()), F.lit(0)))
-    return gazetteer.select(n.alias("n")).where("n > 0").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+#: bits of the Bloom filter: some for each entry, and a fixed most (16 MB as one value)
+BITS_PER_ENTRY, MOST_BITS, HASHES = 12, 1 << 27, 2
+
+
+def _bits(value: str, bits: int) -> list[str]:
+    return [f"pmod(xxhash64({value}, {k}), {bits}L)" for k in range(HASHES)]
+
+
+def phrase_filter(gazetteer: DataFrame) -> tuple[DataFrame, int]:
+    """One row ``lengths, words`` and the number of bits: the phrases' numbers of
+    tokens, and the words of a Bloom filter of first tokens and phrases.
+
+    The filter's size follows the gazetteer's up to ``MOST_BITS``; beyond that
+    it lets more through, and the join still decides."""
+    tokens = F.expr(f"regexp_extract_all(phrase, {S.sql_str(TOKEN_PATTERN.java())}, 0)")
+    phrases = gazetteer.select("phrase", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    n = phrases.count()
+    bits = 1 << 10
+    while bits < min(MOST_BITS, 2 * n * BITS_PER_ENTRY):
+        bits *= 2
+    entries = F.expr("explode(array(concat('t', tokens[0]), concat('p', phrase)))")
+    places = phrases.select(entries.alias("e")).select(F.expr(f"explode(array({', '.join(_bits('e', bits))}))").alias("bit"))
+    words = places.groupBy(F.expr("CAST(bit div 64 AS INT)").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("v"))
+    every = gazetteer.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("v"))
+    filled = words.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))
+    lengths = phrases.agg(F.array_sort(F.collect_set(F.size("tokens"))).alias("lengths"))
+    return filled.select("words", lengths.scalar().alias("lengths")), bits
 
 
 def ngrams(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
-    """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram of
-    a length that the gazetteer has (``capitalised``: only those that start in upper case)."""
+    """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram that
+    passes the gazetteer's filter (``capitalised``: only those that start in upper case)."""
     from .detect import bind_column
 
     toks = S.pattern_spans(F.col("cell_text"), TOKEN_PATTERN, 0)
     with_toks = bind_column(cells.select("row_index", "column_ordinal", "column_name", "cell_text"), "toks", toks)
-    # a scalar subquery: one small array, however large the gazetteer
-    with_toks = with_toks.withColumn("lengths", phrase_lengths(gazetteer).scalar())
-    grams = F.flatten(F.transform("toks", lambda t, i: F.transform("lengths", lambda n: F.struct(
-        t["start"].alias("start"), F.get("toks", i + n - 1)["end"].alias("end")))))
-    g = with_toks.select("row_index", "column_ordinal", "column_name", "cell_text", F.explode(grams).alias("g")).where(
-        "g.end IS NOT NULL")
-    phrase = F.substring(F.col("cell_text"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    out = g.select("row_index", "column_ordinal", "column_name", F.col("g.start").alias("start"),
-                   F.col("g.end").alias("end"), phrase.alias("phrase"))
+    held, bits = phrase_filter(gazetteer)
+    # scalar subqueries: one array of bounded size each
+    with_toks = with_toks.withColumns({"words": held.select("words").scalar(), "lengths": held.select("lengths").scalar()})
+
+    def passes(value: str) -> str:
+        return " AND ".join(f"getbit(words[CAST({b} div 64 AS INT)], CAST({b} % 64 AS INT)) = 1" for b in _bits(value, bits))
+
+    first = f"filter(sequence(0, size(toks) - 1), i -> {passes("concat('t', toks[i].text)")})"
+    grams = ("flatten(transform(starts, i -> transform(filter(lengths, n -> i + n <= size(toks)), n -> named_struct('start', toks[i].start, "
+             "'end', toks[i + n - 1].end, 'phrase', substring(cell_text, toks[i].start + 1, toks[i + n - 1].end - toks[i].start)))))")
+    found = with_toks.where(F.size("toks") > 0).withColumn("starts", F.expr(first)).where(F.size("starts") > 0)
+    passed = found.withColumn("grams", F.expr(f"filter({grams}, g -> {passes("concat('p', g.phrase)")})"))
+    out = passed.select("row_index", "column_ordinal", "column_name", F.inline("grams"))
     return out.where(F.col("phrase").rlike(r"^\p{Lu}")) if capitalised else out
 
 
@@ -59,9 +91,13 @@ def gazetteer_matches(cells: DataFrame, gazetteer: DataFrame, capitalised: bool
     return ngrams(cells, gz, capitalised).join(gz, "phrase")
 
 
-def gazetteer_spans(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
-    """``row_index, column_ordinal, column_name, start, end, text, pii_type`` of mapped hits."""
+def gazetteer_spans(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False, longest: bool = False) -> DataFrame:
+    """``row_index, column_ordinal, column_name, start, end, text, pii_type`` of mapped hits
+    (``longest``: of the hits that begin at one place only the longest)."""
     m = map_labels(gazetteer_matches(cells, gazetteer, capitalised))
+    if longest:
+        place = Window.partitionBy("row_index", "column_ordinal", "start")
+        m = m.withColumn("_most", F.max("end").over(place)).where("end = _most").drop("_most")
     return m.select("row_index", "column_ordinal", "column_name", "start", "end", F.col("phrase").alias("text"),
                     "pii_type")
 

@@ -18,6 +18,8 @@ proximity pairs are explicit rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from ..functions.patterns import (
     ROW_EDGE_WEIGHT,
     semantic_entries,
 )
+from ..session import materialize
 from .components import connected_components
 
 STATS_DIGITS = 9
@@ -50,9 +53,7 @@ def nodes(ent: DataFrame) -> DataFrame:
     )
 
 
-def explicit_edges(pairs: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
-    """Proximity pairs as edges, with the semantic overwrite applied
-    (weight and type replaced, distance kept)."""
+def _typed_edges(pairs: DataFrame, cfg: VeilConfig) -> DataFrame:
     w_prox = F.greatest(F.lit(0.1), F.lit(1.0) - F.col("distance") / F.lit(float(cfg.graph_window)))
     sem = R.semantic_weight(F.col("src_type"), F.col("dst_type"))
     is_sem = sem.isNotNull() & (sem >= cfg.min_edge_weight)
@@ -65,16 +66,99 @@ def explicit_edges(pairs: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
             F.when(is_sem, F.lit("semantic")).otherwise(F.lit("proximity")).alias("edge_type"),
             F.col("distance").cast("int").alias("distance"),
             "row_index", "column_ordinal",
+            F.least("src_type", "dst_type").alias("type_a"), F.greatest("src_type", "dst_type").alias("type_b"),
         )
     )
 
 
+def explicit_edges(pairs: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Proximity pairs as edges, with the semantic overwrite applied
+    (weight and type replaced, distance kept)."""
+    return _typed_edges(pairs, cfg).drop("type_a", "type_b")
+
+
+def graph_edges(pairs: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """The whole graph in one frame: ``src, dst, edge_type, weight, distance, edges``.
+
+    Pairs in proximity are rows of their own (``edges`` 1).  The other edges
+    form cliques of a row or column and bicliques of two types; each is one
+    hub row with its number of edges after precedence (semantic, proximity,
+    row, column), so that every edge of the graph is counted exactly once.
+    """
+    near = _typed_edges(pairs, cfg)
+    listed = near.select("src", "dst", "edge_type", "weight", "distance", F.lit(1).cast(BIG).alias("edges"))
+
+    def hubs(frame, a, b, edge_type, weight, count):
+        return frame.select(a.alias("src"), b.alias("dst"), F.lit(edge_type).alias("edge_type"), weight.alias("weight"),
+                            F.lit(None).cast("int").alias("distance"), count.cast(BIG).alias("edges"))
+
+    row = F.concat(F.lit("row_"), F.col("row_index").cast("string"))
+    column = F.concat(F.lit("column_"), F.col("column_ordinal").cast("string"))
+    # semantic pairs that are listed already are taken from their types' hub
+    seen = near.where(F.col("edge_type") == "semantic").groupBy("type_a", "type_b").agg(F.count("*").alias("seen"))
+    semantic = semantic_edge_counts(rct, cfg).join(F.broadcast(seen), ["type_a", "type_b"], "left").withColumn(
+        "left", (F.col("edges") - F.coalesce("seen", F.lit(0))).cast(BIG))
+    return (listed
+            .unionByName(hubs(semantic.where(F.col("left") > 0), F.concat(F.lit("type_"), F.col("type_a")),
+                              F.concat(F.lit("type_"), F.col("type_b")), "semantic", F.col("weight"), F.col("left")))
+            .unionByName(hubs(row_edge_counts(rct, near, cfg), row, row, "row_co_occurrence", F.lit(ROW_EDGE_WEIGHT),
+                              F.col("row_edges")))
+            .unionByName(hubs(column_edge_counts(rct, cfg), column, column, "column_co_occurrence",
+                              F.lit(COLUMN_EDGE_WEIGHT), F.col("column_edges"))))
+
+
 def cell_type_counts(ent: DataFrame) -> DataFrame:
     """``row_index, column_ordinal, pii_type, n``: the only input the count
     formulas and the hub graph need (far smaller than the entity table)."""
     return ent.groupBy("row_index", "column_ordinal", "pii_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def span_type_counts(framed: DataFrame) -> DataFrame:
+    """Same counts cell by cell, without a shuffle: keys repeat if several cells have one row and column."""
+    counted = F.expr("transform(array_distinct(spans.pii_type), t -> named_struct('pii_type', t, 'n', "
+                     "CAST(size(filter(spans.pii_type, x -> x = t)) AS BIGINT)))")
+    return framed.select("row_index", "column_ordinal", F.inline(counted))
+
+
+def row_vectors(rct: DataFrame) -> DataFrame:
+    """``row_index, items``: a row's counts by column and type, sorted.
+
+    ``rct`` may hold a key several times.  One exchange by row serves both
+    aggregations; a row has at most columns times types items."""
+    merged = rct.repartition("row_index").groupBy("row_index", "column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
+    item = F.struct(F.col("column_ordinal").alias("c"), F.col("pii_type").alias("t"), "n")
+    return merged.groupBy("row_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def row_patterns(vectors: DataFrame) -> DataFrame:
+    """``items, rows``: the distinct row vectors and how many rows have each.
+
+    Rows with the same vector are alike in everything the graph's totals,
+    components and centralities ask for, so these work on patterns.  The
+    table is written: it is read several times."""
+    return materialize(vectors.groupBy("items").agg(F.count(F.lit(1)).alias("rows")), "patterns")
+
+
+def column_totals(patterns: DataFrame) -> DataFrame:
+    """``c, t, n``: entities by column and type (at most columns times types rows)."""
+    each = patterns.select("rows", F.inline("items"))
+    return each.groupBy("c", "t").agg(F.sum(F.col("n") * F.col("rows")).alias("n"))
+
+
+def _partners_sql(t: str, min_w: float) -> str:
+    """SQL text: the types that ``t`` has a semantic edge to."""
+    from ..functions.spans import sql_str
+
+    others: dict[str, list[str]] = {}
+    for a, b, w in semantic_entries():
+        if w >= min_w:
+            others.setdefault(a, []).append(b)
+            others.setdefault(b, []).append(a)
+    none = "cast(array() as array<string>)"
+    cases = " ".join(f"WHEN {sql_str(a)} THEN array({', '.join(map(sql_str, bs))})" for a, bs in sorted(others.items()))
+    return f"CASE {t} {cases} ELSE {none} END" if cases else none
+
+
 def cell_type_counts_from_spans(framed: DataFrame) -> DataFrame:
     """Same counts straight from the span frame (``row_index, column_ordinal,
     spans``): only the span types are needed, not the risk analysis."""
@@ -87,14 +171,6 @@ def _semantic_pairs(spark: SparkSession, min_w: float) -> DataFrame:
     return spark.createDataFrame(rows, "a string, b string, w double")
 
 
-def _partners(spark: SparkSession, min_w: float) -> DataFrame:
-    rows = []
-    for a, b, w in semantic_entries():
-        if w >= min_w:
-            rows += [(a, b), (b, a)]
-    return spark.createDataFrame(rows, "t string, partner string")
-
-
 def _semantic_terms(items, min_w: float) -> dict:
     """Semantic pair count and weight moments inside one group, from its
     per-type counts ``items`` (array<struct<t, n>>, a column reference):
@@ -149,72 +225,61 @@ def _pairs(n):
 
 def edge_class_totals(rct: DataFrame, edges: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``edge_type, cnt, sw, sw2, wmin, wmax`` per edge class, exact, from
-    grouped counts ``rct`` (see :func:`cell_type_counts`; no pair listing).
+    grouped counts ``rct`` (no pair listing).
 
-    Three grouping levels, one aggregation each: per row (row pairs, the
-    row's semantic pairs, same-cell pairs and their semantic part), per
-    column (column pairs and their semantic part) and global (semantic
-    pairs).  Each group carries only its per-type counts (bounded by the
-    number of types), and the semantic sums are constant-size expressions.
+    One exchange by row gives the row patterns; row pairs, cell pairs and
+    their semantic parts are sums over patterns, column pairs and global
+    semantic pairs over the column totals (columns times types rows).
     """
     mw = cfg.min_edge_weight
-    item = F.struct(F.col("pii_type").alias("t"), F.col("n").alias("n"))
-    # per (row, column): cell pairs and semantic pairs inside the cell
-    cell = rct.groupBy("row_index", "column_ordinal").agg(F.collect_list(item).alias("items"),
-                                                          F.sum("n").alias("n"))
-    cs = _semantic_terms(F.col("items"), mw)
-    cell = cell.select("row_index", _pairs(F.col("n")).alias("cell_pairs"), cs["cnt"].alias("cell_sem"),
-                       F.col("items"), F.col("n"))
-    # per row: fold the cells of the row together (one more group-by on the row key)
-    row = cell.groupBy("row_index").agg(
-        F.sum("n").alias("n"), F.sum("cell_pairs").alias("cell_pairs"), F.sum("cell_sem").alias("cell_sem"),
-        F.flatten(F.collect_list("items")).alias("items"))
-    # merge duplicate types coming from several cells before the semantic sums
-    rs = _semantic_terms(F.col("items"), mw)
-    row_tot = row.select(_pairs(F.col("n")).alias("row_pairs"), rs["cnt"].alias("row_sem"),
-                         "cell_pairs", "cell_sem").agg(
-        F.coalesce(F.sum("row_pairs"), F.lit(0)).alias("row_pairs"),
-        F.coalesce(F.sum("row_sem"), F.lit(0)).alias("row_sem"),
-        F.coalesce(F.sum("cell_pairs"), F.lit(0)).alias("cell_pairs"),
-        F.coalesce(F.sum("cell_sem"), F.lit(0)).alias("cell_sem"))
-    # per column, then global (both tiny)
-    col_t = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
-    col = col_t.groupBy("column_ordinal").agg(F.collect_list(item).alias("items"), F.sum("n").alias("n"))
-    ks = _semantic_terms(F.col("items"), mw)
-    col_tot = col.select(_pairs(F.col("n")).alias("p"), ks["cnt"].alias("s")).agg(
-        F.coalesce(F.sum("p"), F.lit(0)).alias("col_pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("col_sem"))
-    glob = col_t.groupBy("pii_type").agg(F.sum("n").alias("n")).agg(F.collect_list(item).alias("items"))
+    patterns = row_patterns(row_vectors(rct))
+    n = F.expr("aggregate(items, 0L, (a, x) -> a + x.n)")
+    none = {"sw": F.lit(None).cast("double"), "sw2": F.lit(None).cast("double"), "wmin": F.lit(None).cast("double"),
+            "wmax": F.lit(None).cast("double")}
+
+    def level(name, frame, times=None):
+        """Pairs and semantic pairs of a frame with ``items``, summed."""
+        terms = _semantic_terms(F.col("items"), mw)
+        times = F.lit(1) if times is None else F.col(times)
+        return (frame.select((_pairs(n) * _big(times)).cast(BIG).alias("p"), (terms["cnt"] * _big(times)).cast(BIG).alias("s"))
+                .agg(F.coalesce(F.sum("p"), F.lit(0)).cast(BIG).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).cast(BIG).alias("sem"))
+                .select(F.lit(name).alias("level"), "pairs", "sem", *[v.alias(k) for k, v in none.items()]))
+
+    cells = patterns.select("rows", F.inline(F.expr(
+        "transform(array_distinct(transform(items, x -> x.c)), k -> named_struct('c', k, 'items', filter(items, x -> x.c = k)))")))
+    totals = column_totals(patterns)
+    item = F.struct("t", "n")
+    columns = totals.groupBy("c").agg(F.collect_list(item).alias("items"))
+    all_types = totals.groupBy("t").agg(F.sum("n").alias("n")).agg(F.collect_list(item).alias("items"))
     gs = _semantic_terms(F.col("items"), mw)
-    sem = glob.select(gs["cnt"].alias("cnt"), gs["sw"].alias("sw"), gs["sw2"].alias("sw2"),
-                      gs["wmin"].alias("wmin"), gs["wmax"].alias("wmax"))
-    pr = edges.where(F.col("edge_type") == "proximity").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("sw"),
-        F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("sw2"),
-        F.min("weight").alias("wmin"), F.max("weight").alias("wmax"),
-    )
-    # one-row aggregates enter as scalar subqueries (no join)
-    sc = lambda df, c: df.select(c).scalar()
-    row_cnt = sc(row_tot, "row_pairs") - sc(row_tot, "row_sem") - sc(pr, "cnt")
-    col_cnt = sc(col_tot, "col_pairs") - sc(col_tot, "col_sem") - (sc(row_tot, "cell_pairs") - sc(row_tot, "cell_sem"))
-    allv = rct.sparkSession.range(1)
-    const = allv.select(
-        F.explode(F.array(
-            F.struct(F.lit("row_co_occurrence").alias("edge_type"), row_cnt.cast(BIG).alias("cnt"),
-                     F.lit(ROW_EDGE_WEIGHT).alias("w")),
-            F.struct(F.lit("column_co_occurrence").alias("edge_type"), col_cnt.cast(BIG).alias("cnt"),
-                     F.lit(COLUMN_EDGE_WEIGHT).alias("w")),
-        )).alias("e"))
-    const = const.select(
-        "e.edge_type", "e.cnt", (F.col("e.w") * F.col("e.cnt")).alias("sw"),
-        (F.col("e.w") * F.col("e.w") * F.col("e.cnt")).alias("sw2"),
-        F.col("e.w").alias("wmin"), F.col("e.w").alias("wmax"))
-    out = (sem.select(F.lit("semantic").alias("edge_type"), F.col("cnt").cast(BIG).alias("cnt"), "sw", "sw2",
-                      "wmin", "wmax")
-           .unionByName(pr.select(F.lit("proximity").alias("edge_type"), F.col("cnt").cast(BIG).alias("cnt"),
-                                  "sw", "sw2", "wmin", "wmax"))
-           .unionByName(const))
-    return out.where(F.col("cnt") > 0)
+    parts = (level("row", patterns, "rows").unionByName(level("cell", cells, "rows")).unionByName(level("column", columns))
+             .unionByName(all_types.select(F.lit("all").alias("level"), F.lit(0).cast(BIG).alias("pairs"), gs["cnt"].cast(BIG).alias("sem"),
+                                           *[gs[k].alias(k) for k in none]))
+             .unionByName(edges.where(F.col("edge_type") == "proximity").agg(
+                 F.count(F.lit(1)).cast(BIG).alias("pairs"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("sw"),
+                 F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("sw2"),
+                 F.min("weight").alias("wmin"), F.max("weight").alias("wmax"),
+             ).select(F.lit("near").alias("level"), "pairs", F.lit(0).cast(BIG).alias("sem"), *none)))
+
+    def of(name, column):
+        return F.max(F.when(F.col("level") == name, F.col(column)))
+
+    one = parts.agg(
+        (of("row", "pairs") - of("row", "sem") - of("near", "pairs")).cast(BIG).alias("in_rows"),
+        (of("column", "pairs") - of("column", "sem") - of("cell", "pairs") + of("cell", "sem")).cast(BIG).alias("in_columns"),
+        *[of(name, k).alias(f"{name}_{k}") for name in ("all", "near") for k in ("pairs", "sem", *none)])
+
+    def given(edge_type, count, name):
+        return F.struct(F.lit(edge_type).alias("edge_type"), F.col(count).alias("cnt"), *[F.col(f"{name}_{k}").alias(k) for k in none])
+
+    def constant(edge_type, count, w):
+        return F.struct(F.lit(edge_type).alias("edge_type"), F.col(count).alias("cnt"), (F.lit(w) * F.col(count)).alias("sw"),
+                        (F.lit(w * w) * F.col(count)).alias("sw2"), F.lit(w).alias("wmin"), F.lit(w).alias("wmax"))
+
+    return one.select(F.inline(F.array(
+        given("semantic", "all_sem", "all"), given("proximity", "near_pairs", "near"),
+        constant("row_co_occurrence", "in_rows", ROW_EDGE_WEIGHT),
+        constant("column_co_occurrence", "in_columns", COLUMN_EDGE_WEIGHT)))).where(F.col("cnt") > 0)
 
 
 def edge_type_counts(totals: DataFrame) -> DataFrame:
@@ -245,51 +310,72 @@ def edge_weight_stats(totals: DataFrame) -> DataFrame:
     )
 
 
+def _column_base(totals: DataFrame, value: str, min_w: float) -> DataFrame:
+    """``c, t, base``: what a column and the types give to ``|row U column U
+    partners|``: the column's sum plus the partner types' sums outside of it.
+    ``totals`` holds ``c, t`` and the sums (columns times types rows at most)."""
+    from pyspark.sql import Window
+
+    # a column's sums by type stand beside each of its rows; all types' in one array
+    own = Window.partitionBy("c")
+    of_types = totals.groupBy("t").agg(F.sum(value).alias("v")).agg(F.collect_list(F.struct("t", "v")).alias("a")).scalar()
+    wide = totals.select("c", "t", F.collect_list(F.struct("t", F.col(value).alias("v"))).over(own).alias("mine"),
+                         of_types.alias("every"))
+    kind = totals.schema[value].dataType.simpleString()
+    zero = f"CAST(0 AS {kind})"
+    partners = _partners_sql("t", min_w)
+
+    def total(name, only):
+        return f"aggregate(filter({name}, x -> {only}), {zero}, (a, x) -> CAST(a + x.v AS {kind}))"
+
+    base = f"{total('mine', 'true')} + {total('every', f'array_contains({partners}, x.t)')} - {total('mine', f'array_contains({partners}, x.t)')}"
+    return wide.select("c", "t", F.expr(base).alias("base"))
+
+
+def _inside_row(value: str, kind: str, min_w: float) -> str:
+    """SQL text for an item ``i`` of ``items``: what the rest of its row adds to
+    its column's base (row minus cell, less the partners counted there)."""
+    partners = _partners_sql("i.t", min_w)
+    return (f"aggregate(items, CAST(0 AS {kind}), (a, y) -> CAST(a + CASE WHEN y.c = i.c OR array_contains({partners}, y.t) "
+            f"THEN CAST(0 AS {kind}) ELSE {value} END AS {kind}))")
+
+
 def degree_table(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Degree per (row, column, type) -- every entity with the same key has
-    the same neighbourhood: ``|row U column U semantic partners| - 1``."""
-    spark = rct.sparkSession
-    partners = _partners(spark, cfg.min_edge_weight)
-
-    def partner_sum(counts, keys, name):
-        j = counts.join(F.broadcast(partners.withColumnRenamed("partner", "pii_type").withColumnRenamed("t", "me")),
-                        "pii_type")
-        return j.groupBy(*keys, F.col("me").alias("pii_type")).agg(F.sum("n").alias(name))
-
-    n_t = rct.groupBy("pii_type").agg(F.sum("n").alias("n"))
-    n_rt = rct.groupBy("row_index", "pii_type").agg(F.sum("n").alias("n"))
-    n_ct = rct.groupBy("column_ordinal", "pii_type").agg(F.sum("n").alias("n"))
-    n_r = rct.groupBy("row_index").agg(F.sum("n").alias("n_r"))
-    n_c = rct.groupBy("column_ordinal").agg(F.sum("n").alias("n_c"))
-    n_rc = rct.groupBy("row_index", "column_ordinal").agg(F.sum("n").alias("n_rc"))
-    sem_g = partner_sum(n_t, [], "sem_g")
-    sem_r = partner_sum(n_rt, ["row_index"], "sem_r")
-    sem_c = partner_sum(n_ct, ["column_ordinal"], "sem_c")
-    sem_rc = partner_sum(rct, ["row_index", "column_ordinal"], "sem_rc")
-    d = (
-        rct.join(n_r, "row_index")
-        .join(F.broadcast(n_c), "column_ordinal")
-        .join(n_rc, ["row_index", "column_ordinal"])
-        .join(F.broadcast(sem_g), "pii_type", "left")
-        .join(sem_r, ["row_index", "pii_type"], "left")
-        .join(F.broadcast(sem_c), ["column_ordinal", "pii_type"], "left")
-        .join(sem_rc, ["row_index", "column_ordinal", "pii_type"], "left")
-    )
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    deg = (F.col("n_r") + F.col("n_c") + z("sem_g") - F.col("n_rc") - z("sem_r") - z("sem_c") + z("sem_rc") - 1)
-    return d.select("row_index", "column_ordinal", "pii_type", deg.cast("long").alias("degree"))
+    the same neighbourhood: ``|row U column U semantic partners| - 1``.
+
+    What lies in the entity's column, or is a partner type anywhere, comes
+    from the column totals; the rest of its row from the row's own vector."""
+    vectors = materialize(row_vectors(rct), "rows")
+    base = _column_base(column_totals(row_patterns(vectors)), "n", cfg.min_edge_weight)
+    inside = F.expr(f"transform(items, i -> named_struct('c', i.c, 't', i.t, 'inside', {_inside_row('y.n', 'BIGINT', cfg.min_edge_weight)}))")
+    each = vectors.select("row_index", F.inline(inside))
+    return each.join(F.broadcast(base), ["c", "t"]).select(  # columns times types rows
+        "row_index", F.col("c").alias("column_ordinal"), F.col("t").alias("pii_type"),
+        (F.col("base") + F.col("inside") - 1).cast("long").alias("degree"))
+
+
+def _identified(ent: DataFrame) -> DataFrame:
+    """Entities or risk rows with their node id."""
+    if "text" in ent.columns:
+        return nodes(ent)
+    return ent.withColumn("node_id", node_id(F.col("pii_type"), F.col("row_index"), F.col("column_ordinal"), F.col("span_ord")))
 
 
 def degree_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``degree / (n - 1)`` per node (n = number of nodes)."""
     d = degree_table(rct, cfg)
     n = rct.agg(F.sum("n").alias("n")).scalar()  # scalar subquery: the node count
-    nd = nodes(ent).join(d, ["row_index", "column_ordinal", "pii_type"])
+    nd = _identified(ent).join(d, ["row_index", "column_ordinal", "pii_type"])
     cent = F.when(n > 1, F.col("degree") / (n - 1))
     return nd.select("node_id", "pii_type", "row_index", "column_name", "degree",
                      F.round(cent, STATS_DIGITS).alias("degree_centrality"))
 
 
+#: hub graphs up to this many links times vertices are solved in one expression
+HUB_STEPS = 1_000_000
+
+
 def component_labels(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """``column_ordinal -> hub component`` on the small hub graph.
 
@@ -297,56 +383,78 @@ def component_labels(rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     semantic partner) its type.  Rows link the columns they touch and types
     link their partner types, so the component of an entity is the
     component of its column in a graph whose vertices are columns and
-    types -- bounded by the schema width plus the number of types.
+    types.  Its links are counted: a small hub graph (any table of some
+    hundred columns) is folded link by link in one expression, a larger one
+    goes through :func:`connected_components`.
     """
-    spark = rct.sparkSession
-    partners = _partners(spark, cfg.min_edge_weight)
-    present = rct.select("pii_type").distinct()
-    live = (partners.join(present, partners.t == present.pii_type, "left_semi")
-            .join(present.withColumnRenamed("pii_type", "partner"), "partner", "left_semi"))
-    hub = lambda c: F.concat(F.lit("c:"), F.col(c).cast("string"))
-    cols_per_row = rct.groupBy("row_index").agg(F.array_sort(F.collect_set("column_ordinal")).alias("cs"))
-    col_links = cols_per_row.where(F.size("cs") > 1).select(
-        F.explode(F.arrays_zip(F.slice("cs", 1, F.size("cs") - 1).alias("x"),
-                               F.slice("cs", 2, F.size("cs")).alias("y"))).alias("p")
-    ).select(hub("p.x").alias("src"), hub("p.y").alias("dst")).distinct()
-    type_links = (rct.select("column_ordinal", "pii_type").distinct()
-                  .join(F.broadcast(live.select(F.col("t").alias("pii_type")).distinct()), "pii_type")
-                  .select(hub("column_ordinal").alias("src"), F.concat(F.lit("t:"), "pii_type").alias("dst")))
-    tt_links = live.select(F.concat(F.lit("t:"), "t").alias("src"), F.concat(F.lit("t:"), "partner").alias("dst"))
-    hub_edges = col_links.unionByName(type_links).unionByName(tt_links)
-    col_vertices = rct.select(hub("column_ordinal").alias("vertex")).distinct()
-    labels = connected_components(hub_edges, col_vertices)
+    patterns = row_patterns(row_vectors(rct))
+    partners = _partners_sql("t", cfg.min_edge_weight)
+    hub = "concat('c:', {})".format
+    chain = ("transform(slice(k, 2, greatest(size(k) - 1, 0)), (c, i) -> named_struct('src', " + hub("k[i]") + ", 'dst', " + hub("c") + "))")
+    columns = patterns.select(F.expr("array_sort(array_distinct(transform(items, x -> x.c)))").alias("k")).distinct()
+    present = column_totals(patterns).select("c", "t")
+    types = F.broadcast(present.agg(F.collect_set("t").alias("types")))  # one row, one entry a type
+    live = present.join(types).withColumn("live", F.expr(f"filter({partners}, p -> array_contains(types, p))"))
+    links = (columns.select(F.inline(F.expr(chain)))
+             .unionByName(live.where(F.size("live") > 0).select(F.expr(hub("c")).alias("src"), F.expr("concat('t:', t)").alias("dst")))
+             .unionByName(live.select(F.expr("concat('t:', t)").alias("src"), F.explode("live").alias("p"))
+                          .select("src", F.expr("concat('t:', p)").alias("dst"))))
+    links = materialize(links.distinct(), "hub-links")
+    vertices = materialize(present.select(F.expr(hub("c")).alias("v")).unionByName(links.select(F.col("src").alias("v"))).unionByName(
+        links.select(F.col("dst").alias("v"))).distinct(), "hub-vertices")
+    if links.count() * vertices.count() <= HUB_STEPS:
+        # every link merges the labels of its two ends; after the last one the labels are the components
+        start = vertices.agg(F.collect_list(F.struct("v", F.col("v").alias("root"))).alias("a")).scalar()
+        root = "element_at(filter(a, x -> x.v = e.{}), 1).root"
+        merged = (f"transform(array(named_struct('p', {root.format('src')}, 'q', {root.format('dst')})), m -> transform(a, x -> "
+                  f"named_struct('v', x.v, 'root', CASE WHEN x.root IN (m.p, m.q) THEN least(m.p, m.q) ELSE x.root END)))[0]")
+        row = links.agg(F.collect_list(F.struct("src", "dst")).alias("links")).select("links", start.alias("labels"))
+        labels = row.select(F.inline(F.expr(f"aggregate(links, labels, (a, e) -> {merged})"))).select(
+            F.col("v").alias("vertex"), F.col("root").alias("component"))
+    else:
+        labels = connected_components(links, vertices)
     return labels.where(F.col("vertex").startswith("c:")).select(
         F.substring_index("vertex", ":", -1).cast("int").alias("column_ordinal"), F.col("component").alias("hub")
     )
 
 
+def column_states(ent: DataFrame) -> DataFrame:
+    """One row a column: entities, their level scores, types and the first entity in entity order."""
+    score = R.level_score(F.col("risk_level")) if "risk_level" in ent.columns else F.lit(None).cast("double")
+    return ent.groupBy("column_ordinal").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(score).alias("scores"), F.max(score).alias("most"),
+        F.collect_set("pii_type").alias("types"),
+        F.min(F.struct("row_index", "column_ordinal", "span_ord", "pii_type")).alias("f"))
+
+
+def _summaries(ent: DataFrame, rct: DataFrame, cfg: VeilConfig) -> tuple[DataFrame, DataFrame]:
+    """Column labels, and per component its size, scores, types, first node and rank (one row a column at most)."""
+    from pyspark.sql import Window
+
+    labels = component_labels(rct, cfg)
+    merged = column_states(ent).join(F.broadcast(labels), "column_ordinal").groupBy("hub").agg(
+        F.sum("size").alias("size"), F.sum("scores").alias("scores"), F.max("most").alias("most"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("types")))).alias("n_types"), F.min("f").alias("f"))
+    # a component is a set of columns, so a global order is cheap
+    w = Window.orderBy(F.col("f.row_index"), F.col("f.column_ordinal"), F.col("f.span_ord"))
+    first = node_id(F.col("f.pii_type"), F.col("f.row_index"), F.col("f.column_ordinal"), F.col("f.span_ord"))
+    return labels, merged.select("hub", first.alias("component_id"), "size", (F.row_number().over(w) - 1).alias("cluster_rank"),
+                                 "scores", "most", "n_types")
+
+
 def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Return (membership, summary).
 
     membership: ``node_id, row_index, column_ordinal, span_ord, component_id``
-    summary:    ``component_id, first_node, size, cluster_rank``
+    summary:    ``component_id, size, cluster_rank``
     The component id is the node id of the component's first entity in
     entity order (row, column ordinal, span ordinal); ``cluster_rank`` is
     the position of the component in that order (0-based).
     """
-    hubs = F.broadcast(component_labels(rct, cfg))  # <= number of columns
-    nd = nodes(ent).join(hubs, "column_ordinal")
-    first = nd.groupBy("hub").agg(
-        F.min(F.struct("row_index", "column_ordinal", "span_ord", "node_id")).alias("f"),
-        F.count(F.lit(1)).alias("size"),
-    )
-    from pyspark.sql import Window
-
-    # one row per component: at most one per column, so a global order is cheap
-    w = Window.orderBy(F.col("f.row_index"), F.col("f.column_ordinal"), F.col("f.span_ord"))
-    summary = first.select(
-        "hub", F.col("f.node_id").alias("component_id"), "size",
-        (F.row_number().over(w) - 1).alias("cluster_rank"),
-    )
-    membership = nd.join(F.broadcast(summary.select("hub", "component_id")), "hub").drop("hub")
-    return membership, summary.drop("hub")
+    labels, summary = _summaries(ent, rct, cfg)
+    of_column = labels.join(summary.select("hub", "component_id"), "hub").drop("hub")  # one row a column
+    membership = _identified(ent).join(F.broadcast(of_column), "column_ordinal")
+    return membership, summary.select("component_id", "size", "cluster_rank")
 
 
 def cluster_members(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
@@ -360,105 +468,86 @@ def cluster_members(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -
 
 def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     """Components with at least two entities, scored:
-    ``min(1, 0.4*avg + 0.3*max + 0.2*diversity + 0.1*min(1, size/5))``."""
-    membership, summary = components(ent, rct, cfg)
-    scored = membership.withColumn("score", R.level_score(F.col("risk_level")))
-    agg = scored.groupBy("component_id").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.avg("score").alias("avg_risk"),
-        F.max("score").alias("max_risk"),
-        F.countDistinct("pii_type").alias("n_types"),
-    )
+    ``min(1, 0.4*avg + 0.3*max + 0.2*diversity + 0.1*min(1, size/5))``.
+    Entities are only aggregated by column; components merge those states."""
+    summary = _summaries(ent, rct, cfg)[1].where(F.col("size") >= 2)
     wa, wm, wd, ws = CLUSTER_WEIGHTS
+    mean = F.col("scores") / F.col("size")
     div = F.col("n_types") / F.col("size")
     overall = F.least(
         F.lit(1.0),
-        F.lit(wa) * F.col("avg_risk") + F.lit(wm) * F.col("max_risk") + F.lit(wd) * div
+        F.lit(wa) * mean + F.lit(wm) * F.col("most") + F.lit(wd) * div
         + F.lit(ws) * F.least(F.lit(1.0), F.col("size") / F.lit(CLUSTER_SIZE_NORM)),
     )
-    return (
-        agg.where(F.col("size") >= 2)
-        .join(F.broadcast(summary.select("component_id", "cluster_rank")), "component_id")
-        .select(
-            F.col("cluster_rank").alias("cluster_id"), "component_id", "size",
-            F.round("avg_risk", STATS_DIGITS).alias("average_risk_score"),
-            F.round("max_risk", STATS_DIGITS).alias("max_risk_score"),
-            F.round(div, STATS_DIGITS).alias("type_diversity"),
-            F.round(overall, STATS_DIGITS).alias("overall_risk"),
-        )
+    return summary.select(
+        F.col("cluster_rank").alias("cluster_id"), "component_id", "size",
+        F.round(mean, STATS_DIGITS).alias("average_risk_score"),
+        F.round("most", STATS_DIGITS).alias("max_risk_score"),
+        F.round(div, STATS_DIGITS).alias("type_diversity"),
+        F.round(overall, STATS_DIGITS).alias("overall_risk"),
     )
 
 
 def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
     _, summary = components(ent, rct, cfg)
-    n = rct.agg(F.sum("n").alias("num_nodes"))
-    m = totals.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("num_edges"))
-    comp = summary.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest_component_size"))
-    nn = n.select("num_nodes").scalar()
-    ne = m.select("num_edges").scalar()
-    return rct.sparkSession.range(1).select(
-        nn.alias("num_nodes"), ne.alias("num_edges"),
-        F.round(F.when(nn > 1, F.lit(2.0) * ne.cast("double") / (nn.cast("double") * (nn - 1))).otherwise(F.lit(0.0)), STATS_DIGITS).alias("density"),
-        (comp.select("n_components").scalar() == 1).alias("is_connected"),
-        comp.select("n_components").scalar().alias("n_components"),
-        comp.select("largest_component_size").scalar().alias("largest_component_size"),
-    )
+    none = F.lit(None).cast("long")
+    found = summary.agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("parts"), F.max("size").alias("largest")).select(
+        "nodes", "parts", "largest", none.cast(BIG).alias("edges")).unionByName(
+        totals.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast(BIG).alias("edges")).select(
+            none.alias("nodes"), none.alias("parts"), none.alias("largest"), "edges"))
+    one = found.agg(F.max("nodes").alias("nodes"), F.max("parts").alias("parts"), F.max("largest").alias("largest"),
+                    F.max("edges").alias("edges"))
+    n = F.coalesce("nodes", F.lit(0))
+    return one.select(
+        n.alias("num_nodes"), F.col("edges").alias("num_edges"),
+        F.round(F.when(n > 1, F.lit(2.0) * F.col("edges").cast("double") / (n.cast("double") * (n - 1))).otherwise(F.lit(0.0)),
+                STATS_DIGITS).alias("density"),
+        (F.col("parts") == 1).alias("is_connected"), F.col("parts").alias("n_components"),
+        F.col("largest").alias("largest_component_size"))
 
 
 def eigenvector_centrality(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT, max_iter: int = 1000,
                            tol: float = 1e-6) -> DataFrame:
     """Unweighted eigenvector centrality by power iteration on ``A + I``.
 
-    Nodes sharing (row, column, type) have identical neighbourhoods, so they
-    keep identical values at every step: the vector lives on the compact
-    ``rct`` table and every product ``A x`` is a handful of grouped sums
-    (row, column, cell and semantic-partner totals combined by
-    inclusion-exclusion).  Each round is checkpointed into the shared
-    checkpoint folder.  Stops when the L1 change is below ``n * tol``;
-    ``converged`` reports whether that happened within ``max_iter``.
+    Nodes of one column and type in rows with the same vector have the same
+    value at every step, so the iteration runs over row patterns: a pattern
+    holds one value an item.  A product ``A x`` takes the column totals
+    (columns times types numbers) and the pattern's own items; no vector is
+    shuffled.  Each round is written into the shared checkpoint folder.
+    Stops when the L1 change is below ``n * tol``; ``converged`` reports
+    whether that happened within ``max_iter``.
     """
-    from ..session import ensure_checkpoint_dir
-
-    spark = rct.sparkSession
-    ensure_checkpoint_dir(spark)
-    partners = F.broadcast(_partners(spark, cfg.min_edge_weight))
-    keys = ["row_index", "column_ordinal", "pii_type"]
-    base = rct.select(*keys, "n").checkpoint()
-    n_nodes = base.agg(F.sum("n")).first()[0] or 0
-    x = base.withColumn("x", F.lit(1.0) / F.lit(float(max(n_nodes, 1)))).checkpoint()
-    converged = False
-    rounds = 0
-    for rounds in range(1, max_iter + 1):
-        w = x.withColumn("nx", F.col("n") * F.col("x"))
-
-        def tot(by, name):
-            return w.groupBy(*by).agg(F.sum("nx").alias(name))
-
-        def ptot(by, name):
-            t = w.groupBy(*by, "pii_type").agg(F.sum("nx").alias("s"))
-            j = t.join(partners.withColumnRenamed("partner", "pii_type").withColumnRenamed("t", "me"), "pii_type")
-            return j.groupBy(*by, F.col("me").alias("pii_type")).agg(F.sum("s").alias(name))
-
-        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        y = (x.join(tot(["row_index"], "sr"), "row_index")
-             .join(F.broadcast(tot(["column_ordinal"], "sc")), "column_ordinal")
-             .join(tot(["row_index", "column_ordinal"], "src"), ["row_index", "column_ordinal"])
-             .join(F.broadcast(ptot([], "sg")), "pii_type", "left")
-             .join(ptot(["row_index"], "srt"), ["row_index", "pii_type"], "left")
-             .join(F.broadcast(ptot(["column_ordinal"], "sct")), ["column_ordinal", "pii_type"], "left")
-             .join(ptot(["row_index", "column_ordinal"], "srct"), keys, "left"))
-        ax = (F.col("sr") + F.col("sc") - F.col("src") + z("sg") - z("srt") - z("sct") + z("srct") - F.col("x"))
-        nxt = y.select(*keys, "n", F.col("x").alias("xlast"), (F.col("x") + ax).alias("raw"))
-        norm = nxt.agg(F.sqrt(F.sum(F.col("n") * F.col("raw") * F.col("raw")))).scalar()
-        new = (nxt.select(*keys, "n", "xlast",
-                          (F.col("raw") / F.when(norm > 0, norm).otherwise(F.lit(1.0))).alias("x"))
-               .checkpoint())
-        delta = new.agg(F.sum(F.col("n") * F.abs(F.col("x") - F.col("xlast")))).first()[0] or 0.0
-        x = new.drop("xlast")
-        if delta < n_nodes * tol:
-            converged = True
-            break
-    out = nodes(ent).join(x.select(*keys, "x"), keys)
+    mw = cfg.min_edge_weight
+    vectors = materialize(row_vectors(rct), "rows")
+    patterns = row_patterns(vectors)
+    n_nodes = patterns.agg(F.sum(F.expr("rows * aggregate(items, 0L, (a, x) -> a + x.n)"))).first()[0] or 0
+    first = 1.0 / max(n_nodes, 1)
+
+    def with_values(x: str, last: str):
+        return F.expr(f"transform(items, i -> named_struct('c', i.c, 't', i.t, 'n', i.n, 'x', {x}, 'last', {last}))")
+
+    state = materialize(patterns.select("rows", F.col("items").alias("pattern"),
+                                        with_values(f"{first!r}D", "0D").alias("items")), "vector")
+    converged, rounds = n_nodes == 0, 0
+    while not converged and rounds < max_iter:
+        rounds += 1
+        sums = state.select("rows", F.inline("items")).groupBy("c", "t").agg(
+            F.sum(F.col("rows") * F.col("n") * F.col("x")).alias("v"))
+        base = _column_base(sums, "v", mw).agg(F.collect_list(F.struct("c", "t", "base")).alias("b")).scalar()
+        given = "filter(base, b -> b.c = i.c AND b.t = i.t)[0].base"
+        product = f"{given} + {_inside_row('y.n * y.x', 'DOUBLE', mw)}"
+        raw = materialize(state.select("rows", "pattern", "items", base.alias("base")).select(
+            "rows", "pattern", with_values(product, "i.x").alias("items")), "product")
+        each = raw.select("rows", F.inline("items"))
+        norm = math.sqrt(each.agg(F.sum(F.col("rows") * F.col("n") * F.col("x") * F.col("x"))).first()[0] or 0.0) or 1.0
+        delta = each.agg(F.sum(F.col("rows") * F.col("n") * F.abs(F.col("x") / norm - F.col("last")))).first()[0] or 0.0
+        state = raw.withColumn("items", with_values(f"i.x / {norm!r}D", "i.last"))
+        converged = delta < n_nodes * tol
+    values = vectors.join(state.select(F.col("pattern").alias("items"), F.expr("transform(items, i -> struct(i.c, i.t, i.x))").alias("v")),
+                          "items").select("row_index", F.inline("v"))
+    out = _identified(ent).join(values.select("row_index", F.col("c").alias("column_ordinal"), F.col("t").alias("pii_type"), "x"),
+                                ["row_index", "column_ordinal", "pii_type"])
     return out.select("node_id", "pii_type", "row_index", "column_name",
                       F.round("x", STATS_DIGITS).alias("eigenvector_centrality"),
                       F.lit(converged).alias("converged"), F.lit(rounds).alias("iterations"))

@@ -11,16 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.message import text_digest
+from .cells import named
+
 VERDICT_PREFIX = "[PII DETECTED BY LLM] "
 
 
 def verdict_join(messages: DataFrame, verdicts: DataFrame, text_col: str = "text") -> DataFrame:
     """``messages`` + ``is_pii``; ``verdicts`` has ``text, verdict``."""
     # of conflicting verdicts any "detected" wins; one row a text, so the join
-    # neither repeats messages nor needs them distinct, and skewed texts split
-    v = verdicts.where(F.col("text").isNotNull()).groupBy(F.col("text").alias(text_col)).agg(
+    # neither repeats messages nor needs them distinct, and skewed texts split.
+    # Texts are told apart by their SHA-256, so keys have 32 bytes however long they are.
+    v = verdicts.where(F.col("text").isNotNull()).groupBy(text_digest("text").alias("_digest")).agg(
         F.max(F.coalesce(F.col("verdict") == "PII_DETECTED", F.lit(True))).alias("_judged"))
-    return messages.join(v, text_col, "left").withColumn("is_pii", F.coalesce("_judged", F.lit(True))).drop("_judged")
+    judged = messages.withColumn("_digest", text_digest(text_col)).join(v, "_digest", "left")
+    return judged.withColumn("is_pii", F.coalesce("_judged", F.lit(True))).select(*[named(c) for c in messages.columns], "is_pii")
 
 
 def apply_verdict_policy(judged: DataFrame, policy: str, text_col: str = "text") -> DataFrame:

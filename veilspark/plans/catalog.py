@@ -15,6 +15,7 @@ from ..functions import message as M
 from ..functions import spans as S
 from ..functions.patterns import (
     CUSTOM_PATTERNS,
+    NER_LABELS,
     NODE_TEXT_LEN,
     PREVIEW_LEN,
     SPAN_PATTERNS,
@@ -24,9 +25,10 @@ from ..functions.patterns import (
 from ..operators import analyze as A
 from ..operators import detect as D
 from ..operators.mask import mask_table, sanitize_formula
+from ..session import materialize
 from ..sources.tables import spread, table
 from . import sqlgen as Q
-from .datasets import DOCS, PAGES, PEOPLE, Dataset
+from .datasets import CHANNELS, DOCS, PAGES, PEOPLE, Dataset
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -560,24 +562,21 @@ def _as_long(df, column):
     return df.withColumn(column, F.col(column).cast("long"))
 
 
-def _graph_inputs(spark, sf):
-    """Entities, explicit edges and the per-(row, column, type) counts.
+def _graph_inputs(spark, sf, ds: Dataset = PEOPLE):
+    """Risk rows, explicit edges, counts per (row, column, type) and proximity pairs.
 
-    The span frame (one regex pass per cell) feeds both the entities and the
-    proximity pairs, so it is persisted; the counts are persisted because
-    every graph statistic is derived from them."""
-    cfg = PEOPLE.config()
-    framed = A.span_frame(PEOPLE.cells(spark, sf), cfg).persist()
-    ent = A.entities_from_spans(framed, cfg)
-    edges = G.explicit_edges(A.proximity_pairs(framed, cfg, cfg.graph_window), cfg)
-    rct = G.cell_type_counts_from_spans(framed).persist()
-    return cfg, ent, edges, rct
+    One detection pass leaves the spans' positions and types (no texts) in
+    the shared folder; everything else is derived from that small table."""
+    cfg = ds.config()
+    bones = materialize(A.skeleton(A.span_frame(ds.cells(spark, sf), cfg)), "skeleton")
+    pairs = A.proximity_pairs(bones, cfg, cfg.graph_window)
+    return cfg, A.risk_rows(bones, cfg), G.explicit_edges(pairs, cfg), G.span_type_counts(bones), pairs
 
 
-def _graph_sql(select: str) -> str:
+def _graph_sql(select: str, ds: Dataset = PEOPLE) -> str:
     from ..functions.patterns import semantic_entries
 
-    return _with_aent(PEOPLE, f""", nodes AS (SELECT pii_type || '_' || row_index || '_' || column_ordinal || '_' ||
+    return _with_aent(ds, f""", nodes AS (SELECT pii_type || '_' || row_index || '_' || column_ordinal || '_' ||
   span_ord AS node_id, * FROM aent),
 sem(a, b, w) AS ({Q._values(semantic_entries())}),
 cand AS (
@@ -612,8 +611,7 @@ ge AS (SELECT c.src, c.dst,
             "substring(text, 1, 50) AS text, confidence, risk_level, row_index, column_name, detection_method "
             "FROM aent"))
 def graph_nodes(spark, sf):
-    _, ent, _, _ = _graph_inputs(spark, sf)
-    return G.nodes(ent).select("node_id", "pii_type", "text", "confidence", "risk_level", "row_index",
+    return G.nodes(_analyzed(PEOPLE, spark, sf)).select("node_id", "pii_type", "text", "confidence", "risk_level", "row_index",
                                "column_name", "detection_method")
 
 
@@ -628,13 +626,32 @@ FROM aent x JOIN aent y ON x.row_index = y.row_index AND x.column_ordinal = y.co
   AND y.span_ord > x.span_ord AND y.start_pos - x.start_pos <= 100
 LEFT JOIN sem ON sem.a = least(x.pii_type, y.pii_type) AND sem.b = greatest(x.pii_type, y.pii_type)"""))
 def proximity_edges(spark, sf):
-    _, _, edges, _ = _graph_inputs(spark, sf)
+    _, _, edges, _, _ = _graph_inputs(spark, sf)
     return edges.select("src", "dst", "weight", "edge_type", "distance")
 
 
+NEAR = "x.row_index = y.row_index AND x.column_ordinal = y.column_ordinal AND abs(x.start_pos - y.start_pos) <= 100"
+
+
+@register("graph_edges", _graph_sql(f""", g AS (SELECT ge.*, {NEAR} AS near, abs(x.start_pos - y.start_pos) AS distance,
+  x.row_index, x.column_ordinal, least(x.pii_type, y.pii_type) AS type_a, greatest(x.pii_type, y.pii_type) AS type_b
+  FROM ge JOIN nodes x ON x.node_id = ge.src JOIN nodes y ON y.node_id = ge.dst)
+SELECT src, dst, edge_type, weight, CAST(distance AS INTEGER) AS distance, 1::BIGINT AS edges FROM g WHERE near
+UNION ALL SELECT 'type_' || type_a, 'type_' || type_b, edge_type, weight, NULL, count(*) FROM g
+  WHERE NOT near AND edge_type = 'semantic' GROUP BY type_a, type_b, edge_type, weight
+UNION ALL SELECT 'row_' || row_index, 'row_' || row_index, edge_type, weight, NULL, count(*) FROM g
+  WHERE edge_type = 'row_co_occurrence' GROUP BY row_index, edge_type, weight
+UNION ALL SELECT 'column_' || column_ordinal, 'column_' || column_ordinal, edge_type, weight, NULL, count(*) FROM g
+  WHERE edge_type = 'column_co_occurrence' GROUP BY column_ordinal, edge_type, weight"""))
+def graph_edges_q(spark, sf):
+    """Every edge of the graph once: listed pairs and counted hubs."""
+    cfg, _, _, rct, pairs = _graph_inputs(spark, sf)
+    return _as_long(G.graph_edges(pairs, rct, cfg), "edges")
+
+
 @register("edge_types", _graph_sql("SELECT edge_type, count(*) AS count FROM ge GROUP BY 1"))
 def edge_types(spark, sf):
-    cfg, _, edges, rct = _graph_inputs(spark, sf)
+    cfg, _, edges, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.edge_type_counts(G.edge_class_totals(rct, edges, cfg)), "count")
 
 
@@ -642,7 +659,7 @@ def edge_types(spark, sf):
     "SELECT count(*) AS total_edges, round(avg(weight), 9) AS mean_weight, round(stddev_pop(weight), 9) AS std_weight,"
     " round(min(weight), 9) AS min_weight, round(max(weight), 9) AS max_weight FROM ge"))
 def edge_weight_stats(spark, sf):
-    cfg, _, edges, rct = _graph_inputs(spark, sf)
+    cfg, _, edges, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.edge_weight_stats(G.edge_class_totals(rct, edges, cfg)), "total_edges")
 
 
@@ -653,7 +670,7 @@ def edge_weight_stats(spark, sf):
     "round(coalesce(d.degree, 0) / (count(*) OVER () - 1), 9) AS degree_centrality "
     "FROM nodes n LEFT JOIN deg d USING (node_id)"))
 def degree_centrality(spark, sf):
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     return G.degree_centrality(ent, rct, cfg)
 
 
@@ -695,19 +712,19 @@ clusters AS (SELECT cluster_id, component_id, size, round(a, 9) AS average_risk_
 
 @register("components", _hub_sql("SELECT component_id, size, cluster_rank FROM comp2"))
 def components_q(spark, sf):
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     return G.components(ent, rct, cfg)[1]
 
 
 @register("risk_clusters", _hub_sql("SELECT * FROM clusters"))
 def risk_clusters_q(spark, sf):
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     return G.risk_clusters(ent, rct, cfg)
 
 
 @register("top_clusters", _hub_sql("SELECT * FROM clusters ORDER BY overall_risk DESC, cluster_id LIMIT 3"))
 def top_clusters_q(spark, sf):
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     return G.risk_clusters(ent, rct, cfg).orderBy(F.desc("overall_risk"), "cluster_id").limit(3)
 
 
@@ -716,13 +733,43 @@ def top_clusters_q(spark, sf):
 def cluster_members_q(spark, sf):
     """Entity -> component membership (the entity lists of clusters, kept as
     rows rather than one unbounded array per cluster)."""
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     m, s = G.components(ent, rct, cfg)
     return m.join(F.broadcast(s.select("component_id", "cluster_rank")), "component_id").select(
         "node_id", "component_id", "cluster_rank")
 
 
 
+# components of the enumerated pairs, not of the hub graph
+_PAIR_COMPONENTS = """, k AS (SELECT *, row_number() OVER (ORDER BY row_index, column_ordinal, span_ord) AS k FROM nodes),
+p AS (SELECT x.k AS a, y.k AS b FROM ge JOIN k x ON x.node_id = ge.src JOIN k y ON y.node_id = ge.dst),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach(a, m) AS (SELECT k, k FROM k UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.m),
+label AS (SELECT a AS k, min(m) AS first FROM reach GROUP BY a),
+member AS (SELECT k.*, f.node_id AS component_id, dense_rank() OVER (ORDER BY label.first) - 1 AS cluster_rank,
+    CASE k.risk_level WHEN 'low' THEN 0.25::DOUBLE WHEN 'medium' THEN 0.5::DOUBLE WHEN 'high' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS score
+  FROM k JOIN label USING (k) JOIN k f ON f.k = label.first)"""
+
+
+@register("channel_components", _graph_sql(
+    f"{_PAIR_COMPONENTS} SELECT component_id, count(*) AS size, cluster_rank FROM member GROUP BY component_id, cluster_rank", CHANNELS))
+def channel_components(spark, sf):
+    """Components of a graph that falls apart: several columns, two that meet, a single entity."""
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf, CHANNELS)
+    return G.components(ent, rct, cfg)[1]
+
+
+@register("channel_clusters", _graph_sql(
+    f"""{_PAIR_COMPONENTS} SELECT cluster_rank AS cluster_id, component_id, count(*) AS size, round(avg(score), 9) AS average_risk_score,
+  round(max(score), 9) AS max_risk_score, round(count(DISTINCT pii_type) / count(*), 9) AS type_diversity,
+  round(least(1.0::DOUBLE, 0.4::DOUBLE * avg(score) + 0.3::DOUBLE * max(score) + 0.2::DOUBLE * (count(DISTINCT pii_type) / count(*))
+    + 0.1::DOUBLE * least(1.0::DOUBLE, count(*) / 5.0::DOUBLE)), 9) AS overall_risk
+FROM member GROUP BY component_id, cluster_rank HAVING count(*) >= 2""", CHANNELS))
+def channel_clusters(spark, sf):
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf, CHANNELS)
+    return G.risk_clusters(ent, rct, cfg)
+
+
 def _metrics_sql() -> str:
     edges = _graph_sql("SELECT count(*) AS m FROM ge")
     comps = _hub_sql("SELECT count(*) AS k, max(size) AS largest FROM comp2")
@@ -734,7 +781,7 @@ def _metrics_sql() -> str:
 
 @register("graph_metrics", _metrics_sql())
 def graph_metrics_q(spark, sf):
-    cfg, ent, edges, rct = _graph_inputs(spark, sf)
+    cfg, ent, edges, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.graph_metrics(ent, rct, G.edge_class_totals(rct, edges, cfg), cfg), "num_edges")
 
 
@@ -803,7 +850,37 @@ def ner_label_map(spark, sf):
     return m.select("row_index", "column_name", "start", "end", F.col("phrase").alias("text"), "pii_type")
 
 
-@register("entities_with_gazetteer", None)
+def _mixed_sql() -> str:
+    """Regex and gazetteer spans, resolved one after the other by a recursive
+    walk that carries the open span of each cell."""
+    n = len(SPAN_PATTERNS)
+    labels = "VALUES " + ", ".join(f"({Q.q(a)}, {Q.q(b)})" for a, b in NER_LABELS)
+    same = "{0}.row_index = {1}.row_index AND {0}.column_ordinal = {1}.column_ordinal".format
+    return f"""WITH RECURSIVE {_ngram_sql()}, lm(label, pii_type) AS ({labels}),
+raw AS ({Q.raw_spans_sql('cells')}),
+every AS (SELECT row_index, column_ordinal, column_name, cell_text, prio, pii_type, text, start_pos, end_pos,
+    0.9::DOUBLE AS confidence, 'regex' AS base_method FROM raw
+  UNION ALL SELECT h.row_index, h.column_ordinal, h.column_name, c.cell_text, {n}, lm.pii_type, h.phrase, h.start, h."end", 0.8::DOUBLE, 'ner'
+  FROM hits h JOIN lm USING (label) JOIN cells c ON {same('c', 'h')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_index, column_ordinal
+  ORDER BY start_pos, prio, end_pos, text, pii_type) AS rn FROM every),
+sweep AS (SELECT row_index, column_ordinal, rn, rn AS open, end_pos AS until, confidence AS sure, CAST(NULL AS BIGINT) AS closed
+    FROM ranked WHERE rn = 1
+  UNION ALL SELECT n.row_index, n.column_ordinal, n.rn,
+    CASE WHEN n.start_pos >= s.until OR n.confidence > s.sure THEN n.rn ELSE s.open END,
+    CASE WHEN n.start_pos >= s.until OR n.confidence > s.sure THEN n.end_pos ELSE s.until END,
+    CASE WHEN n.start_pos >= s.until OR n.confidence > s.sure THEN n.confidence ELSE s.sure END,
+    CASE WHEN n.start_pos >= s.until THEN s.open END
+  FROM sweep s JOIN ranked n ON {same('n', 's')} AND n.rn = s.rn + 1),
+chosen AS (SELECT row_index, column_ordinal, closed AS rn FROM sweep WHERE closed IS NOT NULL
+  UNION ALL SELECT row_index, column_ordinal, arg_max(open, rn) FROM sweep GROUP BY row_index, column_ordinal),
+ent AS (SELECT r.*, CAST(row_number() OVER (PARTITION BY row_index, column_ordinal ORDER BY start_pos) - 1 AS INTEGER) AS span_ord,
+  '' AS context FROM ranked r JOIN chosen USING (row_index, column_ordinal, rn)),
+{Q.risk_sql_ctes()}
+SELECT row_index, column_name, span_ord, text, pii_type, start_pos, end_pos, confidence, base_method, risk_level FROM aent"""
+
+
+@register("entities_with_gazetteer", _mixed_sql())
 def entities_with_gazetteer(spark, sf):
     """Regex and gazetteer spans resolved together (mixed confidence: a
     regex span replaces an overlapping gazetteer span, never the reverse)."""
@@ -843,7 +920,7 @@ def verdict_join_q(spark, sf):
     "SELECT x.row_index, count(*) AS row_edges FROM ge JOIN nodes x ON x.node_id = ge.src "
     "WHERE edge_type = 'row_co_occurrence' GROUP BY 1"))
 def row_edges_q(spark, sf):
-    cfg, _, edges, rct = _graph_inputs(spark, sf)
+    cfg, _, edges, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.row_edge_counts(rct, edges, cfg), "row_edges")
 
 
@@ -851,7 +928,7 @@ def row_edges_q(spark, sf):
     "SELECT x.column_ordinal, count(*) AS column_edges FROM ge JOIN nodes x ON x.node_id = ge.src "
     "WHERE edge_type = 'column_co_occurrence' GROUP BY 1"))
 def column_edges_q(spark, sf):
-    cfg, _, _, rct = _graph_inputs(spark, sf)
+    cfg, _, _, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.column_edge_counts(rct, cfg), "column_edges")
 
 
@@ -860,7 +937,7 @@ def column_edges_q(spark, sf):
     "count(*) AS edges, any_value(weight) AS weight FROM ge JOIN nodes x ON x.node_id = ge.src "
     "JOIN nodes y ON y.node_id = ge.dst WHERE edge_type = 'semantic' GROUP BY 1, 2"))
 def semantic_edges_q(spark, sf):
-    cfg, _, _, rct = _graph_inputs(spark, sf)
+    cfg, _, _, rct, _ = _graph_inputs(spark, sf)
     return _as_long(G.semantic_edge_counts(rct, cfg), "edges")
 
 
@@ -868,7 +945,7 @@ def semantic_edges_q(spark, sf):
 def eigenvector_centrality_q(spark, sf):
     """Power iteration (iterative, so no SQL oracle; unit-tested against a
     brute-force power iteration)."""
-    cfg, ent, _, rct = _graph_inputs(spark, sf)
+    cfg, ent, _, rct, _ = _graph_inputs(spark, sf)
     return G.eigenvector_centrality(ent, rct, cfg)
 
 

@@ -3,6 +3,7 @@
 * ``docs``   -- ``documents`` (key ``doc_id``; columns text, lang, source)
 * ``pages``  -- ``pages`` (key ``page_id``; columns url, html)
 * ``people`` -- contact table derived from ``customer`` (see sources.tables)
+* ``channels`` -- one contact channel a customer, whose graph has several components
 
 Each data set is read whole; the regex work is spread over all cores.
 """
@@ -16,7 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import VeilConfig
 from ..functions.patterns import SPAN_PATTERNS, PatternRegistry
 from ..operators.cells import to_cells
-from ..sources.tables import ADDRESS_PATTERN, PEOPLE_EXPRS, PEOPLE_SQL, people, spread, table
+from ..sources.tables import (
+    ADDRESS_PATTERN,
+    CHANNEL_EXPRS,
+    CHANNEL_SQL,
+    PEOPLE_EXPRS,
+    PEOPLE_SQL,
+    channels,
+    people,
+    spread,
+    table,
+)
+
+#: data sets derived from a given table: their frame and their SQL
+DERIVED = {"people": (people, PEOPLE_SQL), "channels": (channels, CHANNEL_SQL)}
 
 
 @dataclass(frozen=True)
@@ -28,8 +42,8 @@ class Dataset:
     extra_patterns: tuple = ()
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        if self.name == "people":
-            df = people(spark, sf_dir)
+        if self.name in DERIVED:
+            df = DERIVED[self.name][0](spark, sf_dir)
         else:
             df = table(spark, sf_dir, self.source).selectExpr(f"{self.key} AS row_index", *self.columns)
         return spread(df)
@@ -48,12 +62,10 @@ class Dataset:
 
     def sql_source(self) -> str:
         """SQL for the keyed source rows (DuckDB)."""
-        if self.name == "people":
-            return f"({PEOPLE_SQL})"
-        return self.source
+        return f"({DERIVED[self.name][1]})" if self.name in DERIVED else self.source
 
     def sql_key(self) -> str:
-        return "row_index" if self.name == "people" else self.key
+        return "row_index" if self.name in DERIVED else self.key
 
 
 DOCS = Dataset("docs", "documents", "doc_id", ("text", "lang", "source"))
@@ -63,4 +75,5 @@ PEOPLE = Dataset(
     tuple(a for a, _ in PEOPLE_EXPRS if a != "row_index"),
     (ADDRESS_PATTERN,),
 )
-ALL = {d.name: d for d in (DOCS, PAGES, PEOPLE)}
+CHANNELS = Dataset("channels", "customer", "row_index", tuple(a for a, _ in CHANNEL_EXPRS if a != "row_index"))
+ALL = {d.name: d for d in (DOCS, PAGES, PEOPLE, CHANNELS)}

@@ -78,7 +78,7 @@ ent AS (SELECT row_index, column_ordinal, column_name, cell_text,
   text, pii_type, start_pos, end_pos, 0.9::DOUBLE AS confidence,
   substring(cell_text, greatest(start_pos - {window}, 0) + 1,
             least(length(cell_text), end_pos + {window}) - greatest(start_pos - {window}, 0)) AS context,
-  'regex' AS detection_method, prio
+  'regex' AS detection_method, 'regex' AS base_method, prio
   FROM kept)"""
 
 
@@ -152,11 +152,15 @@ def level_sql(score: str) -> str:
 
 def analyzed_sql_ctes(source: str, key: str, columns: list[str], patterns, window: int = 100) -> str:
     """CTEs ending in ``aent``: kept spans with anchor groups and risk."""
+    return f"{entities_sql_ctes(source, key, columns, patterns)},\n{risk_sql_ctes(window)}"
+
+
+def risk_sql_ctes(window: int = 100) -> str:
+    """CTEs from ``ent`` to ``aent``: anchor groups and risk of the spans in ``ent``."""
     from ..functions.patterns import pair_risk_entries
 
     same = "b.row_index = a.row_index AND b.column_ordinal = a.column_ordinal"
-    return f"""{entities_sql_ctes(source, key, columns, patterns)},
-pr(ta, tb, score) AS ({_values(pair_risk_entries())}),
+    return f"""pr(ta, tb, score) AS ({_values(pair_risk_entries())}),
 nxa AS (SELECT a.*, (SELECT min(b.span_ord) FROM ent b WHERE {same} AND b.start_pos > a.start_pos + {window})
   AS nxt_anchor FROM ent a),
 anc AS (SELECT row_index, column_ordinal, span_ord, nxt_anchor FROM nxa WHERE span_ord = 0
@@ -182,8 +186,8 @@ aent0 AS (SELECT g.*, o.max_pair, o.related,
   FROM grp2 g LEFT JOIN oth o ON o.row_index = g.row_index AND o.column_ordinal = g.column_ordinal
     AND o.span_ord = g.span_ord),
 aent AS (SELECT row_index, column_ordinal, column_name, span_ord, text, pii_type, start_pos, end_pos, confidence,
-  context, 'regex' AS base_method,
-  CASE WHEN group_size > 1 THEN 'proximity' ELSE 'regex' END AS detection_method,
+  context, base_method,
+  CASE WHEN group_size > 1 THEN 'proximity' ELSE base_method END AS detection_method,
   group_ord, CAST(group_size AS INTEGER) AS group_size, risk_score,
   CASE WHEN group_size > 1 THEN {level_sql('risk_score')} ELSE {base_level_sql('pii_type')} END AS risk_level,
   coalesce(related, []::VARCHAR[]) AS related_entities

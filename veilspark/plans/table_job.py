@@ -117,13 +117,13 @@ def process_csv(spark: SparkSession, path: str, output_dir: str | None = None, c
     table = read_csv_indexed(spark, path, max_size_mb, multiline=multiline)
     # the raw text of a row that does not fit the header is one more cell: its
     # entities count, and it is written masked to the errors, not to the table
-    columns = [c for c in table.columns if c not in ("row_index", BAD_RECORD)]
-    table = table.withColumn(BAD_RECORD, F.coalesce(BAD_RECORD, F.lit("")))
-    result = process_table(table, "row_index", [*columns, BAD_RECORD], cfg)
+    key, *columns, bad = table.columns
+    table = table.withColumn(bad, F.coalesce(bad, F.lit("")))
+    result = process_table(table, key, [*columns, bad], cfg)
     if output_dir:
         base = output_dir.rstrip("/")
-        sinks.write_masked_csv(result.masked, f"{base}/masked", drop=("row_index", BAD_RECORD))
-        sinks.write_json(result.masked.where(F.col(BAD_RECORD) != "").select("row_index", BAD_RECORD), f"{base}/errors")
+        sinks.write_masked_csv(result.masked, f"{base}/masked", drop=(key, bad))
+        sinks.write_json(result.masked.where(F.col(bad) != "").select(F.col(key).alias("row_index"), F.col(bad).alias(BAD_RECORD)), f"{base}/errors")
         sinks.write_json(result.entities, f"{base}/entities")
         sinks.write_json(result.report(timestamp), f"{base}/report")
         sinks.write_tables({

@@ -57,6 +57,25 @@ ADDRESS_PATTERN = ("physical_address", r"\b\d{1,5} [A-Z][a-z]+ (?:Street|Avenue|
 PEOPLE_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in PEOPLE_EXPRS) + " FROM customer"
 
 
+# One channel a customer: the columns never meet in a row and their types have
+# no semantic partner, so the entity graph has a component a column and one
+# single entity.
+CHANNEL_EXPRS = [
+    ("row_index", "c_custkey"),
+    ("area", "CASE WHEN c_custkey % 4 = 0 THEN 'zip ' || lpad(CAST((c_custkey * 97) % 100000 AS STRING), 5, '0') ELSE '' END"),
+    ("host", "CASE WHEN c_custkey % 4 = 1 THEN 'hosts 10.1.' || CAST(c_nationkey AS STRING) || '.' || CAST(c_custkey % 256 AS STRING) || "
+             "' and 10.2.0.' || CAST(c_custkey % 256 AS STRING) ELSE '' END"),
+    ("token", "CASE WHEN c_custkey % 4 = 2 THEN 'api_key=k' || lpad(CAST(c_custkey AS STRING), 24, '0') ELSE '' END"),
+    ("backup", "CASE WHEN c_custkey % 8 = 6 THEN 'api_key=b' || lpad(CAST(c_custkey AS STRING), 24, '0') ELSE '' END"),
+    ("lone", "CASE WHEN c_custkey = 3 THEN 'password: only-one-here' ELSE '' END"),
+]
+CHANNEL_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in CHANNEL_EXPRS) + " FROM customer"
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {a}" for a, e in CHANNEL_EXPRS))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived contact table: one row per customer, all columns strings
     except the ``row_index`` key."""

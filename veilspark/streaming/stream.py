@@ -61,5 +61,39 @@ def severity_counts(stream: DataFrame, ts_col: str, text_col: str = "text", wind
 def suppress_repeats(stream: DataFrame, text_col: str, ts_col: str, watermark: str = "10 minutes") -> DataFrame:
     """Drop repeats of the same text seen within the watermark delay (the
     streaming stand-in for a detection cache: repeated texts are scanned
-    and logged once)."""
-    return _event_time(stream, ts_col).withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([text_col])
+    and logged once).  The state holds digests, not texts."""
+    marked = _event_time(stream, ts_col).withColumn("_digest", M.text_digest(text_col))
+    return marked.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
+
+
+#: folder of a batch below the sink's path
+BATCH = "batch_id"
+
+
+def log_sink(stream: DataFrame, path: str, checkpoint: str, text_col: str = "text", policy: str = "mask_and_log",
+             cfg: VeilConfig = DEFAULT, drop: bool = False, trigger: dict | None = None, after=None):
+    """Write a message stream under a policy; returns the running query.
+
+    Every micro-batch is written to its own folder below ``path``, named by
+    the batch and replaced as a whole, so a batch that is run again after a
+    failure writes each of its messages once.  ``checkpoint`` keeps the
+    offsets: a restarted sink goes on where the last one stopped.  With
+    ``drop`` messages that hold personal data are left out, else they go
+    through :func:`policy_stream`.  ``trigger`` are the arguments of Spark's
+    trigger (default: what is there now, then stop); ``after(batch_id)`` runs
+    once a batch is written.  Read the folder back with :func:`read_log`.
+    """
+    out = drop_blocked(stream, text_col, cfg) if drop else policy_stream(stream, text_col, policy, cfg)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
+        if after is not None:
+            after(batch_id)
+
+    return (out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """The messages that :func:`log_sink` has written, with the batch that wrote them."""
+    return spark.read.parquet(path)

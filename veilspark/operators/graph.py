@@ -427,11 +427,11 @@ def column_states(ent: DataFrame) -> DataFrame:
         F.min(F.struct("row_index", "column_ordinal", "span_ord", "pii_type")).alias("f"))
 
 
-def _summaries(ent: DataFrame, rct: DataFrame, cfg: VeilConfig) -> tuple[DataFrame, DataFrame]:
+def _summaries(ent: DataFrame, rct: DataFrame, cfg: VeilConfig, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Column labels, and per component its size, scores, types, first node and rank (one row a column at most)."""
     from pyspark.sql import Window
 
-    labels = component_labels(rct, cfg)
+    labels = component_labels(rct, cfg) if labels is None else labels
     merged = column_states(ent).join(F.broadcast(labels), "column_ordinal").groupBy("hub").agg(
         F.sum("size").alias("size"), F.sum("scores").alias("scores"), F.max("most").alias("most"),
         F.size(F.array_distinct(F.flatten(F.collect_list("types")))).alias("n_types"), F.min("f").alias("f"))
@@ -442,8 +442,9 @@ def _summaries(ent: DataFrame, rct: DataFrame, cfg: VeilConfig) -> tuple[DataFra
                                  "scores", "most", "n_types")
 
 
-def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Return (membership, summary).
+def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT,
+               labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Return (membership, summary); ``labels`` saves working out :func:`component_labels` again.
 
     membership: ``node_id, row_index, column_ordinal, span_ord, component_id``
     summary:    ``component_id, size, cluster_rank``
@@ -451,26 +452,26 @@ def components(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> tup
     entity order (row, column ordinal, span ordinal); ``cluster_rank`` is
     the position of the component in that order (0-based).
     """
-    labels, summary = _summaries(ent, rct, cfg)
+    labels, summary = _summaries(ent, rct, cfg, labels)
     of_column = labels.join(summary.select("hub", "component_id"), "hub").drop("hub")  # one row a column
     membership = _identified(ent).join(F.broadcast(of_column), "column_ordinal")
     return membership, summary.select("component_id", "size", "cluster_rank")
 
 
-def cluster_members(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def cluster_members(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT, labels: DataFrame | None = None) -> DataFrame:
     """Entities of each component as rows: component, its rank, and the entity's node id,
     type, text preview, risk level and confidence."""
-    membership, summary = components(ent, rct, cfg)
+    membership, summary = components(ent, rct, cfg, labels)
     return membership.join(summary.select("component_id", "cluster_rank"), "component_id").select(
         "component_id", "cluster_rank", "node_id", "pii_type", F.col("text").alias("text_preview"), "risk_level",
         "confidence")
 
 
-def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT, labels: DataFrame | None = None) -> DataFrame:
     """Components with at least two entities, scored:
     ``min(1, 0.4*avg + 0.3*max + 0.2*diversity + 0.1*min(1, size/5))``.
     Entities are only aggregated by column; components merge those states."""
-    summary = _summaries(ent, rct, cfg)[1].where(F.col("size") >= 2)
+    summary = _summaries(ent, rct, cfg, labels)[1].where(F.col("size") >= 2)
     wa, wm, wd, ws = CLUSTER_WEIGHTS
     mean = F.col("scores") / F.col("size")
     div = F.col("n_types") / F.col("size")
@@ -488,8 +489,9 @@ def risk_clusters(ent: DataFrame, rct: DataFrame, cfg: VeilConfig = DEFAULT) ->
     )
 
 
-def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
-    _, summary = components(ent, rct, cfg)
+def graph_metrics(ent: DataFrame, rct: DataFrame, totals: DataFrame, cfg: VeilConfig = DEFAULT,
+                  labels: DataFrame | None = None) -> DataFrame:
+    _, summary = components(ent, rct, cfg, labels)
     none = F.lit(None).cast("long")
     found = summary.agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("parts"), F.max("size").alias("largest")).select(
         "nodes", "parts", "largest", none.cast(BIG).alias("edges")).unionByName(

@@ -9,6 +9,7 @@ once; every output is a DataFrame that Spark computes on demand.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators import graph as G
 from ..operators import report as RP
 from ..operators.cells import to_cells
 from ..operators.mask import mask_table
+from ..session import materialize
 from ..sources import sinks
 from ..sources.csv import BAD_RECORD, read_csv_indexed
 
@@ -53,14 +55,23 @@ class TableResult:
     def nodes(self) -> DataFrame:
         return G.nodes(self.entities)
 
+    @cached_property
+    def _totals(self) -> DataFrame:
+        """Written once (four rows), as the component labels (a row a column)."""
+        return materialize(G.edge_class_totals(self.counts, self.edges, self.cfg), "edge-totals")
+
+    @cached_property
+    def _labels(self) -> DataFrame:
+        return materialize(G.component_labels(self.counts, self.cfg), "hub-components")
+
     def edge_totals(self) -> DataFrame:
-        return G.edge_class_totals(self.counts, self.edges, self.cfg)
+        return self._totals
 
     def clusters(self) -> DataFrame:
-        return G.risk_clusters(self.entities, self.counts, self.cfg)
+        return G.risk_clusters(self.entities, self.counts, self.cfg, self._labels)
 
     def cluster_members(self) -> DataFrame:
-        return G.cluster_members(self.entities, self.counts, self.cfg)
+        return G.cluster_members(self.entities, self.counts, self.cfg, self._labels)
 
     def release(self) -> None:
         """Give back what the frames keep on the executors."""
@@ -68,7 +79,7 @@ class TableResult:
             df.unpersist()
 
     def graph_metrics(self) -> DataFrame:
-        return G.graph_metrics(self.entities, self.counts, self.edge_totals(), self.cfg)
+        return G.graph_metrics(self.entities, self.counts, self.edge_totals(), self.cfg, self._labels)
 
     def degree_centrality(self) -> DataFrame:
         return G.degree_centrality(self.entities, self.counts, self.cfg)

@@ -171,41 +171,41 @@ class BatchRead:
     groups: list[DataFrame]          # one scan a header: dataset, path, row_index, columns, _bad_record
 
 
-def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Files of a path (a file, a folder or a pattern) with their sizes; none if it does not exist."""
+def _listed(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Files of a path (a file, a folder or a pattern): name as scans report it -> path to read, size."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(conf)
-    left, files = list(fs.globStatus(top) or []), []
+    left, files = list(fs.globStatus(top) or []), {}
     while left:
         status = left.pop()
         if status.isDirectory():
             left += [x for x in fs.listStatus(status.getPath()) if not x.getPath().getName().startswith(("_", "."))]
         else:
-            files.append((status.getPath().toUri().toString(), status.getLen()))
-    return sorted(files)
+            files[_plain(status.getPath().toUri().toString())] = (status.getPath().toString(), status.getLen())
+    return files
 
 
-def _heads(spark: SparkSession, files: list[str]) -> tuple[list, list[tuple[str, str]]]:
+def _heads(spark: SparkSession, files: dict[str, str]) -> tuple[dict, dict[str, str]]:
     """First line of each file and whether it is UTF-8, in one job over all files.
 
     Every file is read to its end here.  When the job fails, the files are
     halved until those that cannot be read stand alone: they come back with
     their error, the others with their first lines.
     """
-    lines = spark.read.text(files).select(
+    lines = spark.read.text(list(files.values())).select(
         "value", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias(_ORDER))
     found = lines.groupBy(_FILE).agg(F.min_by("value", F.struct(_BLOCK, _ORDER)).alias("head"),
                                      F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     try:
-        return found.collect(), []  # one row a file
+        return {_plain(r[_FILE]): (r.head, r.utf8) for r in found.collect()}, {}  # one row a file
     except Exception as e:  # noqa: BLE001 - isolate per file
         if len(files) == 1:
-            return [], [(files[0], _reason(e))]
-    half = len(files) // 2
-    parts = [_heads(spark, files[:half]), _heads(spark, files[half:])]
-    return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
+            return {}, {name: _reason(e) for name in files}
+    names = list(files)
+    parts = [_heads(spark, {n: files[n] for n in half}) for half in (names[:len(names) // 2], names[len(names) // 2:])]
+    return parts[0][0] | parts[1][0], parts[0][1] | parts[1][1]
 
 
 def _reason(e: Exception) -> str:
@@ -226,44 +226,43 @@ def read_csv_batch(spark: SparkSession, paths: list[str], max_size_mb: float | N
     the fields that fit).  The loops run over file names only.
     """
     schema = "dataset string, path string, error string, record string"
-    sets, failed = {}, []
+    sets, place, failed = {}, {}, []
     for p in paths:
         name = p.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
         files = _listed(spark, p)
-        size = sum(n for _, n in files) / (1024 * 1024)
+        size = sum(n for _, n in files.values()) / (1024 * 1024)
         if not files:
             failed.append((name, p, f"PathNotFound: no file at {p}", None))
         elif max_size_mb is not None and size > max_size_mb:
             failed.append((name, p, f"ValueError: File too large: {size:.1f}MB (max: {max_size_mb}MB)", None))
         else:
-            sets[name] = (p, [f for f, _ in files])
-    everything = [f for _, files in sets.values() for f in files]
-    rows, broken = _heads(spark, everything) if everything else ([], [])
-    why = {_plain(f): error for f, error in broken}
-    heads = {_plain(r[_FILE]): (r.head, r.utf8) for r in rows}
+            sets[name] = (p, sorted(files))
+            place |= {f: where for f, (where, _) in files.items()}
+    heads, why = _heads(spark, place) if place else ({}, {})
     by_head: dict[str, dict] = {}
     for name, (p, files) in sets.items():
-        lost = [f for f in files if _plain(f) in why]
+        lost = [f for f in files if f in why]
         if lost:
-            failed += [(name, f, why[_plain(f)], None) for f in lost]
+            failed += [(name, place[f], why[f], None) for f in lost]
             continue
-        head = next((heads[_plain(f)][0] for f in files if _plain(f) in heads), "")
+        head = next((heads[f][0] for f in files if f in heads), "")
         by_head.setdefault(head, {})[name] = (p, files)
     tables, groups, bad = {}, [], None
 
+    def utf8(file: str) -> bool:
+        return heads.get(file, ("", True))[1]
+
     def scan(files: list[str], names: list[str]) -> Scan:
-        odd = [f for f in files if not heads.get(_plain(f), ("", True))[1]]
-        kinds = [(sorted(set(files) - set(odd)), encodings[0]), (odd, encodings[1])]
+        kinds = [([place[f] for f in files if utf8(f) == kind], encoding) for kind, encoding in zip((True, False), encodings)]
         scans = [_read(spark, some, encoding, multiline, names) for some, encoding in kinds if some]
         frame = scans[0].frame if len(scans) == 1 else scans[0].frame.unionByName(scans[1].frame)
         return Scan(frame, scans[0].names)
 
     for members in by_head.values():
         files = [f for _, own in members.values() for f in own]
-        utf8 = heads.get(_plain(files[0]), ("", True))[1]
-        names = _names(spark, files[0], encodings[0] if utf8 else encodings[1], multiline)
+        names = _names(spark, place[files[0]], encodings[0] if utf8(files[0]) else encodings[1], multiline)
         whole = scan(files, names)
-        owner = spark.createDataFrame([(_plain(f), name, p) for name, (p, own) in members.items() for f in own],
+        owner = spark.createDataFrame([(f, name, p) for name, (p, own) in members.items() for f in own],
                                       "plain string, dataset string, path string")
         plain = F.regexp_replace(F.substring_index(_FILE, ":", -1), "^/+", "")
         owned = whole.frame.withColumn("plain", plain).join(owner, "plain")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..operators.cells import named
+
 
 def write_masked_csv(masked: DataFrame, path: str, drop: tuple[str, ...] = ("row_index",)) -> None:
     """Masked table as CSV with a header and no index column; quotes are doubled and
     blanks kept, so the reader gets back what was written."""
-    cols = [c for c in masked.columns if c not in drop]
-    masked.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option(
+    masked.select(*[named(c) for c in masked.columns if c not in drop]).write.mode("overwrite").option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
 
 

@@ -55,6 +55,28 @@ def test_repeated_passages_match_plain_python(spark, depth, digit, monkeypatch):
     assert sorted(map(tuple, got), key=str) == plain_removal(rows, depth)
 
 
+def test_known_blocks_spread_over_the_buckets(spark):
+    from veilspark.llm import sieve
+
+    def one_lot(batches):
+        for _ in batches:
+            pass
+        hashes = np.array([7, 7, 9], np.uint64)
+        yield from sieve.blocks([(hashes, np.zeros(3, np.uint16), np.array([1, 2, 3]))], 64)
+
+    known = spark.range(0, 200, 1, 200).mapInArrow(one_lot, sieve.BLOCKS).where("known = 1").groupBy("part").count().collect()
+    assert sum(r["count"] for r in known) == 200
+    assert len(known) > 40 and max(r["count"] for r in known) < 20
+
+
+def test_a_row_repeated_in_many_tasks_keeps_short_lists(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    df = spark.createDataFrame([(1, text)] * 600, "doc_id long, text string").repartition(60)
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert len(rows) == 600 and {(r.n_bytes, r.n_removed, r.n_spans) for r in rows} == {(3000, 3000, 1)}
+
+
 def test_long_texts_are_cut_into_overlapping_segments():
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcd") for _ in range(3 * suffix_dedup.SEGMENT // 2))
@@ -201,6 +223,20 @@ def test_neighbours_recall_with_skipped_cells(spark):
     assert set(got) == set(range(0, 6400, 100)) and sum(got.values()) >= 0.95 * 10 * 64
 
 
+def test_every_row_of_a_repeated_id_is_answered(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    rows += [(100, rng.standard_normal(8).tolist()) for _ in range(3)] + [(100, rows[5][1])] * 2 + [(5, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.neighbours(df, share=1.0).collect())
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((math.sqrt(((np.array(v) - np.array(x)) ** 2).sum()), j) for k, (j, x) in enumerate(rows) if k != i)[:10]
+            want.update((q, n, j, d) for n, (d, j) in enumerate(near, 1))
+    assert got == want and sum(got.values()) == 10 * 6
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [0.5, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r["rank"]) for r in ann.neighbours(df).orderBy("rank").collect()] == [(2, 1), (1, 2)]

@@ -21,6 +21,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .byte_hash import mix
 from .common import arrow_batch, arrow_schema, tidied
 
 BLOCKS = "part int, known int, hashes binary, checks binary, owners binary, names binary"
@@ -39,10 +40,19 @@ def _block(part: int, known: int, hashes, checks, owners):
             names.tobytes())
 
 
+def _first_turn() -> int:
+    """Where a task's known blocks begin in the round of buckets: tasks differ, so a
+    bucket isn't given the first block of all of them."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return int(mix(np.array([task.partitionId() + 1 if task else 0], np.uint64))[0] >> np.uint64(16))
+
+
 def blocks(lots, buckets: int):
     """Arrow batches of ``BLOCKS`` from lots of (hash uint64, check uint16, owner int64) arrays; an
     entry that stands twice in a lot for one owner is one that occurs twice there."""
-    schema, turn = arrow_schema(BLOCKS), 0
+    schema, turn = arrow_schema(BLOCKS), _first_turn()
     for hashes, checks, owners in lots:
         order = np.lexsort((owners, checks, hashes))
         hashes, checks, owners = hashes[order], checks[order], owners[order]

@@ -16,16 +16,19 @@ meet per query.
 
 Scale: small cells share a block and large ones are cut into blocks of about
 ``BLOCK`` rows by their counts, so a vector that a third of all rows repeat
-fills several blocks; queries visit the blocks of their cells and are dealt in
-lots of ``QUERIES``.  No side is broadcast; the centres (``MOST_CELLS`` at
-most) travel with the tasks.
+fills several blocks.  Queries visit the blocks of their cells: rows are dealt
+by block and sorted so that a block's vectors come before its queries, which
+then stream past them; the index is shuffled once, whatever the number of
+queries.  No side is broadcast; the centres (``MOST_CELLS`` at most) travel
+with the tasks.
 
 Defined results: null, empty or zero vectors, those with null or non-finite
 components, those without vec_id and those whose length is not the most
-frequent one take no part; rows with a query's own vec_id are not its
-candidates; a vec_id that is a query on several rows is answered once, for the
-smallest vector; other repeated rows are candidates each; an empty table
-gives no row; other columns are ignored.
+frequent one take no part; every row whose vec_id ``every`` divides is a query
+of its own, also where several rows share a vec_id, and only that row is no
+candidate for it; repeated rows are candidates each (equal queries are searched
+once and answered as often as they stand); an empty table gives no row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, shipped, written
+from .common import arrow_batch, shipped, tidied, written
 
 K = 10
 EVERY = 100
@@ -46,7 +49,6 @@ MOST_CELLS = 1024
 PROBE_SHARE = 0.9
 EPSILON = 2.5
 BLOCK = 16_000
-QUERIES = 4_000
 SEED = 11
 
 
@@ -107,17 +109,17 @@ def bounds(bits, length, inner, cell, queries, centres, turn, epsilon: float):
     return middle - error, middle + error
 
 
-def search_block(ids, vectors, cell, bits, length, inner, centres, counts, turn, query_ids, queries, k: int = K,
+def search_block(rows, ids, vectors, cell, bits, length, inner, centres, counts, turn, query_rows, queries, k: int = K,
                  share: float = PROBE_SHARE, epsilon: float = EPSILON):
-    """(query id, vec_id, distance) of the k nearest of one block per query, ties to smaller ids."""
+    """(query row, vec_id, distance) of the k nearest of one block per query, ties to smaller ids."""
     out = []
     step = max(1, 2_000_000 // max(len(ids), 1))
-    for i in range(0, len(query_ids), step):
-        q_ids, q = query_ids[i:i + step], queries[i:i + step]
+    for i in range(0, len(query_rows), step):
+        q_rows, q = query_rows[i:i + step], queries[i:i + step]
         low, high = bounds(bits, length, inner, cell, q, centres, turn, epsilon)
-        out_of_reach = (ids[:, None] == q_ids[None, :]) | ~probed(q, centres, counts, share, k)[:, cell].T
+        out_of_reach = (rows[:, None] == q_rows[None, :]) | ~probed(q, centres, counts, share, k)[:, cell].T
         high[out_of_reach] = np.inf
-        reach = np.partition(high, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(len(q_ids), np.inf)
+        reach = np.partition(high, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(len(q_rows), np.inf)
         at, which = np.nonzero((low <= reach[None, :]) & ~out_of_reach)
         score = np.empty(len(at))
         for j in range(0, len(at), 100_000):
@@ -125,9 +127,9 @@ def search_block(ids, vectors, cell, bits, length, inner, centres, counts, turn,
             score[j:j + 100_000] = np.sqrt((part * part).sum(1))
         order = np.lexsort((ids[at], score, which))
         at, which, score = at[order], which[order], score[order]
-        first = np.searchsorted(which, np.arange(len(q_ids)))
+        first = np.searchsorted(which, np.arange(len(q_rows)))
         best = np.arange(len(which)) - first[which] < k
-        out.append((q_ids[which[best]], ids[at[best]], score[best]))
+        out.append((q_rows[which[best]], ids[at[best]], score[best]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
 
@@ -151,27 +153,30 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-_LISTED = "vec_id long, v array<double>, cell int, block int, lot int, bits binary, length double, inner double"
-_VISITS = "query_id long, q array<double>, block int, lot int"
+#: a block's vectors (kind 0) and the queries that visit it (kind 1, without code)
+_DEALT = ("block int, kind int, row long, vec_id long, v array<double>, cell int, bits binary, length double, inner double")
+_FOUND = "row long, vec_id long, score double"
 
 
-def _index(centres, turn, first, parts, lots):
-    def run(batches):
-        import pyarrow as pa
+def _dealt_schema():
+    import pyarrow as pa
+
+    return pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()),
+                      ("v", pa.list_(pa.float64())), ("cell", pa.int32()), ("bits", pa.binary()),
+                      ("length", pa.float64()), ("inner", pa.float64())])
+
 
-        schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("cell", pa.int32()),
-                            ("block", pa.int32()), ("lot", pa.int32()), ("bits", pa.binary()),
-                            ("length", pa.float64()), ("inner", pa.float64())])
+def _index(centres, turn, first, parts):
+    def run(batches):
+        schema = _dealt_schema()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            salt = batch.column(2).to_numpy()
+            vectors, salt = _matrix(batch.column("v")), batch.column("salt").to_numpy()
             cell = nearest_cells(vectors, centres, 1)[:, 0]
             bits, length, inner = encode(vectors, centres, cell, turn)
-            for lot in range(lots):
-                yield arrow_batch([ids, batch.column(1), cell, first[cell] + salt % parts[cell],
-                                   np.full(len(ids), lot), [b.tobytes() for b in bits], length, inner], schema)
+            yield arrow_batch([first[cell] + salt % parts[cell], np.zeros(len(cell)), batch.column("row"), batch.column("vec_id"),
+                               batch.column("v"), cell, [b.tobytes() for b in bits], length, inner], schema)
 
     return run
 
@@ -188,21 +193,18 @@ def _cells_of(centres):
     return run
 
 
-def _visits(centres, counts, first, parts, lots, share, k):
+def _visits(centres, counts, first, parts, share, k):
     def run(batches):
-        import pyarrow as pa
-
-        schema = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("block", pa.int32()),
-                            ("lot", pa.int32())])
+        schema = _dealt_schema()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors, salt = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+            own, vectors = batch.column("row").to_numpy(), _matrix(batch.column("v"))
             rows = []
             for i, cells in enumerate(probed(vectors, centres, counts, share, k)):
                 of = {int(first[c]) + j for c in np.flatnonzero(cells) for j in range(parts[c])}
-                rows += [(int(ids[i]), vectors[i], b, int(salt[i] % lots)) for b in sorted(of)]
-                if len(rows) >= 10_000:
+                rows += [(b, 1, int(own[i]), None, vectors[i], None, None, None, None) for b in sorted(of)]
+                if len(rows) >= 5_000:
                     yield arrow_batch(zip(*rows), schema)
                     rows = []
             if rows:
@@ -212,22 +214,34 @@ def _visits(centres, counts, first, parts, lots, share, k):
 
 
 def _search(centres, counts, turn, k, share, epsilon):
-    def run(left, right):
+    """Queries against their block's vectors; rows are sorted by block and kind."""
+    def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return pa.table([[], [], []], schema=schema)
-
-        def column(t, name):
-            return pa.concat_arrays(t.column(name).chunks)
-
-        bits = np.frombuffer(b"".join(column(left, "bits").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-        found = search_block(
-            column(left, "vec_id").to_numpy(), _matrix(column(left, "v")), column(left, "cell").to_numpy(), bits,
-            column(left, "length").to_numpy(), column(left, "inner").to_numpy(), centres, counts, turn,
-            column(right, "query_id").to_numpy(), _matrix(column(right, "q")), k, share, epsilon)
-        return pa.table([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
+        schema = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        held, parts, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+                part = batch.slice(i, j - i)
+                if block[i] != held:
+                    held, parts, index = block[i], [], None
+                if kind[i] == 0:
+                    parts.append(part)
+                    continue
+                if not parts:
+                    continue
+                if index is None:
+                    own = {n: pa.concat_arrays([p.column(n) for p in parts]) for n in parts[0].schema.names}
+                    bits = np.frombuffer(b"".join(own["bits"].to_pylist()), np.uint8).reshape(len(own["bits"]), -1)
+                    index = (own["row"].to_numpy(), own["vec_id"].to_numpy(), _matrix(own["v"]), own["cell"].to_numpy(), bits,
+                             own["length"].to_numpy(), own["inner"].to_numpy())
+                found = search_block(*index, centres, counts, turn, part.column("row").to_numpy(), _matrix(part.column("v")),
+                                     k, share, epsilon)
+                yield arrow_batch(found, schema)
 
     return run
 
@@ -249,7 +263,8 @@ def neighbours(rows: DataFrame, k: int = K, every: int = EVERY, share: float = P
     """``query_id, rank, vec_id, score`` for the rows whose vec_id ``every`` divides."""
     spark = shipped(rows.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
-    valid = written(valid_vectors(rows).withColumn("salt", F.abs(F.xxhash64("vec_id", "v") % 1_000_003)), "vectors")
+    valid = written(valid_vectors(rows).withColumn("salt", F.abs(F.xxhash64("vec_id", "v") % 1_000_003))
+                    .withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = valid.count()
     if not total:
         return spark.createDataFrame([], schema)
@@ -261,13 +276,14 @@ def neighbours(rows: DataFrame, k: int = K, every: int = EVERY, share: float = P
             F.sum("n")).collect():
         counts[cell] = n
     first, parts = lay_out(counts)
-    queries = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "salt")).alias("q"))
-    queries = queries.select("vec_id", "q.v", "q.salt")
-    lots = max(1, math.ceil(queries.count() / QUERIES))
-    index = valid.select("vec_id", "v", "salt").mapInArrow(_index(centres, turn, first, parts, lots), _LISTED)
-    visits = queries.mapInArrow(_visits(centres, counts, first, parts, lots, share, k), _VISITS)
-    keys = ["block", "lot"]
-    found = index.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(
-        _search(centres, counts, turn, k, share, epsilon), "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # equal query rows have equal answers: each finds the others at distance 0
+    queries = written(valid.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "queries")
+    index = valid.mapInArrow(tidied(_index(centres, turn, first, parts)), _DEALT)
+    visits = queries.select("row", "v").mapInArrow(tidied(_visits(centres, counts, first, parts, share, k)), _DEALT)
+    found = index.unionByName(visits).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        tidied(_search(centres, counts, turn, k, share, epsilon)), _FOUND)
+    best = F.row_number().over(W.partitionBy("row").orderBy("score", "vec_id"))
+    answers = found.withColumn("rank", best).where(F.col("rank") <= k)
+    asked = queries.select("row", F.col("vec_id").alias("query_id"), F.expr("explode(sequence(1L, copies))").alias("copy"))
+    return answers.join(asked, "row").select("query_id", "rank", "vec_id", "score")

@@ -72,8 +72,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
-MEMBERS = "rid long, doc_id long, n_shingles long, node long"
-PACKED = "node long, z binary"
+MEMBERS = "rid long, doc_id long, n_shingles long, node long, z binary"
 PAIRS = "a long, b long"
 
 
@@ -220,11 +219,15 @@ def _lots(batches):
 
 def _members(words: int):
     def run(batches):
-        schema = arrow_schema(MEMBERS)
+        import zstandard
+
+        schema, packer = arrow_schema(MEMBERS), zstandard.ZstdCompressor(level=1)
         for lot in _lots(batches):
             owner, hashes = shingle_sets([t for _, t in lot], words)
             size, node = _sizes_and_nodes(owner, hashes, len(lot))
-            yield arrow_batch([*zip(*(keys for keys, _ in lot)), size, node], schema)
+            first = {n: i for i, n in enumerate(node.tolist()) if size[i]}  # copies are packed once a lot
+            z = [packer.compress(lot[i][1]) if first.get(n) == i else None for i, n in enumerate(node.tolist())]
+            yield arrow_batch([*zip(*(keys for keys, _ in lot)), size, node, z], schema)
 
     return run
 
@@ -276,20 +279,6 @@ def _sign(words: int, buckets: int, common: np.ndarray, schemes=None):
     return run
 
 
-def _pack(words: int):
-    def run(batches):
-        import zstandard
-
-        schema, packer = arrow_schema(PACKED), zstandard.ZstdCompressor(level=1)
-        for lot in _lots(batches):
-            owner, hashes = shingle_sets([t for _, t in lot], words)
-            size, node = _sizes_and_nodes(owner, hashes, len(lot))
-            some = {n: i for i, n in enumerate(node.tolist()) if size[i]}  # copies once a lot
-            yield arrow_batch([list(some), [packer.compress(lot[i][1]) for i in some.values()]], schema)
-
-    return run
-
-
 def _verify(words: int):
     def run(batches):
         import zstandard
@@ -345,7 +334,7 @@ def _components(docs: DataFrame, words: int, schemes=None) -> DataFrame:
                       "members")
     count, total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     labels = _labels(spark, texts, members, count, total, words, schemes)
-    grouped = members.join(labels, "node", "left").withColumn(
+    grouped = members.drop("z").join(labels, "node", "left").withColumn(
         "c", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = grouped.where("c IS NOT NULL").groupBy("c").agg(
         F.min("doc_id").alias("least"),
@@ -368,7 +357,7 @@ def _labels(spark, texts, members, rows, total, words, schemes) -> DataFrame:
     star = written(_sized(met.where("node <> low").select(
         F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sizes), "star")
     nodes = met.select("node").distinct()
-    zs = written(texts.mapInArrow(tidied(_pack(words)), PACKED).join(nodes, "node").groupBy("node").agg(
+    zs = written(members.where("z IS NOT NULL").select("node", "z").join(nodes, "node").groupBy("node").agg(
         F.first("z").alias("z")), "sets")
     linked = written(_linked(star, zs, words), "linked")
     label = connected_components(linked, nodes, "a", "b")
@@ -446,8 +435,9 @@ def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, zs: DataFrame, words: int) -> DataFrame:
     """The pairs that link, verified on the full sets."""
-    both = (pairs.join(zs.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-            .join(zs.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b"))
+    # a last: the pairs of one star come one after the other, and its centre is cut into shingles once
+    both = (pairs.join(zs.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+            .join(zs.select(F.col("node").alias("a"), F.col("z").alias("za")), "a"))
     return both.select("a", "b", "za", "zb").mapInArrow(tidied(_verify(words)), PAIRS)
 
 

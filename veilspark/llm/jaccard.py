@@ -435,9 +435,9 @@ def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, zs: DataFrame, words: int) -> DataFrame:
     """The pairs that link, verified on the full sets."""
-    # a last: the pairs of one star come one after the other, and its centre is cut into shingles once
-    both = (pairs.join(zs.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-            .join(zs.select(F.col("node").alias("a"), F.col("z").alias("za")), "a"))
+    # the texts of a travel on to the second join: a star's centre repeats there and compresses
+    both = (pairs.join(zs.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+            .join(zs.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b"))
     return both.select("a", "b", "za", "zb").mapInArrow(tidied(_verify(words)), PAIRS)
 
 

@@ -221,7 +221,7 @@ def _members(words: int):
     def run(batches):
         import zstandard
 
-        schema, packer = arrow_schema(MEMBERS), zstandard.ZstdCompressor(level=1)
+        schema, packer = arrow_schema(MEMBERS), zstandard.ZstdCompressor(level=6)
         for lot in _lots(batches):
             owner, hashes = shingle_sets([t for _, t in lot], words)
             size, node = _sizes_and_nodes(owner, hashes, len(lot))

@@ -69,6 +69,81 @@ def test_outliers_are_rejected_per_group(spark):
     assert kept.columns == docs_of(spark, clean).columns and kept.count() == len(clean)
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("share", [10, 40])
+def test_much_junk_of_one_kind_is_rejected(spark, share):
+    rng = random.Random(share)
+    clean = [(i, prose(rng, rng.randint(60, 200)), "en", "a") for i in range(2 * (100 - share))]
+    junk = [(1000 + i, prose(rng, rng.randint(60, 200)).replace(" ", "### "), "en", "a") for i in range(2 * share)]
+    got = quality.judge(docs_of(spark, clean + junk)).collect()
+    assert {r.doc_id for r in got if r.kept} == {i for i, *_ in clean}
+
+
+def test_repetition_just_below_the_base_limit_is_rejected(spark):
+    rng = random.Random(3)
+    clean = [(i, prose(rng, rng.randint(60, 200)).replace(" a", "\na"), "en", "a") for i in range(100)]
+    once = prose(rng, 80)
+    clean.append((200, "\n".join([once[:200], once[200:], "a short line", "a short line"]), "en", "a"))
+    line = "one line of eight words comes again here"
+    dull = [(300, prose(rng, 120) + ("\n" + line) * 14, "en", "a")]
+    got = {r.doc_id: r for r in quality.judge(docs_of(spark, clean + dull)).collect()}
+    assert not got[300].base_failed and not got[300].kept
+    assert all(got[i].kept for i, *_ in clean)
+
+
+def plain_verdicts(vectors):
+    """Squared distances by a minimum-covariance-determinant estimate of one group, from many random subsets."""
+    import numpy as np
+
+    x, p = np.array(vectors, float), quality.P
+    floor = np.diag([(quality.FLOORS[f] * quality.UNIT) ** 2 for f in quality.FEATURES])
+    h, rng, best = (len(x) + p + 1) // 2, np.random.default_rng(5), None
+
+    def distance(m, c):
+        return ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)
+
+    for _ in range(60):
+        part = x[rng.choice(len(x), p + 1, replace=False)]
+        last = np.inf
+        while True:
+            m, c = part.mean(0), np.cov(part.T, bias=True) * quality.CONSISTENCY + floor
+            det = np.linalg.slogdet(c)[1]
+            if len(part) >= h and det >= last - 1e-9:
+                break
+            last = det if len(part) >= h else np.inf
+            part = x[np.argsort(distance(m, c), kind="stable")[:h]]
+        if best is None or det < best[0]:
+            best = det, m, c
+    part = x[distance(*best[1:]) <= quality.CHI2_WEIGHT]
+    return distance(part.mean(0), np.cov(part.T, bias=True) + floor)
+
+
+def test_verdicts_match_a_plain_estimate(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(360):
+        text = prose(rng, rng.randint(55, 400))
+        if i % 3 == 0:
+            text = text.replace(" ", rng.choice(["# ", " | ", " $ % ", "<> "]))
+        if i % 7 == 0:
+            text += "\nthe same few words close it" * rng.randint(1, 6)
+        rows.append((i, text, "de" if i < 150 else "en", None))
+    got = {r.doc_id: r for r in quality.judge(docs_of(spark, rows)).collect()}
+    vectors = {r.doc_id: [r[f"x{i}"] for i in range(quality.P)] for r in quality._vectors(
+        quality.statistics(docs_of(spark, rows).select("doc_id", "text"))).collect()}
+    rejected = 0
+    for lang in ("de", "en"):
+        ids = [i for i, _, of, _ in rows if of == lang and not got[i].base_failed]
+        for i, d2 in zip(ids, plain_verdicts([vectors[i] for i in ids])):
+            if abs(d2 / quality.CUTOFF - 1) > 0.1:  # subsets may differ by a few documents
+                assert got[i].kept == (d2 <= quality.CUTOFF), (i, d2, got[i].d2)
+                rejected += not got[i].kept
+    assert rejected > 50
+
+
 def test_too_few_documents_have_no_verdict(spark):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a") for i in range(3)]
     assert all(r.kept for r in quality.judge(docs_of(spark, rows)).collect())

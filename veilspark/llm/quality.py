@@ -4,12 +4,14 @@ Statistics of the whole text are column expressions in the scan's stage.
 Documents that pass the base rules become vectors of ``FEATURES`` transformed
 statistics, held as integers of 1/1000 so that sums are exact and reruns agree.
 For each language and source a minimum-covariance-determinant estimate is
-made by concentration steps: from two starts (medians with the floor scatter;
-mean and covariance of all), the ``CORE`` share of documents nearest to the
-estimate gives the next mean and covariance; of the two, the smaller
-determinant wins.  The estimate is then reweighted in the usual way
-(documents within the 97.5 % ellipsoid) and a document is rejected when its
-squared Mahalanobis distance is above ``CUTOFF``.
+made by concentration steps: from three starts (medians with the floor scatter;
+mean and covariance of all; medians with the spread of the middle half), the
+smallest majority ``(n + p + 1) / 2`` of documents nearest to the estimate gives
+the next mean and covariance, until the determinant stops falling; the
+smallest determinant of all wins.  So up to nearly half of a group may be junk.  The
+estimate is then reweighted in the usual way (documents within the 97.5 %
+ellipsoid) and a document is rejected when its squared Mahalanobis distance is
+above ``CUTOFF``.
 
 ``FLOORS`` are the smallest spreads that count: they are added to the
 diagonal, which keeps estimates regular where most documents have no symbols
@@ -17,9 +19,10 @@ or repeats at all, and harmless deviations harmless.
 
 Scale: each step is one pass over the narrow table of vectors.  Quantiles come
 from counts per distance bin, moments from partial sums, so what is shuffled
-are a few hundred rows a group and task; estimates are one row a group,
-joined back by the group's key (broadcast by the planner where its measured
-size allows, else a join whose skewed keys it splits).  Languages and sources
+are a few hundred rows a group and task; estimates are one row a group and
+start, written and joined back by the group's key (broadcast by the planner where
+their measured size allows, else a join whose skewed keys it splits).  A step
+reads the groups and starts that still fall.  Languages and sources
 with fewer than ``MIN_GROUP`` documents share an estimate within the language,
 then overall; where even that is too small there is no verdict.
 
@@ -40,15 +43,17 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 #: per feature: the smallest spread (in its own units) that counts
-FLOORS = {"log_words": 1.0, "log_word_length": 0.1, "symbols": 0.05, "dup_lines": 0.25, "repeats": 0.25}
+FLOORS = {"log_words": 1.0, "log_word_length": 0.1, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15}
 FEATURES = tuple(FLOORS)
 UNIT = 1000
-CORE = 0.75
-STEPS = 3
+#: a determinant falls if it is smaller by this share
+FALL = 1e-3
 MIN_GROUP = 50
 #: chi-squared with five degrees of freedom: 97.5 % and 99.999 % points, and the
-#: factor that makes the covariance of the nearest 75 % consistent
-CHI2_WEIGHT, CUTOFF, CONSISTENCY = 12.833, 30.856, 1.412
+#: factor that makes the covariance of the nearest half consistent
+CHI2_WEIGHT, CUTOFF, CONSISTENCY = 12.833, 30.856, 1.912
+#: middle half of a normal distribution to its spread
+HALF_TO_SPREAD = 0.7413
 P = len(FEATURES)
 
 
@@ -124,75 +129,96 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(n.select("_lk", "_sk", g.alias("g")), ["_lk", "_sk"], "left").drop("_lk", "_sk")
 
 
+# SQL text: long arithmetic is parsed once instead of being built operation by operation
+
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+ESTIMATE = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS] + ["det"]
+
+
+def _floor(i: int, j: int) -> str:
+    return f"{(FLOORS[FEATURES[i]] * UNIT) ** 2 if i == j else 0.0!r}D"
+
+
 def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Mean ``m_i``, Cholesky factor ``l_i_j`` of the floored covariance and ``det`` per key."""
-    wide = "decimal(20,0)"
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [
-        F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast(wide)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
-    got = got.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / F.col("n") for i in range(P)})
-    got = got.withColumns({
-        f"c{i}{j}": F.lit(factor) * (F.col(f"s{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-        + F.lit((FLOORS[FEATURES[i]] * UNIT) ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)})
-    return _cholesky(got, keys)
+    sums = [f"sum(x{i}) AS s{i}" for i in range(P)] + [
+        f"sum(cast(x{i} * x{j} AS decimal(20,0))) AS s{i}{j}" for i, j in PAIRS]
+    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *map(F.expr, sums))
+    got = got.selectExpr("*", *[f"cast(s{i} AS double) / n AS m{i}" for i in range(P)])
+    return _cholesky(got.selectExpr("*", *[
+        f"{factor!r}D * (cast(s{i}{j} AS double) / n - m{i} * m{j}) + {_floor(i, j)} AS c{i}{j}" for i, j in PAIRS]), keys)
 
 
 def _cholesky(got: DataFrame, keys: list[str]) -> DataFrame:
+    for j in range(P):
+        rest = {i: " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]]) for i in range(j, P)}
+        got = got.selectExpr("*", f"sqrt({rest[j]}) AS l{j}{j}")
+        got = got.selectExpr("*", *[f"({rest[i]}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)])
+    return got.selectExpr(*keys, *ESTIMATE[:-1], " * ".join(f"l{i}{i}" for i in range(P)) + " AS det")
+
+
+def _distances(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with ``d2``, the squared Mahalanobis distance to each estimate of their group."""
+    out = rows.join(params, "g", how)
     for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            got = got.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    det = F.col("l00")
-    for i in range(1, P):
-        det = det * F.col(f"l{i}{i}")
-    return got.select(*keys, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)],
-                      det.alias("det"))
-
-
-def _distances(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to their key's estimate."""
-    out = rows.join(params, keys, "left")
-    for i in range(P):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).drop(*[c for c in params.columns if c not in keys], *[f"y{i}" for i in range(P)])
+        rest = " - ".join([f"x{i} - m{i}", *[f"l{i}{j} * y{j}" for j in range(i)]])
+        out = out.selectExpr("*", f"({rest}) / l{i}{i} AS y{i}")
+    d2 = " + ".join(f"y{i} * y{i}" for i in range(P))
+    return out.selectExpr("*", f"{d2} AS d2").drop(*ESTIMATE, *[f"y{i}" for i in range(P)])
 
 
-def _lower_part(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """Per key the smallest integer ``cut`` with at least ``share`` of the rows at or below it."""
+def _lower_part(rows: DataFrame, keys: list[str], value: str, needed) -> DataFrame:
+    """Per key the smallest integer ``cut`` with ``needed(rows of the key)`` rows or more at or below it."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     w = W.partitionBy(*keys)
     counts = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("all", F.sum("c").over(w))
-    return counts.where(F.col("upto") >= F.ceil(F.col("all") * F.lit(share))).groupBy(*keys).agg(
+    return counts.where(F.col("upto") >= needed(F.col("all"))).groupBy(*keys).agg(
         F.min(value).alias("cut"))
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
+def _majority(n: Column) -> Column:
+    return F.least(n, F.floor((n + P + 1) / 2))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates that the steps start from, per ``g`` and ``start``."""
     long = rows.select("g", F.posexplode(F.array(*[f"x{i}" for i in range(P)])).alias("f", "v"))
-    mid = _lower_part(long, ["g", "f"], "v", 0.5).groupBy("g").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("cut"))).cast("double").alias(f"m{i}") for i in range(P)])
-    floor = {f"c{i}{j}": F.lit((FLOORS[FEATURES[i]] * UNIT) ** 2 if i == j else 0.0)
-             for i in range(P) for j in range(i + 1)}
-    return _cholesky(mid.withColumns(floor), ["g"])
+    quarters = [_lower_part(long, ["g", "f"], "v", lambda n, q=q: F.ceil(n * q / 4)).withColumnRenamed("cut", f"q{q}")
+                for q in (1, 2, 3)]
+    q = quarters[0].join(quarters[1], ["g", "f"]).join(quarters[2], ["g", "f"])
+    spread = (F.col("q3") - F.col("q1")) * HALF_TO_SPREAD
+    q = written(q.groupBy("g").agg(*[
+        F.max(F.when(F.col("f") == i, x)).cast("double").alias(f"{n}{i}")
+        for n, x in (("m", F.col("q2")), ("r", spread)) for i in range(P)]), "mcd-medians")
+
+    def around(wide: float):
+        return _cholesky(q.selectExpr("*", *[
+            (f"{_floor(i, j)} + {wide!r}D * r{i} * r{i}" if i == j else "0.0D") + f" AS c{i}{j}" for i, j in PAIRS]), ["g"])
+
+    starts = [around(0.0), _moments(rows, ["g"], 1.0), around(1.0)]
+    return starts[0].withColumn("start", F.lit(0)).unionByName(starts[1].withColumn("start", F.lit(1))).unionByName(
+        starts[2].withColumn("start", F.lit(2)))
 
 
 def _core_estimates(rows: DataFrame) -> DataFrame:
     """The minimum-covariance-determinant estimate of each group ``g``."""
-    keys = ["g", "start"]
-    params = written(_median_start(rows).withColumn("start", F.lit(0)).unionByName(
-        _moments(rows, ["g"], 1.0).withColumn("start", F.lit(1))), "mcd")
-    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    for _ in range(STEPS):
-        near = _distances(both, params, keys).withColumn("bin", F.floor(F.log2(1.0 + F.col("d2")) * 256).cast("long"))
-        cut = _lower_part(near, keys, "bin", CORE)
-        params = written(_moments(near.join(cut, keys).where(F.col("bin") <= F.col("cut")), keys, CONSISTENCY), "mcd")
-    return params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c not in keys]),
-                                            F.struct("det", "start")).alias("best")).select("g", "best.*")
+    keys = ["g", "start", "least"]
+    moving = written(_starts(rows).withColumn("least", F.lit(float("inf"))), "mcd")
+    steps = []
+    while not moving.isEmpty():
+        bins = F.floor(F.log2(1.0 + F.col("d2")) * 256).cast("long")
+        cut = _lower_part(_distances(rows, moving).withColumn("bin", bins), ["g", "start"], "bin", _majority)
+        now = written(moving.join(cut, ["g", "start"]), "mcd-cut")
+        core = _distances(rows, now).where(bins <= F.col("cut"))
+        steps.append(written(_moments(core, keys, CONSISTENCY), "mcd"))
+        moving = steps[-1].where(F.col("det") < F.col("least") * (1 - FALL)).withColumn("least", F.col("det"))
+    if not steps:
+        return moving.select("g", *ESTIMATE)
+    made = steps[0].withColumn("step", F.lit(0))
+    for i, step in enumerate(steps[1:], 1):
+        made = made.unionByName(step.withColumn("step", F.lit(i)))
+    return made.groupBy("g").agg(F.min_by(F.struct(*ESTIMATE), F.struct("det", "step", "start")).alias("best")).select(
+        "g", "best.*")
 
 
 def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -204,10 +230,10 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     grouped = _grouped(rows)
     good = written(grouped.where(~F.col("base_failed") & F.col("g").isNotNull()).select(
         "g", *[f"x{i}" for i in range(P)]), "quality-vectors")
-    core = _core_estimates(good)
-    inner = _distances(good, core, ["g"]).where(F.col("d2") <= CHI2_WEIGHT)
+    core = written(_core_estimates(good), "quality-core")
+    inner = _distances(good, core).where(F.col("d2") <= CHI2_WEIGHT)
     final = written(_moments(inner, ["g"], 1.0), "quality-estimates")
-    judged = _distances(grouped, final, ["g"])
+    judged = _distances(grouped, final, "left")
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2",
         *(["row"] if carry else []))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import ann, chat, jaccard, licenses, suffix_dedup
 from veilspark.llm.chat_template import TemplateError, compile_template, fold, parse
@@ -171,6 +172,9 @@ def test_one_document_of_each_component_stays(spark):
     named = {c for _, n, c in want if n and c is not None}
     assert sorted(d for d in got if d is not None and d not in (2, 3, 1)) == sorted(named - {None})
     assert {1, 2, 3} <= set(got)
+    named = docs_of(spark, rows).withColumn("_rid", F.lit("mine"))
+    kept = jaccard.keep_one(named)
+    assert kept.columns == named.columns and {r["_rid"] for r in kept.collect()} == {"mine"}
 
 
 def test_most_differing_bounds_every_linked_pair():

@@ -444,9 +444,11 @@ def _linked(pairs: DataFrame, zs: DataFrame, words: int) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns.
     Documents with empty sets or null ids all stay; of repeated rows one stays."""
-    docs = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty("text")))
-    stay = _components(docs, words).where("first_rid IS NOT NULL").select(
-        F.col("first_rid").alias("_rid")).distinct()
+    rid = "_rid"
+    while rid in {c.lower() for c in docs.columns}:  # a column of the user's
+        rid += "_"
+    marked = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), text_or_empty("text")))
+    stay = _components(docs, words).where("first_rid IS NOT NULL").select(F.col("first_rid").alias(rid)).distinct()
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    one = docs.where(worded).join(stay, "_rid", "left_semi").dropDuplicates(["_rid"])
-    return one.unionByName(docs.where(~worded)).drop("_rid")
+    one = marked.where(worded).join(stay, rid, "left_semi").dropDuplicates([rid])
+    return one.unionByName(marked.where(~worded)).drop(rid)

@@ -101,7 +101,7 @@ def test_entry_has_the_queries_and_works_without_these_folders(tmp_path):
     code = ("import __spark_entry__ as e; q = e.queries(); print(len([k for k in q if k.startswith('op')]), 'pipeline' in q,"
             " set(e.oracle_sql()) <= set(q))")
     got = subprocess.run([sys.executable, "-c", code], cwd=top, capture_output=True, text=True, check=True)
-    assert got.stdout.split() == ["10", "True", "True"]
+    assert got.stdout.split() == ["13", "True", "True"]
     bare = tmp_path / "bare"
     bare.mkdir()
     for item in top.iterdir():

@@ -91,6 +91,13 @@ def test_process_csv_end_to_end(spark):
     rep = json.loads(spark.read.text(os.path.join(out, "report")).first().value)
     assert rep["summary"]["total_entities"] == 5
     assert rep["timestamp"] == "2024-01-01T00:00:00"
+    law = json.loads(spark.read.text(os.path.join(out, "compliance")).first().value)
+    assert law["total_pii_entities"] == 5 and law["timestamp"] == rep["timestamp"]
+    assert law["recommendations"] == rep["compliance"]["recommendations"].split(" | ")
+    high = spark.read.json(os.path.join(out, "high_risk"))
+    by_type = {r.pii_type: r["count"] for r in high.groupBy("pii_type").count().collect()}
+    assert by_type == {r["pii_type"]: r["count"] for r in law["high_risk_by_type"]}
+    assert {f"pii_type={t}" for t in by_type} == {f for f in os.listdir(os.path.join(out, "high_risk")) if f.startswith("pii")}
     assert res.summary().first().total_entities == 5
 
 

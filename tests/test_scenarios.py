@@ -1,9 +1,9 @@
 """Small tables of several kinds through the end-to-end table job."""
 
 from veilspark.config import VeilConfig
-from veilspark.functions.patterns import PatternRegistry
+from veilspark.functions.patterns import REGULATIONS, PatternRegistry
 from veilspark.operators import report as RP
-from veilspark.operators.cells import with_row_index
+from veilspark.operators.cells import to_cells, with_row_index
 from veilspark.plans.table_job import process_table
 from veilspark.sources.tables import ADDRESS_PATTERN
 
@@ -63,9 +63,48 @@ def test_load_1000_rows_and_hostile_strings(spark):
     assert res.masked.count() == 1002
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compliance_document_against_plain_counts(spark):
+    res = run(spark, [("a@kiln.test and 321-54-9876", "4111-1111-1111-1111"), ("b@kiln.test", None), ("", "10.0.0.1 c@kiln.test"),
+                      ("nothing", "here")], ["x", "y"])
+    ent = res.entities.collect()
+    doc = res.compliance_document("2024-01-01").first()
+    weights = {"critical": 1.0, "high": 0.7, "medium": 0.4, "low": 0.1}
+    assert doc.timestamp == "2024-01-01" and doc.total_pii_entities == len(ent) > 0
+    assert abs(doc.risk_score - 100 * sum(weights[e.risk_level] for e in ent) / len(ent)) < 1e-5
+    types = {e.pii_type for e in ent}
+    want = [(name, sorted(types & set(under)), sum(e.pii_type in under for e in ent), text)
+            for name, under, text in REGULATIONS if types & set(under)]
+    assert [tuple(r) for r in doc.affected_regulations] == want
+    high = [e.pii_type for e in ent if e.risk_level in ("high", "critical")]
+    assert {r.pii_type: r["count"] for r in doc.high_risk_by_type} == {t: high.count(t) for t in high}
+    assert doc.recommendations == res.compliance().first().recommendations.split(" | ")
+
+
+def test_compliance_document_and_profile_of_tables_without_personal_data(spark):
+    doc = run(spark, [("nothing", "here")], ["x", "y"]).compliance_document("t").first()
+    assert (doc.total_pii_entities, doc.risk_score, doc.affected_regulations, doc.high_risk_by_type) == (0, 0.0, [], [])
+    assert len(doc.recommendations) == 2
+    cells = to_cells(spark.createDataFrame([], "row_index long, x string"))
+    assert RP.column_profile(cells).count() == 0
+
+
+def test_column_profile_counts_cells_and_scans_once(spark):
+    df = spark.createDataFrame([(0, "a@kiln.test b@kiln.test 10.0.0.1", None), (0, "c@kiln.test", "plain"), (1, "", "")],
+                               "row_index long, x string, `y.z` string")
+    profile = RP.column_profile(to_cells(df))
+    assert plan_of(profile).count("Exchange") == 1
+    assert sorted(map(tuple, profile.collect())) == [("x", 2, 2, 4, "email_address,ip_address"), ("y.z", 1, 0, 0, "")]
+
+
 def test_row_index_without_key(spark):
     df = spark.range(0, 1000, numPartitions=7).selectExpr("CAST(id * 3 AS STRING) AS v")
-    rows = with_row_index(df).collect()
+    numbered = with_row_index(df)
+    assert "BroadcastHashJoin" in plan_of(numbered) and "Exchange hashpartitioning" not in plan_of(numbered)
+    rows = numbered.collect()
     assert sorted((r.row_index, int(r.v)) for r in rows) == [(i, 3 * i) for i in range(1000)]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def named(column: str):
     """A column by its whole name, whatever characters it has."""
@@ -44,7 +46,9 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
     Rows are counted per partition (one small row per partition), a prefix
     sum over those counts gives each partition's offset, and a row's index is
-    its partition offset plus its position inside the partition.  The input
+    its partition offset plus its position inside the partition.  The offsets
+    are written first, so the join knows their size and broadcasts them unless
+    there are very many partitions; the table's rows are not shuffled then.  The input
     is evaluated twice, so it must be deterministic (a file scan is; persist
     or checkpoint anything else first).  For CSV files use
     ``sources.csv.with_file_row_index``, which orders by file position.
@@ -55,7 +59,7 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     parts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"))
     # one row per partition: a bounded table, so an unpartitioned window is fine
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__pid", "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    offsets = materialize(parts.select("__pid", "__mid0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off")), "offsets")
     out = tagged.join(offsets, "__pid")
     return out.select((F.col("__off") + F.col("__mid") - F.col("__mid0")).alias(name),
                       *[named(c) for c in df.columns])

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, VeilConfig
 from ..functions.patterns import COMPLIANCE_TIERS, COMPLIANCE_WEIGHTS, REGULATIONS
+from .detect import bind_column, kept_spans
 
 HIGH_LEVELS = ("high", "critical")
 RISK_LEVELS = ("low", "medium", "high", "critical")
@@ -69,18 +71,24 @@ def compliance_score_col(counts_by_level: dict[str, F.Column], total: F.Column)
     return F.when(total > 0, weighted / total * F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-def compliance(ent: DataFrame) -> DataFrame:
-    lv = {lvl: F.coalesce(F.sum((F.col("risk_level") == lvl).cast("long")), F.lit(0)) for lvl in RISK_LEVELS}
-    agg = ent.agg(F.count(F.lit(1)).alias("total"), *[lv[k].alias(f"n_{k}") for k in RISK_LEVELS])
-    score = compliance_score_col({k: F.col(f"n_{k}") for k in RISK_LEVELS}, F.col("total"))
-    out = agg.withColumn("risk_score", score)
+def _recommended(score: F.Column) -> F.Column:
+    """Recommendations of a score's tier, joined by `` | ``."""
     tier = None
     for thr, recs in COMPLIANCE_TIERS:
         val = F.lit(" | ".join(recs))
         if thr is None:
             tier = tier.otherwise(val)
         else:
-            tier = F.when(F.col("risk_score") > thr, val) if tier is None else tier.when(F.col("risk_score") > thr, val)
+            tier = F.when(score > thr, val) if tier is None else tier.when(score > thr, val)
+    return tier
+
+
+def compliance(ent: DataFrame) -> DataFrame:
+    lv = {lvl: F.coalesce(F.sum((F.col("risk_level") == lvl).cast("long")), F.lit(0)) for lvl in RISK_LEVELS}
+    agg = ent.agg(F.count(F.lit(1)).alias("total"), *[lv[k].alias(f"n_{k}") for k in RISK_LEVELS])
+    score = compliance_score_col({k: F.col(f"n_{k}") for k in RISK_LEVELS}, F.col("total"))
+    out = agg.withColumn("risk_score", score)
+    tier = _recommended(F.col("risk_score"))
     return out.select(
         F.col("total").alias("total_pii_entities"),
         F.round("risk_score", 6).alias("risk_score"),
@@ -89,6 +97,42 @@ def compliance(ent: DataFrame) -> DataFrame:
     )
 
 
+def compliance_document(ent: DataFrame, timestamp: str) -> DataFrame:
+    """The compliance report as one row: time, totals, score, the regulations
+    that detected types fall under, high-risk entities by type and the
+    recommendations.
+
+    One pass over the entities: they are counted by type and level, and the
+    report is computed from the list of these counts, which is as long as
+    there are types.  No entities: score 0, empty lists, the lowest tier."""
+    level = {k: F.sum((F.col("risk_level") == k).cast("long")).alias(f"n_{k}") for k in RISK_LEVELS}
+    by_type = ent.groupBy("pii_type").agg(F.count(F.lit(1)).alias("n"), *level.values())
+    high = F.col("n_high") + F.col("n_critical")
+    one = by_type.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        *[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in RISK_LEVELS],
+        F.array_sort(F.collect_list(F.struct("pii_type", "n", high.alias("high")))).alias("types"))
+    scored = one.withColumn("score", compliance_score_col({k: F.col(f"n_{k}") for k in RISK_LEVELS}, F.col("total")))
+
+    def regulation(name: str, types: list[str], requirements: str) -> F.Column:
+        under = F.filter("types", lambda t: t["pii_type"].isin(*types))
+        return F.struct(
+            F.lit(name).alias("regulation"), F.transform(under, lambda t: t["pii_type"]).alias("affected_pii_types"),
+            F.aggregate(under, F.lit(0).cast("long"), lambda n, t: n + t["n"]).alias("n_entities"),
+            F.lit(requirements).alias("requirements"))
+
+    regulations = F.array(*[regulation(*r) for r in REGULATIONS])
+    return scored.select(
+        F.lit(timestamp).alias("timestamp"),
+        F.col("total").alias("total_pii_entities"),
+        F.round("score", 6).alias("risk_score"),
+        F.filter(regulations, lambda r: F.size(r["affected_pii_types"]) > 0).alias("affected_regulations"),
+        F.transform(F.filter("types", lambda t: t["high"] > 0), lambda t: F.struct(
+            t["pii_type"].alias("pii_type"), t["high"].alias("count"))).alias("high_risk_by_type"),
+        F.split(_recommended(F.col("score")), r" \| ").alias("recommendations"),
+    )
+
+
 def batch_comparison(tagged: DataFrame) -> DataFrame:
     """Per data set: entities, type diversity, high-risk count."""
     return tagged.groupBy("dataset").agg(
@@ -121,19 +165,21 @@ def first_k(ent: DataFrame, k: int = 5) -> DataFrame:
     return ent.orderBy(*ENTITY_ORDER).limit(k)
 
 
-def column_profile(cells: DataFrame, ent: DataFrame) -> DataFrame:
-    c = cells.groupBy("column_ordinal", "column_name").agg(F.count(F.lit(1)).alias("n_cells"))
-    e = ent.groupBy("column_ordinal").agg(
-        F.count(F.lit(1)).alias("n_entities"),
-        F.countDistinct("row_index").alias("n_cells_with_pii"),
-        sorted_join("pii_type").alias("pii_types"),
-    )
-    return c.join(e, "column_ordinal", "left").select(
-        "column_name", "n_cells",
-        F.coalesce("n_cells_with_pii", F.lit(0)).alias("n_cells_with_pii"),
-        F.coalesce("n_entities", F.lit(0)).alias("n_entities"),
-        F.coalesce("pii_types", F.lit("")).alias("pii_types"),
-    )
+def column_profile(cells: DataFrame, cfg: VeilConfig = DEFAULT) -> DataFrame:
+    """Per column: non-empty cells, cells with personal data, entities, types.
+
+    One scan: a cell is one row here, with the types of its spans, so cells
+    with a span are counted, not told apart by row index.  What is gathered
+    per column are sets of types that occur together in a cell."""
+    types = F.transform(kept_spans(F.col("cell_text"), cfg), lambda s: s["pii_type"])
+    found = bind_column(cells.select("column_ordinal", "column_name", "cell_text"), "types", types)
+    kinds = F.collect_set(F.when(F.size("types") > 0, F.array_sort(F.array_distinct("types"))))
+    return found.groupBy("column_ordinal", "column_name").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.sum((F.size("types") > 0).cast("long")).alias("n_cells_with_pii"),
+        F.sum(F.size("types").cast("long")).alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(kinds))), ",").alias("pii_types"),
+    ).drop("column_ordinal")
 
 
 def observe_run(ent: DataFrame, name: str = "veil_run"):

@@ -482,6 +482,24 @@ def compliance_report_q(spark, sf):
     return RP.compliance(_analyzed(PEOPLE, spark, sf))
 
 
+@register("compliance_document", _with_aent(
+    CHANNELS, f""", regs(reg_order, regulation, pii_type, requirements) AS ({_regs_values()}),
+tot AS (SELECT count(*) AS total, coalesce(sum(CASE risk_level WHEN 'critical' THEN 10 WHEN 'high' THEN 7
+  WHEN 'medium' THEN 4 ELSE 1 END), 0) AS tenths FROM aent)
+SELECT regulation, string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) AS affected_pii_types, count(*) AS n_entities,
+  requirements, any_value(total) AS total_pii_entities, round(any_value(tenths * 10.0::DOUBLE / total), 6) AS risk_score,
+  count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS n_high_risk
+FROM aent JOIN regs USING (pii_type) CROSS JOIN tot GROUP BY regulation, requirements""".lstrip()))
+def compliance_document_q(spark, sf):
+    report = RP.compliance_document(_analyzed(CHANNELS, spark, sf), "")
+    high = F.aggregate(
+        F.filter("high_risk_by_type", lambda h: F.array_contains("r.affected_pii_types", h["pii_type"])),
+        F.lit(0).cast("long"), lambda n, h: n + h["count"])
+    return report.select("*", F.explode("affected_regulations").alias("r")).select(
+        "r.regulation", F.array_join("r.affected_pii_types", ",").alias("affected_pii_types"), "r.n_entities",
+        "r.requirements", "total_pii_entities", "risk_score", high.alias("n_high_risk"))
+
+
 def _tagged(spark, sf) -> DataFrame:
     parts = [_analyzed(ds, spark, sf).withColumn("dataset", F.lit(ds.name)) for ds in (DOCS, PAGES, PEOPLE)]
     out = parts[0]
@@ -548,8 +566,7 @@ e AS (SELECT column_ordinal, count(*) AS n_entities, count(DISTINCT row_index) A
 SELECT column_name, n_cells, coalesce(n_cells_with_pii, 0) AS n_cells_with_pii, coalesce(n_entities, 0) AS n_entities,
   coalesce(pii_types, '') AS pii_types FROM c LEFT JOIN e USING (column_ordinal)""".lstrip()))
 def column_profile_q(spark, sf):
-    cells = PEOPLE.cells(spark, sf)
-    return RP.column_profile(cells, A.analyze_cells(cells, PEOPLE.config()))
+    return RP.column_profile(PEOPLE.cells(spark, sf), PEOPLE.config())
 
 
 # ---------------------------------------------------------------- graph

@@ -48,6 +48,9 @@ class TableResult:
     def compliance(self) -> DataFrame:
         return RP.compliance(self.entities)
 
+    def compliance_document(self, timestamp: str) -> DataFrame:
+        return RP.compliance_document(self.entities, timestamp)
+
     def regulation_impact(self) -> DataFrame:
         return RP.regulation_impact(self.entities)
 
@@ -120,7 +123,8 @@ def process_table(df: DataFrame, key: str = "row_index", columns: list[str] | No
 
 def process_csv(spark: SparkSession, path: str, output_dir: str | None = None, cfg: VeilConfig = DEFAULT,
                 max_size_mb: float | None = None, timestamp: str = "", multiline: bool = False) -> TableResult:
-    """CSV in, masked CSV + entity JSON + report JSON + graph tables out.
+    """CSV in, masked CSV + entity JSON + report JSON + compliance JSON + high-risk
+    entities in a folder a type + graph tables out.
 
     The graph's row, column and semantic edges are cliques: they are written
     as one hub row a row, column and type pair with its exact edge count, beside
@@ -137,6 +141,8 @@ def process_csv(spark: SparkSession, path: str, output_dir: str | None = None, c
         sinks.write_json(result.masked.where(F.col(bad) != "").select(F.col(key).alias("row_index"), F.col(bad).alias(BAD_RECORD)), f"{base}/errors")
         sinks.write_json(result.entities, f"{base}/entities")
         sinks.write_json(result.report(timestamp), f"{base}/report")
+        sinks.write_json(result.compliance_document(timestamp), f"{base}/compliance")
+        sinks.write_json_by(result.high_risk_entities(), "pii_type", f"{base}/high_risk")
         sinks.write_tables({
             "nodes": result.nodes(), "edges": result.edges, "clusters": result.clusters(),
             "cluster_members": result.cluster_members(),

@@ -25,6 +25,12 @@ def write_json(df: DataFrame, path: str, compression: str | None = None) -> None
     w.json(path)
 
 
+def write_json_by(df: DataFrame, column: str, path: str) -> None:
+    """All rows as JSON, a folder for each value of ``column``.  Rows stay in the
+    task that has them (no shuffle), so a frequent value is many files, not one task."""
+    df.write.mode("overwrite").partitionBy(column).json(path)
+
+
 def write_tables(tables: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
     out = {}
     for name, df in tables.items():

@@ -6,7 +6,8 @@ import tempfile
 
 from veilspark.config import VeilConfig
 from veilspark.functions.patterns import PatternRegistry
-from veilspark.plans.table_job import process_csv
+from veilspark.plans.table_job import csv_job, process_csv
+from veilspark.session import ensure_checkpoint_dir, materialize, scratch
 from veilspark.sources.csv import read_csv, read_csv_batch, read_csv_indexed, with_file_row_index
 from veilspark.sources.sinks import write_masked_csv
 from veilspark.sources.tables import ADDRESS_PATTERN
@@ -101,6 +102,36 @@ def test_process_csv_end_to_end(spark):
     assert res.summary().first().total_entities == 5
 
 
+def test_csv_job_leaves_no_tables_behind(spark):
+    d = _tmp()
+    p = os.path.join(d, "people.csv")
+    with open(p, "w") as f:
+        f.write(CSV)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    kept = materialize(spark.range(3), "kept")
+    report = csv_job(spark, p, os.path.join(d, "out"), timestamp="t")
+    assert report.timestamp == "t" and report.summary.total_entities > 0
+    assert spark.read.json(os.path.join(d, "out", "entities")).count() == report.summary.total_entities
+    assert {n for n in set(os.listdir(folder)) - before if n.startswith("veil-")} == {
+        n for n in os.listdir(folder) if n.startswith("veil-kept-") and n not in before}
+    assert kept.count() == 3
+
+
+def test_scratch_blocks_nest_and_clean_up_after_errors(spark):
+    with scratch(spark) as outer:
+        first = materialize(spark.range(2), "outer")
+        try:
+            with scratch(spark) as inner:
+                materialize(spark.range(2), "inner")
+                raise RuntimeError("lost")
+        except RuntimeError:
+            pass
+        assert len(inner) == 1 and not os.path.exists(inner[0].removeprefix("file:"))
+        assert first.count() == 2 and len(outer) == 1
+    assert not os.path.exists(outer[0].removeprefix("file:"))
+
+
 def test_encoding_is_decided_per_file(spark):
     d = _tmp()
     with open(os.path.join(d, "a.csv"), "wb") as f:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, VeilConfig
@@ -20,7 +20,7 @@ from ..operators import graph as G
 from ..operators import report as RP
 from ..operators.cells import to_cells
 from ..operators.mask import mask_table
-from ..session import materialize
+from ..session import materialize, scratch
 from ..sources import sinks
 from ..sources.csv import BAD_RECORD, read_csv_indexed
 
@@ -151,3 +151,12 @@ def process_csv(spark: SparkSession, path: str, output_dir: str | None = None, c
             "column_hubs": G.column_edge_counts(result.counts, cfg)}, f"{base}/graph")
         result.release()
     return result
+
+
+def csv_job(spark: SparkSession, path: str, output_dir: str, cfg: VeilConfig = DEFAULT,
+            max_size_mb: float | None = None, timestamp: str = "", multiline: bool = False) -> Row:
+    """``process_csv`` as a whole job: everything is written to ``output_dir``, nothing
+    is left in the shared folder, and the written report (one row) comes back."""
+    with scratch(spark):
+        process_csv(spark, path, output_dir, cfg, max_size_mb, timestamp, multiline)
+    return spark.read.json(f"{output_dir.rstrip('/')}/report").first()

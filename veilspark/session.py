@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,13 +66,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: tables written since the innermost ``scratch`` block began, if there is one
+_written: ContextVar[list[str] | None] = ContextVar("veil_written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A block at whose end, also after an error, the tables that ``materialize`` wrote
+    inside it are deleted from the shared folder.
+
+    Frames of this library are lazy and read such tables: whatever is to last
+    must be written inside the block.  Only tables of the block's own thread
+    are known; a nested block deletes its own."""
+    paths: list[str] = []
+    outer = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(outer)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage of iterative jobs without keeping anything on one
-    executor; unlike ``checkpoint()`` the plan runs once.
+    executor; unlike ``checkpoint()`` the plan runs once.  The table stays
+    until the ``scratch`` block that it is written in ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veil-{tag}-{uuid.uuid4().hex}"
+    if (known := _written.get()) is not None:
+        known.append(path)  # before the write: a failed one leaves files too
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -176,3 +176,26 @@ def test_eigenvector_matches_power_iteration(graph):
     got = {r.node_id: r.eigenvector_centrality for r in G.eigenvector_centrality(ent, rct, cfg).collect()}
     for i, r in enumerate(rows):
         assert math.isclose(got[G_id(r)], x[i], abs_tol=1e-6)
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _counted(spark, rows):
+    return spark.createDataFrame(rows, "row_index long, column_ordinal int, pii_type string, n long")
+
+
+def test_column_edges_are_counted_without_a_join(graph, spark):
+    cfg, ent, edges, rct, rows = graph
+    ids = {i: r["column_ordinal"] for i, r in enumerate(rows)}
+    exp = Counter(ids[i] for (i, _j), (t, _w) in brute.graph_edges(rows).items() if t == "column_co_occurrence")
+    got = G.column_edge_counts(rct, cfg)
+    assert {r.column_ordinal: int(r.column_edges) for r in got.collect()} == exp
+    # a join of the counts was a broadcast through the driver: their compressed files look small
+    assert "Join" not in _executed(got)
+    # keys that repeat, and a key that is null
+    cells = [(0, 0, "email_address", 1), (0, 0, "email_address", 1), (0, 0, "person_name", 1), (1, 0, "person_name", 2),
+             (None, 0, "zip_code", 1)]
+    # 15 pairs of 6, less 2 * 3 semantic and the 3 - 2 and 1 others in one cell
+    assert [int(r.column_edges) for r in G.column_edge_counts(_counted(spark, cells)).collect()] == [15 - 6 - 1 - 1]

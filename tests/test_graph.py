@@ -199,3 +199,9 @@ def test_column_edges_are_counted_without_a_join(graph, spark):
              (None, 0, "zip_code", 1)]
     # 15 pairs of 6, less 2 * 3 semantic and the 3 - 2 and 1 others in one cell
     assert [int(r.column_edges) for r in G.column_edge_counts(_counted(spark, cells)).collect()] == [15 - 6 - 1 - 1]
+
+
+def test_degrees_never_broadcast_the_entities(graph):
+    cfg, ent, edges, rct, rows = graph
+    plan = _executed(G.degree_centrality(ent, rct, cfg))
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan  # the one: columns times types rows

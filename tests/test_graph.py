@@ -205,3 +205,23 @@ def test_degrees_never_broadcast_the_entities(graph):
     cfg, ent, edges, rct, rows = graph
     plan = _executed(G.degree_centrality(ent, rct, cfg))
     assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan  # the one: columns times types rows
+
+
+def test_whole_graph_broadcasts_types_only(graph):
+    cfg, ent, edges, rct, rows = graph
+    bf = brute.graph_edges(rows)
+    pairs = A.proximity_pairs(A.skeleton(ent_frame(graph)), cfg, cfg.graph_window)
+    whole = G.graph_edges(pairs, rct, cfg)
+    got = Counter()
+    for r in whole.collect():
+        got[r.edge_type] += int(r.edges)
+    assert got == Counter(t for t, _w in bf.values())
+    joined = [line for line in _executed(whole).splitlines() if "Join" in line]
+    assert joined and all("type_" in line or "a#" in line or "b#" in line for line in joined)
+    assert not any("row_index" in line or "column_ordinal" in line for line in joined)
+
+
+def ent_frame(graph):
+    cfg, ent, *_ = graph
+    df = ent.sparkSession.createDataFrame(ROWS, "row_index long, " + ", ".join(f"{c} string" for c in COLS))
+    return A.span_frame(to_cells(df, "row_index", COLS), cfg)

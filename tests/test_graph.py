@@ -225,3 +225,15 @@ def ent_frame(graph):
     cfg, ent, *_ = graph
     df = ent.sparkSession.createDataFrame(ROWS, "row_index long, " + ", ".join(f"{c} string" for c in COLS))
     return A.span_frame(to_cells(df, "row_index", COLS), cfg)
+
+
+def test_row_edges_take_one_aggregation(graph, spark):
+    cfg, ent, edges, rct, rows = graph
+    exp = Counter(rows[i]["row_index"] for (i, _j), (t, _w) in brute.graph_edges(rows).items() if t == "row_co_occurrence")
+    got = G.row_edge_counts(rct, edges, cfg)
+    assert {r.row_index: int(r.row_edges) for r in got.collect()} == exp
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and sum(line.lstrip(" :+-").startswith("Aggregate [row_index") for line in plan.splitlines()) <= 2
+    counts = _counted(spark, [(7, 0, "email_address", 1), (7, 1, "person_name", 2), (7, 1, "person_name", 1), (None, 0, "zip_code", 3)])
+    none = edges.where("false")
+    assert {r.row_index: int(r.row_edges) for r in G.row_edge_counts(counts, none).collect()} == {7: 6 - 3, None: 3}

@@ -82,3 +82,29 @@ def test_only_hits_become_rows(spark):
     assert sorted(r.text for r in longest) == ["New York City", "York", "York"]
     empty = spark.createDataFrame([], "phrase string, label string")
     assert GZ.gazetteer_matches(cells, empty).count() == 0
+
+
+def _outputs(plan):
+    """Data types that the operators of a plan hand on."""
+    found, out, children = [], plan.output(), plan.children()
+    for i in range(out.size()):
+        found.append(out.apply(i).dataType().simpleString())
+    for i in range(children.size()):
+        found += _outputs(children.apply(i))
+    return found
+
+
+def test_filter_is_not_a_column(spark):
+    """The filter grows with the gazetteer: as a column it was copied into the row of every cell."""
+    grams = GZ.ngrams(_cells(spark), _gaz(spark))
+    assert "array<bigint>" not in _outputs(grams._jdf.queryExecution().optimizedPlan())
+    assert grams.count() >= 7
+
+
+def test_ngrams_keep_the_text_between_tokens(spark):
+    text = "\U0001F600 (Jane--Roe),  Jane Roe; \u00c9mile  Zola."
+    cells = to_cells(spark.createDataFrame([(0, text), (None, "Jane Roe")], "row_index long, notes string"), "row_index", ["notes"])
+    gaz = spark.createDataFrame([("Jane--Roe", "PERSON"), ("Jane Roe", "PERSON"), ("\u00c9mile  Zola", "PERSON"), ("Roe),  Jane", "ORG")],
+                                "phrase string, label string")
+    got = {(r.row_index, r.phrase, r.start, r.end) for r in GZ.gazetteer_matches(cells, gaz).collect()}
+    assert got == {(0, p, text.index(p), text.index(p) + len(p)) for p, in gaz.select("phrase").collect()} | {(None, "Jane Roe", 0, 8)}

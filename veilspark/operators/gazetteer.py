@@ -1,10 +1,9 @@
 """Gazetteer detector: the model-free stand-in for named-entity recognition.
 
-Texts are cut into word tokens with offsets.  Where a phrase's first token
-stands, the n-grams of every length that some phrase of the gazetteer has are
-looked up in a Bloom filter inside the cell; only those that pass become rows
-and are joined to the ``(phrase, label)`` rows, so what is shuffled follows
-the hits, not the tokens.  A very common phrase is one skewed join key with a
+Texts are cut into word tokens with offsets.  The n-grams of every length that
+some phrase of the gazetteer has are looked up in a Bloom filter as they leave
+their cell; only those that pass are joined to the ``(phrase, label)`` rows, so
+what is shuffled follows the hits, not the tokens.  A very common phrase is one skewed join key with a
 single gazetteer row, which adaptive execution splits.  Labels go through the NER label map (unmapped labels are dropped).  Whether
 the gazetteer is broadcast is the planner's choice, by its measured size.
 Matches become 0.8-confidence ``ner`` spans that join the regex spans in
@@ -13,7 +12,7 @@ overlap resolution.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
@@ -35,54 +34,60 @@ def map_labels(matches: DataFrame) -> DataFrame:
 BITS_PER_ENTRY, MOST_BITS, HASHES = 12, 1 << 27, 2
 
 
-def _bits(value: str, bits: int) -> list[str]:
+def _places(value: str, bits: int) -> list[str]:
     return [f"pmod(xxhash64({value}, {k}), {bits}L)" for k in range(HASHES)]
 
 
 def phrase_filter(gazetteer: DataFrame) -> tuple[DataFrame, int]:
     """One row ``lengths, words`` and the number of bits: the phrases' numbers of
-    tokens, and the words of a Bloom filter of first tokens and phrases.
+    tokens, and the words of a Bloom filter of the phrases.
 
     The filter's size follows the gazetteer's up to ``MOST_BITS``; beyond that
     it lets more through, and the join still decides."""
     tokens = F.expr(f"regexp_extract_all(phrase, {S.sql_str(TOKEN_PATTERN.java())}, 0)")
-    phrases = gazetteer.select("phrase", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    phrases = gazetteer.select("phrase", F.size(tokens).alias("tokens")).where("tokens > 0")
     n = phrases.count()
     bits = 1 << 10
-    while bits < min(MOST_BITS, 2 * n * BITS_PER_ENTRY):
+    while bits < min(MOST_BITS, n * BITS_PER_ENTRY):
         bits *= 2
-    entries = F.expr("explode(array(concat('t', tokens[0]), concat('p', phrase)))")
-    places = phrases.select(entries.alias("e")).select(F.expr(f"explode(array({', '.join(_bits('e', bits))}))").alias("bit"))
+    places = phrases.select(F.expr(f"explode(array({', '.join(_places('phrase', bits))}))").alias("bit"))
     words = places.groupBy(F.expr("CAST(bit div 64 AS INT)").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("v"))
     every = gazetteer.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("v"))
     filled = words.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))
-    lengths = phrases.agg(F.array_sort(F.collect_set(F.size("tokens"))).alias("lengths"))
+    lengths = phrases.agg(F.array_sort(F.collect_set("tokens")).alias("lengths"))
     return filled.select("words", lengths.scalar().alias("lengths")), bits
 
 
-def ngrams(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
-    """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram that
-    passes the gazetteer's filter (``capitalised``: only those that start in upper case)."""
+def _all_ngrams(cells: DataFrame, lengths: Column) -> DataFrame:
+    """``row_index, column_ordinal, column_name, start, end, phrase`` of every n-gram of the given lengths."""
     from .detect import bind_column
 
     toks = S.pattern_spans(F.col("cell_text"), TOKEN_PATTERN, 0)
     with_toks = bind_column(cells.select("row_index", "column_ordinal", "column_name", "cell_text"), "toks", toks)
+    # a token with the text before it: an n-gram is put together without a scan from the text's start
+    gaps = f"slice(split(cell_text, {S.sql_str(TOKEN_PATTERN.java())}, -1), 1, size(toks))"
+    pieces = bind_column(with_toks.where(F.size("toks") > 0), "pieces", F.expr(f"zip_with({gaps}, toks, (g, t) -> concat(g, t.text))"))
+    of_length = pieces.select("row_index", "column_ordinal", "column_name", "toks", "pieces", F.explode(lengths).alias("n"))
+    grams = ("transform(sequence(0, size(toks) - n), i -> named_struct('start', toks[i].start, 'end', toks[i + n - 1].end, "
+             "'phrase', concat(toks[i].text, array_join(slice(pieces, i + 2, n - 1), ''))))")
+    return of_length.where("n <= size(toks)").select("row_index", "column_ordinal", "column_name", F.inline_outer(F.expr(grams)))
+
+
+def ngrams(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
+    """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram that
+    passes the gazetteer's filter (``capitalised``: only those that start in upper case).
+
+    The filter stands in the condition as a scalar subquery, one value a task:
+    as a column it would be copied into every cell's row."""
     held, bits = phrase_filter(gazetteer)
-    # scalar subqueries: one array of bounded size each
-    with_toks = with_toks.withColumns({"words": held.select("words").scalar(), "lengths": held.select("lengths").scalar()})
-
-    def passes(value: str) -> str:
-        return " AND ".join(f"getbit(words[CAST({b} div 64 AS INT)], CAST({b} % 64 AS INT)) = 1" for b in _bits(value, bits))
-
-    first = f"filter(sequence(0, size(toks) - 1), i -> {passes("concat('t', toks[i].text)")})"
-    grams = ("flatten(transform(starts, i -> transform(filter(lengths, n -> i + n <= size(toks)), n -> named_struct('start', toks[i].start, "
-             "'end', toks[i + n - 1].end, 'phrase', substring(cell_text, toks[i].start + 1, toks[i + n - 1].end - toks[i].start)))))")
-    found = with_toks.where(F.size("toks") > 0).withColumn("starts", F.expr(first)).where(F.size("starts") > 0)
-    passed = found.withColumn("grams", F.expr(f"filter({grams}, g -> {passes("concat('p', g.phrase)")})"))
-    out = passed.select("row_index", "column_ordinal", "column_name", F.inline("grams"))
-    return out.where(F.col("phrase").rlike(r"^\p{Lu}")) if capitalised else out
+    found = _all_ngrams(cells, held.select("lengths").scalar())
+    words = held.select("words").scalar()
+    for place in _places("phrase", bits):
+        word = F.get(words, F.expr(f"CAST({place} div 64 AS INT)"))
+        found = found.where(F.getbit(word, F.expr(f"CAST({place} % 64 AS INT)")) == 1)
+    return found.where(F.col("phrase").rlike(r"^\p{Lu}")) if capitalised else found
 
 
 def gazetteer_matches(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:

@@ -115,3 +115,19 @@ def test_entry_has_the_queries_and_works_without_these_folders(tmp_path):
     (bare / "__spark_entry__.py").write_text((top / "__spark_entry__.py").read_text())
     got = subprocess.run([sys.executable, "-c", code], cwd=bare, capture_output=True, text=True, check=True)
     assert got.stdout.split() == ["0", "False", "True"]
+
+
+def test_chunks_are_looked_up_once():
+    import public_tokenizers
+
+    from veilspark.llm.tokens import ChunkTokenizer
+
+    class OnePass(dict):
+        def keys(self):
+            raise AssertionError("a set of all chunks is built beside the lookup")
+
+    tok = ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    tok.chunks = OnePass()
+    texts = ["The cat sat. The Cat", None, "", " two  blanks\nand a line, 你好 12 it's", "The cat <|endoftext|> sat"] * 2 + ["new here: cat"]
+    for lot in (1, 3, 256):
+        assert list(tok.encode_batch(texts, lot)) == [tok._raw(t or "") for t in texts]

@@ -94,9 +94,11 @@ class ChunkTokenizer:
             if len(self.chunks) > MOST_CHUNKS:
                 self.chunks.clear()
             known = self.chunks
-            new: set[str] = set()
-            for p in parts:
-                new.update(p)
-            self._learn(new - known.keys())
-            for j, p in enumerate(parts):
-                yield self._raw(some[j]) if j in whole else b"".join(map(known.__getitem__, p))
+            # each chunk is looked up once; what was missing is filled in afterwards
+            found = [list(map(known.get, p)) for p in parts]
+            self._learn({c for p, f in zip(parts, found) for c, raw in zip(p, f) if raw is None})
+            for j, (p, f) in enumerate(zip(parts, found)):
+                if j in whole:
+                    yield self._raw(some[j])
+                else:
+                    yield b"".join([known[c] if raw is None else raw for c, raw in zip(p, f)] if None in f else f)

@@ -26,13 +26,22 @@ copies never meet as pairs.  Signatures that stand alone are sieved out in
 packed form (``sieve``).  Nodes that share a signature are first tried against
 the smallest node of each signature; what links is united.  Then all nodes that
 share a signature but not yet a component are compared: pair by pair where a
-signature has up to ``SMALL_GROUP`` nodes; nodes of larger signatures are
-gathered into clusters, cut into blocks of about ``BLOCK_NODES``, and each pair
-of blocks is intersected at once as a matrix product, from which only one link
-a pair of components leaves.  So a large group of near copies costs a star
-and a few products, its pairs never become rows, and no link between
+signature has up to ``SMALL_GROUP`` nodes; the nodes of larger signatures whose
+smallest nodes are one component are cut into blocks of about ``BLOCK_NODES``, and
+each pair of blocks is intersected at once as a matrix product, from which only a
+forest of links between components leaves.  So a large group of near copies costs a
+star and a few products, its pairs never become rows, and no link between
 components is missed.
 
+Most nodes that meet share a signature by accident, the more the larger the
+corpus.  A set's *sketch* has a bit for each of some places, 2 to 4 a shingle,
+that says whether an odd number of its shingles fall there.  A shingle in one set
+only turns one bit over, so two sketches differ in at most as many bits as the
+sets in shingles, and sets whose sketches differ in more than (a + b) / 7 bits don't
+link.  Only texts of nodes whose sketches allow a link are looked up,
+packed and shuffled; every step's tables and shuffles are deleted when no later
+step reads them.
+
 Digests of sets and shingles are 64 bits (accidental equality: about one pair
 in a corpus of 6e9 distinct sets).
 
@@ -51,6 +60,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.gazetteer import key_filter, passes
+from ..session import scratch
 from . import sieve
 from .byte_hash import mix, prefix_sums, slices
 from .common import WORD, arrow_batch, arrow_schema, rows_of, shipped, text_or_empty, tidied, written
@@ -58,13 +69,14 @@ from .common import WORD, arrow_batch, arrow_schema, rows_of, shipped, text_or_e
 WORDS = 5
 #: similarity 3/4: sets of sizes a and b link if they share 3/7 of a + b, so differ in 1/7
 SHARE_DIFFERING = 7
-#: sample for the list of common shingles: documents, least count, longest list
-SAMPLE_DOCS, SAMPLE_COUNT, MOST_COMMON = 4000, 3, 200_000
+#: sample for the list of common shingles: documents, or one of so many if that is more, least count, longest list
+SAMPLE_DOCS, SAMPLE_ONE_OF, SAMPLE_COUNT, MOST_COMMON = 4000, 64, 3, 200_000
 #: cost model: sets of a band, and the chance that a set holds a given shingle of another
 COST_SETS, COST_SHARED = 20_000, 0.002
 LOT_BYTES = 1 << 18
 #: nodes of a signature up to which its open pairs are formed one by one; nodes of a block beyond
 SMALL_GROUP, BLOCK_NODES, BLOCK_SHINGLES = 16, 512, 8192
+LEAST_BITS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,8 +84,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
-MEMBERS = "rid long, doc_id long, n_shingles long, node long, z binary"
+MEMBERS = "rid long, doc_id long, n_shingles long, node long, sketch binary"
 PAIRS = "a long, b long"
+BLOCK = "cluster long, i long, j long, node long, component long"
 
 
 # --- sets --------------------------------------------------------------------
@@ -124,6 +137,28 @@ def _sizes_and_nodes(owner, hashes, n_texts: int):
     return size, mix(total + size.astype(np.uint64) * _STEP).view(np.int64)
 
 
+# --- sketches ----------------------------------------------------------------
+
+def sketches(owner, hashes, size) -> list[bytes]:
+    """The sketch of each set; its number of bits is a power of two that follows the set's size."""
+    bits = np.array([max(LEAST_BITS, 2 << int(n).bit_length()) for n in size], np.int64)
+    begins = np.concatenate([[0], np.cumsum(bits)])
+    place = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & (bits[owner] - 1).astype(np.uint64)
+    odd = np.bincount(begins[owner] + place.astype(np.int64), minlength=begins[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[x // 8:y // 8] for x, y in zip(begins, begins[1:])]
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; the longer one is folded to the shorter one's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "little") ^ int.from_bytes(x[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+
+
 # --- signatures --------------------------------------------------------------
 
 def most_differing(size: int, band: int) -> int:
@@ -219,19 +254,34 @@ def _lots(batches):
 
 def _members(words: int):
     def run(batches):
-        import zstandard
-
-        schema, packer = arrow_schema(MEMBERS), zstandard.ZstdCompressor(level=6)
+        schema = arrow_schema(MEMBERS)
         for lot in _lots(batches):
             owner, hashes = shingle_sets([t for _, t in lot], words)
             size, node = _sizes_and_nodes(owner, hashes, len(lot))
-            first = {n: i for i, n in enumerate(node.tolist()) if size[i]}  # copies are packed once a lot
-            z = [packer.compress(lot[i][1]) if first.get(n) == i else None for i, n in enumerate(node.tolist())]
-            yield arrow_batch([*zip(*(keys for keys, _ in lot)), size, node, z], schema)
+            first = {n: i for i, n in enumerate(node.tolist()) if size[i]}  # copies are sketched once a lot
+            sketch = [x if first.get(n) == i else None for i, (n, x) in enumerate(zip(node.tolist(), sketches(owner, hashes, size)))]
+            yield arrow_batch([*zip(*(keys for keys, _ in lot)), size, node, sketch], schema)
 
     return run
 
 
+def _pack(batches):
+    import zstandard
+
+    schema, packer = arrow_schema("rid long, z binary"), zstandard.ZstdCompressor(level=6)
+    for lot in _lots(batches):
+        yield arrow_batch([[rid for (rid,), _ in lot], [packer.compress(text) for _, text in lot]], schema)
+
+
+def _near(batches):
+    """The pairs whose sketches allow a link."""
+    schema = arrow_schema(PAIRS)
+    for batch in batches:
+        near = [(a, b) for a, b, size_a, size_b, x, y in rows_of([batch]) if SHARE_DIFFERING * bits_apart(x, y) <= size_a + size_b]
+        if near:
+            yield arrow_batch(zip(*near), schema)
+
+
 def _sample(words: int):
     def run(batches):
         schema = arrow_schema("node long, shingle long")
@@ -308,7 +358,7 @@ def _verify(words: int):
 def _common_shingles(texts: DataFrame, rows: int, words: int) -> np.ndarray:
     if not rows:
         return np.zeros(0, np.uint64)
-    some = texts.sample(fraction=min(1.0, SAMPLE_DOCS / rows), seed=7)
+    some = texts.sample(fraction=min(1.0, max(SAMPLE_DOCS / rows, 1 / SAMPLE_ONE_OF)), seed=7)
     counted = some.mapInArrow(tidied(_sample(words)), "node long, shingle long").distinct().groupBy("shingle").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_COUNT)
     found = [r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").collect()]
@@ -329,12 +379,13 @@ def _components(docs: DataFrame, words: int, schemes=None) -> DataFrame:
     names the component."""
     spark = shipped(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    texts = rows.select("text")
-    members = written(rows.select(F.xxhash64("doc_id", "text"), "doc_id", "text").mapInArrow(tidied(_members(words)), MEMBERS),
-                      "members")
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    members = written(rows.mapInArrow(tidied(_members(words)), MEMBERS), "members")
     count, total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    labels = _labels(spark, texts, members, count, total, words, schemes)
-    grouped = members.drop("z").join(labels, "node", "left").withColumn(
+    with scratch(spark) as paths:
+        labels = written(_labels(spark, rows.select("rid", "text"), members, count, total, words, schemes), "labels")
+        paths.pop()  # this table stays
+    grouped = members.drop("sketch").join(labels, "node", "left").withColumn(
         "c", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = grouped.where("c IS NOT NULL").groupBy("c").agg(
         F.min("doc_id").alias("least"),
@@ -344,57 +395,103 @@ def _components(docs: DataFrame, words: int, schemes=None) -> DataFrame:
 
 
 def _labels(spark, texts, members, rows, total, words, schemes) -> DataFrame:
-    """``node, component`` of the nodes that have links."""
+    """``node, component`` of the nodes that have links; ``texts`` are ``rid, text``."""
     buckets = sieve.bucket_count(spark, 0.5 * total)
-    common = _common_shingles(texts, rows, words)
-    signed = texts.mapInArrow(tidied(_sign(words, buckets, common, schemes)), sieve.BLOCKS)
-    sizes = members.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("size"))
-    met = sieve.shared(signed, buckets).distinct()
+    common = _common_shingles(texts.select("text"), rows, words)
+    signed = texts.select("text").mapInArrow(tidied(_sign(words, buckets, common, schemes)), sieve.BLOCKS)
+    # a table, so that the blocks are read once and deleted before the next shuffle
+    met = written(sieve.shared(signed, buckets), "shared").distinct()
     # a signature that only copies of one set have leaves here
     lone = met.groupBy("hash").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high")
     met = written(met.join(lone, "hash").select("hash", F.col("owner").alias("node"), "low"), "met")
 
-    star = written(_sized(met.where("node <> low").select(
-        F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sizes), "star")
     nodes = met.select("node").distinct()
-    zs = written(members.where("z IS NOT NULL").select("node", "z").join(nodes, "node").groupBy("node").agg(
-        F.first("z").alias("z")), "sets")
-    linked = written(_linked(star, zs, words), "linked")
+    sets = written(members.where("n_shingles > 0").join(nodes, "node").groupBy("node").agg(
+        F.min("n_shingles").alias("size"), F.min("rid").alias("rid"), F.first("sketch", ignorenulls=True).alias("sketch")), "sets")
+    star = written(_close(met.where("node <> low").select(
+        F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sets), "star")
+    linked = written(_linked(star, _packed(texts, sets, _ends(star)), words), "linked")
     label = connected_components(linked, nodes, "a", "b")
 
     # what shares a signature but not yet a component
-    named = met.join(label.withColumnRenamed("vertex", "node"), "node").join(sizes, "node")
+    named = met.join(label.withColumnRenamed("vertex", "node"), "node").join(sets.select("node", "size"), "node")
     mixed = named.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"),
                                       F.count(F.lit(1)).alias("n")).where("x < y").select("hash", "n")
     open_ = written(named.join(mixed, "hash").select("hash", "node", "low", "component", "size", "n"), "open")
-    more = _few(open_.where(F.col("n") <= SMALL_GROUP), star, zs, words)
+    rest = written(_close(_few(open_.where(F.col("n") <= SMALL_GROUP)).join(star, ["a", "b"], "left_anti"), sets), "rest")
     large = open_.where(F.col("n") > SMALL_GROUP)
     if large.limit(1).count():
-        more = more.unionByName(_many(large, zs, words))
+        blocks = written(_many(large, sets, label), "blocks")
+        zs = _packed(texts, sets, _ends(rest).unionByName(blocks.select("node")))
+        more = _linked(rest, zs, words).unionByName(
+            blocks.join(zs, "node").groupBy("cluster", "i", "j").applyInPandas(_block_links(words), PAIRS))
+    else:
+        more = _linked(rest, _packed(texts, sets, _ends(rest)), words)
     united = connected_components(linked.unionByName(written(more, "more")), nodes, "a", "b")
     return united.select(F.col("vertex").alias("node"), "component")
 
 
-def _few(open_: DataFrame, star: DataFrame, zs: DataFrame, words: int) -> DataFrame:
-    """Links among nodes of small signatures, pair by pair."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _packed(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, z``: a packed text of each of the nodes.  Of the other texts only those leave their
+    task that a Bloom filter lets through."""
+    asked = written(sets.select("node", "rid").join(nodes, "node", "left_semi"), "asked")
+    found = passes(texts, "rid", *key_filter(asked, "rid")).mapInArrow(tidied(_pack), "rid long, z binary")
+    return written(asked.join(found, "rid").groupBy("node").agg(F.first("z").alias("z")), "texts")
+
+
+def _few(open_: DataFrame) -> DataFrame:
+    """Pairs of nodes that small signatures share."""
     left = open_.select("hash", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("size_a"))
     right = open_.select("hash", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"))
-    rest = left.join(right, "hash").where((F.col("ca") < F.col("cb")) & _in_ratio()).select(
+    return left.join(right, "hash").where((F.col("ca") < F.col("cb")) & _in_ratio()).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _linked(written(rest.join(star, ["a", "b"], "left_anti"), "rest"), zs, words)
 
 
-def _many(large: DataFrame, zs: DataFrame, words: int) -> DataFrame:
-    """Links among nodes of large signatures, by blocks."""
-    cluster = connected_components(large.select("low", "node"), None, "low", "node").withColumnRenamed("component", "cluster")
-    held = cluster.withColumnRenamed("vertex", "node").join(large.select("node", "component").distinct(), "node")
+def _many(large: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """Blocks of nodes of large signatures, of each those nodes whose sketches allow a link there.
+
+    Signatures whose smallest nodes are one component are one cluster.  Near copies have few such
+    components, and unlike a closure over shared nodes it doesn't chain signatures that meet by accident."""
+    held = large.select("low", "node", "component").distinct().join(
+        label.select(F.col("vertex").alias("low"), F.col("component").alias("cluster")), "low").select(
+        "cluster", "node", "component").distinct()
     blocks = held.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = held.join(blocks, "cluster").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                          "node", "component")
-    return dealt.join(zs, "node").groupBy("cluster", "i", "j").applyInPandas(_block_links(words), PAIRS)
+    return dealt.join(sets.select("node", "size", "sketch"), "node").groupBy("cluster", "i", "j").applyInPandas(_block_near, BLOCK)
+
+
+def _block_near(pdf):
+    """The nodes of a block that some other component's node may link with, by their sketches."""
+    size, component = pdf["size"].to_numpy(), pdf["component"].to_numpy()
+    bits = np.array([8 * len(x) for x in pdf["sketch"]])
+    near = np.zeros(len(pdf), bool)
+    for m in np.unique(bits).tolist():
+        at = np.flatnonzero((bits == m) | (bits == 2 * m))  # sets of other lengths differ too much in size
+        if len(at) < 2:
+            continue
+        both = np.stack([_folded(pdf["sketch"].iloc[k], m // 8) for k in at])
+        alike = np.zeros((len(at), len(at)), np.float32)
+        for first in range(0, m // 8, BLOCK_SHINGLES // 8):
+            signs = np.unpackbits(both[:, first:first + BLOCK_SHINGLES // 8], axis=1).astype(np.float32) * 2 - 1
+            alike += signs @ signs.T
+        s, c, own = size[at], component[at], bits[at] == m
+        link = (SHARE_DIFFERING * (m - alike) <= 2 * (s[:, None] + s[None, :])) & (c[:, None] != c[None, :])
+        link &= (4 * s[:, None] >= 3 * s[None, :]) & (4 * s[None, :] >= 3 * s[:, None]) & (own[:, None] | own[None, :])
+        near[at] |= link.any(axis=1)
+    return pdf.loc[near, ["cluster", "i", "j", "node", "component"]]
+
+
+def _folded(sketch: bytes, length: int):
+    x = np.frombuffer(sketch, np.uint8)
+    return x if len(x) == length else x[:length] ^ x[length:]
 
 
 def _block_links(words: int):
@@ -420,17 +517,35 @@ def _block_links(words: int):
             both += held @ held.T
         link = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
         x, y = np.nonzero(link & (component[:, None] < component[None, :]))
-        _, one = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
-        return pd.DataFrame({"a": node[x[one]], "b": node[y[one]]})
+        names, component = np.unique(component, return_inverse=True)
+        x, y = _forest(x, y, component, len(names))
+        return pd.DataFrame({"a": node[x], "b": node[y]})
 
     return run
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs whose sizes allow a link."""
-    return (pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
-            .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-            .where(_in_ratio()).select("a", "b"))
+def _forest(x, y, component, n: int):
+    """Those of the links ``x, y`` that are needed to unite what all of them unite; ``component`` is in 0..n-1."""
+    by_pair = np.full((n, n), -1)
+    by_pair[component[x], component[y]] = by_pair[component[y], component[x]] = np.arange(len(x))
+    unseen, keep = np.ones(n, bool), []
+    for root in range(n):
+        todo = [root] if unseen[root] else []
+        unseen[root] = False
+        while todo:
+            link = by_pair[todo.pop()]
+            new = np.flatnonzero((link >= 0) & unseen)
+            unseen[new] = False
+            keep += link[new].tolist()
+            todo += new.tolist()
+    return x[keep], y[keep]
+
+
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("y")), "b"))
+    return both.where(_in_ratio()).select("a", "b", "size_a", "size_b", "x", "y").mapInArrow(tidied(_near), PAIRS)
 
 
 def _linked(pairs: DataFrame, zs: DataFrame, words: int) -> DataFrame:

@@ -38,24 +38,41 @@ def _places(value: str, bits: int) -> list[str]:
     return [f"pmod(xxhash64({value}, {k}), {bits}L)" for k in range(HASHES)]
 
 
-def phrase_filter(gazetteer: DataFrame) -> tuple[DataFrame, int]:
-    """One row ``lengths, words`` and the number of bits: the phrases' numbers of
-    tokens, and the words of a Bloom filter of the phrases.
+def key_filter(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """One row ``words`` and the number of bits: a Bloom filter of a column's values.
 
-    The filter's size follows the gazetteer's up to ``MOST_BITS``; beyond that
+    Its size follows the number of rows up to ``MOST_BITS``; beyond that
     it lets more through, and the join still decides."""
-    tokens = F.expr(f"regexp_extract_all(phrase, {S.sql_str(TOKEN_PATTERN.java())}, 0)")
-    phrases = gazetteer.select("phrase", F.size(tokens).alias("tokens")).where("tokens > 0")
-    n = phrases.count()
+    n = keys.count()
     bits = 1 << 10
     while bits < min(MOST_BITS, n * BITS_PER_ENTRY):
         bits *= 2
-    places = phrases.select(F.expr(f"explode(array({', '.join(_places('phrase', bits))}))").alias("bit"))
+    places = keys.select(F.expr(f"explode(array({', '.join(_places(column, bits))}))").alias("bit"))
     words = places.groupBy(F.expr("CAST(bit div 64 AS INT)").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("v"))
-    every = gazetteer.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("v"))
-    filled = words.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("v"))
+    return words.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words")), bits
+
+
+def passes(rows: DataFrame, column: str, held: DataFrame, bits: int) -> DataFrame:
+    """The rows whose value the filter may hold.
+
+    The filter stands in the condition as a scalar subquery, one value a task:
+    as a column it would be copied into every row."""
+    words = held.select("words").scalar()
+    for place in _places(column, bits):
+        word = F.get(words, F.expr(f"CAST({place} div 64 AS INT)"))
+        rows = rows.where(F.getbit(word, F.expr(f"CAST({place} % 64 AS INT)")) == 1)
+    return rows
+
+
+def phrase_filter(gazetteer: DataFrame) -> tuple[DataFrame, int]:
+    """One row ``lengths, words`` and the number of bits: the phrases' numbers of
+    tokens, and the words of a Bloom filter of the phrases."""
+    tokens = F.expr(f"regexp_extract_all(phrase, {S.sql_str(TOKEN_PATTERN.java())}, 0)")
+    phrases = gazetteer.select("phrase", F.size(tokens).alias("tokens")).where("tokens > 0")
+    filled, bits = key_filter(phrases, "phrase")
     lengths = phrases.agg(F.array_sort(F.collect_set("tokens")).alias("lengths"))
     return filled.select("words", lengths.scalar().alias("lengths")), bits
 
@@ -77,16 +94,9 @@ def _all_ngrams(cells: DataFrame, lengths: Column) -> DataFrame:
 
 def ngrams(cells: DataFrame, gazetteer: DataFrame, capitalised: bool = False) -> DataFrame:
     """``row_index, column_ordinal, column_name, start, end, phrase`` for every n-gram that
-    passes the gazetteer's filter (``capitalised``: only those that start in upper case).
-
-    The filter stands in the condition as a scalar subquery, one value a task:
-    as a column it would be copied into every cell's row."""
+    passes the gazetteer's filter (``capitalised``: only those that start in upper case)."""
     held, bits = phrase_filter(gazetteer)
-    found = _all_ngrams(cells, held.select("lengths").scalar())
-    words = held.select("words").scalar()
-    for place in _places("phrase", bits):
-        word = F.get(words, F.expr(f"CAST({place} div 64 AS INT)"))
-        found = found.where(F.getbit(word, F.expr(f"CAST({place} % 64 AS INT)")) == 1)
+    found = passes(_all_ngrams(cells, held.select("lengths").scalar()), "phrase", held, bits)
     return found.where(F.col("phrase").rlike(r"^\p{Lu}")) if capitalised else found
 
 

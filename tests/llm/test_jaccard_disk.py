@@ -3,11 +3,13 @@
 import os
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from test_search_operators import docs_of, near_copies, plain_components
 from veilspark.llm import jaccard
 from veilspark.llm.common import written
@@ -131,3 +133,19 @@ def test_tables_and_shuffles_are_deleted(spark):
     out = jaccard.components(docs_of(spark, rows))
     assert sorted(x.rsplit("-", 1)[0] for x in tables() - there) == ["llm-labels", "llm-members", "llm-test"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(plain_components(rows), key=str)
+
+
+def test_the_pipelines_near_duplicate_stage_leaves_no_texts(spark):
+    def tables():
+        top = ensure_checkpoint_dir(spark).removeprefix("file:")
+        return {f"{top}/{x}" for x in os.listdir(top)}
+
+    there, rng = tables(), random.Random(8)
+    texts = [text(rng, 200) for _ in range(60)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate([*texts, *(f"{t} more" for t in texts[:20])])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(60)) and out.columns == docs.columns
+    left = tables() - there
+    assert left and all(not {"z", "text"} & set(spark.read.parquet(x).columns) for x in left)
+    assert sum(f.stat().st_size for x in left for f in Path(x).rglob("*.parquet")) < sum(len(t) for _, t, *_ in rows) / 3
